@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, neardup
+from . import lmscore, mixing, neardup
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op5_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(_documents(spark, sf_dir))
+
+
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir), k=3, similarity=85)
 
@@ -23,7 +27,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op8_neardup": op8_neardup, "op9_mixing": op9_mixing}
+    return {"op5_lmscore": op5_lmscore, "op8_neardup": op8_neardup, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
