@@ -11,13 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._grams import Counts, Table, _group, codes, pieces
-from ._rows import BROADCAST_ROWS, hash_words, save
+from ._rows import hash_words, save
 
 #: Bytes of context of the deepest nodes.
-DEPTH = 5
+DEPTH = 6
+#: Prior weight of the deeper contexts at a node.
+SPLIT = 0.5
+_PRIOR = np.log(SPLIT / (1 - SPLIT))
 #: Key of the end of a text among the words.
 END_WORD = -1
 _NODES = 256
+#: Prices and word counts that may be sent to the executors: at most 16 bytes each, so under 256 MB.
+SENT_ROWS = 16_000_000
 
 
 def held_out(doc_id: Column) -> Column:
@@ -82,46 +87,87 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (z - 0.5) * np.log(z) - z + 0.5 * np.log(2 * np.pi) + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5) - shift
 
 
+_SMALL = 1 << 16
+_HALF, _WHOLE = log_gamma(np.arange(_SMALL) + 0.5), log_gamma(np.arange(_SMALL) + 1.0)
+
+
 def kt(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """ln of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
-    return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - np.log(np.pi) - log_gamma(n0 + n1 + 1.0)
-
-
-def _mixed(n0, n1, below):
-    """(ln of the weighted probability, weight of the node's own estimate, its estimate of a one) of an inner node."""
-    own = kt(n0, n1)
-    gap = np.clip(below - own, -700, 700)
-    return np.logaddexp(own, below) - np.log(2.0), 1 / (1 + np.exp(gap)), (n1 + 0.5) / (n0 + n1 + 1)
-
-
-def _levels(grams: np.ndarray, n: np.ndarray, depth: int, top: int) -> dict[int, tuple[np.ndarray, ...]]:
-    """Nodes of the subtree, by depth from depth to top: keys, n0, n1, ln P, weight, estimate; and in at[d] the node of
-    each n-gram and bit. A key is a context and one of 255 inner nodes of the byte's binary decomposition."""
-    byte, context = grams & 255, grams >> 8
-    bit = np.stack([(byte >> (7 - k)) & 1 for k in range(8)])
-    node = np.stack([(1 << k) | (byte >> (8 - k)) for k in range(8)])
-    levels, below, last = {}, None, None
-    for d in range(depth, top - 1, -1):
-        keys, at = _group((((context & ((1 << 8 * d) - 1))[None, :] << 8) | node).ravel())
-        n1 = np.bincount(at, weights=(bit * n[None, :]).ravel(), minlength=len(keys))
-        n0 = np.bincount(at, weights=((1 - bit) * n[None, :]).ravel(), minlength=len(keys))
-        if d == depth:
-            lnp, weight, guess = kt(n0, n1), np.ones(len(keys)), (n1 + 0.5) / (n0 + n1 + 1)
-        else:
-            parent = np.empty(len(last), np.int64)
-            parent[levels[d + 1][-1]] = at  # a child's n-grams all have this node
-            sums = np.bincount(parent, weights=below, minlength=len(keys))
-            lnp, weight, guess = _mixed(n0, n1, sums)
-        levels[d] = (keys, n0, n1, lnp, weight, guess, at)
-        below, last = lnp, keys
-    return levels
+    """ln of the Krichevsky-Trofimov probability of n0 zeros and n1 ones; small counts are looked up."""
+    n0, n1 = n0.astype(np.int64), n1.astype(np.int64)
+    n, out = n0 + n1, np.empty(len(n0))
+    small = n < _SMALL
+    out[small] = _HALF[n0[small]] + _HALF[n1[small]] - _WHOLE[n[small]]
+    big = ~small
+    out[big] = log_gamma(n0[big] + 0.5) + log_gamma(n1[big] + 0.5) - log_gamma(n[big] + 1.0)
+    return out - np.log(np.pi)
+
+
+class _Level:
+    """The nodes of one depth. codes: sorted pairs of context and byte; for each of a byte's eight decisions, a node is
+    the run of codes with one context and one beginning of the byte."""
+
+    def __init__(self, codes_: np.ndarray, n: np.ndarray):
+        self.codes, self.at, self.n0, self.n1 = codes_, [], [], []
+        for k in range(8):
+            start = codes_ >> (8 - k)
+            first = np.flatnonzero(np.concatenate([[True], start[1:] != start[:-1]]))
+            ones = np.add.reduceat(n * ((codes_ >> (7 - k)) & 1), first)
+            self.n1.append(ones)
+            self.n0.append(np.add.reduceat(n, first) - ones)
+            self.at.append(np.repeat(np.arange(len(first)), np.diff(np.append(first, len(codes_)))))
+        self.guess = [(n1 + 0.5) / (n0 + n1 + 1) for n0, n1 in zip(self.n0, self.n1)]
+        self.own = [kt(n0, n1) for n0, n1 in zip(self.n0, self.n1)]
+        self.lnp, self.weight = self.own, None
+
+    def mix(self, below: list[np.ndarray]) -> None:
+        self.weight = [_weight(own, b) for own, b in zip(self.own, below)]
+        self.lnp = [_lnp(own, b) for own, b in zip(self.own, below)]
+
+
+def _weight(own: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Posterior weight of a node's own estimate against the mixture of the deeper ones."""
+    return 1 / (1 + np.exp(np.clip(below - own + _PRIOR, -700, 700)))
+
+
+def _lnp(own: np.ndarray, below: np.ndarray) -> np.ndarray:
+    return np.logaddexp(own + np.log(1 - SPLIT), below + np.log(SPLIT))
+
+
+def _levels(grams: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[dict[int, _Level], dict[int, np.ndarray], np.ndarray]:
+    """The subtree's levels from depth up to top, the place of each sorted n-gram among the codes of each level, and the
+    order of the n-grams."""
+    order = np.argsort(grams)
+    levels, place = {depth: _Level(grams[order], n[order])}, {depth: np.arange(len(grams))}
+    counts = n[order]
+    for d in range(depth - 1, top - 1, -1):
+        child = levels[d + 1]
+        distinct, at = _group(child.codes & ((1 << 8 * (d + 1)) - 1))
+        rank = np.argsort(distinct)
+        back = np.empty(len(rank), np.int64)
+        back[rank] = np.arange(len(rank))
+        at = back[at]
+        counts = np.bincount(at, weights=counts, minlength=len(distinct))
+        level = levels[d] = _Level(distinct[rank], counts)
+        below = []
+        for k in range(8):
+            parent = np.empty(len(child.lnp[k]), np.int64)
+            parent[child.at[k]] = level.at[k][at]  # all codes of a child's node lie in one node of the parent
+            below.append(np.bincount(parent, weights=child.lnp[k], minlength=len(level.own[k])))
+        level.mix(below)
+        place[d] = at[place[d + 1]]
+    return levels, place, order
 
 
 def _rooter(depth: int):
     def roots(pdf: pd.DataFrame) -> pd.DataFrame:
         """Of the contexts with two given nearest bytes: counts and ln P at depth 2, by nearest byte and node."""
-        keys, n0, n1, lnp = _levels(pdf["key"].to_numpy(), pdf["n"].to_numpy(), depth, 2)[2][:4]
-        return pd.DataFrame({"near": (keys >> 8) & 255, "node": keys & 255, "n0": n0, "n1": n1, "lnp": lnp})
+        level = _levels(pdf["key"].to_numpy(), pdf["n"].to_numpy(), depth, 2)[0][2]
+        parts = []
+        for k in range(8):
+            code = np.empty(len(level.n0[k]), np.int64)
+            code[level.at[k]] = level.codes
+            parts.append(pd.DataFrame({"near": (code >> 8) & 255, "node": (1 << k) | ((code & 255) >> (8 - k)), "n0": level.n0[k], "n1": level.n1[k], "lnp": level.lnp[k]}))
+        return pd.concat(parts).astype({"n0": float, "n1": float})
 
     return roots
 
@@ -129,20 +175,21 @@ def _rooter(depth: int):
 def _pricer(depth: int, top: dict[str, np.ndarray]):
     def price(pdf: pd.DataFrame) -> pd.DataFrame:
         """log10 probability of the last byte of each n-gram after the others."""
-        grams = pdf["key"].to_numpy()
-        levels = _levels(grams, pdf["n"].to_numpy(), depth, 2)
-        guess = levels[depth][5][levels[depth][6]]
-        for d in range(depth - 1, 1, -1):
-            weight, own, at = levels[d][4:]
-            guess = weight[at] * own[at] + (1 - weight[at]) * guess
-        byte, near = grams & 255, (grams >> 8) & 255
-        node = np.stack([(1 << k) | (byte >> (8 - k)) for k in range(8)]).ravel()
-        for name, at in (("one", np.tile(near, 8) * _NODES + node), ("zero", node)):
-            weight, own = top[f"{name}_weight"][at], top[f"{name}_guess"][at]
-            guess = weight * own + (1 - weight) * guess
-        guess = guess.reshape(8, -1)
-        bit = np.stack([(byte >> (7 - k)) & 1 for k in range(8)])
-        return pd.DataFrame({"key": grams, "value": np.log10(np.where(bit == 1, guess, 1 - guess)).sum(axis=0)})
+        levels, place, order = _levels(pdf["key"].to_numpy(), pdf["n"].to_numpy(), depth, 2)
+        grams = levels[depth].codes
+        byte, near, value = grams & 255, (grams >> 8) & 255, np.zeros(len(grams))
+        for k in range(8):
+            guess = levels[depth].guess[k][levels[depth].at[k]]
+            for d in range(depth - 1, 1, -1):
+                at = levels[d].at[k][place[d]]
+                weight = levels[d].weight[k][at]
+                guess = weight * levels[d].guess[k][at] + (1 - weight) * guess
+            node = (1 << k) | (byte >> (8 - k))
+            for name, at in (("one", near * _NODES + node), ("zero", node)):
+                weight = top[f"{name}_weight"][at]
+                guess = weight * top[f"{name}_guess"][at] + (1 - weight) * guess
+            value += np.log10(np.where((byte >> (7 - k)) & 1, guess, 1 - guess))
+        return pd.DataFrame({"key": grams, "value": value})
 
     return price
 
@@ -159,10 +206,12 @@ def context_tree(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     one = tops.groupBy("near", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("lnp").alias("below")).toPandas()
     top = {f"{k}_{v}": np.full(_NODES * size, 0.5) for k, size in (("one", _NODES), ("zero", 1)) for v in ("weight", "guess")}
     at = (one["near"] * _NODES + one["node"]).to_numpy()
-    lnp, top["one_weight"][at], top["one_guess"][at] = _mixed(one["n0"].to_numpy(), one["n1"].to_numpy(), one["below"].to_numpy())
-    zero = one.assign(below=lnp).sort_values(["node", "near"]).groupby("node", as_index=False)[["n0", "n1", "below"]].sum()
+    n0, n1, below = (one[c].to_numpy() for c in ("n0", "n1", "below"))
+    top["one_weight"][at], top["one_guess"][at] = _weight(kt(n0, n1), below), (n1 + 0.5) / (n0 + n1 + 1)
+    zero = one.assign(below=_lnp(kt(n0, n1), below)).sort_values(["node", "near"]).groupby("node", as_index=False)[["n0", "n1", "below"]].sum()
     at = zero["node"].to_numpy()
-    _, top["zero_weight"][at], top["zero_guess"][at] = _mixed(zero["n0"].to_numpy(), zero["n1"].to_numpy(), zero["below"].to_numpy())
+    n0, n1, below = (zero[c].to_numpy() for c in ("n0", "n1", "below"))
+    top["zero_weight"][at], top["zero_guess"][at] = _weight(kt(n0, n1), below), (n1 + 0.5) / (n0 + n1 + 1)
     return grams.groupBy("near2").applyInPandas(_pricer(depth, top), "key long, value double")
 
 
@@ -229,7 +278,7 @@ def _exploder(depth: int):
     return explode
 
 
-def score(docs: DataFrame, depth: int = DEPTH, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+def score(docs: DataFrame, depth: int = DEPTH, sent_rows: int = SENT_ROWS) -> DataFrame:
     """Score every text: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte.
 
     The model codes a document's words, A-Z in lower case and joined by one space, byte by byte and then the end, so that
@@ -238,7 +287,7 @@ def score(docs: DataFrame, depth: int = DEPTH, broadcast_rows: int = BROADCAST_R
     their posterior weights. score is the log10 probability, bits_per_byte the code length.
 
     Counting meets all n-grams of all documents (those of held-out ones with count 0), so every n-gram has its price. The
-    prices and word counts are sent to the executors if they have at most broadcast_rows rows; beyond that, documents'
+    prices and word counts are sent to the executors if they have at most sent_rows rows; beyond that, documents'
     n-grams and words meet them in a shuffled join, with the same result.
 
     Nulls and empty texts: one token, the end. A null doc_id counts as '' for the fold. Repeated rows are scored each. An
@@ -250,8 +299,8 @@ def score(docs: DataFrame, depth: int = DEPTH, broadcast_rows: int = BROADCAST_R
     words = counted.filter("kind = 'word'").select("key", "n")
     vocabulary, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     priced = save(context_tree(counted.filter("kind = 'gram'").select("key", "n"), depth))
-    if priced.count() + vocabulary <= broadcast_rows:
-        tables = docs.sparkSession.sparkContext.broadcast((_fetch(priced, "value"), _fetch(words, "n")))
+    if priced.count() + vocabulary <= sent_rows:
+        tables = docs.sparkSession.sparkContext.broadcast((_fetch(priced.withColumn("value", F.col("value").cast("float")), "value"), _fetch(words, "n")))
         out = rows.mapInArrow(_scorer(depth, tables), _TYPES)
     else:
         keys = rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_exploder(depth), "rid long, doc_id long, held_out boolean, n_bytes long, kind string, key long, n long")

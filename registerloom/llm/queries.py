@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lmscore, mixing, neardup
+from . import lmscore, mixing, neardup, quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op5_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(_documents(spark, sf_dir))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")).drop("rid")
+
+
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(_documents(spark, sf_dir), k=3, similarity=85)
 
@@ -27,7 +31,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_lmscore": op5_lmscore, "op8_neardup": op8_neardup, "op9_mixing": op9_mixing}
+    return {"op5_lmscore": op5_lmscore, "op7_quality": op7_quality, "op8_neardup": op8_neardup, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
