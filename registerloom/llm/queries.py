@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import lmscore, mixing, neardup, quality
+from . import decontaminate, lmscore, mixing, neardup, quality
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("rid")
+
+
 def op5_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(_documents(spark, sf_dir))
 
@@ -31,7 +35,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_lmscore": op5_lmscore, "op7_quality": op7_quality, "op8_neardup": op8_neardup, "op9_mixing": op9_mixing}
+    return {"op1_decontaminate": op1_decontaminate, "op5_lmscore": op5_lmscore, "op7_quality": op7_quality, "op8_neardup": op8_neardup, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
