@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, lmscore, mixing, neardup, quality, secrets
+from . import decontaminate, licenses, lmscore, mixing, neardup, quality, secrets, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("rid")
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_documents(spark, sf_dir)).drop("rid")
 
@@ -44,7 +48,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op3_licenses": op3_licenses, "op5_lmscore": op5_lmscore, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op8_neardup": op8_neardup, "op9_mixing": op9_mixing}
+    return {"op1_decontaminate": op1_decontaminate, "op2_toxicity": op2_toxicity, "op3_licenses": op3_licenses, "op5_lmscore": op5_lmscore, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op8_neardup": op8_neardup, "op9_mixing": op9_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
