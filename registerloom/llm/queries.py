@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, lmscore, mixing, neardup, quality, secrets, toxicity
+from . import decontaminate, licenses, lmscore, mixing, neardup, quality, secrets, tokens, topk, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,10 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(_documents(spark, sf_dir)).drop("rid")
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op5_lmscore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(_documents(spark, sf_dir))
 
@@ -47,9 +51,25 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "source", "whole", "extra")
 
 
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_toxicity": op2_toxicity, "op3_licenses": op3_licenses, "op5_lmscore": op5_lmscore, "op6_secrets": op6_secrets, "op7_quality": op7_quality, "op8_neardup": op8_neardup, "op9_mixing": op9_mixing}
+    return {
+        "op1_decontaminate": op1_decontaminate,
+        "op2_toxicity": op2_toxicity,
+        "op3_licenses": op3_licenses,
+        "op4_topk": op4_topk,
+        "op5_lmscore": op5_lmscore,
+        "op6_secrets": op6_secrets,
+        "op7_quality": op7_quality,
+        "op8_neardup": op8_neardup,
+        "op9_mixing": op9_mixing,
+        "op10_tokens": op10_tokens,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Where DuckDB SQL can say the same; the other queries are tested against brute force."""
+    return {"op4_topk": topk.SQL}
