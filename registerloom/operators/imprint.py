@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from urllib.parse import urljoin
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,10 +29,6 @@ def visible_text(html):
 
 def links(pages: DataFrame) -> DataFrame:
     """page url and the sorted distinct absolute links of it, as an array (url, html)."""
-    from urllib.parse import urljoin
-
-    import pandas as pd
-
     @F.pandas_udf("array<string>")
     def absolute(base: pd.Series, hrefs: pd.Series) -> pd.Series:
         return pd.Series([sorted({urljoin(b, h) for h in hs}) if hs is not None else [] for b, hs in zip(base, hrefs)])

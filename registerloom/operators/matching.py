@@ -83,13 +83,16 @@ def match_records(truth: DataFrame, parsed: DataFrame, method: str = "fuzzy") ->
     if method not in ("fuzzy", "containment"):
         raise ValueError("method is fuzzy or containment")
 
+    names = ["doc", "row", *WEIGHTS]
+
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        right = right.set_axis(names, axis=1)
         rows = [df.sort_values("row").astype(object).where(df.notna(), None).to_dict("records") for df in (left, right)]
         out = [(left["doc"].iloc[0], *r) for r in _assign(*rows, method == "fuzzy")] if len(left) else []
         return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"parsed_row": "Int64"})
 
-    names = ["doc", "row", *WEIGHTS]
-    return truth.select(*names).groupBy("doc").cogroup(parsed.select(*names).groupBy("doc")).applyInPandas(run, RESULT)
+    other = parsed.select(*[F.col(n).alias(f"p_{n}") for n in names])  # own names: both may come from one table
+    return truth.select(*names).groupBy("doc").cogroup(other.groupBy("p_doc")).applyInPandas(run, RESULT)
 
 
 def summary(matches: DataFrame) -> DataFrame:
