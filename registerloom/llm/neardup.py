@@ -6,6 +6,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,9 +17,8 @@ SHINGLE_WORDS = 5
 SIMILARITY = 80  # per cent
 #: A pair at Jaccard 0.8 shares no band with probability (1 - 0.8**6)**40 = 6e-6, at 0.85 with 6e-9.
 BANDS, BAND_ROWS = 40, 6
-#: Remaining candidate pairs a document up to which they are all verified; above that, star rounds go on first.
-PAIRS_EACH = 2.0
-STAR_ROUNDS = 12
+#: Sets in one block of a dense cluster, on average.
+BLOCK = 256
 _CHUNK = 4 << 20
 
 
@@ -161,26 +161,69 @@ def _verifier(similarity: int):
     return verify
 
 
+def _shingler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(shingle, rep) of every set."""
+    for batch in batches:
+        parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
+        if parts:
+            reps = np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), [len(x) for x in parts])
+            flat = np.concatenate(parts)
+            for at in range(0, len(flat), 1 << 17):
+                yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + (1 << 17)]), pa.array(reps[at : at + (1 << 17)])], ["shingle", "rep"])
+
+
+def _blocks(similarity: int):
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        """Links between two blocks of sets (or within one) of different components, counted by products of 0/1 matrices."""
+        left, right = pdf[pdf["block"] == pdf["i"]], pdf[pdf["block"] == pdf["j"]]
+        shingles, inverse = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in pdf["shingles"]]), return_inverse=True)
+        shared = np.bincount(inverse, minlength=len(shingles)) > 1
+        column = np.where(shared, np.cumsum(shared) - 1, -1)
+        sides = []
+        for side in (left, right):
+            sets = [column[np.searchsorted(shingles, np.frombuffer(x, np.uint64))] for x in side["shingles"]]
+            row = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+            col = np.concatenate(sets) if sets else np.empty(0, np.int64)
+            sides.append((row[col >= 0], col[col >= 0]))
+        both = np.zeros((len(left), len(right)), np.float64)
+        for at in range(0, int(shared.sum()), 4096):
+            m = []
+            for (row, col), n in zip(sides, both.shape):
+                here = (col >= at) & (col < at + 4096)
+                x = np.zeros((n, 4096), np.float32)
+                x[row[here], col[here] - at] = 1
+                m.append(x)
+            both += m[0] @ m[1].T
+        n, k = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
+        a, b = left["rep"].to_numpy(), right["rep"].to_numpy()
+        good = (100 * both >= similarity * (n + k - both)) & (left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :])
+        x, y = np.nonzero(good)
+        return pd.DataFrame({"a": np.minimum(a[x], b[y]), "b": np.maximum(a[x], b[y])}).drop_duplicates()
+
+    return links
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b): root is the least node that it is connected with.
 
-    Rounds of large-star and small-star; each halves the paths, and the edges never grow in number.
+    Rounds of large-star and small-star; each shortens the paths, and the edges never grow in number.
     """
     edges = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
-    while True:
+    mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+    seen = mark(edges)
+    w = Window.partitionBy("u")
+    while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        w = Window.partitionBy("u")
         low = F.least(F.min("v").over(w), F.col("u"))
-        large = both.withColumn("m", low).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        low = F.min("v").over(w)
-        small = large.withColumn("m", low)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        new = save(small)
-        same = new.count() == edges.count() and not new.join(edges, ["u", "v"], "left_anti").limit(1).count()
+        large = both.withColumn("m", low).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = large.withColumn("m", F.min("v").over(w))
+        new = save(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct())
+        now = mark(new)
         discard(edges)
-        edges = new
-        if same:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        edges, seen, last = new, now, seen
+        if seen == last:
+            break
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
@@ -189,10 +232,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: int = S
     Texts are words with A-Z in lower case; a document's set is its distinct k-word shingles. Documents are linked when
     100 * intersection >= similarity * union of the full sets; a component's id is its smallest doc_id.
 
-    Equal sets are one class first, so copies never meet pairwise. Classes that share a band key are candidates. In star
-    rounds a bucket's members are each verified against one seeded centre of the bucket; members already connected with
-    it need no check. When the pairs that are not connected yet are few, all of them are verified, so no candidate pair
-    between different components is left out and no bucket is capped.
+    Equal sets are one class first, so copies never meet pairwise. Classes that share a band key are candidates. What only
+    one candidate has is in no intersection, so the sizes without it rule pairs out, and whole classes, before any set is
+    read. In each bucket all members are first verified against one centre, the member with most in common with others.
+    Then every remaining pair of a bucket that is not connected yet is verified: pair by pair where there are few, or block
+    by block in clusters whose buckets overlap so much that all pairs of the cluster are fewer. No bucket is capped.
 
     Nulls: a null or blank text has no shingles and is linked with nothing; a row with null doc_id stands alone, with
     null component_id and kept false. Repeated rows with one doc_id are one document: they get the same row each. Fewer
@@ -200,15 +244,15 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: int = S
     """
     signed = save(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signer(k, bands, rows), "doc_id long, n long, print binary, sig binary"))
     reps = save(signed.filter("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    buckets = save(
-        reps.mapInArrow(_spread(bands), "key long, rep long, n long")
-        .withColumn("members", F.count("*").over(Window.partitionBy("key")))
-        .filter("members > 1")
-        .drop("members")
-    )
+    shared = F.count("*").over(Window.partitionBy("key")) > 1
+    buckets = save(reps.mapInArrow(_spread(bands), "key long, rep long, n long").withColumn("met", shared).filter("met").drop("met"))
     wanted = save(buckets.select(F.col("rep").alias("doc_id")).distinct())
     part = docs.select(F.col("doc_id").cast("long"), "text").join(checked_broadcast(wanted), "doc_id", "left_semi")
     sets = save(part.mapInArrow(_setter(k), "rep long, shingles binary").groupBy("rep").agg(F.first("shingles").alias("shingles")))
+    alone = sets.mapInArrow(_shingler, "shingle long, rep long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).filter("c = 1")
+    alone = save(alone.groupBy("rep").agg(F.count("*").alias("own")))
+    buckets = buckets.join(checked_broadcast(alone), "rep", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
+    buckets = save(buckets.filter(100 * F.col("common") >= similarity * F.col("n")).withColumn("met", shared).filter("met").select("key", "rep", "n", "common"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Which of the distinct pairs (a, b) are links."""
@@ -216,44 +260,34 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: int = S
         both = left.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
         return both.mapInArrow(_verifier(similarity), "a long, b long")
 
-    near = lambda x, y: 100 * F.least(x, y) >= similarity * F.greatest(x, y)  # noqa: E731  else the sizes rule a link out
-    roots = None  # (node, root) so far
-    for turn in range(STAR_ROUNDS + 1):
-        state = buckets if roots is None else buckets.join(roots, buckets["rep"] == roots["node"], "left").drop("node")
-        state = state.withColumn("root", F.coalesce("root", "rep") if roots is not None else F.col("rep"))
-        if turn:
-            # buckets with one component left need nothing more; the same set of members in several bands is met in each
-            w = Window.partitionBy("key")
-            state = state.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w)}).filter("lo <> hi").drop("lo", "hi")
-            state = save(state)
-            per = state.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg((F.sum("c") * F.sum("c") - F.sum(F.col("c") * F.col("c"))).alias("twice"))
-            open_pairs = (per.agg(F.sum("twice")).first()[0] or 0) / 2
-            if not open_pairs:
-                break
-            if turn == STAR_ROUNDS or open_pairs <= PAIRS_EACH * max(state.count(), 10_000):
-                x, y = state.alias("x"), state.alias("y")
-                pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & near(F.col("x.n"), F.col("y.n")))
-                pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct()
-                last = True
-            else:
-                last = False
-        else:
-            last = False
-        if not last:
-            # the centre of a bucket: another one each round
-            draw = F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep", "root", "n")
-            pairs = state.withColumn("c", F.min(draw).over(Window.partitionBy("key"))).filter((F.col("c.root") != F.col("root")) & near(F.col("c.n"), F.col("n")))
-            pairs = pairs.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()
-        links = verified(pairs)
-        if roots is None:
-            roots = components(links)
-        else:
-            links = links.join(checked_roots(roots, "a"), "a", "left").join(checked_roots(roots, "b"), "b", "left")
-            links = links.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
-            old = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-            roots = components(links.unionByName(old))
-        if last:
-            break
+    def possible(x: str, y: str):
+        """Whether the sizes allow a link: an intersection holds at most what either has in common with any other."""
+        most = F.least(f"{x}common", f"{y}common")
+        return 100 * most >= similarity * (F.col(f"{x}n") + F.col(f"{y}n") - most)
+
+    centre = F.max(F.struct((2 * F.col("common") - F.col("n")).alias("score"), (-F.col("rep")).alias("minus"), "rep", "n", "common")).over(Window.partitionBy("key"))
+    pairs = buckets.withColumn("c", centre).filter(F.col("c.rep") != F.col("rep")).filter(possible("", "c."))
+    roots = components(verified(pairs.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()))
+    w = Window.partitionBy("key")
+    state = buckets.join(checked_broadcast(roots), F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
+    state = save(state.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w), "first": F.min("rep").over(w), "size": F.count("*").over(w)}).filter("lo <> hi"))
+    if state.limit(1).count():
+        clusters = components(state.select(F.col("first").alias("a"), F.col("rep").alias("b")))
+        state = save(_clustered(state, clusters))
+        weight = state.groupBy("cluster").agg(F.sum("size").alias("in_buckets"), F.count_distinct("rep").alias("members"))
+        dense = save(weight.filter("in_buckets > members * members").select(F.col("cluster").alias("dense"), F.ceil(F.col("members") / BLOCK).cast("int").alias("n_blocks")))
+        of_dense = F.col("cluster") == F.col("dense")
+        few = state.join(checked_broadcast(dense), of_dense, "left_anti")
+        x, y = few.alias("x"), few.alias("y")
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & possible("x.", "y."))
+        links = verified(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
+        many = state.join(checked_broadcast(dense), of_dense).select("cluster", "rep", "root", "n", "n_blocks").distinct()
+        many = many.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        many = many.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).join(sets, "rep")
+        links = links.unionByName(many.groupBy("cluster", "i", "j").applyInPandas(_blocks(similarity), "a long, b long"))
+        links = links.join(checked_roots(roots, "a"), "a", "left").join(checked_roots(roots, "b"), "b", "left")
+        links = links.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
+        roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
     classes = reps.select("print", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("root", "rep").alias("component"))
     out = signed.select("doc_id", "n", "print").join(classes, "print", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
@@ -261,5 +295,11 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: int = S
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
 
 
+def _clustered(state: DataFrame, clusters: DataFrame) -> DataFrame:
+    """state with cluster: the least class that its buckets connect each class with."""
+    found = clusters.select("node", F.col("root").alias("cluster"))
+    return state.join(checked_broadcast(found), F.col("rep") == F.col("node"), "left").withColumn("cluster", F.coalesce("cluster", "rep")).drop("node")
+
+
 def checked_roots(roots: DataFrame, name: str) -> DataFrame:
     return roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
