@@ -14,8 +14,12 @@ from ._rows import BROADCAST_ROWS, checked_broadcast, save
 
 #: Bytes of an n-gram.
 ORDER = 5
-#: A document is rejected above this quantile of the trusted documents of its language.
-QUANTILE = 0.999
+#: One in so many trusted documents is kept from the model and sets the thresholds.
+HELD_OUT = 5
+#: A document is rejected above its language's median log perplexity plus so many times the way from there to the 95 % quantile.
+SPREAD = 4.0
+#: A discount is at least this, so that bytes never seen keep some mass.
+LEAST_DISCOUNT = 0.1
 #: Words at the language's mean rate that are added to each document, so that a few odd words alone don't reject a short one.
 PRIOR_WORDS = 30.0
 
@@ -34,9 +38,9 @@ def _counter(order: int):
                 yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + (1 << 17)]), pa.array(n[at : at + (1 << 17)])], ["key", "n"])
 
         for batch in batches:
-            texts, trusted = _raw(batch.column("text").to_pylist()), batch.column("trusted").to_pylist()
+            texts, learned = _raw(batch.column("text").to_pylist()), batch.column("learned").to_pylist()
             for learn in (True, False):
-                for buf, lengths, _ in pieces([t for t, x in zip(texts, trusted) if x is learn], order):
+                for buf, lengths, _ in pieces([t for t, x in zip(texts, learned) if x is learn], order):
                     held.add(codes(buf, lengths, order), int(learn))
             if held.size > 5_000_000:
                 yield from out()
@@ -51,7 +55,7 @@ def _discounts(table: DataFrame) -> list[float]:
     if not all(n):  # too little text for the estimate
         return [0.5, 1.0, 1.5]
     y = n[0] / (n[0] + 2 * n[1])
-    return [min(max((i + 1) - (i + 2) * y * n[i + 1] / n[i], 0.0), i + 1.0) for i in range(3)]
+    return [min(max((i + 1) - (i + 2) * y * n[i + 1] / n[i], LEAST_DISCOUNT), i + 1.0) for i in range(3)]
 
 
 def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
@@ -100,8 +104,8 @@ def _scorer(order: int, table):
     return score
 
 
-_KEYS = ["doc_id", "lang", "trusted", "rid"]
-_TYPES = "doc_id long, lang string, trusted boolean, rid long, n_words long, logprob double"
+_KEYS = ["doc_id", "lang", "trusted", "learned", "rid"]
+_TYPES = "doc_id long, lang string, trusted boolean, learned boolean, rid long, n_words long, logprob double"
 
 
 def _exploder(order: int):
@@ -111,21 +115,23 @@ def _exploder(order: int):
                 text = _raw([row["text"]])[0]
                 for buf, lengths, _ in pieces([text], order):
                     keys, n = np.unique(codes(buf, lengths, order), return_counts=True)
-                    head = [pa.array([row[c]] * len(keys), t) for c, t in zip(_KEYS, (pa.int64(), pa.string(), pa.bool_(), pa.int64()))]
+                    head = [pa.array([row[c]] * len(keys), t) for c, t in zip(_KEYS, (pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.int64()))]
                     yield pa.RecordBatch.from_arrays([*head, pa.array([len(text.split()) + 1] * len(keys)), pa.array(keys), pa.array(n)], [*_KEYS, "n_words", "key", "n"])
 
     return explode
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE, prior_words: float = PRIOR_WORDS, sent_rows: int = BROADCAST_ROWS
+    docs: DataFrame, labels: DataFrame, order: int = ORDER, spread: float = SPREAD, prior_words: float = PRIOR_WORDS, sent_rows: int = BROADCAST_ROWS
 ) -> DataFrame:
-    """One row for each row of docs: doc_id, lang, trusted, n_words, logprob, perplexity, threshold, keep, rid.
+    """One row for each row of docs: doc_id, lang, trusted, learned, n_words, logprob, perplexity, threshold, keep, rid.
 
-    Trusted texts are the documents that labels mark with quality 1, all of them. logprob is the log10 probability of the
+    Trusted texts are the documents that labels mark with quality 1. The model learns from all of them but one in HELD_OUT
+    by a hash of the id; those set the thresholds, as a model thinks too well of what it has learned. logprob is the log10 probability of the
     whole text, byte by byte and its end, under the trusted model; perplexity is a word's, the end counting as a word,
-    with prior_words more words at the mean of the language's trusted texts. A document is kept unless its perplexity is
-    above its language's quantile of the trusted ones'. The n-grams' prices are sent to the executors if there are at most
+    with prior_words more words at the mean of the language's held-out trusted texts. A document is kept unless its log
+    perplexity is above a threshold of its language: the median of those texts plus spread times the way to their 95 %
+    quantile. The n-grams' prices are sent to the executors if there are at most
     sent_rows, else documents' n-grams meet them in a shuffled join.
 
     Nulls and empty texts: a null text is empty and priced by its end alone; a null lang is a language of its own; a null
@@ -136,7 +142,8 @@ def classify(
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("good_id")).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").withColumn("rid", F.monotonically_increasing_id())
     rows = rows.join(checked_broadcast(good), F.col("doc_id") == F.col("good_id"), "left").withColumn("trusted", F.col("good_id").isNotNull()).drop("good_id")
-    grams = save(rows.select("text", "trusted").mapInArrow(_counter(order), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    rows = rows.withColumn("learned", F.col("trusted") & (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(HELD_OUT)) != 0))
+    grams = save(rows.select("text", "learned").mapInArrow(_counter(order), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     priced = save(kneser_ney(grams, order))
     if priced.count() <= sent_rows:
         t = priced.toArrow()
@@ -146,7 +153,7 @@ def classify(
         keys = rows.mapInArrow(_exploder(order), f"{_TYPES.removesuffix(', logprob double')}, key long, n long")
         scored = keys.join(priced, "key").groupBy(*_KEYS, "n_words").agg(F.sum(F.col("n") * F.col("value")).alias("logprob"))
     scored = save(scored)
-    trusted = scored.filter("trusted")
+    trusted = scored.filter("trusted and not learned")
     rate = -F.sum("logprob") / F.sum("n_words")
     lang = F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))  # no null, so that languages join
     means = trusted.groupBy(lang.alias("of")).agg(rate.alias("mean"))
@@ -155,12 +162,14 @@ def classify(
     mean = F.coalesce("mean", "all_mean", F.lit(0.0))
     log = (-F.col("logprob") + prior_words * mean) / (F.col("n_words") + prior_words)
     scored = scored.withColumn("log_perplexity", log)
-    trusted = scored.filter("trusted")
-    by_lang = trusted.groupBy("of").agg(F.percentile_approx("log_perplexity", quantile, 10000).alias("own"))
-    every = trusted.agg(F.percentile_approx("log_perplexity", quantile, 10000).alias("every"))
+    trusted = scored.filter("trusted and not learned")
+    at = lambda q: F.percentile_approx("log_perplexity", q, 10000)
+    limit = at(0.5) + spread * (at(0.95) - at(0.5))
+    by_lang = trusted.groupBy("of").agg(limit.alias("own"))
+    every = trusted.agg(limit.alias("every"))
     out = scored.join(F.broadcast(every)).join(checked_broadcast(save(by_lang)), "of", "left").withColumn("limit", F.coalesce("own", "every"))
     keep = F.coalesce(F.col("log_perplexity") <= F.col("limit"), F.lit(True))
     return out.select(
-        "doc_id", "lang", "trusted", "n_words", "logprob", F.pow(F.lit(10.0), "log_perplexity").alias("perplexity"),
+        "doc_id", "lang", "trusted", "learned", "n_words", "logprob", F.pow(F.lit(10.0), "log_perplexity").alias("perplexity"),
         F.pow(F.lit(10.0), "limit").alias("threshold"), keep.alias("keep"), "rid",
     )
