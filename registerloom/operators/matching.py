@@ -61,7 +61,8 @@ def _assign(truth: list[dict], parsed: list[dict], fuzzy: bool) -> list[tuple]:
             if s > score:
                 best, score = i, s
         if best is None or (fuzzy and score < FLOOR):
-            out.append((t["row"], None, 0.0, False, False))
+            # a code that nothing was matched with is a mismatch for one method only
+            out.append((t["row"], None, 0.0, not fuzzy and bool(t["Registration_Code"]), False))
             continue
         used.add(best)
         p = parsed[best]

@@ -123,6 +123,8 @@ def test_scores(spark):
     assert (same["score"], same["code_mismatches"]) == (7 + 8, 0)  # two nulls score nothing here
     none = matching.match_records(truth, records(spark, [("zzz", None, "qqq", None, None)]), "fuzzy").collect()
     assert [r["parsed_row"] for r in sorted(none, key=lambda r: r["truth_row"])] == [None, None]
+    lost = matching.summary(matching.match_records(truth, records(spark, [("zzz", None, "qqq", None, None)]), "containment")).first()
+    assert (lost["matched"], lost["code_mismatches"]) == (0, 1)
     assert 0.0 <= matching.similarity("abc", "abd") <= 1.0 and matching.similarity(None, "") == 1.0
 
 
