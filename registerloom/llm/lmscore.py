@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._grams import Counts, Table, _group, codes, pieces
+from ._grams import Counts, Table, _group, codes, pieces, slices
 from ._rows import hash_words, save
 
 #: Bytes of context of the deepest nodes.
-DEPTH = 6
+DEPTH = 5
 #: Prior weight of the deeper contexts at a node.
 SPLIT = 0.5
 _PRIOR = np.log(SPLIT / (1 - SPLIT))
@@ -53,7 +53,7 @@ def _counter(depth: int):
                     part = slice(at, at + (1 << 17))
                     yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys[part])), pa.array(keys[part]), pa.array(n[part])], ["kind", "key", "n"])
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = canonical(batch.column("text").to_pylist())
             held = batch.column("held_out").to_pylist()
             for learn in (True, False):
@@ -64,13 +64,13 @@ def _counter(depth: int):
                     words.add(np.full(len(own), END_WORD, np.int64))
                     part, size = [], 0
                     for t in [*own, None]:
-                        if t is None or size > 1 << 21:
+                        if t is None or size > 1 << 20:
                             words.add(_word_keys(np.frombuffer(b"".join(part), np.uint8)))
                             part, size = [], 0
                         if t is not None:
                             part.append(t + b"\xff")
                             size += len(t)
-            if grams.size + words.size > 5_000_000:
+            if grams.size + words.size > 1_500_000:
                 yield from out()
         yield from out()
 
@@ -228,7 +228,7 @@ def _doc_keys(text: bytes, depth: int) -> tuple[list[np.ndarray], np.ndarray]:
 def _scorer(depth: int, tables):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         priced, words = tables.value
-        for batch in batches:
+        for batch in slices(batches):
             texts = canonical(batch.column("text").to_pylist())
             total, base = np.zeros(len(texts)), np.zeros(len(texts))
             tokens, known = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
@@ -238,7 +238,7 @@ def _scorer(depth: int, tables):
             at = 0
             while at < len(texts):
                 to, size = at, 0
-                while to < len(texts) and (to == at or size < 1 << 21):
+                while to < len(texts) and (to == at or size < 1 << 20):
                     size += len(texts[to])
                     to += 1
                 buf = np.frombuffer(b"".join(t + b"\xff" for t in texts[at:to]), np.uint8)
