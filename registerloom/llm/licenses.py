@@ -11,6 +11,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._rows import save
+
 #: Passages of public licences, by family.
 TEMPLATES = {
     "MIT": (
@@ -63,10 +65,35 @@ OTHERS = (
     "The copyright holder could not be found.", "Licensed under terms that are not stated here.", "Released under the authority of the council.",
     "This work is licensed to the publisher for ten years.", "The license expires in May.", "Proprietary and confidential: no license is granted.",
     "This file is subject to a commercial license agreement with the vendor.", "A copy of the agreement is available on request.",
+    "Distributed under the LGPL v2.1.", "LGPL-3.0", "LGPLv2.1", "AGPL-3.0", "AGPLv3", "Released under AGPLv3.", "Available under CC BY-SA 4.0.", "CC0 1.0",
+    "Er kam mit der Zeit zurück.", "Mit dem Zug und mit einer Freundin.", "mit der Zeit", "Wir sind mit ihnen unter einem Dach.", "A seminar at MIT in the spring.",
+    "Send it to me with a cc to him.", "He was here in the morning and it is as it was.", "The file is here.", "This is the version from which they worked.",
+    "It was released in May and made available to the public.", "The creative work of the commons was under way.", "Terms of 4.0 or 2.0 per cent.", "No. 3 or 2",
+    "The attribution of the picture is not known.", "They went from the house to the sea, and at the end of the day they were by the fire with us.",
 )
-#: A paragraph is classified if it has one of these words or beginnings of words; any other is no licence text.
-ANCHORS = ("licen", "sublicen", "copyright", "apache", "gnu", "gpl", "bsd", "mozilla", "mpl", "warrant", "redistribut", "permission")
-_WHOLE = {"gnu", "gpl", "bsd", "mpl"}
+#: Names that licences go by, of which the classifier learns too; none is a template.
+NAMES = {
+    "MIT": ("MIT License", "MIT-licensed", "Released under MIT terms.", "Available under MIT.", "License: MIT", "This code is MIT licensed."),
+    "Apache-2.0": ("Apache-2.0", "Apache License 2.0", "Released under Apache 2.0.", "License: Apache-2.0"),
+    "GPL-3.0": ("GPLv3", "GPLv3+", "GPL-3.0", "GPL-3.0-only", "GPL-3.0-or-later", "Released under GPLv3.", "GNU GPL version 3", "Licensed under the GPL v3."),
+    "GPL-2.0": ("GPLv2", "GPLv2+", "GPL-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "Released under GPLv2.", "GNU GPL version 2", "Licensed under the GPL v2."),
+    "BSD": ("BSD-3-Clause", "BSD-2-Clause", "BSD License", "Released under the BSD license."),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0", "CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0", "Available under CC BY-NC 4.0."),
+    "CC-BY-4.0": ("CC BY 4.0", "CC-BY-4.0", "Creative Commons Attribution 4.0 International", "This work is available under Creative Commons Attribution 4.0 International.", "Available under CC BY 4.0."),
+    "MPL-2.0": ("MPLv2", "MPLv2.0", "MPL-2.0", "MPL 2.0", "Mozilla Public License 2.0", "Released under the MPL 2.0.", "Released under MPLv2.", "Licensed under the MPLv2."),
+}
+#: A text of the unknown class is returned only if it has one of these words or beginnings of words. They exclude no text of
+#: a known family.
+ANCHORS = ("licen", "sublicen", "copyright", "apache", "gnu", "gpl", "lgpl", "agpl", "bsd", "mozilla", "mpl", "warrant", "redistribut", "permission")
+_WHOLE = {"gnu", "bsd"}
+#: Words of common prose, for examples of the unknown class; those in _FREQUENT the prefilter looks for only if
+#: it must, which is a matter of speed alone.
+_FREQUENT = frozenset("a an and are as at be by for from he in is it of on or that the to was with".split())
+_COMMON = tuple(sorted(set("""a about above after all along also an and any are as at auf be been but by can could das dem den der die do each ein eine either
+end er every except file for form found free from general had have he her here him his if im in included is ist it its kind known later law made may me met mit
+more name near neither new no nor not of office on one open option or other part per person public see shall she should so some state such ten than that the
+their them then there these they this to two under und us use used v von was way we were what when which who whom will with without work writing written would
+years you your zu""".split())))
 UNKNOWN = "unknown"
 SHINGLE_WORDS = 5
 SIMILARITY = 0.8
@@ -99,7 +126,7 @@ def _examples(seed: int) -> list[tuple[list[str], str]]:
     filler = [w for text in OTHERS for w in py_words(text) if not _anchored(w)]
     out = []
     for family, texts in [*TEMPLATES.items(), (UNKNOWN, OTHERS)]:
-        for text in texts:
+        for text in (*texts, *NAMES.get(family, ())):
             words = py_words(text)
             for i in range(40 if family != UNKNOWN else 30):
                 w = [x for x in words if i == 0 or rng.random() > 0.04]
@@ -109,6 +136,12 @@ def _examples(seed: int) -> list[tuple[list[str], str]]:
     return out
 
 
+def _prose(seed: int, n: int = 600) -> list[list[str]]:
+    """Examples of the unknown class: words of common prose in any order, and texts of no known word."""
+    rng = random.Random(seed + 1)
+    return [[rng.choice(_COMMON) for _ in range(rng.choice((0, 3, 8, 20, 60, 200)))] for _ in range(n)]
+
+
 @functools.cache
 def train(seed: int = 11, rounds: int = 300, l2: float = 0.002) -> tuple[tuple[str, ...], dict[str, tuple[float, ...]], tuple[float, ...], float]:
     """(families, weights by feature, biases, least probability): multinomial logistic regression over presence of
@@ -116,15 +149,15 @@ def train(seed: int = 11, rounds: int = 300, l2: float = 0.002) -> tuple[tuple[s
     temperature and the probability below which a paragraph is unknown."""
     families = (*TEMPLATES, UNKNOWN)
     data = [(py_features(w), families.index(f)) for w, f in _examples(seed)]
-    names = sorted({x for f, _ in data for x in f})
+    texts = [t for part in (TEMPLATES, NAMES) for own in part.values() for t in own] + [*OTHERS]
+    names = sorted({x for t in texts for x in py_features(py_words(t))})  # n-grams met only in the words around them are noise
     at = {x: i for i, x in enumerate(names)}
-    x = np.zeros((len(data), len(names)))
+    data += [(py_features(w), families.index(UNKNOWN)) for w in _prose(seed)]
+    x = np.zeros((len(data), len(names)), np.float32)
     for i, (f, _) in enumerate(data):
-        x[i, [at[v] for v in f]] = 1
+        x[i, [at[v] for v in f if v in at]] = 1
     y = np.eye(len(families))[[t for _, t in data]]
     held = np.arange(len(data)) % 5 == 4
-    w, b = np.zeros((len(names), len(families))), np.zeros(len(families))
-    vw, vb = np.zeros_like(w), np.zeros_like(b)
 
     def soft(z):
         e = np.exp(z - z.max(axis=1, keepdims=True))
@@ -132,10 +165,14 @@ def train(seed: int = 11, rounds: int = 300, l2: float = 0.002) -> tuple[tuple[s
 
     tx, ty = x[~held], y[~held]
     rate = 4.0 / max(1.0, float((tx.sum(axis=1)).mean()))
+    both = (tx @ tx.T).astype(float)  # descent from zero keeps the weights a sum of examples: tx.T @ a
+    a, va = np.zeros_like(ty), np.zeros_like(ty)
+    b, vb = np.zeros(len(families)), np.zeros(len(families))
     for _ in range(rounds):
-        gap = (soft(tx @ w + b) - ty) / len(tx)
-        vw, vb = 0.9 * vw - rate * (tx.T @ gap + l2 * w), 0.9 * vb - rate * gap.sum(axis=0)
-        w, b = w + vw, b + vb
+        gap = (soft(both @ a + b) - ty) / len(tx)
+        va, vb = 0.9 * va - rate * (gap + l2 * a), 0.9 * vb - rate * gap.sum(axis=0)
+        a, b = a + va, b + vb
+    w = tx.T.astype(float) @ a
     z = x[held] @ w + b
     truth = y[held].argmax(axis=1)
     loss = {t: -np.log(soft(z * t)[np.arange(len(z)), truth] + 1e-12).mean() for t in (0.5, 0.75, 1.0, 1.5, 2.0, 3.0)}
@@ -148,6 +185,44 @@ def train(seed: int = 11, rounds: int = 300, l2: float = 0.002) -> tuple[tuple[s
     return families, {n: tuple(w[i]) for n, i in at.items() if np.abs(w[i]).max() > 1e-4}, tuple(b), least
 
 
+@functools.cache
+def signals() -> tuple[str, ...]:
+    """Words of which every text of a known family has one, by the weights: the n-grams of all other words together, those
+    against a family left out, don't lift any family to the least probability, nor to that of the unknown class."""
+    families, weights, biases, least = train()
+    k = len(families) - 1
+    need = np.array([biases[k] - b for b in biases[:k]]) + math.log(least / (1 - least)) - 1e-6
+    if need.min() <= 0:
+        raise ValueError("a text of no known word would have a family")
+    gain = {g: np.maximum(np.array(w[:k]) - w[k], 0.0) for g, w in weights.items()}
+    left = {g: v for g, v in gain.items() if v.any()}
+    chosen = []
+    while True:
+        over = sum(left.values(), np.zeros(k)) >= need
+        if not over.any():
+            return tuple(sorted(chosen))
+        share = {}
+        for g, v in left.items():
+            for word in set(g.split(" ")):
+                share[word] = share.get(word, 0.0) + v[over].sum()
+        best = max(share, key=lambda x: (share[x] / (1000 if x in _FREQUENT else 1), x))
+        chosen.append(best)
+        left = {g: v for g, v in left.items() if best not in g.split(" ")}
+
+
+def _either(words: list[str]) -> str:
+    """Java's form of alternatives, those of one first letter together."""
+    heads = {}
+    for word in words:
+        heads.setdefault(word[0], []).append(word[1:])
+    return "|".join(rf"{re.escape(head)}(?:{'|'.join(map(re.escape, sorted(tails)))})" for head, tails in sorted(heads.items()))
+
+
+def _signal_pattern() -> str:
+    """Java's form: a signal where a word begins and ends, or an anchor, in lower case."""
+    return rf"(?<![\p{{L}}\p{{N}}])(?:(?:{_either(list(signals()))})(?![\p{{L}}\p{{N}}])|{_ANCHOR})"
+
+
 def _shingles(words: list[str]) -> list[str]:
     n = SHINGLE_WORDS
     return sorted({" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}) if words else []
@@ -159,33 +234,48 @@ def _ngrams(words: Column, n: int) -> Column:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Paragraphs that speak of licences: doc_id, paragraph, family, probability, template, similarity, confirmed, n_words, rid.
+    """Texts that speak of licences: doc_id, paragraph, family, probability, template, similarity, confirmed, n_words, n_lines, rid.
 
-    A paragraph is a line. Lines with a word of the licence vocabulary are classified: word n-grams have weights for each
-    family, the largest probability decides, and below the calibrated least one the family is unknown. A line without such a
-    word says nothing of licences and is not returned. A prediction is confirmed if a
-    template of its family is in the paragraph by at least SIMILARITY of its shingles of SHINGLE_WORDS words.
+    Every line is classified, and every paragraph of two lines or more: lines between lines of nothing but white space, of
+    which licences are wrapped. paragraph is the number of the (first) line, n_lines tells lines (1) from paragraphs. Word
+    n-grams have weights for each family, the largest probability decides, and below the calibrated least one the family is
+    unknown. Only texts that hold a signal, a word without which the weights can reach no family, or an anchor are scored, as the
+    others are unknown. A text of the unknown class is returned if it is a line with an anchor. A prediction is confirmed if
+    a template of its family is in the text by at least SIMILARITY of its shingles of SHINGLE_WORDS words. A paragraph is
+    returned if it has a known family that none of its lines has, or none confirmed while the paragraph is.
 
-    The n-grams of candidate lines meet the weights, a table of fixed size, in a broadcast join. Nulls and empty texts have
+    The n-grams of candidates meet the weights, a table of fixed size, in a broadcast join. Nulls and empty texts have
     no lines; a null doc_id is returned as it is; repeated rows are scanned each; a family of equal probability comes first
     in the order of TEMPLATES. An empty table gives no rows; other columns are ignored.
     """
     families, weights, biases, least = train()
     spark, k = docs.sparkSession, len(families)
-    anchor = F.lit(ANCHOR_PATTERN)
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.regexp_like("text", anchor))
-    lines = rows.select("rid", "doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).filter(F.regexp_like("line", anchor))
-    lines = lines.select("rid", "doc_id", "paragraph", F.regexp_extract_all(F.lower("line"), F.lit(WORD_PATTERN), F.lit(0)).alias("words"))
+    signal, line_break = F.lit(_signal_pattern()), F.lit("\n")
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.regexp_like(F.lower("text"), signal))
+    breaks = lambda t: F.length(t) - F.length(F.replace(t, line_break))
+    unit = lambda at, size, t: F.struct(at.cast("int").alias("paragraph"), size.cast("int").alias("n_lines"), t.alias("text"))
+    lines = F.transform(F.split("text", "\n"), lambda t, i: unit(i, F.lit(1), t))
+    # each part but the first starts with a blank line, and has no other
+    parts = F.split("text", r"(?<=\n)(?=[^\S\n]*\n)")
+    start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<paragraph: int, n_lines: int, text: string>>)").alias("out"))
+    lead = lambda t: F.when(F.regexp_like(t, F.lit(r"^[^\S\n]*\n")), 1).otherwise(0)
+    size = lambda t: breaks(t) - lead(t) + F.when(F.regexp_like(t, F.lit(r"\S[^\n]*\z")), 1).otherwise(0)
+    step = lambda a, t: F.struct((a["at"] + breaks(t)).alias("at"), F.when(size(t) > 1, F.concat(a["out"], F.array(unit(a["at"] + lead(t), size(t), t)))).otherwise(a["out"]).alias("out"))
+    blocks = F.aggregate(parts, start, step, lambda a: a["out"])
+    units = rows.select("rid", "doc_id", F.explode(F.concat(lines, blocks)).alias("u")).select("rid", "doc_id", "u.*").filter(F.regexp_like(F.lower("text"), signal))
+    anchored = F.regexp_like("text", F.lit(ANCHOR_PATTERN)).alias("anchored")
+    units = save(units.select("rid", "doc_id", "paragraph", "n_lines", anchored, F.regexp_extract_all(F.lower("text"), F.lit(WORD_PATTERN), F.lit(0)).alias("words")))
+    key = ["rid", "paragraph", "n_lines"]
     grams = F.array_distinct(F.concat(*[_ngrams(F.col("words"), n) for n in (1, 2, 3)]))
     table = F.broadcast(spark.createDataFrame([(n, [float(x) for x in w]) for n, w in weights.items()], "gram string, w array<double>"))
     sums = (
-        lines.select("rid", "paragraph", F.explode(grams).alias("gram"))
+        units.select(*key, F.explode(grams).alias("gram"))
         .join(table, "gram")
-        .groupBy("rid", "paragraph")
+        .groupBy(*key)
         .agg(*[F.sum(F.element_at("w", i + 1)).alias(f"z{i}") for i in range(k)])
     )
     logits = F.array(*[F.coalesce(F.col(f"z{i}"), F.lit(0.0)) + float(b) for i, b in enumerate(biases)])
-    found = lines.join(sums, ["rid", "paragraph"], "left").withColumn("z", logits)
+    found = units.join(sums, key, "left").withColumn("z", logits)
     top = F.array_max("z")
     exps = F.transform("z", lambda v: F.exp(v - top))
     found = found.withColumn("p", F.transform(exps, lambda e: e / F.aggregate(exps, F.lit(0.0), lambda a, v: a + v)))
@@ -193,14 +283,20 @@ def scan(docs: DataFrame) -> DataFrame:
     found = found.withColumn("probability", F.array_max(known))
     name = F.element_at(F.array(*[F.lit(f) for f in families]), F.array_position(known, F.array_max(known)).cast("int"))
     found = found.withColumn("family", F.when((F.col("probability") >= least) & (F.element_at("p", k) <= F.col("probability")), name).otherwise(UNKNOWN))
+    found = found.filter((F.col("family") != UNKNOWN) | (F.col("anchored") & (F.col("n_lines") == 1)))
     forms = [(f, i + 1, _shingles(py_words(t))) for f, texts in TEMPLATES.items() for i, t in enumerate(texts)]
     forms = F.broadcast(spark.createDataFrame(forms, "of string, template int, form array<string>"))
     own = F.when(F.size("words") >= SHINGLE_WORDS, _ngrams(F.col("words"), SHINGLE_WORDS)).otherwise(F.array(F.array_join("words", " ")))
-    met = found.select("rid", "doc_id", "paragraph", "family", "probability", F.size("words").alias("n_words"), F.array_distinct(own).alias("own"))
+    met = found.select("doc_id", *key, "family", "probability", F.size("words").alias("n_words"), F.array_distinct(own).alias("own"))
     met = met.join(forms, F.col("family") == F.col("of"), "left").withColumn("similarity", F.coalesce(F.size(F.array_intersect("own", "form")) / F.size("form"), F.lit(0.0)))
     best = F.max_by(F.struct("template", "similarity"), F.struct("similarity", -F.col("template")))
-    out = met.groupBy("rid", "doc_id", "paragraph", "family", "probability", "n_words").agg(best.alias("best"))
+    out = met.groupBy("doc_id", *key, "family", "probability", "n_words").agg(best.alias("best")).withColumn("confirmed", F.col("best.similarity") >= SIMILARITY)
+    out = save(out)
+    line, block = out.filter("n_lines = 1"), out.filter("n_lines > 1")
+    inner = line.select(F.col("rid").alias("of_rid"), F.col("family").alias("of_family"), F.col("paragraph").alias("at"), F.col("confirmed").alias("sure"))
+    within = (F.col("rid") == F.col("of_rid")) & (F.col("family") == F.col("of_family")) & (F.col("at") >= F.col("paragraph")) & (F.col("at") < F.col("paragraph") + F.col("n_lines"))
+    out = line.unionByName(block.join(inner, within & (F.col("sure") | ~F.col("confirmed")), "left_anti"))
     return out.select(
         "doc_id", "paragraph", "family", F.round("probability", 6).alias("probability"), F.col("best.template").alias("template"),
-        F.col("best.similarity").alias("similarity"), (F.col("best.similarity") >= SIMILARITY).alias("confirmed"), "n_words", "rid",
+        F.col("best.similarity").alias("similarity"), "confirmed", "n_words", "n_lines", "rid",
     )

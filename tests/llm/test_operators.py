@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -149,6 +150,33 @@ def test_licenses(spark):
         assert abs(p[:-1].max() - row["probability"]) < 1e-5
 
 
+def test_licenses_by_other_names(spark):
+    texts = [
+        "Released under GPLv3.", "GPLv2+", "MPLv2", "CC BY 4.0", "This work is available under Creative Commons Attribution 4.0 International.", "Released under MIT terms.",
+        "Distributed under the LGPL v2.1.", "AGPL-3.0", "mit der Zeit", "It was the work of a public library.",
+    ]
+    found = {r["doc_id"]: r["family"] for r in licenses.scan(corpus(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()}
+    assert found == dict(enumerate(["GPL-3.0", "GPL-2.0", "MPL-2.0", "CC-BY-4.0", "CC-BY-4.0", "MIT", "unknown", "unknown"]))
+
+
+def test_license_signals_exclude_no_family():
+    families, weights, biases, least = licenses.train()
+    signals, k = set(licenses.signals()), len(families) - 1
+    rest = [np.array(w) for g, w in weights.items() if not signals & set(g.split(" "))]
+    for f in range(k):
+        margin = biases[f] - biases[k] + sum(max(w[f] - w[k], 0) for w in rest)
+        assert margin < math.log(least / (1 - least))
+
+
+def test_wrapped_licenses(spark):
+    mit, apache, gpl = licenses.TEMPLATES["MIT"][3], licenses.TEMPLATES["Apache-2.0"][3], licenses.TEMPLATES["GPL-3.0"][1]
+    texts = ["Intro.\n \n\n" + textwrap.fill(mit, 60) + "\n\nOther text.", textwrap.fill(apache, 50), "Some words\r\n\r\n" + textwrap.fill(gpl, 40).replace("\n", "\r\n")]
+    out = licenses.scan(corpus(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect()
+    sure = {(r["doc_id"], r["paragraph"], r["n_lines"], r["family"], r["template"]) for r in out if r["confirmed"]}
+    size = [textwrap.fill(t, n).count("\n") + 1 for t, n in ((mit, 60), (apache, 50), (gpl, 40))]
+    assert sure == {(0, 3, size[0], "MIT", 4), (1, 0, size[1], "Apache-2.0", 4), (2, 2, size[2], "GPL-3.0", 2)}
+
+
 def test_topk(spark):
     rng = np.random.default_rng(4)
     rows = [(int(i), [float(x) for x in v]) for i, v in enumerate(rng.normal(size=(700, 40)).astype(np.float32))]
