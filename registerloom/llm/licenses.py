@@ -229,8 +229,12 @@ def _shingles(words: list[str]) -> list[str]:
 
 
 def _ngrams(words: Column, n: int) -> Column:
-    starts = F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, n), " "))
+    """By shifted copies of the array: a slice at every start would copy all words each time."""
+    count = F.greatest(F.size(words) - (n - 1), F.lit(0))
+    out = F.slice(words, F.lit(1), count)
+    for j in range(1, n):
+        out = F.zip_with(out, F.slice(words, F.lit(j + 1), count), lambda a, b: F.concat(a, F.lit(" "), b))
+    return out
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -259,31 +263,31 @@ def scan(docs: DataFrame) -> DataFrame:
     parts = F.split("text", r"(?<=\n)(?=[^\S\n]*\n)")
     start = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<paragraph: int, n_lines: int, text: string>>)").alias("out"))
     lead = lambda t: F.when(F.regexp_like(t, F.lit(r"^[^\S\n]*\n")), 1).otherwise(0)
-    size = lambda t: breaks(t) - lead(t) + F.when(F.regexp_like(t, F.lit(r"\S[^\n]*\z")), 1).otherwise(0)
+    size = lambda t: breaks(t) - lead(t) + F.when(F.regexp_like(F.substring_index(t, "\n", -1), F.lit(r"\S")), 1).otherwise(0)
     step = lambda a, t: F.struct((a["at"] + breaks(t)).alias("at"), F.when(size(t) > 1, F.concat(a["out"], F.array(unit(a["at"] + lead(t), size(t), t)))).otherwise(a["out"]).alias("out"))
     blocks = F.aggregate(parts, start, step, lambda a: a["out"])
     units = rows.select("rid", "doc_id", F.explode(F.concat(lines, blocks)).alias("u")).select("rid", "doc_id", "u.*").filter(F.regexp_like(F.lower("text"), signal))
     anchored = F.regexp_like("text", F.lit(ANCHOR_PATTERN)).alias("anchored")
     units = save(units.select("rid", "doc_id", "paragraph", "n_lines", anchored, F.regexp_extract_all(F.lower("text"), F.lit(WORD_PATTERN), F.lit(0)).alias("words")))
     key = ["rid", "paragraph", "n_lines"]
-    grams = F.array_distinct(F.concat(*[_ngrams(F.col("words"), n) for n in (1, 2, 3)]))
-    table = F.broadcast(spark.createDataFrame([(n, [float(x) for x in w]) for n, w in weights.items()], "gram string, w array<double>"))
+    # the biases are the weights of an n-gram that every text has
+    grams = F.array_distinct(F.concat(F.array(F.lit("")), *[_ngrams(F.col("words"), n) for n in (1, 2, 3)]))
+    table = F.broadcast(spark.createDataFrame([(n, [float(x) for x in w]) for n, w in [*weights.items(), ("", biases)]], "gram string, w array<double>"))
     sums = (
-        units.select(*key, F.explode(grams).alias("gram"))
+        units.select(*key, "anchored", F.explode(grams).alias("gram"))
         .join(table, "gram")
-        .groupBy(*key)
+        .groupBy(*key, "anchored")
         .agg(*[F.sum(F.element_at("w", i + 1)).alias(f"z{i}") for i in range(k)])
     )
-    logits = F.array(*[F.coalesce(F.col(f"z{i}"), F.lit(0.0)) + float(b) for i, b in enumerate(biases)])
-    found = units.join(sums, key, "left").withColumn("z", logits)
-    top = F.array_max("z")
-    exps = F.transform("z", lambda v: F.exp(v - top))
-    found = found.withColumn("p", F.transform(exps, lambda e: e / F.aggregate(exps, F.lit(0.0), lambda a, v: a + v)))
-    known = F.slice("p", 1, k - 1)
-    found = found.withColumn("probability", F.array_max(known))
-    name = F.element_at(F.array(*[F.lit(f) for f in families]), F.array_position(known, F.array_max(known)).cast("int"))
-    found = found.withColumn("family", F.when((F.col("probability") >= least) & (F.element_at("p", k) <= F.col("probability")), name).otherwise(UNKNOWN))
-    found = found.filter((F.col("family") != UNKNOWN) | (F.col("anchored") & (F.col("n_lines") == 1)))
+    known = F.greatest(*[F.col(f"z{i}") for i in range(k - 1)])
+    alone = F.col("anchored") & (F.col("n_lines") == 1)
+    sums = sums.withColumn("top", known).filter((F.col("top") >= F.col(f"z{k - 1}")) | alone)
+    total = sum((F.exp(F.col(f"z{i}") - F.col("top")) for i in range(k)), F.lit(0.0))
+    sums = sums.withColumn("probability", 1 / total)
+    name = F.coalesce(*[F.when(F.col(f"z{i}") == F.col("top"), f) for i, f in enumerate(families[:-1])])
+    likely = (F.col("probability") >= least) & (F.col(f"z{k - 1}") <= F.col("top"))
+    sums = sums.withColumn("family", F.when(likely, name).otherwise(UNKNOWN)).filter((F.col("family") != UNKNOWN) | alone)
+    found = units.drop("anchored").join(sums.select(*key, "probability", "family"), key)
     forms = [(f, i + 1, _shingles(py_words(t))) for f, texts in TEMPLATES.items() for i, t in enumerate(texts)]
     forms = F.broadcast(spark.createDataFrame(forms, "of string, template int, form array<string>"))
     own = F.when(F.size("words") >= SHINGLE_WORDS, _ngrams(F.col("words"), SHINGLE_WORDS)).otherwise(F.array(F.array_join("words", " ")))
