@@ -16,7 +16,11 @@ from ._rows import BROADCAST_ROWS, checked_broadcast, save
 ORDER = 5
 #: One in so many trusted documents is kept from the model and sets the thresholds.
 HELD_OUT = 5
-#: A document is rejected above its language's median log perplexity plus so many times the way from there to the 95 % quantile.
+#: A document is rejected above this quantile of its language's held-out trusted log perplexities.
+QUANTILE = 0.99
+#: With fewer held-out texts the quantile is not known; then the limit is the median plus SPREAD times the way from there to the
+#: 95 % quantile, of log perplexities with PRIOR_WORDS.
+LEAST_HELD = 100
 SPREAD = 4.0
 #: A discount is at least this, so that bytes never seen keep some mass.
 LEAST_DISCOUNT = 0.1
@@ -122,16 +126,18 @@ def _exploder(order: int):
 
 
 def classify(
-    docs: DataFrame, labels: DataFrame, order: int = ORDER, spread: float = SPREAD, prior_words: float = PRIOR_WORDS, sent_rows: int = BROADCAST_ROWS
+    docs: DataFrame, labels: DataFrame, order: int = ORDER, spread: float = SPREAD, prior_words: float = PRIOR_WORDS, sent_rows: int = BROADCAST_ROWS,
+    quantile: float = QUANTILE, least_held: int = LEAST_HELD,
 ) -> DataFrame:
     """One row for each row of docs: doc_id, lang, trusted, learned, n_words, logprob, perplexity, threshold, keep, rid.
 
     Trusted texts are the documents that labels mark with quality 1. The model learns from all of them but one in HELD_OUT
     by a hash of the id; those set the thresholds, as a model thinks too well of what it has learned. logprob is the log10 probability of the
-    whole text, byte by byte and its end, under the trusted model; perplexity is a word's, the end counting as a word,
-    with prior_words more words at the mean of the language's held-out trusted texts. A document is kept unless its log
-    perplexity is above a threshold of its language: the median of those texts plus spread times the way to their 95 %
-    quantile. The n-grams' prices are sent to the executors if there are at most
+    whole text, byte by byte and its end, under the trusted model; perplexity is a word's, the end counting as a word.
+    A document is kept unless its log perplexity is above the quantile of its language's held-out trusted texts. In a
+    language with fewer than least_held of them, perplexities have prior_words more words at those texts' mean, and the
+    limit is their median plus spread times the way to their 95 % quantile. Text of few words repeated over and over is
+    cheap to the model and may be kept. The n-grams' prices are sent to the executors if there are at most
     sent_rows, else documents' n-grams meet them in a shuffled join.
 
     Nulls and empty texts: a null text is empty and priced by its end alone; a null lang is a language of its own; a null
@@ -156,16 +162,18 @@ def classify(
     trusted = scored.filter("trusted and not learned")
     rate = -F.sum("logprob") / F.sum("n_words")
     lang = F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))  # no null, so that languages join
-    means = trusted.groupBy(lang.alias("of")).agg(rate.alias("mean"))
+    means = trusted.groupBy(lang.alias("of")).agg(rate.alias("mean"), F.count("*").alias("n_held"))
     overall = trusted.agg(rate.alias("all_mean"))
     scored = scored.withColumn("of", lang).join(F.broadcast(overall)).join(checked_broadcast(save(means)), "of", "left")
     mean = F.coalesce("mean", "all_mean", F.lit(0.0))
-    log = (-F.col("logprob") + prior_words * mean) / (F.col("n_words") + prior_words)
-    scored = scored.withColumn("log_perplexity", log)
+    log = -F.col("logprob") / F.col("n_words")
+    mixed = (-F.col("logprob") + prior_words * mean) / (F.col("n_words") + prior_words)
+    many = F.coalesce(F.col("n_held") >= least_held, F.lit(False))
+    scored = scored.withColumn("mixed", mixed).withColumn("log_perplexity", F.when(many, log).otherwise(mixed))
     trusted = scored.filter("trusted and not learned")
-    at = lambda q: F.percentile_approx("log_perplexity", q, 10000)
+    at = lambda q, c="mixed": F.percentile_approx(c, q, 10000)
     limit = at(0.5) + spread * (at(0.95) - at(0.5))
-    by_lang = trusted.groupBy("of").agg(limit.alias("own"))
+    by_lang = trusted.groupBy("of").agg(F.when(F.first("n_held") >= least_held, at(quantile, "log_perplexity")).otherwise(limit).alias("own"))
     every = trusted.agg(limit.alias("every"))
     out = scored.join(F.broadcast(every)).join(checked_broadcast(save(by_lang)), "of", "left").withColumn("limit", F.coalesce("own", "every"))
     keep = F.coalesce(F.col("log_perplexity") <= F.col("limit"), F.lit(True))

@@ -337,6 +337,16 @@ def test_quality(spark):
     assert all(r["keep"] for r in quality.classify(docs, labels.limit(0), order=order).collect())
 
 
+def test_quality_threshold_is_a_quantile(spark):
+    rng = random.Random(10)
+    docs = corpus(spark, [(i, words(rng, rng.randrange(1, 30), 50), "en", "a") for i in range(900)])
+    rows = quality.classify(docs, spark.createDataFrame([(i, 1, 0) for i in range(800)], LABELS), order=3).collect()
+    held = sorted(-r["logprob"] / r["n_words"] for r in rows if r["trusted"] and not r["learned"])
+    limit = held[math.ceil(0.99 * len(held)) - 1]
+    assert len(held) >= 100 and all(abs(math.log10(r["threshold"]) - limit) < 1e-9 for r in rows)
+    assert all(r["keep"] == (-r["logprob"] / r["n_words"] <= limit + 1e-12) for r in rows)
+
+
 def brute_components(texts, k, similarity):
     def shingles(t):
         w = (t or "").encode().lower().split()
