@@ -14,7 +14,7 @@ from ._grams import Counts, Table, _group, codes, pieces, slices
 from ._rows import hash_words, save
 
 #: Bytes of context of the deepest nodes.
-DEPTH = 5
+DEPTH = 6
 #: Prior weight of the deeper contexts at a node.
 SPLIT = 0.5
 _PRIOR = np.log(SPLIT / (1 - SPLIT))

@@ -262,6 +262,15 @@ def test_lm_score(spark):
             assert abs(r["score"] - score) < 1e-4
 
 
+def test_lm_score_sees_six_bytes(spark):
+    rng = random.Random(12)
+    texts = [rng.choice(["abcdefg", "bbcdefh", "cbcdefi"]) for _ in range(40)]
+    canon = [t.encode() for t in texts]
+    train = [c for i, c in enumerate(canon) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = sorted(lmscore.score(corpus(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect(), key=lambda r: r["doc_id"])
+    assert all(abs(r["score"] - score) < 1e-4 for r, score in zip(rows, naive_ctw(train, canon, 6)))
+
+
 def test_secrets(spark):
     rng = random.Random(6)
     bits = ["token = ", "'", '"', "secret", ":", "=", "=abc", "AKIA", "ABCDEFGHIJKL12", "deadbeef" * 4, "API_KEY", "x" * 9, " ", "ü", "\n", "passwd=", "short", "🎉"]
