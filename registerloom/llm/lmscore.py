@@ -233,7 +233,7 @@ def _scorer(depth: int, tables):
             total, base = np.zeros(len(texts)), np.zeros(len(texts))
             tokens, known = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
             for buf, lengths, owners in pieces(texts, depth + 1):
-                value = priced.look(codes(buf, lengths, depth + 1), 0.0)
+                value = priced.look(codes(buf, lengths, depth + 1), 0.0).astype(float)
                 total += np.bincount(owners, weights=np.add.reduceat(value, np.concatenate([[0], np.cumsum(lengths)[:-1]])), minlength=len(texts))
             at = 0
             while at < len(texts):
@@ -298,7 +298,8 @@ def score(docs: DataFrame, depth: int = DEPTH, sent_rows: int = SENT_ROWS) -> Da
     counted = save(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words = counted.filter("kind = 'word'").select("key", "n")
     vocabulary, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    priced = save(context_tree(counted.filter("kind = 'gram'").select("key", "n"), depth))
+    priced = context_tree(counted.filter("kind = 'gram'").select("key", "n"), depth)
+    priced = save(priced.withColumn("value", F.col("value").cast("float").cast("double")))  # as sent, so that both ways sum the same
     if priced.count() + vocabulary <= sent_rows:
         tables = docs.sparkSession.sparkContext.broadcast((_fetch(priced.withColumn("value", F.col("value").cast("float")), "value"), _fetch(words, "n")))
         out = rows.mapInArrow(_scorer(depth, tables), _TYPES)

@@ -271,6 +271,13 @@ def test_lm_score_sees_six_bytes(spark):
     assert all(abs(r["score"] - score) < 1e-4 for r, score in zip(rows, naive_ctw(train, canon, 6)))
 
 
+def test_lm_score_is_the_same_by_either_join(spark):
+    rng = random.Random(13)
+    docs = corpus(spark, [(i, words(rng, 200, 90), "en", "a") for i in range(20)])
+    sent, joined = ({r["doc_id"]: r["score"] for r in lmscore.score(docs, depth=3, sent_rows=n).collect()} for n in (10**6, 0))
+    assert all(abs(sent[i] - joined[i]) < 1e-9 for i in sent)
+
+
 def test_secrets(spark):
     rng = random.Random(6)
     bits = ["token = ", "'", '"', "secret", ":", "=", "=abc", "AKIA", "ABCDEFGHIJKL12", "deadbeef" * 4, "API_KEY", "x" * 9, " ", "ü", "\n", "passwd=", "short", "🎉"]
