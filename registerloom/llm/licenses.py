@@ -11,7 +11,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._rows import save
+from ._rows import checked_broadcast, save
 
 #: Passages of public licences, by family.
 TEMPLATES = {
@@ -287,7 +287,7 @@ def scan(docs: DataFrame) -> DataFrame:
     name = F.coalesce(*[F.when(F.col(f"z{i}") == F.col("top"), f) for i, f in enumerate(families[:-1])])
     likely = (F.col("probability") >= least) & (F.col(f"z{k - 1}") <= F.col("top"))
     sums = sums.withColumn("family", F.when(likely, name).otherwise(UNKNOWN)).filter((F.col("family") != UNKNOWN) | alone)
-    found = units.drop("anchored").join(sums.select(*key, "probability", "family"), key)
+    found = units.drop("anchored").join(checked_broadcast(save(sums.select(*key, "probability", "family"))), key)
     forms = [(f, i + 1, _shingles(py_words(t))) for f, texts in TEMPLATES.items() for i, t in enumerate(texts)]
     forms = F.broadcast(spark.createDataFrame(forms, "of string, template int, form array<string>"))
     own = F.when(F.size("words") >= SHINGLE_WORDS, _ngrams(F.col("words"), SHINGLE_WORDS)).otherwise(F.array(F.array_join("words", " ")))
