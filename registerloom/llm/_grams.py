@@ -36,13 +36,6 @@ def pieces(texts: list[bytes], n: int) -> Iterator[tuple[np.ndarray, np.ndarray,
         yield np.frombuffer(b"".join(held), np.uint8), np.array(lengths), np.array(owners)
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """Smaller batches, so that few texts are held as Python objects at a time."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 def codes(buf: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     """The n-gram that ends at each predicted byte of pieces()."""
     wide = buf.astype(np.int64)

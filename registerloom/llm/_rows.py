@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,23 +21,53 @@ BROADCAST_ROWS = 4_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a temporary one only where that is unset (tests, local mode)."""
+    """The folder in spark.checkpoint.dir; a temporary one only where that is unset and all runs in one process."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="loom-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
-def save(df: DataFrame) -> DataFrame:
+#: What the innermost scope has to clean up.
+_HELD: contextvars.ContextVar[list[Callable[[], None]] | None] = contextvars.ContextVar("held", default=None)
+
+
+@contextlib.contextmanager
+def scope() -> Iterator[None]:
+    """Tables that save() writes and broadcasts that send() makes inside go when it ends, but for those made with keep."""
+    held = []
+    token = _HELD.set(held)
+    try:
+        yield
+    finally:
+        _HELD.reset(token)
+        for clean in reversed(held):
+            clean()
+
+
+def _later(clean: Callable[[], None], keep: bool) -> None:
+    if not keep and (held := _HELD.get()) is not None:
+        held.append(clean)
+
+
+def save(df: DataFrame, keep: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/loom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._loom_path = path
+    _later(lambda: discard(out), keep)
     return out
 
 
+def hold(df: DataFrame) -> None:
+    """Let the scope, if there is one, delete a table made with keep after all."""
+    _later(lambda: discard(df), False)
+
+
 def discard(df: DataFrame) -> None:
     """Delete a table made by save() that no later plan reads."""
     spark, path = df.sparkSession, df._loom_path
@@ -40,6 +75,56 @@ def discard(df: DataFrame) -> None:
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def send(spark: SparkSession, value):
+    """value as a broadcast; the caller has checked its size."""
+    out = spark.sparkContext.broadcast(value)
+    _later(out.destroy, False)
+    return out
+
+
+def numbered(docs: DataFrame, name: str = "rid") -> DataFrame:
+    """docs with the rows' numbers in column name, the same ones each time that the result is read.
+
+    Rows of files have a stable order; anything else (a shuffle may deal its rows otherwise the next time) is stored first.
+    """
+    plan = docs._jdf.queryExecution().analyzed()
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().head()
+    if plan.nodeName() != "LogicalRelation":
+        docs = save(docs, keep=True)
+    return docs.withColumn(name, F.monotonically_increasing_id())
+
+
+def _release() -> None:
+    """Give free memory back to the system: Python workers are used again and would go on holding it."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def lean(work, rows: int = 2048, size: int = 4 << 20):
+    """work, a function for mapInArrow, on batches of at most rows rows and about size bytes (or one row); what a task held
+    goes when it ends."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(part for batch in batches for part in slices(batch, rows, size))
+        finally:
+            _release()
+
+    return run
+
+
+def slices(batch: pa.RecordBatch, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    at = 0
+    while at < batch.num_rows:
+        n = min(rows, batch.num_rows - at)
+        while n > 1 and batch.slice(at, n).nbytes > size:
+            n //= 2
+        yield batch.slice(at, n)
+        at += n
+
+
 def checked_broadcast(df: DataFrame, rows: int | None = None, limit: int = BROADCAST_ROWS) -> DataFrame:
     """df with a broadcast hint if it has at most limit rows, else df as it is (then the join shuffles)."""
     n = df.count() if rows is None else rows

@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._rows import checked_broadcast, mix, save
+from ._rows import checked_broadcast, lean, mix, numbered, save, scope, send
 
 #: Least words of a tile, and of a seed.
 TILE_WORDS = 3
@@ -53,6 +54,8 @@ class Items:
         order = np.argsort(flat, kind="stable")
         self.seeds, self.first, self.counts = np.unique(flat[order], return_index=True, return_counts=True)
         self.item, self.place = item[order], place[order]
+        self.flat = np.concatenate(self.words) if self.words else np.empty(0, np.int64)
+        self.start = np.cumsum(self.lengths) - self.lengths
 
     def windows(self, words: np.ndarray) -> np.ndarray:
         """Karp-Rabin hashes of all windows of k words."""
@@ -64,7 +67,7 @@ class Items:
         return mix(out)
 
     def meet(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Seed matches of a document: item, place in the item, place in the document."""
+        """Seed matches of a document: item, place in the item, place in the document. Equal hashes are compared word by word."""
         none = np.empty(0, np.int64)
         if len(words) < self.k or not len(self.seeds):
             return none, none, none
@@ -81,7 +84,11 @@ class Items:
         at, found = at[hit], found[hit]
         n = self.counts[found]
         spread = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[found], n)
-        return self.item[spread], self.place[spread], np.repeat(at, n)
+        item, place, at = self.item[spread], self.place[spread], np.repeat(at, n)
+        same = np.ones(len(at), bool)
+        for j in range(self.k):
+            same &= self.flat[self.start[item] + place + j] == words[at + j]
+        return item[same], place[same], at[same]
 
 
 def tile(place: np.ndarray, at: np.ndarray, k: int) -> list[tuple[int, int, int]]:
@@ -179,8 +186,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = TILE_WORDS, cov
     windows of the test items by its hash. A pair's seeds are tiled greedily, longest first and without overlap in either
     text, in whatever order the parts stand; the pair is returned if tiles cover the share coverage of the item's words.
 
-    Test items are sent to the executors in blocks of about block_words words, so a large benchmark takes more blocks,
-    never more memory. Each document is tiled where it is read; nothing is shuffled.
+    Test items are sent to the executors in blocks of about block_words words, one after the other, so a large benchmark
+    takes more passes, never more memory. Each document is tiled where it is read; nothing is shuffled.
 
     Nulls and empty texts, of documents or items, match nothing; so do items of fewer than k words. A null doc_id or
     item_id is returned as null. Repeated items are met once, repeated documents each. An empty table on either side gives
@@ -189,18 +196,26 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = TILE_WORDS, cov
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct()
     n_words = items.agg(F.sum(F.regexp_count("text", F.lit(r"\S+")))).first()[0] or 0
     blocks = max(1, -(-n_words // block_words))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rid", F.monotonically_increasing_id())
-    found = None
-    for b in range(blocks):
-        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
-        sent = docs.sparkSession.sparkContext.broadcast(Items([tuple(r) for r in part], k))
-        pairs = rows.mapInArrow(_matcher(sent, coverage), _TYPES)
-        found = pairs if found is None else found.unionByName(pairs)
-    return found.select(*_COLUMNS[1:], "rid")
+    rows = numbered(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "rid")
+
+    def pairs(block: int):
+        part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).orderBy("item_id", "text").collect()
+        sent = send(docs.sparkSession, Items([tuple(r) for r in part], k))
+        return sent, rows.mapInArrow(lean(_matcher(sent, coverage)), _TYPES)
+
+    if blocks == 1:
+        return pairs(0)[1].select(*_COLUMNS[1:], "rid")
+    found = []
+    for b in range(blocks):  # one block at a time is in memory, here and on the executors
+        sent, part = pairs(b)
+        found.append(save(part))
+        sent.unpersist(blocking=True)
+    return reduce(DataFrame.unionByName, found).select(*_COLUMNS[1:], "rid")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """docs without the contaminated documents."""
-    bad = save(contaminated(docs, benchmark, **options).select(F.col("rid").alias("__loom_bad")).distinct())
-    rows = docs.withColumn("__loom_rid", F.monotonically_increasing_id())
+    """docs without the contaminated documents; edge cases as for contaminated()."""
+    rows = numbered(docs, "__loom_rid")
+    with scope():
+        bad = save(contaminated(rows, benchmark, **options).select(F.col("rid").alias("__loom_bad")).distinct(), keep=True)
     return rows.join(checked_broadcast(bad), F.col("__loom_rid") == F.col("__loom_bad"), "left_anti").drop("__loom_rid")

@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._grams import Counts, Table, _group, codes, pieces, slices
-from ._rows import hash_words, save
+from ._grams import Counts, Table, _group, codes, pieces
+from ._rows import hash_words, lean, numbered, save, send
 
 #: Bytes of context of the deepest nodes.
 DEPTH = 6
@@ -53,7 +53,7 @@ def _counter(depth: int):
                     part = slice(at, at + (1 << 17))
                     yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys[part])), pa.array(keys[part]), pa.array(n[part])], ["kind", "key", "n"])
 
-        for batch in slices(batches):
+        for batch in batches:
             texts = canonical(batch.column("text").to_pylist())
             held = batch.column("held_out").to_pylist()
             for learn in (True, False):
@@ -228,7 +228,7 @@ def _doc_keys(text: bytes, depth: int) -> tuple[list[np.ndarray], np.ndarray]:
 def _scorer(depth: int, tables):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         priced, words = tables.value
-        for batch in slices(batches):
+        for batch in batches:
             texts = canonical(batch.column("text").to_pylist())
             total, base = np.zeros(len(texts)), np.zeros(len(texts))
             tokens, known = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
@@ -294,15 +294,15 @@ def score(docs: DataFrame, depth: int = DEPTH, sent_rows: int = SENT_ROWS) -> Da
     empty table gives no rows. Other columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
-    counted = rows.mapInArrow(_counter(depth), "kind string, key long, n long")
+    counted = rows.mapInArrow(lean(_counter(depth)), "kind string, key long, n long")
     counted = save(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")))
     words = counted.filter("kind = 'word'").select("key", "n")
     vocabulary, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     priced = context_tree(counted.filter("kind = 'gram'").select("key", "n"), depth)
     priced = save(priced.withColumn("value", F.col("value").cast("float").cast("double")))  # as sent, so that both ways sum the same
     if priced.count() + vocabulary <= sent_rows:
-        tables = docs.sparkSession.sparkContext.broadcast((_fetch(priced.withColumn("value", F.col("value").cast("float")), "value"), _fetch(words, "n")))
-        out = rows.mapInArrow(_scorer(depth, tables), _TYPES)
+        tables = send(docs.sparkSession, (_fetch(priced.withColumn("value", F.col("value").cast("float")), "value"), _fetch(words, "n")))
+        out = rows.mapInArrow(lean(_scorer(depth, tables)), _TYPES)
     else:
         keys = rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_exploder(depth), "rid long, doc_id long, held_out boolean, n_bytes long, kind string, key long, n long")
         both = priced.select(F.lit("gram").alias("kind"), "key", "value", F.lit(None).cast("long").alias("c")).unionByName(words.select(F.lit("word").alias("kind"), "key", F.lit(None).cast("double").alias("value"), F.col("n").alias("c")))

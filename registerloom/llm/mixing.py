@@ -8,14 +8,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._rows import WORD, checked_broadcast, save
+from ._rows import WORD, checked_broadcast, numbered, save, scope
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3.0
 SEED = 17
-#: Documents in one bucket of a source's seeded order, on average.
-BUCKET_ROWS = 2048
+#: Documents in one bucket of a source's seeded order, on average, and buckets in one run of them.
+BUCKET_ROWS, RUN_BUCKETS = 2048, 1024
 
 
 def word_count(text: Column) -> Column:
@@ -80,16 +80,18 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed:
     extra repetition of a seeded sample that holds the fraction's words. The sample is the start of the source's order by
     a seeded hash: hash buckets wholly before the cut are taken, those after it are not, and within the one bucket at the
     cut documents are taken as long as they fit, so that a source misses its target by less than one small document.
-    A bucket holds about bucket_rows documents at any size of source, so no source meets in one task.
+    A bucket holds about bucket_rows documents at any size of source, so no source meets in one task; rows that are the same
+    in id and text fall into one bucket. No row is repeated more than max_epochs times, rounded up.
 
-    Nulls: a null text has size 0, a null source is a source, sorted last; a null doc_id is a document like others.
-    Empty texts are taken whole times with 0 words. Repeated rows are documents of their own. An empty table gives none.
-    rid numbers the rows of docs as read; other columns of docs are ignored.
+    Nulls: a null text has size 0, a null source is a source, sorted last; a null doc_id is a document like others, its
+    place in the order then depends on its place in docs. Empty texts are taken whole times with 0 words. Repeated rows
+    are documents of their own. An empty table gives none. rid numbers the rows of docs as read; other columns of docs are
+    ignored.
     """
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("#"), F.col("rid").cast("string")))
     sizes = save(
-        docs.select("doc_id", F.col("source").alias("src"), word_count(F.col("text")).alias("size"))
-        .withColumn("rid", F.monotonically_increasing_id())
-        .withColumn("h", F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size")))
+        numbered(docs.select("doc_id", F.col("source").alias("src"), "text"))
+        .select("doc_id", "src", word_count(F.col("text")).alias("size"), "rid", F.xxhash64(F.lit(seed), key, "text").alias("h"))
     )
     per = sizes.groupBy("src").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     pick = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
@@ -99,16 +101,24 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed:
         "whole": F.least(F.floor(epochs + 1e-12), F.lit(math.floor(max_epochs))).cast("long"),
         "n_buckets": F.ceil(F.col("n_docs") / bucket_rows).cast("long"),
     })
-    per = per.withColumn("extra_words", F.greatest(F.lit(0.0), F.col("target") - F.col("whole") * F.col("source_size")))
+    left = F.col("target") - F.col("whole") * F.col("source_size")
+    more = F.col("whole") < math.ceil(max_epochs)
+    per = per.withColumn("extra_words", F.when(more, F.greatest(F.lit(0.0), F.floor(left + 1e-6).cast("double"))).otherwise(0.0))
     small = checked_broadcast(per.select("src", "source_size", "target", "whole", "extra_words", "n_buckets"))
     # the hash's upper bits in order: bucket b holds the b-th part of the seeded order
     unit = (F.shiftrightunsigned(F.col("h"), 11) / F.lit(float(1 << 53)))
     rows = sizes.join(small, sizes["src"].eqNullSafe(small["src"])).drop(small["src"]).withColumn("bucket", F.floor(unit * F.col("n_buckets")).cast("long"))
     buckets = rows.groupBy("src", "bucket").agg(F.sum("size").alias("words"), F.first("extra_words").alias("extra_words"))
-    before = F.coalesce(F.sum("words").over(Window.partitionBy("src").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    buckets = buckets.withColumn("left", F.col("extra_words") - before)
+    buckets = save(buckets.withColumn("run", F.floor(F.col("bucket") / RUN_BUCKETS)))
+    # words before each bucket: those of the runs before its own, and of the buckets before it in its run
+    runs = buckets.groupBy("src", "run").agg(F.sum("words").alias("run_words"))
+    earlier = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    runs = runs.select(F.col("src").alias("r_src"), F.col("run").alias("r_run"), earlier("run_words", Window.partitionBy("src").orderBy("run")).alias("before_run"))
+    buckets = buckets.withColumn("before", earlier("words", Window.partitionBy("src", "run").orderBy("bucket")))
+    buckets = buckets.join(checked_broadcast(save(runs)), buckets["src"].eqNullSafe(F.col("r_src")) & (F.col("run") == F.col("r_run")))
+    buckets = buckets.withColumn("left", F.col("extra_words") - F.col("before_run") - F.col("before")).filter("left > 0")
     buckets = save(buckets.select(F.col("src").alias("b_src"), F.col("bucket").alias("b_bucket"), "left", (F.col("left") >= F.col("words")).alias("full")))
-    cut = buckets.filter(~F.col("full") & (F.col("left") > 0))
+    cut = buckets.filter(~F.col("full"))
     on = lambda b: rows["src"].eqNullSafe(b["b_src"]) & (rows["bucket"] == b["b_bucket"])
     cut_rows = rows.join(checked_broadcast(cut), on(cut)).select("src", "bucket", "rid", "h", "size", "doc_id", "left")
     some = cut_rows.groupBy("src", "bucket").applyInPandas(_fill, "rid long, extra int")
@@ -119,9 +129,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: float = MAX_EPOCHS, seed:
     return rows.select("doc_id", F.col("src").alias("source"), "size", F.col("source_size").cast("long"), "target", "whole", "extra", taken.alias("taken"), "rid")
 
 
-def repeat_rows(docs: DataFrame, **options) -> DataFrame:
-    """docs itself with every row as often as the mix takes it, numbered from 1 in column repetition."""
-    plan = mix(docs, **options).select(F.col("rid").alias("__loom_rid"), (F.col("whole") + F.col("extra")).alias("__loom_n")).filter("__loom_n > 0")
-    rows = docs.withColumn("__loom_row", F.monotonically_increasing_id())
-    rows = rows.join(checked_broadcast(save(plan)), F.col("__loom_row") == F.col("__loom_rid"))
-    return rows.withColumn("repetition", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__loom_n")))).drop("__loom_row", "__loom_rid", "__loom_n")
+def repeat_rows(docs: DataFrame, number: str = "repetition", **options) -> DataFrame:
+    """docs itself with every row as often as the mix takes it, numbered from 1 in column number.
+
+    Where docs has a column of that name, it stays, and the numbers get the first free name of number_2, number_3 and so on.
+    Nulls, empty texts, ties and repeated rows are taken as mix() says; an empty table gives no rows.
+    """
+    rows = numbered(docs, "__loom_row")
+    with scope():
+        plan = mix(rows, **options).select(F.col("rid").alias("__loom_rid"), (F.col("whole") + F.col("extra")).alias("__loom_n"))
+        plan = save(plan.filter("__loom_n > 0"), keep=True)
+    taken = {c.lower() for c in docs.columns}
+    name = next(n for n in (number, *(f"{number}_{i}" for i in range(2, len(taken) + 3))) if n.lower() not in taken)
+    rows = rows.join(checked_broadcast(plan), F.col("__loom_row") == F.col("__loom_rid"))
+    return rows.withColumn(name, F.explode(F.sequence(F.lit(1).cast("long"), F.col("__loom_n")))).drop("__loom_row", "__loom_rid", "__loom_n")

@@ -8,10 +8,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._rows import checked_broadcast, discard, hash_words, mix, save
+from ._rows import checked_broadcast, discard, hash_words, hold, lean, mix, numbered, save
 
 SHINGLE_WORDS = 5
 SIMILARITY = 80  # per cent
@@ -19,6 +19,8 @@ SIMILARITY = 80  # per cent
 BANDS, BAND_ROWS = 40, 6
 #: Sets in one block of a dense cluster, on average.
 BLOCK = 256
+#: Pairs of one class that meet its set in one task.
+PAIR_ROWS = 1024
 _CHUNK = 4 << 20
 
 
@@ -103,7 +105,7 @@ def _signer(k: int, bands: int, rows: int):
             for part in _chunks(texts):
                 flat, sizes = shingle_sets(texts[part], k)
                 cuts = np.concatenate([[0], np.cumsum(sizes)])
-                prints = [hashlib.blake2b(flat[a:z].tobytes(), digest_size=16).digest() if z > a else None for a, z in zip(cuts, cuts[1:])]
+                prints = _prints(flat, cuts)
                 new = {}  # one signature for equal sets
                 for i, p in enumerate(prints):
                     if p is not None:
@@ -112,9 +114,8 @@ def _signer(k: int, bands: int, rows: int):
                 keys = circulant_bands(np.concatenate([flat[cuts[i] : cuts[i + 1]] for i in own]), sizes[own], bands, rows) if own else None
                 at = {i: j for j, i in enumerate(own)}
                 sig = [keys[at[i]].tobytes() if i in at else None for i in range(len(prints))]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[part.start : part.stop], pa.array(sizes), pa.array(prints, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n", "print", "sig"]
-                )
+                same = [batch.column(c)[part.start : part.stop] for c in ("doc_id", "rid")]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(sizes), pa.array(prints, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "rid", "n", "print", "sig"])
 
     return sign
 
@@ -126,11 +127,16 @@ def _spread(bands: int):
             keys = np.frombuffer(b"".join(batch.column("sig").to_pylist()), np.int64)
             take = lambda c: pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), bands))
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array(keys), take("rep"), take("n")], ["key", "rep", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(keys), take("cls"), take("n")], ["key", "cls", "n"])
 
     return spread
 
 
+def _prints(flat: np.ndarray, cuts: np.ndarray) -> list[bytes | None]:
+    """A digest of each set, None for an empty one."""
+    return [hashlib.blake2b(flat[a:z].tobytes(), digest_size=16).digest() if z > a else None for a, z in zip(cuts, cuts[1:])]
+
+
 def _setter(k: int):
     def sets(batches):
         for batch in batches:
@@ -138,9 +144,7 @@ def _setter(k: int):
             for part in _chunks(texts):
                 flat, sizes = shingle_sets(texts[part], k)
                 cuts = np.concatenate([[0], np.cumsum(sizes)])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[part.start : part.stop], pa.array([flat[a:z].tobytes() for a, z in zip(cuts, cuts[1:])], pa.binary())], ["rep", "shingles"]
-                )
+                yield pa.RecordBatch.from_arrays([batch.column("cls")[part.start : part.stop], pa.array([flat[a:z].tobytes() for a, z in zip(cuts, cuts[1:])], pa.binary())], ["cls", "shingles"])
 
     return sets
 
@@ -162,14 +166,14 @@ def _verifier(similarity: int):
 
 
 def _shingler(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shingle, rep) of every set."""
+    """(shingle, cls) of every set."""
     for batch in batches:
         parts = [np.frombuffer(x.as_buffer(), np.int64) for x in batch.column("shingles")]
         if parts:
-            reps = np.repeat(batch.column("rep").to_numpy(zero_copy_only=False), [len(x) for x in parts])
+            owners = np.repeat(batch.column("cls").to_numpy(zero_copy_only=False), [len(x) for x in parts])
             flat = np.concatenate(parts)
             for at in range(0, len(flat), 1 << 17):
-                yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + (1 << 17)]), pa.array(reps[at : at + (1 << 17)])], ["shingle", "rep"])
+                yield pa.RecordBatch.from_arrays([pa.array(flat[at : at + (1 << 17)]), pa.array(owners[at : at + (1 << 17)])], ["shingle", "cls"])
 
 
 def _blocks(similarity: int):
@@ -195,7 +199,7 @@ def _blocks(similarity: int):
                 m.append(x)
             both += m[0] @ m[1].T
         n, k = left["n"].to_numpy()[:, None], right["n"].to_numpy()[None, :]
-        a, b = left["rep"].to_numpy(), right["rep"].to_numpy()
+        a, b = left["cls"].to_numpy(), right["cls"].to_numpy()
         good = (100 * both >= similarity * (n + k - both)) & (left["root"].to_numpy()[:, None] != right["root"].to_numpy()[None, :])
         x, y = np.nonzero(good)
         return pd.DataFrame({"a": np.minimum(a[x], b[y]), "b": np.maximum(a[x], b[y])}).drop_duplicates()
@@ -203,31 +207,38 @@ def _blocks(similarity: int):
     return links
 
 
+def beside(df: DataFrame, key: str, **aggs: Column) -> DataFrame:
+    """df with aggregates over all rows of one key: combined before they are shuffled and joined, so that a key that many rows
+    share is no task of its own, as it would be in a window."""
+    per = df.groupBy(F.col(key).alias("__key")).agg(*[c.alias(n) for n, c in aggs.items()])
+    return df.join(per, F.col(key) == F.col("__key")).drop("__key")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b): root is the least node that it is connected with.
 
     Rounds of large-star and small-star; each shortens the paths, and the edges never grow in number.
     """
-    edges = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct())
+    edges = save(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), keep=True)
     mark = lambda df: df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
     seen = mark(edges)
-    w = Window.partitionBy("u")
     while seen[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = F.least(F.min("v").over(w), F.col("u"))
-        large = both.withColumn("m", low).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = large.withColumn("m", F.min("v").over(w))
-        new = save(small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct())
+        large = beside(both, "u", m=F.least(F.min("v"), F.col("u"))).filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = beside(large, "u", m=F.min("v"))
+        new = small.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").filter("u <> v").distinct()
+        new = save(new, keep=True)
         now = mark(new)
         discard(edges)
         edges, seen, last = new, now, seen
         if seen == last:
             break
+    hold(edges)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
 def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: int = SIMILARITY, bands: int = BANDS, rows: int = BAND_ROWS) -> DataFrame:
-    """One row for each row of docs: doc_id, n_shingles, component_id, kept.
+    """One row for each row of docs: doc_id, n_shingles, component_id, kept, rid, first.
 
     Texts are words with A-Z in lower case; a document's set is its distinct k-word shingles. Documents are linked when
     100 * intersection >= similarity * union of the full sets; a component's id is its smallest doc_id.
@@ -238,68 +249,88 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: int = S
     Then every remaining pair of a bucket that is not connected yet is verified: pair by pair where there are few, or block
     by block in clusters whose buckets overlap so much that all pairs of the cluster are fewer. No bucket is capped.
 
-    Nulls: a null or blank text has no shingles and is linked with nothing; a row with null doc_id stands alone, with
-    null component_id and kept false. Repeated rows with one doc_id are one document: they get the same row each. Fewer
-    than k words make one shingle of all. An empty table gives no rows; other columns are ignored.
+    rid numbers the rows of docs as read; first tells the one row of each component (smallest doc_id, then rid) that stands
+    for it, so that a filter on it keeps one row of each group whatever the ids.
+
+    Nulls: a null or blank text has no shingles and is linked with nothing (its row is first). A row with null doc_id is
+    linked by its text like any other; kept is false, component_id null if no row of its component has an id, and only then
+    can it be first. Rows with one doc_id and different texts are documents of their own that share an id: each is linked by its own
+    text. Repeated rows get the same component. Fewer than k words make one shingle of all. An empty table gives no rows;
+    other columns are ignored.
     """
-    signed = save(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_signer(k, bands, rows), "doc_id long, n long, print binary, sig binary"))
-    reps = save(signed.filter("n > 0 and doc_id is not null").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sig").alias("sig")))
-    shared = F.count("*").over(Window.partitionBy("key")) > 1
-    buckets = save(reps.mapInArrow(_spread(bands), "key long, rep long, n long").withColumn("met", shared).filter("met").drop("met"))
-    wanted = save(buckets.select(F.col("rep").alias("doc_id")).distinct())
-    part = docs.select(F.col("doc_id").cast("long"), "text").join(checked_broadcast(wanted), "doc_id", "left_semi")
-    sets = save(part.mapInArrow(_setter(k), "rep long, shingles binary").groupBy("rep").agg(F.first("shingles").alias("shingles")))
-    alone = sets.mapInArrow(_shingler, "shingle long, rep long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("rep").alias("rep")).filter("c = 1")
-    alone = save(alone.groupBy("rep").agg(F.count("*").alias("own")))
-    buckets = buckets.join(checked_broadcast(alone), "rep", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
-    buckets = save(buckets.filter(100 * F.col("common") >= similarity * F.col("n")).withColumn("met", shared).filter("met").select("key", "rep", "n", "common"))
+    inputs = numbered(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "rid")
+    signed = save(inputs.mapInArrow(lean(_signer(k, bands, rows)), "doc_id long, rid long, n long, print binary, sig binary"))
+    classes = signed.filter("n > 0").groupBy("print").agg(F.first("n").alias("n"), F.first("sig").alias("sig"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("least"))
+    classes = save(classes.withColumn("cls", F.monotonically_increasing_id()))
+    buckets = save(classes.mapInArrow(lean(_spread(bands), 8192), "key long, cls long, n long"))
+    met = buckets.groupBy(F.col("key").alias("met")).agg(F.count("*").alias("c")).filter("c > 1").select("met")
+    buckets = save(buckets.join(checked_broadcast(save(met)), F.col("key") == F.col("met"), "left_semi"))
+    # the text of one row of each candidate class is read again for its set
+    wanted = save(classes.join(checked_broadcast(save(buckets.select("cls").distinct())), "cls", "left_semi").select(F.col("least.rid").alias("rid"), "cls"))
+    part = inputs.join(checked_broadcast(wanted), "rid").select("cls", "text")
+    sets = save(part.mapInArrow(lean(_setter(k)), "cls long, shingles binary"))
+    alone = sets.mapInArrow(lean(_shingler, 4096), "shingle long, cls long").groupBy("shingle").agg(F.count("*").alias("c"), F.min("cls").alias("cls")).filter("c = 1")
+    alone = save(alone.groupBy("cls").agg(F.count("*").alias("own")))
+    buckets = buckets.join(checked_broadcast(alone), "cls", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
+    buckets = save(beside(buckets.filter(100 * F.col("common") >= similarity * F.col("n")), "key", met=F.count("*")).filter("met > 1").select("key", "cls", "n", "common"))
+
+    def split(pairs: DataFrame, side: str) -> DataFrame:
+        """Classes of many pairs, and in how many parts their pairs are dealt; the set goes to each part."""
+        parts = pairs.groupBy(F.col(side).alias("of")).agg(F.ceil(F.count("*") / PAIR_ROWS).cast("int").alias("parts"))
+        return checked_broadcast(save(parts.filter("parts > 1")))
+
+    def with_set(pairs: DataFrame, many: DataFrame, side: str, other: str, name: str) -> DataFrame:
+        of = F.coalesce("parts", F.lit(1))
+        left = pairs.join(many, F.col(side) == F.col("of"), "left").withColumn("part", F.pmod(F.xxhash64(other), of).cast("int")).drop("of", "parts")
+        right = sets.join(many, F.col("cls") == F.col("of"), "left").select(F.col("cls").alias(side), F.explode(F.sequence(F.lit(0), of - 1)).alias("part"), F.col("shingles").alias(name))
+        return left.join(right, [side, "part"]).drop("part")
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Which of the distinct pairs (a, b) are links."""
-        left = pairs.join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("x")), "a")
-        both = left.join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("y")), "b").select("a", "b", "x", "y")
-        return both.mapInArrow(_verifier(similarity), "a long, b long")
+        pairs = save(pairs)
+        many_a, many_b = split(pairs, "a"), split(pairs, "b")
+        both = with_set(with_set(pairs, many_a, "a", "b", "x"), many_b, "b", "a", "y").select("a", "b", "x", "y")
+        return both.mapInArrow(lean(_verifier(similarity)), "a long, b long")
 
     def possible(x: str, y: str):
         """Whether the sizes allow a link: an intersection holds at most what either has in common with any other."""
         most = F.least(f"{x}common", f"{y}common")
         return 100 * most >= similarity * (F.col(f"{x}n") + F.col(f"{y}n") - most)
 
-    centre = F.max(F.struct((2 * F.col("common") - F.col("n")).alias("score"), (-F.col("rep")).alias("minus"), "rep", "n", "common")).over(Window.partitionBy("key"))
-    pairs = buckets.withColumn("c", centre).filter(F.col("c.rep") != F.col("rep")).filter(possible("", "c."))
-    roots = components(verified(pairs.select(F.least("rep", "c.rep").alias("a"), F.greatest("rep", "c.rep").alias("b")).distinct()))
-    w = Window.partitionBy("key")
-    state = buckets.join(checked_broadcast(roots), F.col("rep") == F.col("node"), "left").withColumn("root", F.coalesce("root", "rep")).drop("node")
-    state = save(state.withColumns({"lo": F.min("root").over(w), "hi": F.max("root").over(w), "first": F.min("rep").over(w), "size": F.count("*").over(w)}).filter("lo <> hi"))
+    centre = F.max(F.struct((2 * F.col("common") - F.col("n")).alias("score"), (-F.col("cls")).alias("minus"), "cls", "n", "common"))
+    pairs = beside(buckets, "key", c=centre).filter(F.col("c.cls") != F.col("cls")).filter(possible("", "c."))
+    roots = components(verified(pairs.select(F.least("cls", "c.cls").alias("a"), F.greatest("cls", "c.cls").alias("b")).distinct()))
+    state = buckets.join(checked_broadcast(roots), F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls")).drop("node")
+    state = save(beside(state, "key", lo=F.min("root"), hi=F.max("root"), first=F.min("cls"), size=F.count("*")).filter("lo <> hi"))
     if state.limit(1).count():
-        clusters = components(state.select(F.col("first").alias("a"), F.col("rep").alias("b")))
+        clusters = components(state.select(F.col("first").alias("a"), F.col("cls").alias("b")))
         state = save(_clustered(state, clusters))
-        weight = state.groupBy("cluster").agg(F.sum("size").alias("in_buckets"), F.count_distinct("rep").alias("members"))
+        weight = state.groupBy("cluster").agg(F.sum("size").alias("in_buckets"), F.count_distinct("cls").alias("members"))
         dense = save(weight.filter("in_buckets > members * members").select(F.col("cluster").alias("dense"), F.ceil(F.col("members") / BLOCK).cast("int").alias("n_blocks")))
         of_dense = F.col("cluster") == F.col("dense")
         few = state.join(checked_broadcast(dense), of_dense, "left_anti")
         x, y = few.alias("x"), few.alias("y")
-        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.root") != F.col("y.root")) & possible("x.", "y."))
-        links = verified(pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b")).distinct())
-        many = state.join(checked_broadcast(dense), of_dense).select("cluster", "rep", "root", "n", "n_blocks").distinct()
-        many = many.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-        many = many.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).join(sets, "rep")
+        pairs = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.cls") < F.col("y.cls")) & (F.col("x.root") != F.col("y.root")) & possible("x.", "y."))
+        links = verified(pairs.select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct())
+        many = state.join(checked_broadcast(dense), of_dense).select("cluster", "cls", "root", "n", "n_blocks").distinct()
+        many = many.withColumn("block", F.pmod(F.xxhash64("cls"), F.col("n_blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
+        many = many.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).join(sets, "cls")
         links = links.unionByName(many.groupBy("cluster", "i", "j").applyInPandas(_blocks(similarity), "a long, b long"))
-        links = links.join(checked_roots(roots, "a"), "a", "left").join(checked_roots(roots, "b"), "b", "left")
+        links = links.join(_named(roots, "a"), "a", "left").join(_named(roots, "b"), "b", "left")
         links = links.select(F.coalesce("root_a", "a").alias("a"), F.coalesce("root_b", "b").alias("b"))
         roots = components(links.unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b"))))
-    classes = reps.select("print", "rep").join(roots, F.col("rep") == F.col("node"), "left").select("print", F.coalesce("root", "rep").alias("component"))
-    out = signed.select("doc_id", "n", "print").join(classes, "print", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")))
-    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    rooted = classes.select("print", "cls", "least").join(roots, F.col("cls") == F.col("node"), "left").withColumn("root", F.coalesce("root", "cls"))
+    rooted = beside(rooted, "root", best=F.min("least")).select("print", "best")
+    out = signed.select("doc_id", "rid", "n", "print").join(rooted, "print", "left")
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("best.doc_id", "doc_id").alias("component_id"), "rid", F.coalesce(F.col("best.rid") == F.col("rid"), F.lit(True)).alias("first"))
+    return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "rid", "first")
 
 
 def _clustered(state: DataFrame, clusters: DataFrame) -> DataFrame:
     """state with cluster: the least class that its buckets connect each class with."""
     found = clusters.select("node", F.col("root").alias("cluster"))
-    return state.join(checked_broadcast(found), F.col("rep") == F.col("node"), "left").withColumn("cluster", F.coalesce("cluster", "rep")).drop("node")
+    return state.join(checked_broadcast(found), F.col("cls") == F.col("node"), "left").withColumn("cluster", F.coalesce("cluster", "cls")).drop("node")
 
 
-def checked_roots(roots: DataFrame, name: str) -> DataFrame:
+def _named(roots: DataFrame, name: str) -> DataFrame:
     return roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._grams import Counts, Table, codes, pieces
-from ._rows import BROADCAST_ROWS, checked_broadcast, save
+from ._rows import BROADCAST_ROWS, checked_broadcast, lean, numbered, save, send
 
 #: Bytes of an n-gram.
 ORDER = 5
@@ -46,7 +46,7 @@ def _counter(order: int):
             for learn in (True, False):
                 for buf, lengths, _ in pieces([t for t, x in zip(texts, learned) if x is learn], order):
                     held.add(codes(buf, lengths, order), int(learn))
-            if held.size > 5_000_000:
+            if held.size > 1_500_000:
                 yield from out()
         yield from out()
 
@@ -146,17 +146,17 @@ def classify(
     has quality 1. An empty table gives no rows; other columns are ignored.
     """
     good = labels.filter("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("good_id")).distinct()
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").withColumn("rid", F.monotonically_increasing_id())
+    rows = numbered(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text", "rid")
     rows = rows.join(checked_broadcast(good), F.col("doc_id") == F.col("good_id"), "left").withColumn("trusted", F.col("good_id").isNotNull()).drop("good_id")
     rows = rows.withColumn("learned", F.col("trusted") & (F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(HELD_OUT)) != 0))
-    grams = save(rows.select("text", "learned").mapInArrow(_counter(order), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
+    grams = save(rows.select("text", "learned").mapInArrow(lean(_counter(order)), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")))
     priced = save(kneser_ney(grams, order))
     if priced.count() <= sent_rows:
         t = priced.toArrow()
-        table = docs.sparkSession.sparkContext.broadcast(Table(t["key"].to_numpy(), t["value"].to_numpy()))
-        scored = rows.mapInArrow(_scorer(order, table), _TYPES)
+        table = send(docs.sparkSession, Table(t["key"].to_numpy(), t["value"].to_numpy()))
+        scored = rows.mapInArrow(lean(_scorer(order, table)), _TYPES)
     else:
-        keys = rows.mapInArrow(_exploder(order), f"{_TYPES.removesuffix(', logprob double')}, key long, n long")
+        keys = rows.mapInArrow(lean(_exploder(order)), f"{_TYPES.removesuffix(', logprob double')}, key long, n long")
         scored = keys.join(priced, "key").groupBy(*_KEYS, "n_words").agg(F.sum(F.col("n") * F.col("value")).alias("logprob"))
     scored = save(scored)
     trusted = scored.filter("trusted and not learned")
@@ -164,6 +164,7 @@ def classify(
     lang = F.coalesce(F.concat(F.lit("="), "lang"), F.lit(""))  # no null, so that languages join
     means = trusted.groupBy(lang.alias("of")).agg(rate.alias("mean"), F.count("*").alias("n_held"))
     overall = trusted.agg(rate.alias("all_mean"))
+    # joins without a condition are with one row
     scored = scored.withColumn("of", lang).join(F.broadcast(overall)).join(checked_broadcast(save(means)), "of", "left")
     mean = F.coalesce("mean", "all_mean", F.lit(0.0))
     log = -F.col("logprob") / F.col("n_words")

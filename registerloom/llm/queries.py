@@ -43,7 +43,7 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.near_duplicates(_documents(spark, sf_dir), k=3, similarity=85)
+    return neardup.near_duplicates(_documents(spark, sf_dir), k=3, similarity=85).drop("rid", "first")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

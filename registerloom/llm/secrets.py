@@ -6,8 +6,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
-from ._rows import checked_broadcast, save
+from ._rows import checked_broadcast, numbered, save, scope
 
 #: Kinds that stand on their own, in the order in which equal starts are listed: name, pattern, group and its least length.
 BASE = (
@@ -51,7 +52,7 @@ def _matches(text: Column, order: int, pattern: str, least: int) -> Column:
 def find_parts(docs: DataFrame) -> DataFrame:
     """rid, doc_id, ord, start, end of every match and candidate, and for each document one row with null ord."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
+    rows = numbered(docs).select("rid", F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
     weak = reduce(lambda a, b: a | b, (F.regexp_like(F.col("text"), F.lit(p)) for _, p, _ in WEAK))
     parts = [_matches(F.col("text"), i, p, least) for i, (_, p, least) in enumerate(_KINDS)]
     # scopes matter only beside a weak candidate
@@ -62,22 +63,29 @@ def find_parts(docs: DataFrame) -> DataFrame:
     return rows.withColumn("end", run).withColumn("start", F.col("end") - F.col("size")).filter("good is null or good").select("rid", "doc_id", "ord", "start", "end")
 
 
+def _sides(*scope: str) -> tuple[WindowSpec, WindowSpec]:
+    """Windows of all parts before a part, and of all after it: in falling order too, as a frame that only grows is summed up
+    row by row, while one that shrinks is gone through again for each row."""
+    rising = Window.partitionBy(*scope).orderBy("start", "ord")
+    falling = Window.partitionBy(*scope).orderBy(F.desc("start"), F.desc("ord"))
+    return tuple(w.rowsBetween(Window.unboundedPreceding, -1) for w in (rising, falling))
+
+
 def link(parts: DataFrame) -> DataFrame:
     """parts without breaks and without the weak candidates that nothing completes.
 
     An interval join by neighbours: in order of position, each candidate's closest parts of every role before and after it
-    are looked up in one pass, so a document's work grows with its parts and not with their pairs.
+    are looked up in one pass in either direction, so a document's work grows with its parts and not with their pairs.
     """
     by_start = Window.partitionBy("rid").orderBy("start", "ord")
-    before, after = by_start.rowsBetween(Window.unboundedPreceding, -1), by_start.rowsBetween(1, Window.unboundedFollowing)
+    before, after = _sides("rid")
     kinds = [name for name, _, _ in _KINDS]
     base, breaks = F.col("ord") < len(BASE), F.col("ord") == len(_KINDS)
     rows = parts.withColumn("block", F.count(F.when(breaks, 1)).over(by_start))
     # a candidate over a base span says nothing new
     covered = (F.max(F.when(base, F.col("end"))).over(before) > F.col("start")) | (F.min(F.when(base, F.col("start"))).over(after) < F.col("end"))
     rows = rows.withColumn("covered", ~base & F.coalesce(covered, F.lit(False))).filter(~breaks | F.col("ord").isNull()).filter("ord is null or not covered")
-    scope = Window.partitionBy("rid", "block").orderBy("start", "ord")
-    before, after = scope.rowsBetween(Window.unboundedPreceding, -1), scope.rowsBetween(1, Window.unboundedFollowing)
+    before, after = _sides("rid", "block")
 
     def near(role: str) -> Column:
         of = F.col("ord").isin([_ORDER[k] for k in kinds if ROLE[k] == role])
@@ -124,15 +132,22 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every span of its secrets replaced by mark in text, and n_chars, where there is one, counted anew."""
-    spans = link(find_parts(docs)).filter("ord is not null")
-    w = Window.partitionBy("rid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
-    spans = spans.withColumn("last", F.max("end").over(w)).withColumn("fresh", (F.coalesce(F.col("last"), F.lit(-1)) < F.col("start")).cast("int"))
-    spans = spans.withColumn("island", F.sum("fresh").over(Window.partitionBy("rid").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0)))
-    islands = spans.groupBy("rid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
-    cuts = islands.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__loom_cuts")).withColumnRenamed("rid", "__loom_at")
-    rows = docs.withColumn("__loom_rid", F.monotonically_increasing_id())
-    rows = rows.join(checked_broadcast(save(cuts)), F.col("__loom_rid") == F.col("__loom_at"), "left")
+    """docs with every span of its secrets replaced by mark in text, and n_chars, where there is one, counted anew.
+
+    Spans that overlap are replaced by one mark. Nulls and empty texts stay as they are, repeated rows are treated each, an
+    empty table gives no rows; other columns stay, whatever their names.
+    """
+    rows = numbered(docs, "__loom_rid")
+    with scope():
+        spans = link(find_parts(rows)).filter("ord is not null")
+        w = Window.partitionBy("rid").orderBy("start", "end")
+        spans = spans.withColumn("last", F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))).withColumn("fresh", (F.coalesce(F.col("last"), F.lit(-1)) < F.col("start")).cast("int"))
+        spans = spans.withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+        islands = spans.groupBy("rid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+        cuts = islands.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__loom_cuts")).withColumnRenamed("rid", "__loom_at")
+        cuts = save(cuts, keep=True)
+    n_cuts = cuts.agg(F.sum(F.size("__loom_cuts") + 1)).first()[0] or 0  # not the rows: one may hold many
+    rows = rows.join(checked_broadcast(cuts, n_cuts), F.col("__loom_rid") == F.col("__loom_at"), "left")
     cut, text = F.col("__loom_cuts"), F.col("text")
     # what lies before each span, and after the last one
     from_ = F.concat(F.array(F.lit(0).cast("long")), F.transform(cut, lambda x: x["end"].cast("long")))

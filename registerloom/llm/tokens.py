@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,13 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._rows import lean, send
+
 #: A byte-level BPE vocabulary for many languages: lines of a token in base64 and its rank.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: Fixed value: the pattern that splits text before the merges of this vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A token that crosses into another section counts where it starts, where it ends, or by shares of its bytes.
 RULES = ("start", "end", "share")
-_ENCODER: dict[int, tuple] = {}
+#: The encoder of the vocabulary that this process used last, by the vocabulary's digest.
+_ENCODER: dict[bytes, tuple] = {}
 
 
 def load(path: str) -> dict[bytes, int]:
@@ -62,10 +66,10 @@ def _sections(text: bytes) -> np.ndarray:
 
 def _counter(ranks, rule: str):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = id(ranks.value)
+        key, known = ranks.value
         if key not in _ENCODER:
             _ENCODER.clear()
-            _ENCODER[key] = encoder(ranks.value)
+            _ENCODER[key] = encoder(known)
         encode, sizes = _ENCODER[key]
         for batch in batches:
             ids, held, size = batch.column("doc_id"), [], 0
@@ -109,5 +113,7 @@ def count(docs: DataFrame, tokenizer: str = TOKENIZER, rule: str = "start") -> D
     """
     if rule not in RULES:
         raise ValueError(f"rule is one of {', '.join(RULES)}")
-    ranks = docs.sparkSession.sparkContext.broadcast(load(tokenizer))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_counter(ranks, rule), _TYPES)
+    ranks = load(tokenizer)
+    digest = hashlib.blake2b(b"".join(t + b"\n%d\n" % i for t, i in ranks.items())).digest()
+    ranks = send(docs.sparkSession, (digest, ranks))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(lean(_counter(ranks, rule)), _TYPES)

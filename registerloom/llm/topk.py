@@ -3,21 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._rows import save
+from ._rows import save, send
 
 TOP = 10
 #: A vector is a query if its id is divisible by this.
 QUERY_EVERY = 100
 #: Components become whole numbers: floor(SCALE * x).
 SCALE = 1024
-#: Dimensions that are accumulated before candidates are compacted; vectors in one block of candidates or of queries.
-BLOCK_DIMS, BLOCK_ROWS, QUERY_ROWS = 16, 8192, 4096
+#: Dimensions that are accumulated before candidates are compacted; query vectors in one block, and pairs of a query and a
+#: candidate that are scored at a time.
+BLOCK_DIMS, QUERY_ROWS, BLOCK_PAIRS = 16, 8192, 1 << 22
 
 
 def _matrix(batch: pa.RecordBatch, column: str) -> tuple[np.ndarray, np.ndarray]:
@@ -102,9 +104,10 @@ def _searcher(sent, top: int):
         q: Queries = sent.value
         floor = np.full(len(q.ids), -np.inf)
         best = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
+        size = max(64, BLOCK_PAIRS // max(1, len(q.ids)))
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK_ROWS):
-                part = batch.slice(at, BLOCK_ROWS)
+            for at in range(0, batch.num_rows, size):
+                part = batch.slice(at, size)
                 good, x = _matrix(part, "embedding")
                 if not len(good):
                     continue
@@ -124,8 +127,9 @@ def search(embeddings: DataFrame, top: int = TOP, query_every: int = QUERY_EVERY
     """query_id, rank, vec_id, score: the top candidates of every query by whole inner product, ties to the smaller id.
 
     Queries are the vectors whose id is divisible by query_every, candidates all others' rows. Queries are sent in blocks of
-    about query_rows vectors, a bounded size, each against all candidates where these are read; a task keeps top rows a
-    query. Scores are sums of whole numbers far below 2**53, so floating point holds them exactly.
+    about query_rows vectors, one after the other and so of a bounded size, each against all candidates where these are
+    read (a query set of a hundredth of the rows takes a scan for every 100 * query_rows rows, and no shuffle of vectors); a
+    task keeps top rows a query. Scores are sums of whole numbers far below 2**53, so floating point holds them exactly.
 
     Nulls: a vector that is null, holds a null or a non-finite component, or has a null id, takes no part. Vectors of
     different length are compared over their common dimensions. Rows with one id: as queries they are one, the first by its
@@ -138,18 +142,20 @@ def search(embeddings: DataFrame, top: int = TOP, query_every: int = QUERY_EVERY
     asked = save(asked)
     n = asked.count()
     blocks = max(1, -(-n // query_rows))
-    found = None
+    found = []
     for b in range(blocks):
         part = asked.filter(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b).orderBy("vec_id").toArrow().combine_chunks()
         batch = part.to_batches()[0] if part.num_rows else None
         if batch is None:
             continue
         good, x = _matrix(batch, "embedding")
-        sent = embeddings.sparkSession.sparkContext.broadcast(Queries(batch.column("vec_id").to_numpy()[good], x))
+        sent = send(embeddings.sparkSession, Queries(batch.column("vec_id").to_numpy()[good], x))
         some = rows.mapInArrow(_searcher(sent, top), "query_id long, vec_id long, score long")
-        found = some if found is None else found.unionByName(some)
-    if found is None:
-        found = embeddings.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
+        if blocks > 1:  # one block at a time is in memory, here and on the executors
+            some = save(some)
+            sent.unpersist(blocking=True)
+        found.append(some)
+    found = reduce(DataFrame.unionByName, found) if found else embeddings.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= top).select("query_id", "rank", "vec_id", "score")
 

@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._rows import lean, send
 
 #: Labelled documents of each class that the tagger is fitted on, at most, and words of the longest of them.
 TRAIN_ROWS, TRAIN_WORDS = 3000, 20_000
@@ -301,6 +302,6 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFra
     all scores are one low constant or near it. An empty table gives no rows; other columns are ignored.
     """
     tagger = train(training_rows(docs, labels, rows))
-    sent = docs.sparkSession.sparkContext.broadcast(tagger)
+    sent = send(docs.sparkSession, tagger)
     inputs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
-    return inputs.mapInArrow(_scorer(sent), _TYPES)
+    return inputs.mapInArrow(lean(_scorer(sent)), _TYPES)

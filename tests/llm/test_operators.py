@@ -5,6 +5,7 @@ import math
 import random
 import re
 import textwrap
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -458,3 +459,117 @@ def test_tokens_round_trip(spark, rule):
         assert "".join((t or "")[r["start_char"] : r["end_char"]] for r in mine) == (t or "")
         assert len(mine) == max(1, (t or "").count("\n") + (not (t or "").endswith("\n")))
         assert sum(sizes[encode(t or "")]) == len((t or "").encode())
+
+
+def shuffled(docs, kind):
+    """docs in an order that another run may deal otherwise."""
+    return docs.repartition(7) if kind == "repartition" else docs.groupBy(*docs.columns).agg(F.count("*").alias("times")).drop("times")
+
+
+@pytest.mark.parametrize("kind", ["repartition", "groupBy"])
+def test_rows_that_are_not_stored(spark, kind):
+    rng = random.Random(14)
+    item = words(rng, 25)
+    rows = [(i, words(rng, 40) + (f" {item}" if i % 11 == 0 else " password = abcdefgh1" if i % 5 == 0 else ""), "en", "ab"[i % 2]) for i in range(440)]
+    docs = shuffled(corpus(spark, rows), kind)
+    clean = decontaminate.decontaminate(docs, spark.createDataFrame([(1, item)], ITEMS)).collect()
+    assert sorted(r["doc_id"] for r in clean) == [i for i in range(440) if i % 11]
+    texts = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert all(texts[i] == t.replace("password = abcdefgh1", "[SECRET]") for i, t, _, _ in rows)
+    plan = {r["doc_id"]: r["whole"] + r["extra"] for r in mixing.mix(corpus(spark, rows)).collect()}
+    assert Counter(r["doc_id"] for r in mixing.repeat_rows(docs).collect()) == Counter({i: n for i, n in plan.items() if n})
+
+
+def test_mixing_stops_at_the_last_repetition(spark):
+    docs = corpus(spark, [(i, "" if i % 2 else "one two", "en", "a") for i in range(40)] + [(100 + i, "x " * 50, "en", "b") for i in range(40)])
+    for r in mixing.mix(docs, bucket_rows=4).collect():
+        assert r["whole"] + r["extra"] <= 3
+    out = mixing.repeat_rows(docs.withColumn("repetition", F.lit("mine")), bucket_rows=4)
+    assert out.columns[-1] == "repetition_2" and {r["repetition"] for r in out.collect()} == {"mine"} and max(r["repetition_2"] for r in out.collect()) <= 3
+
+
+def test_near_duplicates_with_repeated_ids(spark):
+    rng = random.Random(15)
+    a, b = words(rng, 60), words(rng, 60)
+    rows = [(1, a), (1, b), (2, a + " zz"), (3, b + " zz"), (None, a), (None, words(rng, 60)), (4, " ")]
+    out = neardup.near_duplicates(corpus(spark, [(i, t, "en", "a") for i, t in rows]), k=3, similarity=85).collect()
+    assert sorted(((r["doc_id"] or 0, r["component_id"] or 0, r["first"]) for r in out)) == [(0, 0, True), (0, 1, False), (1, 1, True), (1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)]
+
+
+def test_near_duplicates_of_one_class_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "PAIR_ROWS", 4)
+    rng = random.Random(16)
+    base = words(rng, 80).split()
+    rows = [(i, " ".join(base[:40] + [f"x{i}"] + base[40:])) for i in range(40)] + [(100 + i, words(rng, 80)) for i in range(5)]
+    out = neardup.near_duplicates(corpus(spark, [(i, t, "en", "a") for i, t in rows])).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == brute_components(rows, 5, 80)
+
+
+def linked(parts):
+    """Weak candidates that count, by comparing each with all others: parts are (kind, start, end) or breaks."""
+    base = [p for p in parts if p[0] in ("assign", "access", "hex")]
+    weak = [p for p in parts if p[0] in ("id", "key", "endpoint") and not any(b[1] < p[2] and p[1] < b[2] for b in base)]
+    block = lambda p: sum(b[0] == "break" and b[1] < p[1] for b in parts)
+    near = lambda p, role: any(
+        secrets.ROLE[q[0]] == role and q != p and block(q) == block(p) and min(abs(q[1] - p[2]), abs(p[1] - q[2])) <= secrets.SCOPE_GAP for q in base + weak
+    )
+    rule = {"id": lambda p: near(p, "secret"), "key": lambda p: near(p, "id") or near(p, "endpoint"), "endpoint": lambda p: near(p, "id") and near(p, "secret")}
+    return sorted(base + [p for p in weak if rule[p[0]](p)], key=lambda p: (p[1], p[0]))
+
+
+def test_linking_by_brute_force(spark):
+    rng = random.Random(17)
+    kinds = [name for name, _, _ in secrets._KINDS]
+    rows, want = [], {}
+    for doc in range(60):
+        parts, at = [], 0
+        for _ in range(rng.randrange(1, 14)):
+            at += rng.choice([1, 5, 60, 200, 240, 241, 500])
+            kind, size = rng.choice([*kinds, "break"]), rng.randrange(3, 30)
+            parts.append((kind, at, at + size))
+            at += size
+        rows += [(doc, doc, len(kinds) if k == "break" else kinds.index(k), a, z) for k, a, z in parts]
+        want[doc] = linked(parts)
+    out = defaultdict(list)
+    for r in secrets.link(spark.createDataFrame(rows, "rid long, doc_id long, ord int, start long, end long")).collect():
+        out[r["doc_id"]].append((kinds[r["ord"]], r["start"], r["end"]))
+    assert all(sorted(out[doc], key=lambda p: (p[1], p[0])) == want[doc] for doc in want)
+
+
+def test_linking_takes_linear_time(spark):
+    seconds = []
+    for n in (16_000, 64_000):
+        docs = corpus(spark, [(1, "user = bob\npwd: hunter2! x\n" * (n // 2), "en", "a")])
+        began = time.time()
+        assert secrets.scan(docs).first()["n_linked"] == n
+        seconds.append(time.time() - began)
+    assert seconds[1] < 8 * max(seconds[0], 1.0)
+
+
+@pytest.mark.parametrize("rule", tokens.RULES)
+def test_tokens_by_brute_force(spark, rule):
+    rng = random.Random(18)
+    texts = ["".join(rng.choice(["ab ", "\n", "\n\n", "  ", "wörter", "🎉", "\r\n", "x" * 30, ". "]) for _ in range(rng.randrange(0, 40))) for _ in range(40)] + ["y" * 60_000]
+    encode, sizes = tokens.encoder(tokens.load(tokens.TOKENIZER))
+    out = defaultdict(list)
+    for r in tokens.count(corpus(spark, [(i, t, "en", "a") for i, t in enumerate(texts)]), rule=rule).collect():
+        out[r["doc_id"]].append((r["section"], r["n_tokens"], r["n_crossing"]))
+    for i, t in enumerate(texts):
+        lines = t.encode().split(b"\n")
+        lines = [x + b"\n" for x in lines[:-1]] + ([lines[-1]] if lines[-1] or len(lines) == 1 else [])
+        owner = [n for n, x in enumerate(lines) for _ in x]
+        n, crossing, at = [0.0] * len(lines), [0] * len(lines), 0
+        for token in encode(t):
+            own = owner[at : at + sizes[token]]
+            at += sizes[token]
+            crossing[own[0]] += own[0] != own[-1]
+            for x in [own[0]] if rule == "start" else [own[-1]] if rule == "end" else own:
+                n[x] += 1 if rule != "share" else 1 / len(own)
+        assert [(s, round(x, 6), c) for s, x, c in sorted(out[i])] == [(s, round(x, 6), c) for s, (x, c) in enumerate(zip(n, crossing))]
+
+
+def test_topk_with_clashing_columns(spark):
+    rows = [(i, [float(i % 7), float(i % 5), 1.0], i) for i in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank long").withColumns({c: F.lit("x") for c in ("query_id", "score", "e")})
+    out = topk.search(df)
+    assert out.columns == ["query_id", "rank", "vec_id", "score"] and out.count() == 30
