@@ -3,47 +3,44 @@
 Every stage works on all documents that the one before kept, and on whole texts. All stages but the last return the columns
 of documents; the last repeats rows and numbers them in `repetition`.
 
-Nulls, empty texts, ties, repeated rows and extra columns are handled as the operators' docstrings say. An empty table passes
-through every stage. Stages count rows by position in the table that they are given, so docs must be a stored table.
+Nulls, empty texts, ties, repeated rows and extra columns are handled as the operators' docstrings say; a column of the
+documents' that is named like one that a stage uses inside stays as it is. An empty table passes through every stage.
+
+A stage first writes its decisions, a narrow table; what it broadcast and stored on the way then goes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registerloom.llm import decontaminate, mixing, neardup, quality, secrets
-from registerloom.llm._rows import checked_broadcast, save
+from registerloom.llm._rows import checked_broadcast, discard, numbered, save, scope
 
 
-def _without(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    """docs without the rows at the positions in bad (rid)."""
-    bad = save(bad.select(F.col("rid").alias("__loom_bad")))
-    rows = docs.withColumn("__loom_rid", F.monotonically_increasing_id())
+def _without(rows: DataFrame, judge: Callable[[], DataFrame]) -> DataFrame:
+    """rows, numbered in __loom_rid, without those whose numbers (rid) judge returns."""
+    with scope():
+        bad = save(judge().select(F.col("rid").alias("__loom_bad")), keep=True)
     return rows.join(checked_broadcast(bad), F.col("__loom_rid") == F.col("__loom_bad"), "left_anti").drop("__loom_rid")
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier keeps."""
-    judged = quality.classify(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return _without(docs, judged.filter(~F.col("keep")))
+    rows, labels = numbered(docs, "__loom_rid"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return _without(rows, lambda: quality.classify(rows, labels).filter("not keep"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one of smallest doc_id.
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the first row of the smallest doc_id.
 
-    Of several rows with that doc_id, the first by text and position stays; rows without a doc_id stay.
+    Rows are judged by their texts: rows of one doc_id with different texts are documents of their own. A row without a
+    doc_id goes if it is a near duplicate of any row that stays; documents without words stay.
     """
-    found = save(neardup.near_duplicates(docs).distinct())
-    gone = found.filter("not kept and doc_id is not null").select("doc_id")
-    twice = docs.groupBy(F.col("doc_id").cast("long").alias("doc_id")).count().filter("count > 1 and doc_id is not null").select("doc_id")
-    twice = twice.join(found.filter("kept").select("doc_id"), "doc_id", "left_semi")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("rid", F.monotonically_increasing_id())
-    all_gone = rows.select("doc_id", "rid").join(checked_broadcast(save(gone)), "doc_id", "left_semi").select("rid")
-    again = rows.join(checked_broadcast(save(twice)), "doc_id", "left_semi").withColumn("pos", F.row_number().over(Window.partitionBy("doc_id").orderBy("text", "rid")))
-    return _without(docs, all_gone.unionByName(again.filter("pos > 1").select("rid")))
+    rows = numbered(docs, "__loom_rid")
+    return _without(rows, lambda: neardup.near_duplicates(rows).filter("not first"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,12 +66,16 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("mixing", mix_sources),
 ]
 
-#: A language model's perplexities and MinHash cannot be said in SQL; tests hold the stages against brute force.
+#: A language model's perplexities cannot be said in SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    before = None
     for _, stage in STAGES:
-        docs = save(stage(spark, docs, sf_dir))
+        docs = save(stage(spark, docs, sf_dir), keep=True)
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
