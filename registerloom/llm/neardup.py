@@ -21,7 +21,7 @@ BANDS, BAND_ROWS = 40, 6
 BLOCK = 256
 #: Pairs of one class that meet its set in one task.
 PAIR_ROWS = 1024
-_CHUNK = 4 << 20
+_CHUNK, _CACHED = 4 << 20, 1 << 15
 
 
 def shingle_sets(texts: list[bytes], k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -66,21 +66,31 @@ def circulant_bands(flat: np.ndarray, sizes: np.ndarray, bands: int, rows: int)
     The first permutation places a shingle on a circle of 2**32 positions; the second one, shifted by j positions,
     gives coordinate j of the signature: the least value over the set.
     """
-    place = (flat >> np.uint64(32)).astype(np.uint32)
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]).astype(np.int64)
     keys = np.empty((len(sizes), bands), np.uint64)
+    ends = np.cumsum(sizes)
+    a = 0
+    while a < len(sizes):  # as many sets at a time as stay in the processor's cache
+        lo = ends[a] - sizes[a]
+        z = max(a + 1, int(np.searchsorted(ends, lo + _CACHED, side="right")))
+        _band_keys((flat[lo : ends[z - 1]] >> np.uint64(32)).astype(np.uint32), (ends[a:z] - sizes[a:z] - lo).astype(np.int64), rows, keys[a:z])
+        a = z
+    return keys
+
+
+def _band_keys(place: np.ndarray, starts: np.ndarray, rows: int, keys: np.ndarray) -> None:
+    v, w = np.empty_like(place), np.empty_like(place)
     with np.errstate(over="ignore"):
-        for b in range(bands):
-            key = np.full(len(sizes), np.uint64(b + 1))
+        for b in range(keys.shape[1]):
+            key = np.full(len(starts), np.uint64(b + 1))
             for r in range(rows):
-                v = (place + np.uint32(b * rows + r)) * np.uint32(0x9E3779B1)
-                v ^= v >> np.uint32(15)
-                v *= np.uint32(0x85EBCA77)
-                v ^= v >> np.uint32(13)
-                v *= np.uint32(0xC2B2AE3D)
+                np.add(place, np.uint32(b * rows + r), out=v)
+                for factor, shift in ((0x9E3779B1, 15), (0x85EBCA77, 13), (0xC2B2AE3D, 0)):
+                    np.multiply(v, np.uint32(factor), out=v)
+                    if shift:
+                        np.right_shift(v, np.uint32(shift), out=w)
+                        np.bitwise_xor(v, w, out=v)
                 key = mix(key) + np.minimum.reduceat(v, starts)
             keys[:, b] = mix(key)
-    return keys
 
 
 def _canonical(column: pa.Array) -> list[bytes]:
