@@ -13,7 +13,7 @@ import pyarrow as pa
 
 END = 255
 _CHUNK = 1 << 20
-_FLUSH = 750_000
+_FLUSH = 1_500_000
 
 
 def pieces(texts: list[bytes], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -52,31 +52,35 @@ def codes(buf: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
 
 
 class Counts:
-    """Counts by 64-bit key, merged now and then; flush() empties it."""
+    """Counts by 64-bit key. size: keys held, some more than once until merge()."""
 
     def __init__(self):
-        self.parts, self.size = [], 0
+        self.parts, self.size, self.merged = [], 0, 0
 
     def add(self, keys: np.ndarray, weight: int = 1) -> None:
-        keys, n = np.unique(keys, return_counts=True)
-        self.parts.append((keys, n * weight))
-        self.size += len(keys)
-        if self.size > 2 * _FLUSH:
-            self.merge()
+        if len(keys):
+            counted = pa.array(keys).value_counts()
+            keys, n = (counted.field(i).to_numpy() for i in (0, 1))
+            self.parts.append((keys, n * weight))
+            self.size += len(keys)
+            if self.size > max(_FLUSH, 2 * self.merged):
+                self.merge()
 
     def merge(self) -> None:
         keys = np.concatenate([k for k, _ in self.parts])
         n = np.concatenate([x for _, x in self.parts])
         keys, at = _group(keys)
-        self.parts, self.size = [(keys, np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64))], len(keys)
+        self.parts = [(keys, np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64))]
+        self.size = self.merged = len(keys)
 
     def flush(self) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, counts), once each; nothing is held any more."""
         if not self.parts:
             return np.empty(0, np.int64), np.empty(0, np.int64)
         if len(self.parts) > 1:
             self.merge()
         out = self.parts[0]
-        self.parts, self.size = [], 0
+        self.parts, self.size, self.merged = [], 0, 0
         return out
 
 

@@ -1,28 +1,39 @@
-"""Language-model scores by context-tree weighting over byte contexts."""
+"""Language-model scores by context-tree weighting over byte contexts.
+
+Counts and prices of n-grams travel in shards: one row holds thousands of keys and numbers as bytes, so that neither the
+shuffle nor the JVM handles them one by one. An n-gram's shard goes by its three nearest bytes of context, so that whole
+subtrees of contexts meet, and there are the more shards the more text there is.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._grams import Counts, Table, _group, codes, pieces
-from ._rows import hash_words, lean, numbered, save, send
+from ._rows import hash_words, lean, mix, numbered, save, send
 
 #: Bytes of context of the deepest nodes.
 DEPTH = 6
+#: Bytes of context by which n-grams are dealt; the trees above are made of the shards' sums.
+TOP = 3
 #: Prior weight of the deeper contexts at a node.
 SPLIT = 0.5
 _PRIOR = np.log(SPLIT / (1 - SPLIT))
 #: Key of the end of a text among the words.
 END_WORD = -1
 _NODES = 256
-#: Prices and word counts that may be sent to the executors: at most 16 bytes each, so under 256 MB.
-SENT_ROWS = 16_000_000
+#: Prices and word counts that may be sent to the executors: at most 16 bytes each, so under 128 MB.
+SENT_ROWS = 8_000_000
+#: Bytes of text for each shard; n-grams that a task holds before it passes them on, and that are weighted at a time.
+SHARD_BYTES, HELD, WEIGHTED = 4 << 20, 2_000_000, 1 << 16
+#: Documents whose prices are fetched together where there are too many to send.
+BLOCK_ROWS = 1024
+GRAM, WORD = 0, 1
 
 
 def held_out(doc_id: Column) -> Column:
@@ -42,16 +53,42 @@ def _word_keys(buf: np.ndarray) -> np.ndarray:
     return hashes[ends > starts].view(np.int64)
 
 
-def _counter(depth: int):
+def _shard(kind: int, keys: np.ndarray, shards: int) -> np.ndarray:
+    """Shards of n-grams by their nearest bytes of context, and of words."""
+    dealt = keys >> 8 & (1 << 8 * TOP) - 1 if kind == GRAM else keys
+    return (mix(dealt.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
+
+
+def _dealt(kind: int, keys: np.ndarray, shards: int, *more: np.ndarray) -> Iterator[tuple]:
+    """(shard, keys, more...) for each shard that keys fall into."""
+    shard = _shard(kind, keys, shards)
+    order = np.argsort(shard, kind="stable")
+    shard, columns = shard[order], [c[order] for c in (keys, *more)]
+    first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else []
+    for a, z in zip(first, [*first[1:], len(shard)]):
+        yield (int(shard[a]), *(c[a:z] for c in columns))
+
+
+def _words_of(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Keys of the words of canonical texts, some texts at a time, without their ends."""
+    part, size = [], 0
+    for t in [*texts, None]:
+        if part and (t is None or size > 1 << 20):
+            yield _word_keys(np.frombuffer(b"".join(part), np.uint8))
+            part, size = [], 0
+        if t is not None:
+            part.append(t + b"\xff")
+            size += len(t)
+
+
+def _counter(depth: int, shards: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, words = Counts(), Counts()
 
-        def out():
-            for kind, held in (("gram", grams), ("word", words)):
-                keys, n = held.flush()
-                for at in range(0, len(keys), 1 << 17):
-                    part = slice(at, at + (1 << 17))
-                    yield pa.RecordBatch.from_arrays([pa.array([kind] * len(keys[part])), pa.array(keys[part]), pa.array(n[part])], ["kind", "key", "n"])
+        def passed(kind: int, held: Counts) -> Iterator[pa.RecordBatch]:
+            keys, n = held.flush()
+            for shard, k, c in _dealt(kind, keys, shards, n):
+                yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), pa.array([k.tobytes()]), pa.array([c.tobytes()])], _COUNTED)
 
         for batch in batches:
             texts = canonical(batch.column("text").to_pylist())
@@ -62,21 +99,33 @@ def _counter(depth: int):
                     grams.add(codes(buf, lengths, depth + 1), int(learn))
                 if learn and own:
                     words.add(np.full(len(own), END_WORD, np.int64))
-                    part, size = [], 0
-                    for t in [*own, None]:
-                        if t is None or size > 1 << 20:
-                            words.add(_word_keys(np.frombuffer(b"".join(part), np.uint8)))
-                            part, size = [], 0
-                        if t is not None:
-                            part.append(t + b"\xff")
-                            size += len(t)
-            if grams.size + words.size > 1_500_000:
-                yield from out()
-        yield from out()
+                    for keys in _words_of(own):
+                        words.add(keys)
+            for kind, some in ((GRAM, grams), (WORD, words)):
+                if some.merged > HELD:
+                    yield from passed(kind, some)
+        yield from passed(GRAM, grams)
+        yield from passed(WORD, words)
 
     return count
 
 
+_COUNTED = ["kind", "shard", "keys", "n"]
+
+
+def _numbers(column: pa.ChunkedArray | pa.Array, kind=np.int64) -> np.ndarray:
+    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column]) if len(column) else np.empty(0, kind)
+
+
+def _merge(table: pa.Table) -> pa.Table:
+    """All counts of one shard as one row."""
+    keys, at = _group(_numbers(table["keys"]))
+    n = np.bincount(at, weights=_numbers(table["n"]), minlength=len(keys)).astype(np.int64)
+    order = np.argsort(keys)
+    keys, n = keys[order], n[order]
+    return pa.table({"kind": table["kind"][:1], "shard": table["shard"][:1], "keys": [keys.tobytes()], "n": [n.tobytes()], "size": [len(keys)], "total": [int(n.sum())]})
+
+
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln Gamma for x >= 0.5, by Stirling's series after a shift by 8."""
     x = np.asarray(x, float)
@@ -158,52 +207,99 @@ def _levels(grams: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[dic
     return levels, place, order
 
 
+def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple[np.ndarray, np.ndarray]]]]:
+    """(shard, parts): the shard's n-grams and counts in parts of about WEIGHTED, each with whole subtrees."""
+    for batch in batches:
+        for shard, keys, n in zip(batch.column("shard").to_pylist(), batch.column("keys"), batch.column("n")):
+            keys, n = _numbers([keys]), _numbers([n])
+            near = keys >> 8 & (1 << 8 * TOP) - 1
+            order = np.argsort(near, kind="stable")
+            keys, n, near = keys[order], n[order], near[order]
+            starts = np.flatnonzero(np.concatenate([[True], near[1:] != near[:-1]]))
+            cuts, at = [0], 0
+            while at < len(keys):
+                i = np.searchsorted(starts, at + WEIGHTED, side="right") - 1
+                nxt = starts[i] if starts[i] > at else starts[i + 1] if i + 1 < len(starts) else len(keys)
+                at = len(keys) if at + WEIGHTED >= len(keys) else int(nxt)
+                cuts.append(at)
+            yield shard, [(keys[a:z], n[a:z]) for a, z in zip(cuts, cuts[1:])]
+
+
 def _rooter(depth: int):
-    def roots(pdf: pd.DataFrame) -> pd.DataFrame:
-        """Of the contexts with two given nearest bytes: counts and ln P at depth 2, by nearest byte and node."""
-        level = _levels(pdf["key"].to_numpy(), pdf["n"].to_numpy(), depth, 2)[0][2]
-        parts = []
-        for k in range(8):
-            code = np.empty(len(level.n0[k]), np.int64)
-            code[level.at[k]] = level.codes
-            parts.append(pd.DataFrame({"near": (code >> 8) & 255, "node": (1 << k) | ((code & 255) >> (8 - k)), "n0": level.n0[k], "n1": level.n1[k], "lnp": level.lnp[k]}))
-        return pd.concat(parts).astype({"n0": float, "n1": float})
+    def roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of the contexts of TOP bytes: counts and ln P, summed by the context one byte shorter and node."""
+        for _, parts in _subtrees(batches):
+            for keys, n in parts:
+                level = _levels(keys, n, depth, TOP)[0][TOP]
+                found = []
+                for k in range(8):
+                    code = np.empty(len(level.n0[k]), np.int64)
+                    code[level.at[k]] = level.codes
+                    node = (1 << k) | ((code & 255) >> (8 - k))
+                    found.append((code & ((1 << 8 * TOP) - 256) | node, level.n0[k], level.n1[k], level.lnp[k]))
+                code, *sums = (np.concatenate(c) for c in zip(*found))
+                code, at = _group(code)
+                yield pa.RecordBatch.from_arrays([pa.array(code), *(pa.array(np.bincount(at, weights=x, minlength=len(code))) for x in sums)], ["code", "n0", "n1", "below"])
 
     return roots
 
 
-def _pricer(depth: int, top: dict[str, np.ndarray]):
-    def price(pdf: pd.DataFrame) -> pd.DataFrame:
+def _mixer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Nodes (code, n0, n1, below) with their weights, guesses and ln P."""
+    for batch in batches:
+        n0, n1, below = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n0", "n1", "below"))
+        own = kt(n0, n1)
+        made = {"weight": _weight(own, below), "guess": (n1 + 0.5) / (n0 + n1 + 1), "lnp": _lnp(own, below)}
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("code", "n0", "n1")), *map(pa.array, made.values())], ["code", "n0", "n1", *made])
+
+
+def _pricer(depth: int, sent):
+    def price(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """log10 probability of the last byte of each n-gram after the others."""
-        levels, place, order = _levels(pdf["key"].to_numpy(), pdf["n"].to_numpy(), depth, 2)
-        grams = levels[depth].codes
-        byte, near, value = grams & 255, (grams >> 8) & 255, np.zeros(len(grams))
-        for k in range(8):
-            guess = levels[depth].guess[k][levels[depth].at[k]]
-            for d in range(depth - 1, 1, -1):
-                at = levels[d].at[k][place[d]]
-                weight = levels[d].weight[k][at]
-                guess = weight * levels[d].guess[k][at] + (1 - weight) * guess
-            node = (1 << k) | (byte >> (8 - k))
-            for name, at in (("one", near * _NODES + node), ("zero", node)):
-                weight = top[f"{name}_weight"][at]
-                guess = weight * top[f"{name}_guess"][at] + (1 - weight) * guess
-            value += np.log10(np.where((byte >> (7 - k)) & 1, guess, 1 - guess))
-        return pd.DataFrame({"key": grams, "value": value})
+        code, code_weight, code_guess, top = sent.value
+        for shard, parts in _subtrees(batches):
+            priced = []
+            for keys, n in parts:
+                levels, place, _ = _levels(keys, n, depth, TOP)
+                grams = levels[depth].codes
+                byte, near, value = grams & 255, (grams >> 8) & 255, np.zeros(len(grams))
+                for k in range(8):
+                    guess = levels[depth].guess[k][levels[depth].at[k]]
+                    for d in range(depth - 1, TOP - 1, -1):
+                        at = levels[d].at[k][place[d]]
+                        weight = levels[d].weight[k][at]
+                        guess = weight * levels[d].guess[k][at] + (1 - weight) * guess
+                    node = (1 << k) | (byte >> (8 - k))
+                    at = np.searchsorted(code, grams & ((1 << 8 * TOP) - 256) | node)
+                    guess = code_weight[at] * code_guess[at] + (1 - code_weight[at]) * guess
+                    for name, at in (("one", near * _NODES + node), ("zero", node)):
+                        weight = top[f"{name}_weight"][at]
+                        guess = weight * top[f"{name}_guess"][at] + (1 - weight) * guess
+                    value += np.log10(np.where((byte >> (7 - k)) & 1, guess, 1 - guess))
+                priced.append((grams, value.astype(np.float32)))
+            grams, value = (np.concatenate(c) for c in zip(*priced))
+            order = np.argsort(grams)
+            arrays = [pa.array([GRAM], pa.int32()), pa.array([shard], pa.int32()), pa.array([grams[order].tobytes()]), pa.array([value[order].tobytes()])]
+            yield pa.RecordBatch.from_arrays(arrays, ["kind", "shard", "keys", "value"])
 
     return price
 
 
 def context_tree(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(key, value) of every n-gram of grams (key, n): value is the log10 probability of its last byte.
+    """(kind, shard, keys, value) of shards of n-grams (kind, shard, keys, n): value is the log10 probability of the last byte of
+    each, in single precision.
 
-    The trees of all contexts that share their two nearest bytes are weighted bottom-up in one group each; a group grows
-    with the contexts' variety, not with the corpus. Depth 1 and the root, at most 65,280 and 255 nodes, are made from
-    the groups' sums on the driver and sent back.
+    The trees of all contexts that share their three nearest bytes are weighted bottom-up in one place, some thousand n-grams
+    at a time. Depth 2 is made of their sums in a table, of at most 256 * 256 contexts with 255 nodes each; depth 1 and the
+    root, at most 65,280 and 255 nodes, on the driver. All three are sent back.
     """
-    grams = grams.withColumn("near2", F.expr("shiftright(key, 8) & 65535"))
-    tops = grams.groupBy("near2").applyInPandas(_rooter(depth), "near long, node long, n0 double, n1 double, lnp double")
-    one = tops.groupBy("near", "node").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("lnp").alias("below")).toPandas()
+    if depth < TOP:
+        raise ValueError(f"depth is at least {TOP}")
+    spark = grams.sparkSession
+    sums = grams.mapInArrow(lean(_rooter(depth), 1), "code long, n0 double, n1 double, below double")
+    sums = sums.groupBy("code").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")])
+    two = save(sums.mapInArrow(lean(_mixer, 1 << 16), "code long, n0 double, n1 double, weight double, guess double, lnp double"))
+    one = two.groupBy(F.expr("shiftright(code, 8) & 255").alias("near"), F.expr("code & 255").alias("node")).agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"), F.sum("lnp").alias("below")).toPandas()
     top = {f"{k}_{v}": np.full(_NODES * size, 0.5) for k, size in (("one", _NODES), ("zero", 1)) for v in ("weight", "guess")}
     at = (one["near"] * _NODES + one["node"]).to_numpy()
     n0, n1, below = (one[c].to_numpy() for c in ("n0", "n1", "below"))
@@ -212,47 +308,47 @@ def context_tree(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     at = zero["node"].to_numpy()
     n0, n1, below = (zero[c].to_numpy() for c in ("n0", "n1", "below"))
     top["zero_weight"][at], top["zero_guess"][at] = _weight(kt(n0, n1), below), (n1 + 0.5) / (n0 + n1 + 1)
-    return grams.groupBy("near2").applyInPandas(_pricer(depth, top), "key long, value double")
-
-
-def _fetch(df: DataFrame, column: str) -> Table:
-    t = df.select("key", column).toArrow()
-    return Table(t["key"].to_numpy(), t[column].to_numpy())
-
-
-def _doc_keys(text: bytes, depth: int) -> tuple[list[np.ndarray], np.ndarray]:
-    grams = [codes(buf, lengths, depth + 1) for buf, lengths, _ in pieces([text], depth + 1)]
-    return grams, _word_keys(np.frombuffer(text + b"\xff", np.uint8))
+    table = two.select("code", "weight", "guess").orderBy("code").toArrow()
+    sent = send(spark, (*(table[c].to_numpy() for c in ("code", "weight", "guess")), top))
+    return grams.mapInArrow(lean(_pricer(depth, sent), 1), "kind int, shard int, keys binary, value binary")
+
+
+def _table(rows: pa.Table, column: str, kind) -> Table:
+    return Table(_numbers(rows["keys"]), _numbers(rows[column], kind))
+
+
+def _scores(texts: list[bytes], depth: int, priced: Table, words: Table) -> tuple[np.ndarray, ...]:
+    """n_tokens, n_known, sum of log10(c + 1), log10 probability and bytes of each canonical text."""
+    total, base = np.zeros(len(texts)), np.zeros(len(texts))
+    tokens, known = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    for buf, lengths, owners in pieces(texts, depth + 1):
+        value = priced.look(codes(buf, lengths, depth + 1), 0.0).astype(float)
+        total += np.bincount(owners, weights=np.add.reduceat(value, np.concatenate([[0], np.cumsum(lengths)[:-1]])), minlength=len(texts))
+    at = 0
+    while at < len(texts):
+        to, size = at, 0
+        while to < len(texts) and (to == at or size < 1 << 20):
+            size += len(texts[to])
+            to += 1
+        buf = np.frombuffer(b"".join(t + b"\xff" for t in texts[at:to]), np.uint8)
+        hashes, ends = hash_words(buf)
+        real = ends > np.concatenate([[0], ends[:-1] + 1])
+        owner = at + np.concatenate([[0], np.cumsum(buf[ends] == 255)[:-1]])[real]
+        c = words.look(np.concatenate([hashes[real].view(np.int64), np.full(to - at, END_WORD, np.int64)]), 0)
+        owner = np.concatenate([owner, np.arange(at, to)])
+        base += np.bincount(owner, weights=np.log10(c + 1.0), minlength=len(texts))
+        tokens += np.bincount(owner, minlength=len(texts))
+        known += np.bincount(owner, weights=c > 0, minlength=len(texts)).astype(np.int64)
+        at = to
+    return tokens, known, base, total, np.array([len(t) + 1 for t in texts], np.int64)
 
 
 def _scorer(depth: int, tables):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         priced, words = tables.value
         for batch in batches:
-            texts = canonical(batch.column("text").to_pylist())
-            total, base = np.zeros(len(texts)), np.zeros(len(texts))
-            tokens, known = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-            for buf, lengths, owners in pieces(texts, depth + 1):
-                value = priced.look(codes(buf, lengths, depth + 1), 0.0).astype(float)
-                total += np.bincount(owners, weights=np.add.reduceat(value, np.concatenate([[0], np.cumsum(lengths)[:-1]])), minlength=len(texts))
-            at = 0
-            while at < len(texts):
-                to, size = at, 0
-                while to < len(texts) and (to == at or size < 1 << 20):
-                    size += len(texts[to])
-                    to += 1
-                buf = np.frombuffer(b"".join(t + b"\xff" for t in texts[at:to]), np.uint8)
-                hashes, ends = hash_words(buf)
-                real = ends > np.concatenate([[0], ends[:-1] + 1])
-                owner = at + np.concatenate([[0], np.cumsum(buf[ends] == 255)[:-1]])[real]
-                c = words.look(np.concatenate([hashes[real].view(np.int64), np.full(to - at, END_WORD, np.int64)]), 0.0)
-                owner = np.concatenate([owner, np.arange(at, to)])
-                base += np.bincount(owner, weights=np.log10(c + 1), minlength=len(texts))
-                tokens += np.bincount(owner, minlength=len(texts))
-                known += np.bincount(owner, weights=c > 0, minlength=len(texts)).astype(np.int64)
-                at = to
-            n_bytes = np.array([len(t) + 1 for t in texts], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *map(pa.array, (tokens, known, base, total, n_bytes))], _COLUMNS)
+            found = _scores(canonical(batch.column("text").to_pylist()), depth, priced, words)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), *map(pa.array, found)], _COLUMNS)
 
     return score
 
@@ -261,21 +357,49 @@ _COLUMNS = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_byt
 _TYPES = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long"
 
 
-def _exploder(depth: int):
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _asker(depth: int, shards: int):
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The n-grams and words of each block of documents, by shard."""
+        grams, words, now = Counts(), Counts(), None
+
+        def passed() -> Iterator[pa.RecordBatch]:
+            for kind, held in ((GRAM, grams), (WORD, words)):
+                for shard, keys in _dealt(kind, held.flush()[0], shards):
+                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), pa.array([now]), pa.array([keys.tobytes()])], ["kind", "shard", "block", "keys"])
+
         for batch in batches:
-            for rid, doc_id, held, text in zip(*(batch.column(c).to_pylist() for c in ("rid", "doc_id", "held_out", "text"))):
-                text = canonical([text])[0]
-                grams, words = _doc_keys(text, depth)
-                for kind, keys in [*(("gram", g) for g in grams), ("word", np.append(words, END_WORD))]:
-                    keys, n = np.unique(keys, return_counts=True)
-                    k = len(keys)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([rid] * k), pa.array([doc_id] * k, pa.int64()), pa.array([held] * k), pa.array([len(text) + 1] * k), pa.array([kind] * k), pa.array(keys), pa.array(n)],
-                        ["rid", "doc_id", "held_out", "n_bytes", "kind", "key", "n"],
-                    )
+            blocks = batch.column("block").to_numpy()
+            for block in np.unique(blocks).tolist():  # rows of one block follow each other
+                if block != now:
+                    yield from passed()
+                    now = block
+                texts = canonical(batch.column("text").filter(pa.array(blocks == block)).to_pylist())
+                for buf, lengths, _ in pieces(texts, depth + 1):
+                    grams.add(codes(buf, lengths, depth + 1))
+                words.add(np.array([END_WORD], np.int64))
+                for keys in _words_of(texts):
+                    words.add(keys)
+        yield from passed()
+
+    return ask
+
+
+def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
+    """What a shard knows of the keys that blocks ask for: a price or a count each, as bytes."""
+    gram = len(known) and known["kind"][0].as_py() == GRAM
+    table = _table(known, "value", np.float32 if gram else np.int64)
+    values = [table.look(_numbers([k]), 0).astype(np.float32 if gram else np.int64).tobytes() for k in asked["keys"]]
+    return pa.table({"kind": asked["kind"], "block": asked["block"], "keys": asked["keys"], "value": pa.array(values, pa.binary())})
+
+
+def _block_scorer(depth: int):
+    def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        kinds = answers["kind"].to_numpy()
+        priced, words = (_table(answers.filter(pa.array(kinds == kind)), "value", t) for kind, t in ((GRAM, np.float32), (WORD, np.int64)))
+        found = _scores(canonical(docs["text"].to_pylist()), depth, priced, words)
+        return pa.table([docs["doc_id"], docs["held_out"], *map(pa.array, found)], names=_COLUMNS)
 
-    return explode
+    return score
 
 
 def score(docs: DataFrame, depth: int = DEPTH, sent_rows: int = SENT_ROWS) -> DataFrame:
@@ -287,33 +411,32 @@ def score(docs: DataFrame, depth: int = DEPTH, sent_rows: int = SENT_ROWS) -> Da
     their posterior weights. score is the log10 probability, bits_per_byte the code length.
 
     Counting meets all n-grams of all documents (those of held-out ones with count 0), so every n-gram has its price. The
-    prices and word counts are sent to the executors if they have at most sent_rows rows; beyond that, documents'
-    n-grams and words meet them in a shuffled join, with the same result.
+    prices and word counts are sent to the executors if they have at most sent_rows rows. Beyond that, blocks of documents
+    ask the shards for their distinct n-grams and words, and meet the answers: each block then scores with a table of its
+    own, to the same numbers. A block's n-grams travel once there and once back, so no document meets all prices.
 
     Nulls and empty texts: one token, the end. A null doc_id counts as '' for the fold. Repeated rows are scored each. An
     empty table gives no rows. Other columns are ignored.
     """
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
-    counted = rows.mapInArrow(lean(_counter(depth)), "kind string, key long, n long")
-    counted = save(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    words = counted.filter("kind = 'word'").select("key", "n")
-    vocabulary, total = words.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    priced = context_tree(counted.filter("kind = 'gram'").select("key", "n"), depth)
-    priced = save(priced.withColumn("value", F.col("value").cast("float").cast("double")))  # as sent, so that both ways sum the same
-    if priced.count() + vocabulary <= sent_rows:
-        tables = send(docs.sparkSession, (_fetch(priced.withColumn("value", F.col("value").cast("float")), "value"), _fetch(words, "n")))
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = 1 << max(4, min(20, (size // SHARD_BYTES).bit_length()))
+    counted = rows.mapInArrow(lean(_counter(depth, shards)), "kind int, shard int, keys binary, n binary")
+    counted = save(counted.groupBy("kind", "shard").applyInArrow(_merge, "kind int, shard int, keys binary, n binary, size long, total long"))
+    sizes = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("size").alias("size"), F.sum("total").alias("total")).collect()}
+    vocabulary, total = (sizes[WORD]["size"], sizes[WORD]["total"]) if WORD in sizes else (0, 0)
+    words = counted.filter(F.col("kind") == WORD).select("kind", "shard", "keys", F.col("n").alias("value"))
+    priced = save(context_tree(counted.filter(F.col("kind") == GRAM), depth))
+    if sum(r["size"] for r in sizes.values()) <= sent_rows:
+        tables = send(spark, (_table(priced.select("keys", "value").toArrow(), "value", np.float32), _table(words.select("keys", "value").toArrow(), "value", np.int64)))
         out = rows.mapInArrow(lean(_scorer(depth, tables)), _TYPES)
     else:
-        keys = rows.withColumn("rid", F.monotonically_increasing_id()).mapInArrow(_exploder(depth), "rid long, doc_id long, held_out boolean, n_bytes long, kind string, key long, n long")
-        both = priced.select(F.lit("gram").alias("kind"), "key", "value", F.lit(None).cast("long").alias("c")).unionByName(words.select(F.lit("word").alias("kind"), "key", F.lit(None).cast("double").alias("value"), F.col("n").alias("c")))
-        met = keys.join(both, ["kind", "key"], "left")
-        word = F.col("kind") == "word"
-        out = met.groupBy("rid", "doc_id", "held_out", "n_bytes").agg(
-            F.sum(F.when(word, F.col("n"))).alias("n_tokens"),
-            F.coalesce(F.sum(F.when(word & (F.col("c") > 0), F.col("n"))), F.lit(0)).alias("n_known"),
-            F.sum(F.when(word, F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1))).alias("base"),
-            F.sum(F.when(~word, F.col("n") * F.col("value"))).alias("score"),
-        )
+        blocks = numbered(rows).withColumn("block", F.floor(F.col("rid") / BLOCK_ROWS))
+        asked = blocks.select("block", "text").mapInArrow(lean(_asker(depth, shards)), "kind int, shard int, block long, keys binary")
+        known = priced.unionByName(words)
+        answers = asked.groupBy("kind", "shard").cogroup(known.groupBy("kind", "shard")).applyInArrow(_answer, "kind int, block long, keys binary, value binary")
+        out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_block_scorer(depth), _TYPES)
     rate = F.log10(F.lit(float(total + vocabulary + 1)))
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),

@@ -46,7 +46,7 @@ def _counter(order: int):
             for learn in (True, False):
                 for buf, lengths, _ in pieces([t for t, x in zip(texts, learned) if x is learn], order):
                     held.add(codes(buf, lengths, order), int(learn))
-            if held.size > 1_500_000:
+            if held.merged > 2_000_000:
                 yield from out()
         yield from out()
 
