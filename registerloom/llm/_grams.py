@@ -13,7 +13,7 @@ import pyarrow as pa
 
 END = 255
 _CHUNK = 1 << 20
-_FLUSH = 1_500_000
+_SORTED = 2_000_000
 
 
 def pieces(texts: list[bytes], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -52,42 +52,49 @@ def codes(buf: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
 
 
 class Counts:
-    """Counts by 64-bit key. size: keys held, some more than once until merge()."""
+    """Counts by 64-bit key, by sorting: as many keys at a time as make a sort worth it. merged: distinct keys held."""
 
     def __init__(self):
-        self.parts, self.size, self.merged = [], 0, 0
+        self.waiting, self.size, self.parts, self.merged = [], 0, [], 0
 
     def add(self, keys: np.ndarray, weight: int = 1) -> None:
-        if len(keys):
-            counted = pa.array(keys).value_counts()
-            keys, n = (counted.field(i).to_numpy() for i in (0, 1))
-            self.parts.append((keys, n * weight))
-            self.size += len(keys)
-            if self.size > max(_FLUSH, 2 * self.merged):
+        self.waiting.append((keys, weight))
+        self.size += len(keys)
+        if self.size > _SORTED:
+            self.sort()
+            if sum(len(k) for k, _ in self.parts) > 2 * max(self.merged, _SORTED):
                 self.merge()
 
+    def sort(self) -> None:
+        for weight in {w for _, w in self.waiting}:
+            keys = np.sort(np.concatenate([k for k, w in self.waiting if w == weight]))
+            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+            self.parts.append((keys[first], np.diff(np.append(first, len(keys))) * weight))
+        self.waiting, self.size = [], 0
+
     def merge(self) -> None:
         keys = np.concatenate([k for k, _ in self.parts])
         n = np.concatenate([x for _, x in self.parts])
-        keys, at = _group(keys)
-        self.parts = [(keys, np.bincount(at, weights=n, minlength=len(keys)).astype(np.int64))]
-        self.size = self.merged = len(keys)
+        order = np.argsort(keys)
+        keys, n = keys[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+        self.parts = [(keys[first], np.add.reduceat(n, first) if len(first) else n)]
+        self.merged = len(first)
 
     def flush(self) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, counts), once each; nothing is held any more."""
-        if not self.parts:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        if len(self.parts) > 1:
+        """(keys in order, counts), once each; nothing is held any more."""
+        self.sort()
+        if len(self.parts) != 1:
+            self.parts.append((np.empty(0, np.int64), np.empty(0, np.int64)))
             self.merge()
         out = self.parts[0]
-        self.parts, self.size, self.merged = [], 0, 0
+        self.parts, self.merged = [], 0
         return out
 
 
 def _group(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys and each key's index among them, by hashing (a sort of positions is ten times slower)."""
-    coded = pa.array(keys).dictionary_encode()
-    return coded.dictionary.to_numpy(), coded.indices.to_numpy()
+    """Distinct keys in order, and each key's index among them."""
+    return np.unique(keys, return_inverse=True)
 
 
 class Table:

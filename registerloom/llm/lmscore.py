@@ -27,12 +27,12 @@ _PRIOR = np.log(SPLIT / (1 - SPLIT))
 #: Key of the end of a text among the words.
 END_WORD = -1
 _NODES = 256
-#: Prices and word counts that may be sent to the executors: at most 16 bytes each, so under 128 MB.
-SENT_ROWS = 8_000_000
+#: Prices and word counts that may be sent to the executors: at most 16 bytes each, so under 256 MB.
+SENT_ROWS = 16_000_000
 #: Bytes of text for each shard; n-grams that a task holds before it passes them on, and that are weighted at a time.
 SHARD_BYTES, HELD, WEIGHTED = 4 << 20, 2_000_000, 1 << 16
-#: Documents whose prices are fetched together where there are too many to send.
-BLOCK_ROWS = 1024
+#: Bytes of text whose prices are fetched together where there are too many to send.
+BLOCK_BYTES = 16 << 20
 GRAM, WORD = 0, 1
 
 
@@ -119,10 +119,10 @@ def _numbers(column: pa.ChunkedArray | pa.Array, kind=np.int64) -> np.ndarray:
 
 def _merge(table: pa.Table) -> pa.Table:
     """All counts of one shard as one row."""
-    keys, at = _group(_numbers(table["keys"]))
-    n = np.bincount(at, weights=_numbers(table["n"]), minlength=len(keys)).astype(np.int64)
-    order = np.argsort(keys)
-    keys, n = keys[order], n[order]
+    held = Counts()
+    held.parts = [(_numbers(table["keys"]), _numbers(table["n"]))]
+    held.merge()
+    keys, n = held.flush()
     return pa.table({"kind": table["kind"][:1], "shard": table["shard"][:1], "keys": [keys.tobytes()], "n": [n.tobytes()], "size": [len(keys)], "total": [int(n.sum())]})
 
 
@@ -191,12 +191,8 @@ def _levels(grams: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[dic
     for d in range(depth - 1, top - 1, -1):
         child = levels[d + 1]
         distinct, at = _group(child.codes & ((1 << 8 * (d + 1)) - 1))
-        rank = np.argsort(distinct)
-        back = np.empty(len(rank), np.int64)
-        back[rank] = np.arange(len(rank))
-        at = back[at]
         counts = np.bincount(at, weights=counts, minlength=len(distinct))
-        level = levels[d] = _Level(distinct[rank], counts)
+        level = levels[d] = _Level(distinct, counts)
         below = []
         for k in range(8):
             parent = np.empty(len(child.lnp[k]), np.int64)
@@ -420,7 +416,7 @@ def score(docs: DataFrame, depth: int = DEPTH, sent_rows: int = SENT_ROWS) -> Da
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size, n_rows = (x or 0 for x in rows.agg(F.sum(F.octet_length("text")), F.count("*")).first())
     shards = 1 << max(4, min(20, (size // SHARD_BYTES).bit_length()))
     counted = rows.mapInArrow(lean(_counter(depth, shards)), "kind int, shard int, keys binary, n binary")
     counted = save(counted.groupBy("kind", "shard").applyInArrow(_merge, "kind int, shard int, keys binary, n binary, size long, total long"))
@@ -432,7 +428,9 @@ def score(docs: DataFrame, depth: int = DEPTH, sent_rows: int = SENT_ROWS) -> Da
         tables = send(spark, (_table(priced.select("keys", "value").toArrow(), "value", np.float32), _table(words.select("keys", "value").toArrow(), "value", np.int64)))
         out = rows.mapInArrow(lean(_scorer(depth, tables)), _TYPES)
     else:
-        blocks = numbered(rows).withColumn("block", F.floor(F.col("rid") / BLOCK_ROWS))
+        block_rows = max(1, BLOCK_BYTES * n_rows // max(size, 1))
+        # the upper bits of a row's number tell its partition
+        blocks = numbered(rows).withColumn("block", F.expr(f"shiftleft(shiftright(rid, 33), 33) + (rid & {(1 << 33) - 1}) div {block_rows}"))
         asked = blocks.select("block", "text").mapInArrow(lean(_asker(depth, shards)), "kind int, shard int, block long, keys binary")
         known = priced.unionByName(words)
         answers = asked.groupBy("kind", "shard").cogroup(known.groupBy("kind", "shard")).applyInArrow(_answer, "kind int, block long, keys binary, value binary")
