@@ -13,7 +13,7 @@ import pyarrow as pa
 
 END = 255
 _CHUNK = 1 << 20
-_SORTED = 2_000_000
+_SORTED = 1_000_000
 
 
 def pieces(texts: list[bytes], n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -62,7 +62,7 @@ class Counts:
         self.size += len(keys)
         if self.size > _SORTED:
             self.sort()
-            if sum(len(k) for k, _ in self.parts) > 2 * max(self.merged, _SORTED):
+            if sum(len(k) for k, _ in self.parts) > self.merged + _SORTED:
                 self.merge()
 
     def sort(self) -> None:
@@ -101,8 +101,8 @@ class Table:
     """Values by sorted 64-bit key."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray):
-        order = np.argsort(keys)
-        self.keys, self.values = keys[order], values[order]
+        self.values = values[np.argsort(keys)]
+        self.keys = np.sort(keys)
 
     def look(self, keys: np.ndarray, default: float) -> np.ndarray:
         if not len(self.keys):

@@ -113,8 +113,15 @@ def _counter(depth: int, shards: int):
 _COUNTED = ["kind", "shard", "keys", "n"]
 
 
-def _numbers(column: pa.ChunkedArray | pa.Array, kind=np.int64) -> np.ndarray:
-    return np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in column]) if len(column) else np.empty(0, kind)
+def _numbers(column: pa.ChunkedArray | pa.Array | list, kind=np.int64) -> np.ndarray:
+    """The numbers of all rows of bytes."""
+    size = np.dtype(kind).itemsize
+    buffers = [x.as_buffer() for x in column]
+    out, at = np.empty(sum(len(b) for b in buffers) // size, kind), 0
+    for b in buffers:
+        out[at : at + len(b) // size] = np.frombuffer(b, kind)
+        at += len(b) // size
+    return out
 
 
 def _merge(table: pa.Table) -> pa.Table:

@@ -13,7 +13,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from registerloom.llm import decontaminate, licenses, lmscore, mixing, neardup, quality, secrets, tokens, topk, toxicity
+from registerloom.llm import _grams, decontaminate, licenses, lmscore, mixing, neardup, quality, secrets, tokens, topk, toxicity
 
 CORPUS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns that operators use inside, or return, on tables that are not theirs.
@@ -573,3 +573,15 @@ def test_topk_with_clashing_columns(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank long").withColumns({c: F.lit("x") for c in ("query_id", "score", "e")})
     out = topk.search(df)
     assert out.columns == ["query_id", "rank", "vec_id", "score"] and out.count() == 30
+
+
+def test_counts_are_merged():
+    rng = np.random.default_rng(19)
+    held, want = _grams.Counts(), Counter()
+    for _ in range(40):
+        keys = rng.integers(0, 200_000, 60_000)
+        weight = int(rng.integers(0, 2))
+        held.add(keys, weight)
+        want.update({k: n * weight for k, n in Counter(keys.tolist()).items()})
+    keys, n = held.flush()
+    assert dict(zip(keys.tolist(), n.tolist())) == want and not len(held.flush()[0])
