@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -14,17 +15,20 @@ from pyspark.sql import functions as F
 
 from ._rows import lean, send
 
-#: Labelled documents of each class that the tagger is fitted on, at most, and words of the longest of them.
+#: Labelled documents of each class that the tagger is fitted on, at most, and words (between white space) of the longest.
 TRAIN_ROWS, TRAIN_WORDS = 3000, 20_000
-#: A word or beginning of words marks toxic tokens if it stands in toxic documents with at least so many different neighbours, ...
+#: A word or beginning of words is a feature if it stands in toxic documents with at least so many different neighbours, ...
 CONTEXTS = 6
-#: ... and the odds of toxic against other documents that hold it are at least so many times those of all documents.
-ODDS = 40.0
-#: Letters of the beginnings of words that are features beside the word itself; one marks tokens if it begins so many words.
+#: ... and the odds of toxic against other documents that hold it are at least WIDE times those of all documents. The first
+#: guess at the tags are the words of STRONG odds; later ones are the chain's own.
+WIDE, STRONG = 4.0, 40.0
+#: Letters of the beginnings of words that are features beside the word itself; one is a feature if it begins so many words.
 PREFIXES = range(4, 8)
 FAMILY = 3
-#: Words before and after a labelled token in a training sequence, and sequences of one document at most.
-WINDOW, SEQUENCES = 8, 3
+#: Words before and after a tagged token in a training sequence, sequences of one document at most, and rounds of tagging.
+WINDOW, SEQUENCES, PASSES = 8, 3, 3
+#: A weight below this is none.
+LEAST_WEIGHT = 0.2
 _TOKEN = re.compile(r"\w+")
 
 
@@ -67,78 +71,68 @@ class Tagger:
     def __init__(self, weights: dict[str, float], bias: float, step: np.ndarray, start: np.ndarray):
         self.words, self.bias, self.step, self.start = Weights(weights), bias, step, start
         plain = np.exp(step) * np.array([1.0, math.exp(bias)])[None, :]  # from tag, to tag
-        self.plain = plain / plain.max()
-        self.powers = {0: np.eye(2)}
-        self.plain_score: dict[int, tuple[float, float]] = {}
+        self.one = np.stack([plain, plain * np.array([0.0, 1.0])]) / plain.max()
+        self.powers = {0: np.stack([np.eye(2), np.zeros((2, 2))])}
         self.fit = (0.0, 0.0, 0.0)
 
     def across(self, n: int) -> np.ndarray:
-        """The product of n steps over words without a weight, scaled."""
+        """The product of n steps over words without a weight, and the same with the expected number of toxic ones among
+        them, both scaled alike: two stacked matrices."""
         if n not in self.powers:
-            half = self.across(n // 2)
-            m = half @ half @ (self.plain if n % 2 else np.eye(2))
-            self.powers[n] = m / m.max()
+            m = self._joined(self.across(n // 2), self.across(n // 2)) if n > 1 else self.one
+            if n > 1 and n % 2:
+                m = self._joined(m, self.one)
             if len(self.powers) > 100_000:
-                self.powers = {0: np.eye(2), n: self.powers[n]}
+                self.powers = {0: self.powers[0]}
+            self.powers[n] = m / m[0].max()
         return self.powers[n]
 
-    def marginals(self, at: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
-        """P(toxic) at the given places of a text of n words, by forward-backward. Runs of words without a weight of their
-        own are crossed by powers of one matrix, which gives the same numbers as going word by word."""
-        steps = np.exp(self.step)
-        forward = np.empty((len(at), 2))
-        v, last = None, -1
-        for i, (p, w) in enumerate(zip(at.tolist(), weights.tolist())):
-            emit = np.array([1.0, math.exp(self.bias + w)])
-            if v is None:
-                v = np.exp(self.start)
-                if p:
-                    v = (v * np.array([1.0, math.exp(self.bias)])) @ self.across(p - 1) @ steps
-            else:
-                v = v @ self.across(p - last - 1) @ steps
-            v = v * emit
-            v = v / v.sum()
-            forward[i], last = v, p
-        u, out = np.ones(2), np.empty(len(at))
-        nxt = n
-        for i in range(len(at) - 1, -1, -1):
-            p = int(at[i])
-            if nxt < n:  # over the marked word nxt, then the plain ones between
-                u = steps @ (np.array([1.0, math.exp(self.bias + weights[i + 1])]) * u)
-                u = self.across(nxt - p - 1) @ u
-            else:
-                u = self.across(n - p - 1) @ u
+    @staticmethod
+    def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.stack([a[0] @ b[0], a[1] @ b[0] + a[0] @ b[1]])
+
+    def marginals(self, at: np.ndarray, weights: np.ndarray, n: int) -> tuple[np.ndarray, float]:
+        """(P(toxic) at the given places of a text of n words, expected number of all its toxic words), by forward-backward.
+
+        Runs of words without a weight of their own are crossed by powers of one matrix, which gives the same numbers as
+        going word by word."""
+        if not n:
+            return np.empty(0), 0.0
+        steps, places = np.exp(self.step), at.tolist()
+        emit = [np.array([1.0, math.exp(self.bias + w)]) for w in weights.tolist()]
+        first = not places or places[0] > 0  # the first word has no weight
+        stops = ([0] if first else []) + places
+        emits = ([np.array([1.0, math.exp(self.bias)])] if first else []) + emit
+        forward = []  # after each stop
+        for i, (p, e) in enumerate(zip(stops, emits)):
+            v = np.exp(self.start) if i == 0 else forward[-1] @ self.across(p - stops[i - 1] - 1)[0] @ steps
+            v = v * e
+            forward.append(v / v.sum())
+        u, total, out = np.ones(2), 0.0, np.empty(len(stops))
+        for i in range(len(stops) - 1, -1, -1):
+            run, count = self.across((stops[i + 1] if i + 1 < len(stops) else n) - stops[i] - 1)
+            if i + 1 < len(stops):  # over the next stop
+                u = steps @ (emits[i + 1] * u)
+                u = u / u.sum()
+            total += float(forward[i] @ count @ u) / float(forward[i] @ run @ u)
+            u = run @ u
             u = u / u.sum()
             both = forward[i] * u
             out[i] = both[1] / both.sum()
-            nxt = p
-        return out
+        return out[1:] if first else out, total + float(out.sum())
 
-    def plain_marginal(self, n: int) -> tuple[float, float]:
-        """(largest, sum) of the marginals in a text of n words without weights; from 64 words on, the sum goes on evenly."""
-        if n not in self.plain_score:
-            k = min(n, 64)
-            m = self.marginals(np.arange(k), np.zeros(k), k) if k else np.zeros(1)
-            self.plain_score[n] = (float(m.max()), float(m.sum() + (n - k) * m[k // 2] if k else 0.0))
-            if len(self.plain_score) > 100_000:
-                self.plain_score = {n: self.plain_score[n]}
-        return self.plain_score[n]
-
-    def tag(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Places and marginals of the words that have a weight."""
+    def tag(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, float]:
+        """Places and marginals of the words that have a weight, and the expected number of toxic words."""
         known = self.words
         pairs = [(i, w) for i, x in enumerate(words) if (w := known[x]) is not None]
-        if not pairs:
-            return np.empty(0, np.int64), np.empty(0)
-        at, weights = np.array([i for i, _ in pairs]), np.array([w for _, w in pairs])
-        return at, self.marginals(at, weights, len(words))
+        at, weights = np.array([i for i, _ in pairs], np.int64), np.array([w for _, w in pairs])
+        return at, *self.marginals(at, weights, len(words))
 
     def summary(self, words: list[str]) -> tuple[float, float, np.ndarray, np.ndarray]:
-        """What the document's score rests on: log odds of its largest marginal, log of its expected number of toxic words."""
-        at, m = self.tag(words)
-        most, total = self.plain_marginal(len(words)) if words else (1e-9, 0.0)
-        if len(m):
-            most, total = max(most, float(m.max())), float(m.sum())
+        """What the document's score rests on: log odds of its largest marginal (or of the mean of all, if that is larger), log of
+        its expected number of toxic words."""
+        at, m, total = self.tag(words)
+        most = max(total / max(1, len(words)), float(m.max()) if len(m) else 0.0)
         most = min(max(most, 1e-9), 1 - 1e-9)
         return math.log(most / (1 - most)), math.log1p(total), at, m
 
@@ -148,8 +142,8 @@ class Tagger:
         return 1 / (1 + math.exp(-min(max(z, -35.0), 35.0))), at, m
 
 
-def toxic_features(docs: list[tuple[list[str], int]]) -> set[str]:
-    """Features whose tokens are taken as labelled toxic.
+def toxic_features(docs: list[tuple[list[str], int]]) -> dict[str, float]:
+    """Features of toxic words, and by how much the odds of toxic documents among those that hold them exceed the odds of all.
 
     Copies of one text repeat the same neighbours, so support is the number of different pairs of neighbours."""
     contexts: dict[str, set] = defaultdict(set)
@@ -166,29 +160,63 @@ def toxic_features(docs: list[tuple[list[str], int]]) -> set[str]:
                     if f.endswith("-") and len(family[f]) < FAMILY:
                         family[f].add(w)
     base = (n[1] + 1) / (n[0] + 1)
-    wide = {f for f in contexts if not f.endswith("-") or len(family[f]) >= FAMILY}
-    return {f for f in wide if len(contexts[f]) >= CONTEXTS and (seen[1][f] + 0.5) / (seen[0][f] + 0.5) >= ODDS * base}
-
-
-def _windows(docs: list[tuple[list[str], int]], toxic: set[str]) -> list[tuple[list[str], list[int]]]:
-    """Training sequences: the surroundings of labelled tokens, and one stretch of every document without any."""
-    out, seen = [], set()
-    for words, label in docs:
-        tags = [int(label and not toxic.isdisjoint(features(w))) for w in words]
-        spans = [(max(0, i - WINDOW), min(len(words), i + WINDOW + 1)) for i, t in enumerate(tags) if t][:SEQUENCES] or [(0, min(len(words), 2 * WINDOW))]
-        for a, z in spans:
-            part = tuple(words[a:z])
-            if part and part not in seen:
-                seen.add(part)
-                out.append((list(part), tags[a:z]))
-    return out
+    wide = {f for f in contexts if len(contexts[f]) >= CONTEXTS and (not f.endswith("-") or len(family[f]) >= FAMILY)}
+    odds = {f: (seen[1][f] + 0.5) / (seen[0][f] + 0.5) / base for f in sorted(wide)}
+    return {f: x for f, x in odds.items() if x >= WIDE}
+
+
+def _windows(docs: list[tuple[list[str], int]], tags: list[tuple[list[int], list[int]]]) -> list[tuple[list[str], list[int]]]:
+    """Training sequences: the surroundings of some toxic words of each document and of some words that only looked so, and one
+    stretch from anywhere in the text of every document without any. tags: places of either for each document."""
+    out, seen, rng = [], set(), random.Random(23)
+    for (words, _), (toxic, odd) in zip(docs, tags):
+        marked = set(toxic)
+        for places in (toxic, odd):
+            for i in sorted(rng.sample(places, min(SEQUENCES, len(places)))):
+                a, z = max(0, i - WINDOW), min(len(words), i + WINDOW + 1)
+                out.append((tuple(words[a:z]), [int(j in marked) for j in range(a, z)]))
+        if not toxic and not odd:
+            a = rng.randrange(max(1, len(words) - 2 * WINDOW + 1))
+            out.append((tuple(words[a : a + 2 * WINDOW]), [0] * len(words[a : a + 2 * WINDOW])))
+    return [(list(part), tags) for part, tags in out if part and not (part in seen or seen.add(part))]
+
+
+def _tagged(tagger: Tagger, words: list[str], label: int) -> tuple[list[int], list[int]]:
+    """(toxic words, words that looked toxic): a toxic document has at least one toxic word if any looks at all like one, others
+    have none."""
+    at, m, _ = tagger.tag(words)
+    if not label:
+        return [], at[m >= 0.2].tolist()
+    return at[m >= min(0.5, max(0.05, float(m.max(initial=0.0))))].tolist(), []
+
+
+def train(docs: list[tuple[list[str], int]], rounds: int = 60, l2: float = 3e-4) -> Tagger:
+    """Fit the chain, then the document score by logistic regression.
+
+    Labels mark documents, so the tags of their words are latent. The first guess are the words of strong odds in toxic
+    documents; the chain is fitted to it, tags all documents anew, under what their labels say, and is fitted again."""
+    odds = toxic_features(docs)
+    strong = {f for f, x in odds.items() if x >= STRONG}
+    guess = Tagger(dict.fromkeys(strong, 8.0), -4.0, np.zeros((2, 2)), np.zeros(2))
+    tags = [([i for i, w in enumerate(words) if label and guess.words[w] is not None], []) for words, label in docs]
+    for i in range(PASSES):
+        tagger = fit(_windows(docs, tags), sorted(odds), rounds, l2)
+        if i + 1 < PASSES:
+            tags = [_tagged(tagger, words, label) for words, label in docs]
+    rows = np.array([tagger.summary(words)[:2] for words, _ in docs] or [(0.0, 0.0)])
+    labels = np.array([t for _, t in docs] or [0], float)
+    design = np.column_stack([np.ones(len(rows)), rows])
+    beta = np.zeros(3)
+    for _ in range(50):  # Newton steps with a weak pull to 0
+        q = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
+        h = (design * (q * (1 - q))[:, None]).T @ design + 0.01 * np.eye(3)
+        beta = beta + np.linalg.solve(h, design.T @ (labels - q) - 0.01 * beta)
+    tagger.fit = tuple(float(b) for b in beta)
+    return tagger
 
 
-def train(docs: list[tuple[list[str], int]], rounds: int = 80, l2: float = 1e-3) -> Tagger:
-    """Fit the chain by gradient ascent on the conditional likelihood, then the document score by logistic regression."""
-    toxic = toxic_features(docs)
-    data = _windows(docs, toxic)
-    names = sorted({f for part, tags in data for w, t in zip(part, tags) if t for f in features(w) if f in toxic})
+def fit(data: list[tuple[list[str], list[int]]], names: list[str], rounds: int, l2: float) -> Tagger:
+    """The chain of the greatest conditional likelihood of tagged sequences, by gradient ascent."""
     index = {w: i + 1 for i, w in enumerate(names)}
     size = max((len(p) for p, _ in data), default=1)
     x = np.zeros((max(1, len(data)), size, 1 + len(PREFIXES)), np.int64)
@@ -227,21 +255,12 @@ def train(docs: list[tuple[list[str], int]], rounds: int = 80, l2: float = 1e-3)
         gap = (y * mask) - p[..., 1]
         g_w = np.bincount(x.ravel(), weights=np.repeat(gap.ravel(), x.shape[2]), minlength=k + 1)[1:]
         first = np.stack([1 - y[:, 0], y[:, 0]], axis=1) - p[:, 0]
-        grad = np.concatenate([g_w, [gap.sum()], g_step.ravel(), (first * mask[:, :1]).sum(axis=0)]) / total - l2 * theta
+        grad = np.concatenate([g_w, [gap.sum()], g_step.ravel(), (first * mask[:, :1]).sum(axis=0)]) / total - l2 * theta * np.concatenate([np.ones(k), np.zeros(7)])
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
         theta = theta + 0.15 * (m / (1 - 0.9**r)) / (np.sqrt(v / (1 - 0.99**r)) + 1e-8)
     k = len(names)
-    tagger = Tagger(dict(zip(names, theta[:k].tolist())), float(theta[k]), theta[k + 1 : k + 5].reshape(2, 2), theta[k + 5 :])
-    rows = np.array([tagger.summary(words)[:2] for words, _ in docs] or [(0.0, 0.0)])
-    labels = np.array([t for _, t in docs] or [0], float)
-    design = np.column_stack([np.ones(len(rows)), rows])
-    beta = np.zeros(3)
-    for _ in range(50):  # Newton steps with a weak pull to 0
-        q = 1 / (1 + np.exp(-np.clip(design @ beta, -30, 30)))
-        h = (design * (q * (1 - q))[:, None]).T @ design + 0.01 * np.eye(3)
-        beta = beta + np.linalg.solve(h, design.T @ (labels - q) - 0.01 * beta)
-    tagger.fit = tuple(float(b) for b in beta)
-    return tagger
+    weights = {f: x for f, x in zip(names, theta[:k].tolist()) if abs(x) >= LEAST_WEIGHT}
+    return Tagger(weights, float(theta[k]), theta[k + 1 : k + 5].reshape(2, 2), theta[k + 5 :])
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[list[str], int]]:
@@ -249,10 +268,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.filter(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id", F.lit(3)))
     picked = known.filter("toxic = 1").orderBy("h", "doc_id").limit(rows).unionByName(known.filter("toxic = 0").orderBy("h", "doc_id").limit(rows))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter(F.length("text") <= 10 * TRAIN_WORDS)
-    found = texts.join(F.broadcast(picked), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "toxic").toLocalIterator()
-    out = sorted((r["doc_id"], r["toxic"], r["text"]) for r in found)
-    return [(words, int(label)) for _, label, text in out if len(words := tokens(text)) <= TRAIN_WORDS]
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").filter(F.regexp_count("text", F.lit(r"\S+")) <= TRAIN_WORDS)
+    found = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")).toLocalIterator()
+    return [(tokens(text), int(label)) for _, label, text in sorted((r["doc_id"], r["toxic"], r["text"]) for r in found)]
 
 
 def _offsets(text: str, at: np.ndarray) -> list[tuple[int, int]]:
@@ -291,14 +309,14 @@ _TYPES = "doc_id long, held_out boolean, score double, predicted int, n_words lo
 def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted, n_words, n_toxic, spans.
 
-    The chain is fitted on at most rows documents of each class of labels (the documented bound of the sample). Labels mark
-    documents, so tokens are labelled by their words: those that stand in toxic documents with many different neighbours
-    and hardly in others. Every whole text is tagged by forward-backward; spans are the code points of words whose toxic
-    marginal is 0.5 or more, score is a logistic function of the largest and the summed marginals. Only the text is input
-    of a score.
+    The chain is fitted on at most rows documents of each class of labels, of at most TRAIN_WORDS words (the documented bound
+    of the sample). Labels mark documents; the tags of their words are found in rounds of fitting and tagging, see train().
+    Every whole text is tagged by forward-backward; spans are the code points of words whose toxic marginal is 0.5 or more,
+    score is a logistic function of the largest marginal and the sum of all. Only the text is input of a score.
 
     Nulls and empty texts: no words, the score of a document without any toxic word. A null doc_id never has a label.
-    Repeated rows are scored each; a document with several labels is toxic if any is. Without labels nothing is toxic and
+    Repeated rows are scored each; a document with several labels is toxic if any is, and of several texts of one id the
+    first by code point is learned from. Without labels nothing is toxic and
     all scores are one low constant or near it. An empty table gives no rows; other columns are ignored.
     """
     tagger = train(training_rows(docs, labels, rows))

@@ -134,8 +134,27 @@ def test_marginals_are_those_of_all_paths():
         s = tagger.start[tags[0]] + sum(t * (tagger.bias + w) for t, w in zip(tags, weight)) + sum(tagger.step[a, b] for a, b in zip(tags, tags[1:]))
         total += math.exp(s)
         part += math.exp(s) * np.array(tags)
-    at, m = tagger.tag(text)
-    assert at.tolist() == [2, 6, 7] and np.allclose(m, (part / total)[at])
+    at, m, expected = tagger.tag(text)
+    assert at.tolist() == [2, 6, 7] and np.allclose(m, (part / total)[at]) and abs(expected - (part / total).sum()) < 1e-9
+
+
+def test_expected_number_of_toxic_words():
+    rng = random.Random(20)
+    tagger = toxicity.Tagger({"bad": 2.0, "good": -1.0}, -1.5, np.array([[0.3, -0.4], [-0.2, 0.5]]), np.array([0.4, -0.4]))
+    for n in (0, 1, 2, 70, 500, 3000):
+        text = [rng.choice(["bad", "good", *["w"] * rng.choice([2, 60])]) for _ in range(n)] if n != 500 else ["w"] * n
+        steps = np.exp(tagger.step)
+        emit = [np.array([1.0, math.exp(tagger.bias + (tagger.words[w] or 0.0))]) for w in text]
+        forward, backward = [], [np.ones(2)]
+        for i, e in enumerate(emit):
+            v = e * (np.exp(tagger.start) if i == 0 else forward[-1] @ steps)
+            forward.append(v / v.sum())
+        for e in reversed(emit[1:]):
+            u = steps @ (e * backward[-1])
+            backward.append(u / u.sum())
+        both = [f * b / (f @ b) for f, b in zip(forward, reversed(backward))] if n else []
+        at, m, expected = tagger.tag(text)
+        assert abs(expected - sum(b[1] for b in both)) < 1e-6 and np.allclose(m, [both[i][1] for i in at])
 
 
 def test_licenses(spark):
