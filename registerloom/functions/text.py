@@ -37,6 +37,14 @@ def replace_all(c: Column, pairs) -> Column:
     return reduce(lambda x, kv: F.replace(x, F.lit(kv[0]), F.lit(kv[1])), pairs, c)
 
 
+def where_any(c: Column, characters: str, change) -> Column:
+    """change(c) where c holds any of the characters, else c: most texts need one look instead of all replacements."""
+    inside = "".join(f"\\x{{{ord(x):x}}}" for x in dict.fromkeys(characters))
+    # the text is a variable in here, so what was done to it before is done once
+    once = F.transform(F.array(c), lambda x: F.when(F.regexp_like(x, F.lit(f"[{inside}]")), change(x)).otherwise(x))
+    return F.element_at(once, 1)
+
+
 def strip(c: Column | str) -> Column:
     """Without white space, as Unicode has it, at both ends."""
     return F.regexp_replace(_column(c), rf"\A{WS}+|{WS}+\z", "")
@@ -48,16 +56,20 @@ def normalize_text(c: Column | str) -> Column:
     A text that reads as UTF-8 when taken for Latin-1 bytes is decoded so as a whole; then fixed replacements, long s,
     umlauts; stray accents go and white space collapses."""
     c = _column(c)
-    bytes_ = F.encode(F.when(F.regexp_like(c, F.lit(r"\A[\x00-\xff]*\z")), c), "ISO-8859-1")
+    latin = F.octet_length(c) > F.length(c)  # text of ASCII alone reads the same
+    bytes_ = F.encode(F.when(latin & F.regexp_like(c, F.lit(r"\A[\x00-\xff]*\z")), c), "ISO-8859-1")
     c = F.coalesce(F.try_validate_utf8(bytes_.cast("string")), c)
-    c = replace_all(c, [*MOJIBAKE, ("ſ", "s"), *UMLAUTS])
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "[~`^¨´]", ""), f"{WS}+", " "))
+    c = where_any(c, "".join(a[0] for a, _ in MOJIBAKE), lambda x: replace_all(x, MOJIBAKE))
+    c = where_any(c, "ſ" + "".join(a for a, _ in UMLAUTS), lambda x: replace_all(x, [("ſ", "s"), *UMLAUTS]))
+    c = where_any(c, "~`^¨´", lambda x: F.regexp_replace(x, "[~`^¨´]", ""))
+    return F.trim(F.regexp_replace(c, f"{WS}+", " "))
 
 
 def clean_uri(c: Column | str) -> Column:
     """Local name of an IRI; an empty or null text is 'unknown'."""
     c = _column(c)
-    slug = F.regexp_replace(F.replace(replace_all(strip(c), UMLAUTS), F.lit(" "), F.lit("_")), r"[^\p{L}\p{N}_]", "")
+    ascii_ = where_any(strip(c), "".join(a for a, _ in UMLAUTS), lambda x: replace_all(x, UMLAUTS))
+    slug = F.regexp_replace(F.replace(ascii_, F.lit(" "), F.lit("_")), r"[^\p{L}\p{N}_]+", "")
     return F.when(F.coalesce(c, F.lit("")) == "", F.lit("unknown")).otherwise(slug)
 
 
@@ -127,11 +139,15 @@ def chunk_words(c: Column | str, max_words: int = 500, overlap: int = 50, mode:
     step = max_words if mode == "compat" else max_words - overlap
     if step <= 0:
         raise ValueError("sliding windows must advance")
-    w = words(c)
-    # a sliding window that starts where the one before has already reached the end says nothing new
-    last = F.size(w) - 1 if mode == "compat" else F.greatest(F.lit(0), F.size(w) - overlap - 1)
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(F.expr("cast(array() as array<int>)"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, max_words), " "))
+    empty = F.expr("cast(array() as array<int>)")
+
+    def windows(w: Column) -> Column:
+        # a sliding window that starts where the one before has already reached the end says nothing new
+        last = F.size(w) - 1 if mode == "compat" else F.greatest(F.lit(0), F.size(w) - overlap - 1)
+        starts = F.when(F.size(w) > 0, F.sequence(F.lit(0), last, F.lit(step))).otherwise(empty)
+        return F.transform(starts, lambda i: F.array_join(F.slice(w, i + 1, max_words), " "))
+
+    return F.flatten(F.transform(F.array(words(c)), windows))  # the words are a variable in here, so a text is split once
 
 
 def json_objects(c: Column | str) -> Column:

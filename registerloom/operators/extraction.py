@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -26,13 +27,15 @@ class Extractor(Protocol):
 
 @dataclass(frozen=True)
 class Options:
-    """Settings of a run: words of a chunk, their overlap, its mode, parallel tasks, attempts, back-off and policy."""
+    """Settings of a run: words of a chunk, their overlap, its mode, calls at a time in each task, seconds that a call may take,
+    attempts, back-off, pause between calls and policy."""
 
     max_words: int = 500
     overlap: int = 50
     chunk_mode: str = "compat"
     mode: str = "parallel"
-    tasks: int = 5
+    concurrent: int = 5
+    timeout: float = 180.0
     attempts: int = 3
     backoff: float = 1.5
     delay: float = 0.0
@@ -45,29 +48,43 @@ def chunks(texts: DataFrame, options: Options = Options()) -> DataFrame:
     return texts.select("file", F.posexplode(windows).alias("pos", "chunk")).select("file", (F.col("pos") + 1).alias("chunk_id"), "chunk")
 
 
+def prompt(instruction: str, text: Column | str) -> Column:
+    """What a model is asked: the instruction and the text, one after the other."""
+    return F.concat(F.lit(instruction), F.col(text) if isinstance(text, str) else text)
+
+
 def answers(chunk_rows: DataFrame, make: Callable[[], Extractor], options: Options = Options()) -> DataFrame:
-    """chunk rows with answer (null after the last failed attempt), attempts and seconds; make() is called in each task."""
+    """chunk rows with answer (null after the last failed attempt), attempts and seconds; make() is called in each task.
+
+    A task has options.concurrent calls under way at a time, answers keep the order of chunks, and a call that takes longer
+    than options.timeout is a failed attempt. There are as many tasks as the table has partitions; the mode 'sequential'
+    makes one call after the other in a single task."""
+    sequential = options.mode == "sequential"
+
+    def one(ask: Extractor, pool: ThreadPoolExecutor | None, chunk: str) -> tuple[str | None, int, float]:
+        began, answer, tries = time.time(), None, 0
+        while not answer and tries < options.attempts:
+            if tries:
+                time.sleep(options.backoff * tries)
+            tries += 1
+            try:
+                answer = (ask(chunk) if pool is None else pool.submit(ask, chunk).result(options.timeout)) or None
+            except Exception:  # noqa: BLE001  the outcome of the chunk says it
+                answer = None
+        if options.delay:
+            time.sleep(options.delay)
+        return answer, tries, time.time() - began
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask = make()
-        for pdf in batches:
-            rows = []
-            for chunk in pdf["chunk"]:
-                began, answer, tries = time.time(), None, 0
-                while not answer and tries < options.attempts:
-                    if tries:
-                        time.sleep(options.backoff * tries)
-                    tries += 1
-                    try:
-                        answer = ask(chunk) or None
-                    except Exception:  # noqa: BLE001  the outcome of the chunk says it
-                        answer = None
-                if options.delay:
-                    time.sleep(options.delay)
-                rows.append((answer, tries, time.time() - began))
-            yield pd.DataFrame({"file": pdf["file"], "chunk_id": pdf["chunk_id"], "answer": [r[0] for r in rows], "attempts": [r[1] for r in rows], "seconds": [r[2] for r in rows]})
-
-    dealt = chunk_rows.coalesce(1) if options.mode == "sequential" else chunk_rows.repartition(options.tasks)
+        ask, width = make(), 1 if sequential else options.concurrent
+        calls = ThreadPoolExecutor(2 * width)  # a call that hangs holds a thread, not its place among those under way
+        with ThreadPoolExecutor(width) as chunks_:
+            for pdf in batches:
+                rows = list(chunks_.map(lambda chunk: one(ask, calls if options.timeout else None, chunk), pdf["chunk"]))
+                yield pd.DataFrame({"file": pdf["file"], "chunk_id": pdf["chunk_id"], "answer": [r[0] for r in rows], "attempts": [r[1] for r in rows], "seconds": [r[2] for r in rows]})
+        calls.shutdown(wait=False, cancel_futures=True)
+
+    dealt = chunk_rows.coalesce(1) if sequential else chunk_rows
     return dealt.mapInPandas(run, "file string, chunk_id int, answer string, attempts int, seconds double")
 
 

@@ -196,6 +196,14 @@ def select_by_property(rows: DataFrame, column: str, values: list[str]) -> DataF
     return rows.filter(F.col(column).isin(values))
 
 
+def selected_nodes(node_rows: DataFrame, edge_rows: DataFrame, column: str, values: list[str], of: str = "nodes") -> DataFrame:
+    """id of the nodes whose property has one of the values, or of both ends of such edges (of = 'edges')."""
+    if of == "nodes":
+        return select_by_property(node_rows, column, values).select("id").distinct()
+    ends = select_by_property(edge_rows, column, values).select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+    return ends.join(node_rows.select("id"), "id", "left_semi")
+
+
 def neighbours(edge_rows: DataFrame, start: DataFrame, hops: int = 2) -> DataFrame:
     """node, distance of all nodes within hops of start (node), along edges (src, dst) in either direction."""
     both = edge_rows.select("src", "dst").unionByName(edge_rows.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
@@ -208,18 +216,20 @@ def neighbours(edge_rows: DataFrame, start: DataFrame, hops: int = 2) -> DataFra
     return seen
 
 
-def closure(edge_rows: DataFrame, max_depth: int | None = None) -> DataFrame:
+def closure(edge_rows: DataFrame, max_depth: int | None = None, starts: DataFrame | None = None) -> DataFrame:
     """src, dst, depth: what each node reaches along edges (src, dst), by the fewest steps; cycles end by themselves.
 
-    Each round joins only what the last one found; rounds are stored, so the plan does not grow."""
+    starts (node), if given, are the only sources: nothing else is followed. Each round joins only what the last one found;
+    rounds are stored, so the plan does not grow."""
     step = stored(edge_rows.select("src", "dst").filter("src is not null and dst is not null").distinct())
-    front = step.withColumn("depth", F.lit(1))
-    seen, depth = front, 1
+    front = step if starts is None else step.join(starts.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+    seen = front = front.withColumn("depth", F.lit(1))
+    depth = 1
     while max_depth is None or depth < max_depth:
         depth += 1
         more = front.select(F.col("src").alias("a"), F.col("dst").alias("m")).join(step, F.col("m") == step["src"]).select(F.col("a").alias("src"), "dst").distinct()
         front = stored(more.join(seen, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
-        if not front.limit(1).count():
+        if front.isEmpty():
             break
         seen = seen.unionByName(front)
     return seen

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import functools
 import re
+from collections import Counter
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +17,9 @@ WEIGHTS = {"Court_name": 2, "Date_of_article": 1, "Company_name": 2, "Registrati
 EXACT = ("Registration_Code", "Registration_year")
 #: Fuzzy matches below this sum of two similarities don't count.
 FLOOR = 0.5
+_KINDS = {
+    "doc": pa.string(), "truth_row": pa.int64(), "parsed_row": pa.int64(), "score": pa.float64(), "code_mismatch": pa.bool_(), "year_mismatch": pa.bool_(),
+}
 RESULT = "doc string, truth_row long, parsed_row long, score double, code_mismatch boolean, year_mismatch boolean"
 
 
@@ -21,9 +27,26 @@ def squeezed(value) -> str:
     return re.sub(r"[\s\-.,⸗]", "", str(value).lower()) if isinstance(value, str) else ""
 
 
+@functools.lru_cache(maxsize=200_000)
+def ratio(a: str, b: str) -> float:
+    """Ratcliff-Obershelp ratio; 1 for two empty texts. The order of arguments matters."""
+    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+
+
 def similarity(a, b) -> float:
-    """Ratcliff-Obershelp ratio of squeezed strings; 1 for two empty ones. The order of arguments matters."""
-    return SequenceMatcher(None, squeezed(a), squeezed(b)).ratio()
+    return ratio(squeezed(a), squeezed(b))
+
+
+def most(a: str, b: str) -> float:
+    """What ratio(a, b) is at most: their common letters, in whatever order, over all letters."""
+    if not a or not b:
+        return float(a == b)
+    return 2.0 * sum((_letters(a) & _letters(b)).values()) / (len(a) + len(b))
+
+
+@functools.lru_cache(maxsize=100_000)
+def _letters(a: str) -> Counter:
+    return Counter(a)
 
 
 def contained(a, b) -> int:
@@ -42,32 +65,51 @@ def equal(a, b) -> int:
 def _fields(t: dict, p: dict, fuzzy: bool) -> float:
     total = 0.0
     for name, weight in WEIGHTS.items():
-        a, b = t[name], p[name]
         if fuzzy:
-            total += weight * (float(squeezed(a) == squeezed(b)) if name in EXACT else similarity(a, b))
+            a, b = t["squeezed"][name], p["squeezed"][name]
+            total += weight * (float(a == b) if name in EXACT else ratio(a, b))
         else:
-            total += weight * (equal(a, b) if name in EXACT else contained(a, b))
+            total += weight * (equal(t[name], p[name]) if name in EXACT else contained(t[name], p[name]))
     return total
 
 
+def _likest(t: dict, left: dict[int, dict]) -> tuple[int | None, float]:
+    """The first of the records left with the greatest sum of similarities of court and company, and the sum.
+
+    Records are taken in falling order of what the sum is at most, so most of them are never compared."""
+    court, company = t["squeezed"]["Court_name"], t["squeezed"]["Company_name"]
+    bounds = sorted((-most(court, p["squeezed"]["Court_name"]) - most(company, p["squeezed"]["Company_name"]), i) for i, p in left.items())
+    best, score = None, -1.0
+    for bound, i in bounds:
+        if -bound < score:
+            break
+        p = left[i]["squeezed"]
+        s = ratio(court, p["Court_name"]) + ratio(company, p["Company_name"])
+        if s > score or (s == score and i < best):
+            best, score = i, s
+    return best, score
+
+
 def _assign(truth: list[dict], parsed: list[dict], fuzzy: bool) -> list[tuple]:
-    used, out = set(), []
+    for r in [*truth, *parsed]:
+        r["squeezed"] = {n: squeezed(r[n]) for n in WEIGHTS}
+    left, out = dict(enumerate(parsed)), []
     for t in truth:
-        best, score = None, -1.0 if fuzzy else 0.0
-        for i, p in enumerate(parsed):
-            if i in used:
-                continue
-            s = similarity(t["Court_name"], p["Court_name"]) + similarity(t["Company_name"], p["Company_name"]) if fuzzy else _fields(t, p, False)
-            if s > score:
-                best, score = i, s
+        if fuzzy:
+            best, score = _likest(t, left)
+        else:
+            best, score = None, 0.0
+            for i, p in left.items():
+                s = _fields(t, p, False)
+                if s > score:
+                    best, score = i, s
         if best is None or (fuzzy and score < FLOOR):
             # a code that nothing was matched with is a mismatch for one method only
             out.append((t["row"], None, 0.0, not fuzzy and bool(t["Registration_Code"]), False))
             continue
-        used.add(best)
-        p = parsed[best]
+        p = left.pop(best)
         if fuzzy:
-            code, year = (squeezed(t[n]) != squeezed(p[n]) for n in EXACT)
+            code, year = (t["squeezed"][n] != p["squeezed"][n] for n in EXACT)
         else:
             said = lambda v: v.lower().strip() if isinstance(v, str) and v else "none"
             code, year = (bool(t[n] or p[n]) and said(t[n]) != said(p[n]) for n in EXACT)
@@ -84,16 +126,22 @@ def match_records(truth: DataFrame, parsed: DataFrame, method: str = "fuzzy") ->
     if method not in ("fuzzy", "containment"):
         raise ValueError("method is fuzzy or containment")
 
-    names = ["doc", "row", *WEIGHTS]
+    names = ["row", *WEIGHTS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for doc, left, right in zip(*(batch.column(c).to_pylist() for c in ("doc", "truth", "parsed"))):
+                out += [(doc, *r) for r in _assign(left, right or [], method == "fuzzy")]
+            columns = list(zip(*out)) if out else [()] * len(_KINDS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS.values())], list(_KINDS))
 
-    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        right = right.set_axis(names, axis=1)
-        rows = [df.sort_values("row").astype(object).where(df.notna(), None).to_dict("records") for df in (left, right)]
-        out = [(left["doc"].iloc[0], *r) for r in _assign(*rows, method == "fuzzy")] if len(left) else []
-        return pd.DataFrame(out, columns=[c.split()[0] for c in RESULT.split(", ")]).astype({"parsed_row": "Int64"})
+    def pages(df: DataFrame, name: str) -> DataFrame:
+        """A row for each page with its records in order: many pages then go through Python at a time."""
+        return df.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct(F.col("row").cast("long").alias("row"), *WEIGHTS))).alias(name))
 
-    other = parsed.select(*[F.col(n).alias(f"p_{n}") for n in names])  # own names: both may come from one table
-    return truth.select(*names).groupBy("doc").cogroup(other.groupBy("p_doc")).applyInPandas(run, RESULT)
+    both = pages(truth.select("doc", *names), "truth").join(pages(parsed.select("doc", *names), "parsed"), "doc", "left")
+    return both.select(F.col("doc").cast("string").alias("doc"), "truth", "parsed").mapInArrow(run, RESULT)
 
 
 def summary(matches: DataFrame) -> DataFrame:

@@ -26,6 +26,8 @@ _TOKENS = re.compile(
     |(?P<op>\^\^|\|\||&&|!=|<=|>=|[{}().;,*/+!=<>|^?\[\]-])""",
     re.X,
 )
+#: Relations of texts to the words and entities that they hold.
+CONTAINS_WORD, CONTAINS_ENTITY = S.QL + "contains-word", S.QL + "contains-entity"
 _AGGREGATES = {"COUNT", "SUM", "AVG", "MIN", "MAX", "SAMPLE", "GROUP_CONCAT"}
 _ESCAPES = {"n": "\n", "t": "\t", "r": "\r", '"': '"', "'": "'", "\\": "\\"}
 
@@ -428,8 +430,11 @@ class Graph:
         self.triples, self.wide, self.strict = triples, wide, strict_types
         self.spark = triples.sparkSession
 
-    def query(self, text: str) -> DataFrame:
+    def query(self, text: str, cap: int | None = None) -> DataFrame:
+        """The result of a query; with cap, at most so many rows where the query itself sets no limit."""
         q = parse(text)
+        if cap is not None and q.limit is None:
+            q.limit = cap
         rel = self.run(q)
         names = [n for n, _ in q.items] or list(rel.kinds)
         out = [(lexical(F.col(f"`{n}`")) if rel.kinds[n] == "term" else F.col(f"`{n}`")).alias(n) for n in names]
@@ -564,6 +569,9 @@ class Graph:
         for n in shared:
             if left.kinds[n] != right.kinds[n]:
                 raise SparqlError(f"?{n} is a term in one pattern and computed in the other")
+        unsure = [n for n in shared if n in left.maybe or n in right.maybe]
+        if how == "inner" and unsure and not conditions:
+            return self.apart(left, right, unsure)
         r = right.df.select(*[F.col(f"`{n}`").alias(f"__r_{n}") for n in right.kinds])
         on = None
         for n in shared:
@@ -581,16 +589,41 @@ class Graph:
             for e in conditions:
                 test = self.truth(e, both, names)
                 on = test if on is None else on & test
+        # patterns that share nothing have a product for a result, as the language says
         df = left.df.join(r, on, how) if on is not None else left.df.crossJoin(r) if how == "inner" else left.df.join(r, F.lit(True), how)
         out = []
         for n in kinds:
             a, b = F.col(f"`{n}`"), F.col(f"`__r_{n}`")
             out.append((a if n not in right.kinds else b if n not in left.kinds else F.coalesce(a, b) if n in left.maybe else a).alias(n))
+        return Rel(df.select(*out), kinds, self._maybe(left, right, how, kinds))
+
+    @staticmethod
+    def _maybe(left: Rel, right: Rel, how: str, kinds) -> set[str]:
         if how == "inner":
-            maybe = {n for n in kinds if (n not in left.kinds or n in left.maybe) and (n not in right.kinds or n in right.maybe)}
-        else:
-            maybe = left.maybe | {n for n in right.kinds if n not in left.kinds}
-        return Rel(df.select(*out), kinds, maybe)
+            return {n for n in kinds if (n not in left.kinds or n in left.maybe) and (n not in right.kinds or n in right.maybe)}
+        return left.maybe | {n for n in right.kinds if n not in left.kinds}
+
+    def apart(self, left: Rel, right: Rel, unsure: list[str]) -> Rel:
+        """An inner join by cases of which shared variables are bound on either side, so that each case joins on equal values."""
+        n = unsure[0]
+        out = []
+        for a in (True, False) if n in left.maybe else (True,):
+            for b in (True, False) if n in right.maybe else (True,):
+                x, y = (self.case(rel, n, bound) if n in rel.maybe else rel for rel, bound in ((left, a), (right, b)))
+                out.append(self.join(x, y, "inner"))
+        kinds = {**left.kinds, **right.kinds}
+        df = out[0].df
+        for rel in out[1:]:
+            df = df.unionByName(rel.df, allowMissingColumns=True)
+        return Rel(df.select(*[F.col(f"`{k}`") for k in kinds]), kinds, self._maybe(left, right, "inner", kinds))
+
+    @staticmethod
+    def case(rel: Rel, n: str, bound: bool) -> Rel:
+        """Rows with ?n bound, or those without, which then have no such variable."""
+        c = F.col(f"`{n}`")
+        if bound:
+            return Rel(rel.df.filter(c.isNotNull()), rel.kinds, rel.maybe - {n})
+        return Rel(rel.df.filter(c.isNull()).drop(n), {k: v for k, v in rel.kinds.items() if k != n}, rel.maybe - {n})
 
     def minus(self, left: Rel, right: Rel) -> Rel:
         shared = [n for n in right.kinds if n in left.kinds]
@@ -646,8 +679,10 @@ class Graph:
 
     def scan(self, pattern: tuple) -> Rel:
         s, p, o = pattern
+        if isinstance(p, Iri) and p.value in (CONTAINS_WORD, CONTAINS_ENTITY):
+            return self.mentions(s, p.value, o)
         if isinstance(p, Path):
-            df = self.pairs(p)
+            df = self.ends(s, p, o)
             columns = [(s, F.col("a")), (o, F.col("b"))]
         else:
             df = self.triples
@@ -669,22 +704,57 @@ class Graph:
                 df = df.filter(c == constant(term))
         return Rel(df.select(*[c.alias(n) for n, c in names.items()]), dict.fromkeys(names, "term"))
 
-    def pairs(self, path) -> DataFrame:
-        """Ends (a, b) of a property path."""
+    def mentions(self, s, relation: str, o) -> Rel:
+        """Texts, the literals of the graph, that hold words (all of a literal's; one ending in * is a beginning), or that belong
+        to an entity's own statements."""
+        if not isinstance(s, Var):
+            raise SparqlError("a text is a variable")
+        texts = self.triples.filter("o_kind = 'literal'").select(F.concat(F.lit("<"), F.col("s")).alias("entity"), encode(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang")).alias("text"), F.col("o"))
+        if relation == CONTAINS_ENTITY:
+            if isinstance(o, Var):
+                return Rel(texts.select(F.col("text").alias(s.name), F.col("entity").alias(o.name)).distinct(), dict.fromkeys((s.name, o.name), "term"))
+            return Rel(texts.filter(F.col("entity") == constant(o)).select(F.col("text").alias(s.name)).distinct(), {s.name: "term"})
+        if not isinstance(o, Literal):
+            raise SparqlError("the words are a literal")
+        words = F.split(F.lower("o"), r"[^\p{L}\p{N}]+")
+        for word in o.value.lower().split():
+            texts = texts.filter(_begins(words, word[:-1]) if word.endswith("*") else F.array_contains(words, word))
+        return Rel(texts.select(F.col("text").alias(s.name)).distinct(), {s.name: "term"})
+
+    def ends(self, s, path: Path, o) -> DataFrame:
+        """Ends (a, b) of a path between two terms; it is followed from a bound one, backwards if only the object is."""
+        if isinstance(o, (Iri, Literal)) and not isinstance(s, (Iri, Literal)):
+            return self.pairs(Path("inv", (path,)), self.one(o)).select(F.col("b").alias("a"), F.col("a").alias("b"))
+        return self.pairs(path, self.one(s) if isinstance(s, (Iri, Literal)) else None)
+
+    def one(self, term) -> DataFrame:
+        return self.spark.createDataFrame([(constant(term),)], "node string")
+
+    def pairs(self, path, starts: DataFrame | None = None) -> DataFrame:
+        """Ends (a, b) of a property path; only those with a in starts (node), if given."""
         if isinstance(path, Iri):
             found = self.triples.filter(F.col("p") == path.value)
-            return found.select(F.concat(F.lit("<"), F.col("s")).alias("a"), encode(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang")).alias("b"))
-        parts = [self.pairs(p) for p in path.parts]
+            found = found.select(F.concat(F.lit("<"), F.col("s")).alias("a"), encode(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang")).alias("b"))
+            return found if starts is None else found.join(starts, found["a"] == starts["node"], "left_semi")
         if path.kind == "inv":
-            return parts[0].select(F.col("b").alias("a"), F.col("a").alias("b"))
+            inner = path.parts[0]
+            if isinstance(inner, Path):  # the parts are followed backwards, in reverse order
+                parts = tuple(Path("inv", (p,)) for p in inner.parts)
+                return self.pairs(inner.parts[0] if inner.kind == "inv" else Path(inner.kind, parts[::-1] if inner.kind == "seq" else parts), starts)
+            found = self.pairs(inner).select(F.col("b").alias("a"), F.col("a").alias("b"))
+            return found if starts is None else found.join(starts, found["a"] == starts["node"], "left_semi")
         if path.kind == "seq":
-            return parts[0].select("a", F.col("b").alias("m")).join(parts[1].select(F.col("a").alias("m"), "b"), "m").select("a", "b")
+            left = self.pairs(path.parts[0], starts).select("a", F.col("b").alias("m"))
+            right = self.pairs(path.parts[1], left.select(F.col("m").alias("node")).distinct() if _repeats(path.parts[1]) else None)
+            return left.join(right.select(F.col("a").alias("m"), "b"), "m").select("a", "b")
         if path.kind == "alt":
-            return parts[0].unionByName(parts[1])
+            return self.pairs(path.parts[0], starts).unionByName(self.pairs(path.parts[1], starts))
+        same = self.nodes()
+        same = same if starts is None else same.join(starts, same["a"] == starts["node"], "left_semi")
         if path.kind == "opt":
-            return parts[0].unionByName(self.nodes()).distinct()
-        reached = closure(parts[0].select(F.col("a").alias("src"), F.col("b").alias("dst"))).select(F.col("src").alias("a"), F.col("dst").alias("b"))
-        return reached if path.kind == "plus" else reached.unionByName(self.nodes()).distinct()
+            return self.pairs(path.parts[0], starts).unionByName(same).distinct()
+        reached = closure(self.pairs(path.parts[0]).select(F.col("a").alias("src"), F.col("b").alias("dst")), starts=starts).select(F.col("src").alias("a"), F.col("dst").alias("b"))
+        return reached if path.kind == "plus" else reached.unionByName(same).distinct()
 
     def nodes(self) -> DataFrame:
         ends = self.triples.select(F.concat(F.lit("<"), F.col("s")).alias("a")).unionByName(self.triples.select(encode(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang")).alias("a"))).distinct()
@@ -767,11 +837,17 @@ class Graph:
 
     def called(self, name: str, e: Expr, args: list, rel: Rel, names) -> tuple[Column, str]:
         text = [self.string(*a) for a in args]
+        if name in ("TEXT", "SCORE"):  # of a text: itself, and the number of its words
+            if not (args and args[0][1] == "term"):
+                raise SparqlError(f"{name} is of a text")
+            return (text[0], "string") if name == "TEXT" else (F.size(F.split(text[0], r"[^\p{L}\p{N}]+")), "number")
         if name == "BOUND":
             return args[0][0].isNotNull(), "bool"
         if name == "STR":
             return text[0], "string"
         if name == "REGEX":
+            if not all(isinstance(a, Literal) for a in e.args[1:]):
+                raise SparqlError("the pattern and the flags of REGEX are literals")
             flags = "(?iu)" if len(e.args) > 2 and "i" in e.args[2].value else ""
             return F.regexp_like(text[0], F.lit(flags + e.args[1].value)), "bool"
         simple = {
@@ -798,6 +874,14 @@ class Graph:
         raise SparqlError(f"no function {name}")
 
 
+def _begins(words: Column, start: str) -> Column:
+    return F.exists(words, lambda w: F.startswith(w, F.lit(start)))
+
+
+def _repeats(path) -> bool:
+    return isinstance(path, Path) and (path.kind in ("plus", "star") or any(map(_repeats, path.parts)))
+
+
 def _has_aggregate(e) -> bool:
     return isinstance(e, Expr) and (e.op.startswith("agg:") or any(map(_has_aggregate, e.args)))
 

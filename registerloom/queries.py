@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from . import schemas as S
 from .functions import text as X
 from .operators import extraction, graph, imprint, matching, registry
-from .plans import sparql
+from .plans import sparql, storage
+from .sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -44,8 +45,23 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_RECORDS.format(string="STRING", customer="{c}", nation="{n}"), c=table(spark, sf_dir, "customer"), n=table(spark, sf_dir, "nation"))
 
 
+def landed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A graph made of the base tables, landed once as an index by property; made anew when the tables change."""
+    stamp = storage.stamp(spark, *(f"{sf_dir}/{t}.parquet" for t in ("customer", "nation", "region")))
+    return storage.landed(spark, (name, sf_dir, stamp), build, files.write_index)
+
+
+def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of all records."""
+    return landed(spark, sf_dir, "raw", lambda: graph.triplify(records(spark, sf_dir)))
+
+
 def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph of all records, with lost territories and successors of courts."""
+    return landed(spark, sf_dir, "triples", lambda: _all_triples(spark, sf_dir))
+
+
+def _all_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = graph.triplify(records(spark, sf_dir))
     nation = table(spark, sf_dir, "nation")
     court = lambda c: F.concat(F.lit(S.COURT), X.clean_uri(F.concat(F.lit("Amtsgericht "), c)))
@@ -221,7 +237,7 @@ def _triplify(spark, sf_dir):
 
 @register("clean_graph_counts", _REC + _PREDICATES.format(year=_YEAR, more=""))
 def _clean(spark, sf_dir):
-    return graph.clean(graph.triplify(records(spark, sf_dir))).groupBy("p").agg(F.count("*").alias("n"))
+    return graph.clean(raw(spark, sf_dir)).groupBy("p").agg(F.count("*").alias("n"))
 
 
 @register(
@@ -229,7 +245,7 @@ def _clean(spark, sf_dir):
     _REC + f"SELECT {_COMPANY} AS uri, Company_name AS companyName, Court_name AS courtName, Registration_Code AS registrationCode, {_YEAR} AS registrationYear, {_COURT} AS courtURI, fileName FROM rec",
 )
 def _pivot(spark, sf_dir):
-    return graph.pivot(graph.triplify(records(spark, sf_dir)))
+    return graph.pivot(raw(spark, sf_dir))
 
 
 _ODD = """CASE {k} % 6 WHEN 0 THEN 'Amtsgericht ' || n_name WHEN 1 THEN 'Landgericht ' || n_name WHEN 2 THEN 'Polizeiamt' WHEN 3 THEN 'Regricht ' || n_name
@@ -340,15 +356,15 @@ def _khop(spark, sf_dir):
 
 @register("court_rank_slice", _REC + f"SELECT * FROM (SELECT court, n, CAST(row_number() OVER (ORDER BY n DESC, court) AS INTEGER) AS rank FROM (SELECT {_COURT} AS court, count(*) AS n FROM rec GROUP BY 1)) WHERE rank BETWEEN 3 AND 12")
 def _slice(spark, sf_dir):
-    return graph.top_courts(graph.triplify(records(spark, sf_dir)), 3, 12)
+    return graph.top_courts(raw(spark, sf_dir), 3, 12)
 
 
 _TOP = _REC.rstrip()[:-1] + f"), top AS (SELECT Court_name FROM rec GROUP BY 1 ORDER BY count(*) DESC, {_COURT} LIMIT 3), sub AS (SELECT * FROM rec WHERE Court_name IN (SELECT Court_name FROM top))\n"
 
 
 def _sub(spark, sf_dir):
-    t = graph.triplify(records(spark, sf_dir))
-    return graph.subgraph(t, graph.top_courts(t, 1, 3))
+    t = raw(spark, sf_dir)
+    return landed(spark, sf_dir, "subgraph", lambda: graph.subgraph(t, graph.top_courts(t, 1, 3)))
 
 
 @register("subgraph_semi_or", _TOP + _PREDICATES.format(year=_YEAR, more=" UNION ALL SELECT 'http://example.org/schema/articleDate', count(Date_of_article) FROM rec").replace("FROM rec", "FROM sub"))
@@ -486,14 +502,20 @@ def _imprint(spark, sf_dir):
     return imprint.ranked(rows).select("company", "pos", "score", "rank")
 
 
+_AT = "1 + doc_id * 7919 % greatest(1, length(text))"
+_KEYWORDS = "CASE doc_id % 4 WHEN 0 THEN 'Amtsgericht' WHEN 1 THEN 'Registration Court' WHEN 2 THEN 'Handelsregister' ELSE 'Registergericht' END"
+
+
 @register(
     "keyword_context",
-    "SELECT doc_id, CAST(length(substr(text, 1, 700)) AS INTEGER) AS start, 'Amtsgericht' AS matched, md5(right(substr(text, 1, 700), 500) || 'Amtsgericht' || substr(substr(text, 701), 1, 500)) AS h FROM documents WHERE doc_id % 2 = 0",
+    f"""WITH k AS (SELECT doc_id, {_KEYWORDS} AS matched, substr(text, 1, CAST({_AT} AS BIGINT)) AS head, substr(text, CAST({_AT} AS BIGINT) + 1) AS tail FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id, CAST(length(head) AS INTEGER) AS start, matched, md5(right(head, 500) || matched || substr(tail, 1, 500)) AS h FROM k""",
 )
 def _context(spark, sf_dir):
-    text = F.when(F.col("doc_id") % 2 == 0, F.concat(F.substring("text", 1, 700), F.lit("Amtsgericht"), F.substring("text", 701, 1 << 30))).otherwise("none here")
-    found = X.keyword_context(text)
-    return table(spark, sf_dir, "documents").select("doc_id", found.alias("c")).filter("c is not null").select("doc_id", "c.start", "c.matched", F.md5("c.context").alias("h"))
+    # a keyword goes into every text, each at its own place
+    text = F.expr(f"concat(substring(text, 1, cast({_AT} as int)), {_KEYWORDS}, substring(text, cast({_AT} as int) + 1))")
+    rows = table(spark, sf_dir, "documents").select("doc_id", X.keyword_context(text).alias("c")).filter("c is not null")
+    return rows.select("doc_id", "c.start", "c.matched", F.md5("c.context").alias("h"))
 
 
 @register(

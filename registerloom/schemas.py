@@ -37,4 +37,6 @@ XJUSTIZ = "http://example.org/XJustizID/"
 STATE = "http://example.org/State/"
 REGISTER_TYPE = "http://example.org/RegisterType/"
 A = RDF + "type"
-PREFIXES = {"rdf": RDF, "rdfs": RDFS, "xsd": XSD, "ex": EX, "comp": COMPANY, "court": COURT}
+#: Text relations of the query language.
+QL = "urn:ql:"
+PREFIXES = {"rdf": RDF, "rdfs": RDFS, "xsd": XSD, "ex": EX, "comp": COMPANY, "court": COURT, "ql": QL}

@@ -178,8 +178,17 @@ def write_turtle(triples: DataFrame, path: str) -> None:
 
 
 def write_index(triples: DataFrame, path: str, batch: int = 100_000) -> None:
-    """Triples by property, sorted by subject, in files of at most batch triples; a property may have several files."""
-    triples.repartition("p", F.pmod(F.xxhash64("s"), F.lit(32))).sortWithinPartitions("p", "s").write.mode("overwrite").option("maxRecordsPerFile", batch).partitionBy("p").parquet(path)
+    """Triples by property, sorted by subject, in files of at most batch triples.
+
+    The shuffle is by property and sized as it runs: a small property is one file, a large one is split into many tasks."""
+    rows = triples.hint("rebalance", F.col("p")).sortWithinPartitions("p", "s")
+    rows.write.mode("overwrite").option("maxRecordsPerFile", batch).partitionBy("p").parquet(path)
+
+
+def index_counts(triples: DataFrame) -> DataFrame:
+    """One row of an index's statistics: triples, subjects, objects, predicates."""
+    terms = F.concat_ws("\u0001", "o_kind", "o", F.coalesce("o_dt", F.lit("")), F.coalesce("o_lang", F.lit("")))
+    return triples.agg(F.count("*").alias("triples"), F.count_distinct("s").alias("subjects"), F.count_distinct(terms).alias("objects"), F.count_distinct("p").alias("predicates"))
 
 
 _TURTLE = re.compile(

@@ -100,7 +100,7 @@ def test_extraction(spark):
 
         return ask
 
-    options = extraction.Options(max_words=2, backoff=0.0, tasks=2)
+    options = extraction.Options(max_words=2, backoff=0.0, concurrent=2)
     done = extraction.files(texts, extraction.answers(extraction.chunks(texts, options), make, options), options)
     got = {r["file"]: (r["status"], len(r["records"] or []), r["failed"]) for r in done.collect()}
     assert got == {
