@@ -12,6 +12,10 @@ from ..functions import text as X
 from ..plans.storage import stored
 
 
+#: Steps along edges in one job.
+UNROLLED = 4
+
+
 def iri(s: Column, p: str, o: Column) -> Column:
     """A triple with an IRI for object, as a struct."""
     return F.struct(s.alias("s"), F.lit(p).alias("p"), o.alias("o"), F.lit("iri").alias("o_kind"), F.lit(None).cast("string").alias("o_dt"), F.lit(None).cast("string").alias("o_lang"))
@@ -219,19 +223,23 @@ def neighbours(edge_rows: DataFrame, start: DataFrame, hops: int = 2) -> DataFra
 def closure(edge_rows: DataFrame, max_depth: int | None = None, starts: DataFrame | None = None) -> DataFrame:
     """src, dst, depth: what each node reaches along edges (src, dst), by the fewest steps; cycles end by themselves.
 
-    starts (node), if given, are the only sources: nothing else is followed. Each round joins only what the last one found;
-    rounds are stored, so the plan does not grow."""
+    starts (node), if given, are the only sources: nothing else is followed. UNROLLED steps are taken in one job, each from
+    what the last one found; their results are stored, so the plan does not grow."""
     step = stored(edge_rows.select("src", "dst").filter("src is not null and dst is not null").distinct())
-    front = step if starts is None else step.join(starts.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
-    seen = front = front.withColumn("depth", F.lit(1))
+    seen = step if starts is None else step.join(starts.select(F.col("node").alias("src")).distinct(), "src", "left_semi")
+    front = seen = seen.withColumn("depth", F.lit(1))
     depth = 1
     while max_depth is None or depth < max_depth:
-        depth += 1
-        more = front.select(F.col("src").alias("a"), F.col("dst").alias("m")).join(step, F.col("m") == step["src"]).select(F.col("a").alias("src"), "dst").distinct()
-        front = stored(more.join(seen, ["src", "dst"], "left_anti").withColumn("depth", F.lit(depth)))
+        steps = []
+        for depth in range(depth + 1, min(depth + UNROLLED, max_depth or depth + UNROLLED) + 1):
+            front = front.select(F.col("src").alias("a"), F.col("dst").alias("m")).join(step, F.col("m") == step["src"]).select(F.col("a").alias("src"), "dst").distinct()
+            front = front.withColumn("depth", F.lit(depth))
+            steps.append(front)
+        found = reduce(DataFrame.unionByName, steps).groupBy("src", "dst").agg(F.min("depth").alias("depth"))
+        found = stored(found.join(seen.select("src", "dst"), ["src", "dst"], "left_anti"))
+        seen, front = seen.unionByName(found), found.filter(F.col("depth") == depth)
         if front.isEmpty():
             break
-        seen = seen.unionByName(front)
     return seen
 
 

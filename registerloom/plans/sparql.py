@@ -886,12 +886,22 @@ def _has_aggregate(e) -> bool:
     return isinstance(e, Expr) and (e.op.startswith("agg:") or any(map(_has_aggregate, e.args)))
 
 
+def single_valued(triples: DataFrame) -> list[str]:
+    """Properties that no subject has two values of; as many rows as there are properties are fetched."""
+    per = triples.groupBy("p", "s").agg(F.count("*").alias("n")).groupBy("p").agg(F.max("n").alias("n"))
+    return sorted(r["p"] for r in per.filter("n = 1").collect())
+
+
 def wide_table(triples: DataFrame, properties: list[str]) -> tuple[DataFrame, dict[str, str]]:
-    """A row for each subject with the encoded values of properties that have at most one each; store it before use."""
+    """A row for each subject with the encoded values of properties that have at most one each, in columns named by the
+    properties; store it before use."""
     value = encode(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang"))
-    columns = {p: f"c{i}" for i, p in enumerate(properties)}
-    rows = triples.filter(F.col("p").isin(properties)).groupBy("s").agg(*[F.max(F.when(F.col("p") == p, value)).alias(c) for p, c in columns.items()])
-    return rows, columns
+    rows = triples.filter(F.col("p").isin(properties)).groupBy("s").agg(*[F.max(F.when(F.col("p") == p, value)).alias(p) for p in properties])
+    return rows, wide_columns(rows)
+
+
+def wide_columns(wide: DataFrame) -> dict[str, str]:
+    return {c: c for c in wide.columns if c != "s"}
 
 
 def expand(template: str, values: dict[str, str], flags: set[str] = frozenset()) -> str:

@@ -45,10 +45,10 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(_RECORDS.format(string="STRING", customer="{c}", nation="{n}"), c=table(spark, sf_dir, "customer"), n=table(spark, sf_dir, "nation"))
 
 
-def landed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+def landed(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], write=files.write_index) -> DataFrame:
     """A graph made of the base tables, landed once as an index by property; made anew when the tables change."""
     stamp = storage.stamp(spark, *(f"{sf_dir}/{t}.parquet" for t in ("customer", "nation", "region")))
-    return storage.landed(spark, (name, sf_dir, stamp), build, files.write_index)
+    return storage.landed(spark, (name, sf_dir, stamp), build, write)
 
 
 def raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,6 +61,13 @@ def triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landed(spark, sf_dir, "triples", lambda: _all_triples(spark, sf_dir))
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> sparql.Graph:
+    """The graph with its index by property, and a wide table of the properties that have one value at most."""
+    t = triples(spark, sf_dir)
+    wide = landed(spark, sf_dir, "wide", lambda: sparql.wide_table(t, sparql.single_valued(t))[0], lambda df, path: df.write.parquet(path))
+    return sparql.Graph(t, (wide, sparql.wide_columns(wide)))
+
+
 def _all_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = graph.triplify(records(spark, sf_dir))
     nation = table(spark, sf_dir, "nation")
@@ -86,7 +93,7 @@ def ask(name: str, text: str, sql: str, **casts: str) -> None:
     """Register a SPARQL query; casts gives columns a type for comparison."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = sparql.Graph(triples(spark, sf_dir)).query(text)
+        out = indexed(spark, sf_dir).query(text)
         return out.withColumns({c: F.col(c).cast(t) for c, t in casts.items()})
 
     register(name, sql)(run)
@@ -218,9 +225,7 @@ ask(
 
 @register("wide_star_scan", _REC + f"SELECT Company_name AS name, Registration_Code AS code, {_YEAR} AS \"year\" FROM rec WHERE Registration_Code IS NOT NULL AND {_YEAR} IS NOT NULL")
 def _wide(spark, sf_dir):
-    t = triples(spark, sf_dir)
-    wide = sparql.wide_table(t, [S.EX + n for n in ("companyName", "registrationCode", "registrationYear")])
-    return sparql.Graph(t, wide).query("SELECT ?name ?code ?year WHERE { ?c ex:companyName ?name ; ex:registrationCode ?code ; ex:registrationYear ?year }")
+    return indexed(spark, sf_dir).query("SELECT ?name ?code ?year WHERE { ?c ex:companyName ?name ; ex:registrationCode ?code ; ex:registrationYear ?year }")
 
 
 _PREDICATES = """SELECT p, n FROM (
