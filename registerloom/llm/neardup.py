@@ -344,3 +344,20 @@ def _clustered(state: DataFrame, clusters: DataFrame) -> DataFrame:
 
 def _named(roots: DataFrame, name: str) -> DataFrame:
     return roots.select(F.col("node").alias(name), F.col("root").alias(f"root_{name}"))
+
+
+#: near_duplicates(k=3, similarity=85) without rid and first in DuckDB SQL, for tables whose ids are not repeated.
+SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w
+), g AS (
+  SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s
+), links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT doc_id, doc_id AS root FROM s UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON reach.root = links.a
+)
+SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, min(root) AS component_id, s.doc_id = min(root) AS kept FROM s JOIN reach ON s.doc_id = reach.doc_id GROUP BY s.doc_id, s.s
+"""

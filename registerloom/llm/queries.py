@@ -72,4 +72,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Where DuckDB SQL can say the same; the other queries are tested against brute force."""
-    return {"op4_topk": topk.SQL}
+    return {"op4_topk": topk.SQL, "op8_neardup": neardup.SQL}
