@@ -115,6 +115,22 @@ def basename(path: Column | str) -> Column:
     return F.element_at(F.split(_column(path), "/"), -1)
 
 
+def stem(path: Column | str) -> Column:
+    """The last part of a path without its ending."""
+    return F.regexp_replace(basename(path), r"(?<=.)\.[^.]*$", "")
+
+
+def relative_path(path: Column | str, root: Column | str) -> Column:
+    """path below root; null if it is not."""
+    path, root = _column(path), F.concat(F.rtrim(_column(root), F.lit("/")), F.lit("/"))
+    return F.when(F.startswith(path, root), F.substring(path, F.length(root) + 1, F.length(path)))
+
+
+def join_path(*parts: Column | str) -> Column:
+    """Parts of a path with one slash between them."""
+    return F.concat_ws("/", *[F.rtrim(_column(p), F.lit("/")) for p in parts])
+
+
 def year_value(c: Column | str) -> tuple[Column, Column]:
     """(lexical form, whether it is an xsd:gYear) of a year's text; null where it stands for no value."""
     c = strip(c)

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
@@ -19,10 +23,17 @@ from ..functions import text as X
 def texts(spark: SparkSession, path: str, recursive: bool = True, pattern: str = "*.txt") -> DataFrame:
     """path, file, text of whole UTF-8 files."""
     reader = spark.read.option("pathGlobFilter", pattern).option("recursiveFileLookup", recursive)
-    rows = reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    # paths are reported as URIs
+    plain = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    rows = reader.text(path, wholetext=True).select(plain.alias("path"), F.col("value").alias("text"))
     return rows.select("path", X.basename("path").alias("file"), "text")
 
 
+def in_path_order(rows: DataFrame) -> DataFrame:
+    """Files in order of their paths, in which they are processed."""
+    return rows.orderBy("path")
+
+
 def json_records(spark: SparkSession, path: str, tag: bool = True) -> DataFrame:
     """Records of JSON-array files, with fileName; a file that is not an array of objects is skipped as a whole."""
     rows = texts(spark, path, pattern="*.[jJ][sS][oO][nN]")
@@ -134,7 +145,8 @@ def registry_sheets(spark: SparkSession, path: str, skip: int = 7) -> DataFrame:
     return files.select("path", "content").mapInPandas(read, schema)
 
 
-_NT = r'^\s*<([^>]*)>\s+<([^>]*)>\s+(?:<([^>]*)>|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*$'
+#: A statement of N-Triples; subjects and objects may be blank nodes.
+_NT = r'^\s*(?:<([^>]*)>|(_:[^\s<>"]+))\s+<([^>]*)>\s+(?:<([^>]*)>|(_:[^\s<>"]+?)|"((?:[^"\\]|\\.)*)"(?:\^\^<([^>]*)>|@([A-Za-z0-9-]+))?)\s*\.\s*(?:#.*)?$'
 #: Escapes of N-Triples, backslash last for reading and first for writing.
 _ESCAPED = (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t"), ('"', '\\"'))
 
@@ -144,29 +156,53 @@ def _quoted(c):
 
 
 def _unquoted(c):
-    hold = "\u0000"
-    c = F.replace(c, F.lit("\\\\"), F.lit(hold))
-    return F.replace(X.replace_all(c, [(b, a) for a, b in _ESCAPED]), F.lit(hold), F.lit("\\"))
-
-
-def ntriples(spark: SparkSession, path: str) -> DataFrame:
-    """Triples of N-Triples files; read line by line, in parts."""
-    rows = spark.read.text(path).filter(F.regexp_like("value", F.lit(_NT)))
+    """Text without its escapes: pieces between backslashes are read one by one."""
+    names = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
+    pieces = F.regexp_extract_all(c, F.lit(r"(?s)\\u[0-9A-Fa-f]{4}|\\U[0-9A-Fa-f]{8}|\\.|[^\\]+"), F.lit(0))
+
+    def read(x):
+        code = F.conv(F.substring(x, 3, 8), 16, 10).cast("int")
+        # a code point as four bytes of UTF-32
+        letter = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        out = F.when(~F.startswith(x, F.lit("\\")), x).when(F.regexp_like(x, F.lit(r"^\\[uU][0-9A-Fa-f]{4}")), letter)
+        for name, value in names.items():
+            out = out.when(x == "\\" + name, value)
+        return out.otherwise(F.substring(x, 2, 1))
+
+    return F.when(F.contains(c, F.lit("\\")), F.array_join(F.transform(pieces, read), "")).otherwise(c)
+
+
+def ntriples(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
+    """Triples of N-Triples files; read line by line, in parts. Blank nodes are IRIs that start with _:.
+
+    A line that is neither a statement nor blank nor a comment is an error, or is left out if not strict."""
+    value = F.col("value")
+    rows = spark.read.text(path).filter(~F.regexp_like(value, F.lit(r"^\s*(#.*)?$")))
+    good = F.regexp_like(value, F.lit(_NT))
+    if strict:
+        value = F.when(good, value).otherwise(F.raise_error(F.concat(F.lit("not N-Triples: "), F.substring(value, 1, 80))).cast("string"))
+        rows = rows.withColumn("value", value)
+    else:
+        rows = rows.filter(good)
     part = lambda i: F.nullif(F.regexp_extract("value", _NT, i), F.lit(""))
-    iri = part(3)
+    iri = F.coalesce(part(4), part(5))
     return rows.select(
-        part(1).alias("s"), part(2).alias("p"), F.coalesce(iri, _unquoted(F.regexp_extract("value", _NT, 4))).alias("o"),
-        F.when(iri.isNotNull(), "iri").otherwise("literal").alias("o_kind"), F.nullif(part(5), F.lit(S.XSD + "string")).alias("o_dt"), part(6).alias("o_lang"),
+        F.coalesce(part(1), part(2)).alias("s"), part(3).alias("p"), F.coalesce(iri, _unquoted(F.regexp_extract("value", _NT, 6))).alias("o"),
+        F.when(iri.isNotNull(), "iri").otherwise("literal").alias("o_kind"), F.nullif(part(7), F.lit(S.XSD + "string")).alias("o_dt"), part(8).alias("o_lang"),
     ).distinct()
 
 
+def _term(c):
+    return F.when(F.startswith(c, F.lit("_:")), c).otherwise(F.concat(F.lit("<"), c, F.lit(">")))
+
+
 def _object():
     tail = F.coalesce(F.concat(F.lit("^^<"), F.col("o_dt"), F.lit(">")), F.concat(F.lit("@"), F.col("o_lang")), F.lit(""))
-    return F.when(F.col("o_kind") == "iri", F.concat(F.lit("<"), F.col("o"), F.lit(">"))).otherwise(F.concat(F.lit('"'), _quoted(F.col("o")), F.lit('"'), tail))
+    return F.when(F.col("o_kind") == "iri", _term(F.col("o"))).otherwise(F.concat(F.lit('"'), _quoted(F.col("o")), F.lit('"'), tail))
 
 
 def write_ntriples(triples: DataFrame, path: str) -> None:
-    line = F.concat(F.lit("<"), F.col("s"), F.lit("> <"), F.col("p"), F.lit("> "), _object(), F.lit(" ."))
+    line = F.concat(_term(F.col("s")), F.lit(" <"), F.col("p"), F.lit("> "), _object(), F.lit(" ."))
     triples.select(line.alias("value")).write.mode("overwrite").text(path)
 
 
@@ -174,7 +210,7 @@ def write_turtle(triples: DataFrame, path: str) -> None:
     """Turtle in parts: each subject's statements together, full IRIs, sorted, so that every part stands alone."""
     pair = F.concat(F.lit("<"), F.col("p"), F.lit("> "), _object())
     rows = triples.groupBy("s").agg(F.array_join(F.array_sort(F.collect_set(pair)), " ;\n    ").alias("body"))
-    rows.select(F.concat(F.lit("<"), F.col("s"), F.lit(">\n    "), F.col("body"), F.lit(" .\n")).alias("value"), "s").sortWithinPartitions("s").select("value").write.mode("overwrite").text(path)
+    rows.select(F.concat(_term(F.col("s")), F.lit("\n    "), F.col("body"), F.lit(" .\n")).alias("value"), "s").sortWithinPartitions("s").select("value").write.mode("overwrite").text(path)
 
 
 def write_index(triples: DataFrame, path: str, batch: int = 100_000) -> None:
@@ -195,81 +231,127 @@ _TURTLE = re.compile(
     r"""(?P<ws>\s+|\#[^\n]*)|(?P<prefix>@?(?:prefix|PREFIX)\b)|(?P<base>@?(?:base|BASE)\b)|<(?P<iri>[^<>"{}|^`\\\s]*)>
     |(?P<long>\"\"\"(?:[^\"\\]|\\.|\"(?!\"\"))*\"\"\"|'''(?:[^'\\]|\\.|'(?!''))*''')|(?P<string>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')
     |@(?P<lang>[A-Za-z]+(?:-[A-Za-z0-9]+)*)|(?P<type>\^\^)|(?P<number>[+-]?(?:\d+\.\d+|\d+|\.\d+)(?:[eE][+-]?\d+)?)
-    |(?P<pname>(?:[^\W\d][\w.-]*)?:(?:[\w:%-]|\\.|\.(?=[\w:%-]))*)|(?P<bool>true|false)\b|(?P<a>a)(?=[\s<])|(?P<op>[;,.])""",
+    |(?P<blank>_:[\w](?:[\w.-]*[\w-])?)|(?P<pname>(?:[^\W\d][\w.-]*)?:(?:[\w:%-]|\\.|\.(?=[\w:%-]))*)|(?P<bool>true|false)\b|(?P<a>a)(?=[\s<])|(?P<op>[;,.\[\]()])""",
     re.X | re.S,
 )
 
 
-def parse_turtle(text: str) -> list[tuple]:
-    """Triples of a Turtle document without blank nodes and collections."""
-    prefixes, base, at, tokens = {}, "", 0, []
-    while at < len(text):
-        m = _TURTLE.match(text, at)
-        if not m:
-            raise ValueError(f"not Turtle: {text[at : at + 30]!r}")
-        if m.lastgroup != "ws":
-            tokens.append((m.lastgroup, m[m.lastgroup]))
-        at = m.end()
-    i, out = 0, []
-    kind = lambda: tokens[i][0] if i < len(tokens) else "end"
-
-    def name(token) -> str:
-        k, v = token
+class _Turtle:
+    """A reader of one Turtle document."""
+
+    def __init__(self, text: str):
+        self.prefixes, self.base, self.at, self.out, self.fresh = {}, "", 0, [], 0
+        self.tokens, at = [], 0
+        while at < len(text):
+            m = _TURTLE.match(text, at)
+            if not m:
+                raise ValueError(f"not Turtle: {text[at : at + 30]!r}")
+            if m.lastgroup != "ws":
+                self.tokens.append((m.lastgroup, m[m.lastgroup]))
+            at = m.end()
+
+    def kind(self) -> str:
+        return self.tokens[self.at][0] if self.at < len(self.tokens) else "end"
+
+    def take(self, op: str) -> bool:
+        if self.at < len(self.tokens) and self.tokens[self.at] == ("op", op):
+            self.at += 1
+            return True
+        return False
+
+    def next(self) -> tuple[str, str]:
+        if self.at >= len(self.tokens):
+            raise ValueError("not Turtle: the text ends within a statement")
+        self.at += 1
+        return self.tokens[self.at - 1]
+
+    def document(self) -> list[tuple]:
+        while self.kind() != "end":
+            if self.kind() in ("prefix", "base"):
+                if self.next()[0] == "prefix":
+                    name = self.next()[1]
+                    self.prefixes[name[:-1]] = self.next()[1]
+                else:
+                    self.base = self.next()[1]
+                self.take(".")
+                continue
+            alone = self.kind() == "op" and self.tokens[self.at][1] == "["
+            s = self.node()[0]
+            if not (alone and self.take(".")):
+                self.statements(s)
+                self.take(".")
+        return self.out
+
+    def blank(self) -> str:
+        self.fresh += 1
+        return f"_:loom{self.fresh}"
+
+    def name(self, k: str, v: str) -> str:
         if k == "a":
             return S.A
+        if k == "blank":
+            return v
         if k == "iri":
-            return v if ":" in v else base + v
+            return v if ":" in v else self.base + v
+        if k != "pname":
+            raise ValueError(f"not Turtle: a name expected at {v!r}")
         prefix, local = v.split(":", 1)
-        return prefixes[prefix] + re.sub(r"\\(.)", r"\1", local)
-
-    def text_of(k: str, v: str) -> str:
+        return self.prefixes[prefix] + re.sub(r"\\(.)", r"\1", local)
+
+    def node(self) -> tuple:
+        """(value, kind, datatype, language) of a subject or object."""
+        k, v = self.next()
+        if (k, v) == ("op", "["):
+            s = self.blank()
+            if not self.take("]"):
+                self.statements(s)
+                if not self.take("]"):
+                    raise ValueError("not Turtle: ] expected")
+            return s, "iri", None, None
+        if (k, v) == ("op", "("):
+            items = []
+            while not self.take(")"):
+                items.append(self.node())
+            nodes = [self.blank() for _ in items]
+            for n, item, after in zip(nodes, items, [*nodes[1:], S.RDF + "nil"]):
+                self.out += [(n, S.RDF + "first", *item), (n, S.RDF + "rest", after, "iri", None, None)]
+            return (nodes[0] if nodes else S.RDF + "nil"), "iri", None, None
+        if k in ("string", "long"):
+            dt = lang = None
+            if self.kind() == "lang":
+                lang = self.next()[1]
+            elif self.kind() == "type":
+                self.next()
+                dt = self.name(*self.next())
+            return self.text(k, v), "literal", None if dt == S.XSD + "string" else dt, lang
+        if k in ("number", "bool"):
+            t = "boolean" if k == "bool" else "double" if "e" in v.lower() else "decimal" if "." in v else "integer"
+            return v, "literal", S.XSD + t, None
+        return self.name(k, v), "iri", None, None
+
+    @staticmethod
+    def text(k: str, v: str) -> str:
         v = v[3:-3] if k == "long" else v[1:-1]
         plain = {"n": "\n", "r": "\r", "t": "\t", "b": "\b", "f": "\f"}
         return re.sub(r"\\(?:u([0-9A-Fa-f]{4})|U([0-9A-Fa-f]{8})|(.))", lambda m: chr(int(m[1] or m[2], 16)) if m[1] or m[2] else plain.get(m[3], m[3]), v, flags=re.S)
 
-    while i < len(tokens):
-        if kind() in ("prefix", "base"):
-            if kind() == "prefix":
-                prefixes[tokens[i + 1][1][:-1]] = tokens[i + 2][1]
-                i += 3
-            else:
-                base = tokens[i + 1][1]
-                i += 2
-            if i < len(tokens) and tokens[i] == ("op", "."):
-                i += 1
-            continue
-        s = name(tokens[i])
-        i += 1
+    def statements(self, s: str) -> None:
         while True:
-            p = name(tokens[i])
-            i += 1
+            p = self.name(*self.next())
             while True:
-                k, v = tokens[i]
-                i += 1
-                if k in ("string", "long"):
-                    dt = lang = None
-                    if kind() == "lang":
-                        lang = tokens[i][1]
-                        i += 1
-                    elif kind() == "type":
-                        dt = name(tokens[i + 1])
-                        i += 2
-                    out.append((s, p, text_of(k, v), "literal", None if dt == S.XSD + "string" else dt, lang))
-                elif k in ("number", "bool"):
-                    t = "boolean" if k == "bool" else "double" if "e" in v.lower() else "decimal" if "." in v else "integer"
-                    out.append((s, p, v, "literal", S.XSD + t, None))
-                else:
-                    out.append((s, p, name((k, v)), "iri", None, None))
-                if i < len(tokens) and tokens[i] == ("op", ","):
-                    i += 1
-                    continue
-                break
-            while i < len(tokens) and tokens[i] == ("op", ";"):
-                i += 1
-            if i >= len(tokens) or tokens[i] == ("op", "."):
-                i += 1
-                break
-    return out
+                self.out.append((s, p, *self.node()))
+                if not self.take(","):
+                    break
+            more = False
+            while self.take(";"):
+                more = True
+            if not more or self.kind() == "end" or (self.kind() == "op" and self.tokens[self.at][1] in ".]"):
+                return
+
+
+def parse_turtle(text: str) -> list[tuple]:
+    """Triples of a Turtle document. Blank nodes are IRIs that start with _:, those without a name are numbered."""
+    return _Turtle(text).document()
 
 
 def turtle(spark: SparkSession, path: str) -> DataFrame:
@@ -278,15 +360,79 @@ def turtle(spark: SparkSession, path: str) -> DataFrame:
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for value in pdf["value"]:
-                yield pd.DataFrame(parse_turtle(value), columns=S.TRIPLE.names, dtype=object)
+                # blank nodes of different files are different
+                own = f"_:f{zlib.crc32(value.encode()):08x}"
+                rows = [tuple(own + x[2:] if i in (0, 2) and isinstance(x, str) and x.startswith("_:") and (i == 0 or t[3] == "iri") else x for i, x in enumerate(t)) for t in parse_turtle(value)]
+                yield pd.DataFrame(rows, columns=S.TRIPLE.names, dtype=object)
 
     return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).mapInPandas(read, S.TRIPLE).distinct()
 
 
-def write_json_arrays(done: DataFrame, path: str) -> None:
-    """One line of JSON for each file with its records, in a folder for each file."""
-    rows = done.filter("records is not null").select("file", F.to_json("records", {"ignoreNullFields": "false"}).alias("value"))
-    rows.write.mode("overwrite").partitionBy("file").text(path)
+def write_named(rows: DataFrame, folder: str) -> None:
+    """Files of given names: rows (path, content), text or bytes, each become folder/path, written by the executors.
+
+    A file is first written under another name, so that a task that runs again leaves whole files only."""
+
+    def write(part: Iterator) -> None:
+        files, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        for row in part:
+            target = f"{root.rstrip('/')}/{row['path']}"
+            files.create_dir(target.rsplit("/", 1)[0], recursive=True)
+            rough = f"{target}.{uuid.uuid4().hex}.part"
+            with files.open_output_stream(rough) as out:
+                out.write(row["content"].encode() if isinstance(row["content"], str) else bytes(row["content"]))
+            files.move(rough, target)
+
+    rows.select("path", "content").filter("path is not null and content is not null").foreachPartition(write)
+
+
+def json_array(records) -> Column:
+    """An array of structs as an indented JSON array, nulls kept, other letters than ASCII as they are."""
+    fields = lambda r: F.to_json(r, {"ignoreNullFields": "false", "pretty": "true"})
+    items = F.transform(records, lambda r: F.concat(F.lit("    "), F.replace(fields(r), F.lit("\n"), F.lit("\n    "))))
+    return F.when(F.size(records) == 0, "[]").otherwise(F.concat(F.lit("[\n"), F.array_join(items, ",\n"), F.lit("\n]")))
+
+
+def write_json_arrays(done: DataFrame, folder: str) -> None:
+    """One JSON array for each file that has records, at the file's own path below folder with the ending .json."""
+    rows = done.filter("records is not null").select(F.regexp_replace("file", r"\.[^./]*$", "").alias("stem"), json_array(F.col("records")).alias("content"))
+    write_named(rows.select(F.concat("stem", F.lit(".json")).alias("path"), "content"), folder)
+
+
+def write_merged(objects: DataFrame, folder: str) -> None:
+    """JSON objects (value) as merged arrays: one file for each part of the table, written as it is read."""
+
+    def write(part: Iterator) -> None:
+        files, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
+        files.create_dir(root, recursive=True)
+        target = f"{root.rstrip('/')}/merged-{TaskContext.get().partitionId():05d}.json"
+        rough, between = f"{target}.{uuid.uuid4().hex}.part", b"[\n"
+        with files.open_output_stream(rough) as out:
+            for row in part:
+                out.write(between + row["value"].encode())
+                between = b",\n"
+            out.write(b"\n]" if between == b",\n" else b"[]")
+        files.move(rough, target)
+
+    objects.select("value").filter("value is not null").foreachPartition(write)
+
+
+def grid(df: DataFrame) -> DataFrame:
+    """line: a table for the console, with a frame and a head; column widths take one pass, rows keep their order."""
+    names = df.columns
+    cell = lambda c: F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(""))
+    widest = df.agg(*[F.coalesce(F.max(F.length(cell(c))), F.lit(0)).alias(f"w{i}") for i, c in enumerate(names)]).first()
+    widths = [max(len(c), widest[i]) for i, c in enumerate(names)]
+    rule = "+" + "+".join("-" * (w + 2) for w in widths) + "+"
+    head = "|" + "|".join(f" {c:<{w}} " for c, w in zip(names, widths)) + "|"
+    body = df.select(F.concat(*[F.concat(F.lit("| "), F.rpad(cell(c), w, " "), F.lit(" ")) for c, w in zip(names, widths)], F.lit("|")).alias("line"))
+    edge = lambda *lines: df.sparkSession.createDataFrame([(x,) for x in lines], "line string")
+    return edge(rule, head, rule).unionByName(body).unionByName(edge(rule))
+
+
+def head(df: DataFrame, n: int = 20, *order: str) -> DataFrame:
+    """The first n rows, by order if there is one."""
+    return (df.orderBy(*order) if order else df).limit(n)
 
 
 def write_company_map(rows: DataFrame, path: str) -> None:
@@ -303,6 +449,12 @@ def write_run_log(log: DataFrame, path: str) -> None:
     log.agg(F.lit("Total runtime (s):").alias("label"), F.round(F.sum("Time (s)"), 2).alias("seconds")).write.mode("overwrite").csv(f"{path}/total")
 
 
-def by_year(files: DataFrame, path: str) -> None:
-    """Files (name, content) in folders of the last year in their names; those without one are skipped."""
-    files.withColumn("year", X.last_year("name")).filter("year is not null").write.mode("overwrite").partitionBy("year").parquet(path)
+def by_year(files: DataFrame, path: str) -> DataFrame:
+    """Files (name, content) in folders of the last year in their names, each under its own name.
+
+    Returns succeeded, failed and skipped: files written, those without content, and those without a year."""
+    rows = files.withColumn("year", X.last_year("name"))
+    named = rows.filter("year is not null").select(F.concat_ws("/", F.col("year").cast("string"), X.basename("name")).alias("path"), "content")
+    write_named(named, path)
+    dated, known = F.col("year").isNotNull(), F.col("content").isNotNull()
+    return rows.agg(F.count_if(dated & known).alias("succeeded"), F.count_if(dated & ~known).alias("failed"), F.count_if(~dated).alias("skipped"))

@@ -13,7 +13,7 @@ from ..functions import text as X
 
 def new_texts(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of path, file, text of the text files in folder and below."""
-    rows = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").option("wholetext", True).text(folder)
+    rows = spark.readStream.option("recursiveFileLookup", True).option("pathGlobFilter", "*.txt").text(folder, wholetext=True)
     return rows.select(F.col("_metadata.file_path").alias("path"), X.basename(F.col("_metadata.file_path")).alias("file"), F.col("value").alias("text"))
 
 
@@ -29,4 +29,5 @@ def take_up(rows: DataFrame, handle: Callable[[DataFrame], DataFrame], out: str,
 
 def event_windows(events: DataFrame, width: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Counts and sums by window and type of a stream of events (ts, event_type, value); an extension for timed sources."""
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
     return events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))

@@ -149,3 +149,48 @@ def test_files_are_taken_up_once(spark, tmp_path):
     go()
     go()
     assert sorted(r["file"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a.txt", "b.txt"]
+
+
+def test_turtle_blank_nodes_and_collections():
+    t = files.parse_turtle('@prefix e: <http://e/> . e:a e:p [ e:q "x" ; e:r ( 1 _:b ) ] , [] . [ e:s e:t ] . _:b e:u () .')
+    by = {p.rsplit("/", 1)[-1].rsplit("#", 1)[-1] for _, p, *_ in t}
+    assert by == {"p", "q", "r", "s", "u", "first", "rest"} and len(t) == 10
+    assert ("_:b", "http://e/u", S.RDF + "nil", "iri", None, None) in t
+    with pytest.raises(ValueError, match="not Turtle"):
+        files.parse_turtle("<http://e/a> <http://e/p> [ <http://e/q> 1 .")
+
+
+def test_ntriples_escapes_and_errors(spark, tmp_path):
+    (tmp_path / "a.nt").write_text('# note\n\n<http://e/s> <http://e/p> "K\\u00f6ln \\U0001F389 \\\\n \\t" . # end\n_:a <http://e/p> _:b .\n')
+    rows = {(r["s"], r["o"], r["o_kind"]) for r in files.ntriples(spark, str(tmp_path)).collect()}
+    assert rows == {("http://e/s", "Köln 🎉 \\n \t", "literal"), ("_:a", "_:b", "iri")}
+    (tmp_path / "b.nt").write_text("<http://e/s> <http://e/p> .\n")
+    assert files.ntriples(spark, str(tmp_path), strict=False).count() == 2
+    with pytest.raises(Exception, match="not N-Triples"):
+        files.ntriples(spark, str(tmp_path)).collect()
+
+
+def test_whole_texts_are_streamed(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a b.txt").write_text("one\ntwo")
+    ingest.take_up(ingest.new_texts(spark, str(tmp_path / "in")), lambda df: df.select("text"), str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    assert [r["text"] for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["one\ntwo"]
+    assert [r["file"] for r in files.texts(spark, str(tmp_path / "in")).collect()] == ["a b.txt"]
+
+
+def test_best_match_is_that_of_all_pairs():
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abc-. ") for _ in range(rng.randrange(0, 9)))
+    for _ in range(40):
+        rows = [{"row": i, **{n: rng.choice([word(), None]) for n in matching.WEIGHTS}} for i in range(rng.randrange(1, 9))]
+        other = [{"row": i, **{n: rng.choice([word(), None]) for n in matching.WEIGHTS}} for i in range(rng.randrange(0, 9))]
+        got = [r[1] for r in matching._assign(rows, other, True)]
+        used, want = set(), []
+        for t in rows:
+            scores = [(matching.similarity(t["Court_name"], p["Court_name"]) + matching.similarity(t["Company_name"], p["Company_name"]), -i) for i, p in enumerate(other) if i not in used]
+            score, i = max(scores, default=(0.0, 0))
+            want.append(-i if score >= 0.5 else None)
+            used |= {-i} if score >= 0.5 else set()
+        assert got == want

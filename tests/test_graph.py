@@ -126,3 +126,29 @@ def test_template():
 def test_ontologies(spark):
     assert graph.historical_ontology(spark).count() == 9
     assert graph.registry_ontology(spark).count() == 8 + 24
+
+
+def test_paths_from_bound_ends(spark):
+    rows = [(f"http://e/{a}", S.EX + "next", f"http://e/{b}", "iri", None, None) for a, b in ("ab", "bc", "cd", "de", "ef", "fg", "gb", "xy")]
+    t = spark.createDataFrame(rows, S.TRIPLE)
+    ends = lambda text: sorted(r[0][-1] for r in sparql.Graph(t).query(text).collect())
+    assert ends("SELECT ?o WHERE { <http://e/a> ex:next+ ?o }") == list("bcdefg")
+    assert ends("SELECT ?o WHERE { <http://e/x> ex:next* ?o }") == list("xy")
+    assert ends("SELECT ?s WHERE { ?s ex:next+ <http://e/y> }") == ["x"]
+    assert ends("SELECT ?s WHERE { ?s ex:next/ex:next <http://e/c> }") == list("ag")
+    assert ends("SELECT ?s WHERE { ?s (ex:next|^ex:next)? <http://e/x> }") == list("xy")
+    assert sorted(r[0][-1] for r in sparql.Graph(t).query("SELECT ?o WHERE { <http://e/a> ex:next/ex:next+ ?o }").distinct().collect()) == list("bcdefg")
+
+
+def test_joins_over_unbound_variables_are_on_equal_values(raw):
+    text = "SELECT ?n ?v WHERE { ?c ex:companyName ?n OPTIONAL { ?c ex:registrationCode ?v } ?d ex:registrationYear ?v }"
+    plan = sparql.Graph(raw).query(text)._jdf.queryExecution().optimizedPlan().toString()
+    assert " OR " not in plan and "||" not in plan
+    assert len(ask(raw, text)) == 2  # the one company without a code goes with both years
+
+
+def test_text_relations_and_cap(raw):
+    assert [r[0] for r in ask(raw, 'SELECT ?t WHERE { ?t ql:contains-word "amts* kassel" }')] == ["Amtsgericht Kassel"]
+    assert len(sparql.Graph(raw).query("SELECT ?s WHERE { ?s ?p ?o }", cap=3).collect()) == 3
+    with pytest.raises(sparql.SparqlError):
+        ask(raw, "SELECT ?s WHERE { ?s ex:companyName ?o FILTER(REGEX(?o, ?s)) }")
