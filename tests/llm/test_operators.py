@@ -604,3 +604,73 @@ def test_counts_are_merged():
         want.update({k: n * weight for k, n in Counter(keys.tolist()).items()})
     keys, n = held.flush()
     assert dict(zip(keys.tolist(), n.tolist())) == want and not len(held.flush()[0])
+
+
+def test_contaminated_by_brute_force(spark):
+    rng = random.Random(21)
+    items = [(i, words(rng, rng.randrange(2, 12), 9)) for i in range(25)] + [(99, "w1 w2")]
+    rows = [(i, words(rng, rng.randrange(0, 60), 9).replace(" ", rng.choice([" ", ", ", "\n"])).upper()) for i in range(60)]
+    want = {}
+    for d, t in rows:
+        for i, x in items:
+            a, b = x.split(), re.findall(r"\w+", t.lower())
+            covered = greedy(a, b, 3) if len(a) >= 3 else 0
+            if len(a) >= 3 and covered >= 0.6 * len(a):
+                want[d, i] = covered
+    out = decontaminate.contaminated(corpus(spark, [(i, t, "en", "a") for i, t in rows]), spark.createDataFrame(items, ITEMS), block_words=60).collect()
+    assert {(r["doc_id"], r["item_id"]): r["covered_words"] for r in out} == want and len(want) > 50
+    clean = decontaminate.decontaminate(corpus(spark, [(i, t, "en", "a") for i, t in rows]), spark.createDataFrame(items, ITEMS))
+    assert {r["doc_id"] for r in clean.collect()} == {i for i, _ in rows} - {d for d, _ in want}
+
+
+def naive_licenses(text):
+    """(paragraph, lines, family, template, confirmed) by scoring every line and every paragraph of several lines."""
+    families, weights, biases, least = licenses.train()
+    units = [(i, 1, line) for i, line in enumerate(text.split("\n"))]
+    block = []
+    for i, line in enumerate([*text.split("\n"), ""]):
+        if line.strip() and i < len(units):
+            block.append(i)
+        else:
+            if len(block) > 1:
+                units.append((block[0], len(block), "\n".join(units[j][2] for j in block)))
+            block = []
+    found = []
+    for at, n, unit in units:
+        w = licenses.py_words(unit)
+        z = np.array(biases) + sum((np.array(weights[f]) for f in sorted(licenses.py_features(w)) if f in weights), np.zeros(len(biases)))
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        known = p[:-1].max() >= least and z[-1] <= z[:-1].max()
+        family = families[int(z[:-1].argmax())] if known else "unknown"
+        if family == "unknown":
+            if n == 1 and any(licenses._anchored(x) for x in w):
+                found.append((at, n, family, 1, False))
+            continue
+        own = set(licenses._shingles(w))
+        alike = [len(own & set(form)) / len(form) for form in (licenses._shingles(licenses.py_words(t)) for t in licenses.TEMPLATES[family])]
+        found.append((at, n, family, int(np.argmax(alike)) + 1, max(alike) >= 0.8))
+    lines = [f for f in found if f[1] == 1]
+    own = lambda f: [x for x in lines if x[2] == f[2] and f[0] <= x[0] < f[0] + f[1]]
+    return sorted(lines + [f for f in found if f[1] > 1 and not any(x[4] or not f[4] for x in own(f))])
+
+
+def test_licenses_by_brute_force(spark):
+    rng = random.Random(22)
+    passages = [t for own in licenses.TEMPLATES.values() for t in own] + [t for own in licenses.NAMES.values() for t in own] + list(licenses.OTHERS)
+    texts = []
+    for _ in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 6)):
+            t = rng.choice([rng.choice(passages), words(rng, 12)])
+            if rng.random() < 0.3:
+                t = " ".join(w for w in t.split() if rng.random() < 0.8)
+            parts.append(textwrap.fill(t, rng.choice([30, 60, 10_000])) if t else "")
+        texts.append(rng.choice(["\n", "\n\n", "\n \n"]).join(parts))
+    texts += ["", "Released under the MIT License.\n" * 2]  # repeated lines
+    got = defaultdict(list)
+    for r in licenses.scan(corpus(spark, [(i, t, "en", "a") for i, t in enumerate(texts)])).collect():
+        got[r["doc_id"]].append((r["paragraph"], r["n_lines"], r["family"], r["template"], r["confirmed"]))
+    for i, t in enumerate(texts):
+        mine, want = sorted(got[i]), naive_licenses(t)
+        strip = lambda rows: [x if x[2] != "unknown" else (*x[:3], 0, x[4]) for x in rows]
+        assert strip(mine) == strip(want), t
