@@ -14,8 +14,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._blocks import blocks, dealt, look_up, numbers, shard_keys, shards_for, table, text_size
 from ._grams import Counts, Table, _group, codes, pieces
-from ._rows import hash_words, lean, mix, numbered, save, send
+from ._rows import hash_words, lean, numbered, save, send
 
 #: Bytes of context of the deepest nodes.
 DEPTH = 6
@@ -29,10 +30,8 @@ END_WORD = -1
 _NODES = 256
 #: Prices and word counts that may be sent to the executors: at most 16 bytes each, so under 256 MB.
 SENT_ROWS = 16_000_000
-#: Bytes of text for each shard; n-grams that a task holds before it passes them on, and that are weighted at a time.
-SHARD_BYTES, HELD, WEIGHTED = 4 << 20, 2_000_000, 1 << 16
-#: Bytes of text whose prices are fetched together where there are too many to send.
-BLOCK_BYTES = 16 << 20
+#: N-grams that a task holds before it passes them on, and that are weighted at a time.
+HELD, WEIGHTED = 2_000_000, 1 << 16
 GRAM, WORD = 0, 1
 
 
@@ -55,18 +54,7 @@ def _word_keys(buf: np.ndarray) -> np.ndarray:
 
 def _shard(kind: int, keys: np.ndarray, shards: int) -> np.ndarray:
     """Shards of n-grams by their nearest bytes of context, and of words."""
-    dealt = keys >> 8 & (1 << 8 * TOP) - 1 if kind == GRAM else keys
-    return (mix(dealt.view(np.uint64)) % np.uint64(shards)).astype(np.int32)
-
-
-def _dealt(kind: int, keys: np.ndarray, shards: int, *more: np.ndarray) -> Iterator[tuple]:
-    """(shard, keys, more...) for each shard that keys fall into."""
-    shard = _shard(kind, keys, shards)
-    order = np.argsort(shard, kind="stable")
-    shard, columns = shard[order], [c[order] for c in (keys, *more)]
-    first = np.flatnonzero(np.concatenate([[True], shard[1:] != shard[:-1]])) if len(shard) else []
-    for a, z in zip(first, [*first[1:], len(shard)]):
-        yield (int(shard[a]), *(c[a:z] for c in columns))
+    return shard_keys(keys >> 8 & (1 << 8 * TOP) - 1 if kind == GRAM else keys, shards)
 
 
 def _words_of(texts: list[bytes]) -> Iterator[np.ndarray]:
@@ -87,7 +75,7 @@ def _counter(depth: int, shards: int):
 
         def passed(kind: int, held: Counts) -> Iterator[pa.RecordBatch]:
             keys, n = held.flush()
-            for shard, k, c in _dealt(kind, keys, shards, n):
+            for shard, k, c in dealt(_shard(kind, keys, shards), keys, n):
                 yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), pa.array([k.tobytes()]), pa.array([c.tobytes()])], _COUNTED)
 
         for batch in batches:
@@ -113,21 +101,10 @@ def _counter(depth: int, shards: int):
 _COUNTED = ["kind", "shard", "keys", "n"]
 
 
-def _numbers(column: pa.ChunkedArray | pa.Array | list, kind=np.int64) -> np.ndarray:
-    """The numbers of all rows of bytes."""
-    size = np.dtype(kind).itemsize
-    buffers = [x.as_buffer() for x in column]
-    out, at = np.empty(sum(len(b) for b in buffers) // size, kind), 0
-    for b in buffers:
-        out[at : at + len(b) // size] = np.frombuffer(b, kind)
-        at += len(b) // size
-    return out
-
-
 def _merge(table: pa.Table) -> pa.Table:
     """All counts of one shard as one row."""
     held = Counts()
-    held.parts = [(_numbers(table["keys"]), _numbers(table["n"]))]
+    held.parts = [(numbers(table["keys"]), numbers(table["n"]))]
     held.merge()
     keys, n = held.flush()
     return pa.table({"kind": table["kind"][:1], "shard": table["shard"][:1], "keys": [keys.tobytes()], "n": [n.tobytes()], "size": [len(keys)], "total": [int(n.sum())]})
@@ -214,7 +191,7 @@ def _subtrees(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
     """(shard, parts): the shard's n-grams and counts in parts of about WEIGHTED, each with whole subtrees."""
     for batch in batches:
         for shard, keys, n in zip(batch.column("shard").to_pylist(), batch.column("keys"), batch.column("n")):
-            keys, n = _numbers([keys]), _numbers([n])
+            keys, n = numbers([keys]), numbers([n])
             near = keys >> 8 & (1 << 8 * TOP) - 1
             order = np.argsort(near, kind="stable")
             keys, n, near = keys[order], n[order], near[order]
@@ -311,15 +288,11 @@ def context_tree(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
     at = zero["node"].to_numpy()
     n0, n1, below = (zero[c].to_numpy() for c in ("n0", "n1", "below"))
     top["zero_weight"][at], top["zero_guess"][at] = _weight(kt(n0, n1), below), (n1 + 0.5) / (n0 + n1 + 1)
-    table = two.select("code", "weight", "guess").orderBy("code").toArrow()
-    sent = send(spark, (*(table[c].to_numpy() for c in ("code", "weight", "guess")), top))
+    nodes = two.select("code", "weight", "guess").orderBy("code").toArrow()
+    sent = send(spark, (*(nodes[c].to_numpy() for c in ("code", "weight", "guess")), top))
     return grams.mapInArrow(lean(_pricer(depth, sent), 1), "kind int, shard int, keys binary, value binary")
 
 
-def _table(rows: pa.Table, column: str, kind) -> Table:
-    return Table(_numbers(rows["keys"]), _numbers(rows[column], kind))
-
-
 def _scores(texts: list[bytes], depth: int, priced: Table, words: Table) -> tuple[np.ndarray, ...]:
     """n_tokens, n_known, sum of log10(c + 1), log10 probability and bytes of each canonical text."""
     total, base = np.zeros(len(texts)), np.zeros(len(texts))
@@ -360,46 +333,22 @@ _COLUMNS = ["doc_id", "held_out", "n_tokens", "n_known", "base", "score", "n_byt
 _TYPES = "doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, n_bytes long"
 
 
-def _asker(depth: int, shards: int):
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The n-grams and words of each block of documents, by shard."""
-        grams, words, now = Counts(), Counts(), None
+def _wanted(depth: int):
+    def wanted(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+        """Keys of n-grams and words that the scores of texts need."""
+        texts = canonical(texts)
+        for buf, lengths, _ in pieces(texts, depth + 1):
+            yield GRAM, codes(buf, lengths, depth + 1)
+        yield WORD, np.array([END_WORD], np.int64)
+        for keys in _words_of(texts):
+            yield WORD, keys
 
-        def passed() -> Iterator[pa.RecordBatch]:
-            for kind, held in ((GRAM, grams), (WORD, words)):
-                for shard, keys in _dealt(kind, held.flush()[0], shards):
-                    yield pa.RecordBatch.from_arrays([pa.array([kind], pa.int32()), pa.array([shard], pa.int32()), pa.array([now]), pa.array([keys.tobytes()])], ["kind", "shard", "block", "keys"])
-
-        for batch in batches:
-            blocks = batch.column("block").to_numpy()
-            for block in np.unique(blocks).tolist():  # rows of one block follow each other
-                if block != now:
-                    yield from passed()
-                    now = block
-                texts = canonical(batch.column("text").filter(pa.array(blocks == block)).to_pylist())
-                for buf, lengths, _ in pieces(texts, depth + 1):
-                    grams.add(codes(buf, lengths, depth + 1))
-                words.add(np.array([END_WORD], np.int64))
-                for keys in _words_of(texts):
-                    words.add(keys)
-        yield from passed()
-
-    return ask
-
-
-def _answer(asked: pa.Table, known: pa.Table) -> pa.Table:
-    """What a shard knows of the keys that blocks ask for: a price or a count each, as bytes."""
-    gram = len(known) and known["kind"][0].as_py() == GRAM
-    table = _table(known, "value", np.float32 if gram else np.int64)
-    values = [table.look(_numbers([k]), 0).astype(np.float32 if gram else np.int64).tobytes() for k in asked["keys"]]
-    return pa.table({"kind": asked["kind"], "block": asked["block"], "keys": asked["keys"], "value": pa.array(values, pa.binary())})
+    return wanted
 
 
 def _block_scorer(depth: int):
-    def score(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        kinds = answers["kind"].to_numpy()
-        priced, words = (_table(answers.filter(pa.array(kinds == kind)), "value", t) for kind, t in ((GRAM, np.float32), (WORD, np.int64)))
-        found = _scores(canonical(docs["text"].to_pylist()), depth, priced, words)
+    def score(docs: pa.Table, known: dict[int, Table]) -> pa.Table:
+        found = _scores(canonical(docs["text"].to_pylist()), depth, known[GRAM], known[WORD])
         return pa.table([docs["doc_id"], docs["held_out"], *map(pa.array, found)], names=_COLUMNS)
 
     return score
@@ -423,8 +372,8 @@ def score(docs: DataFrame, depth: int = DEPTH, sent_rows: int = SENT_ROWS) -> Da
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
-    size, n_rows = (x or 0 for x in rows.agg(F.sum(F.octet_length("text")), F.count("*")).first())
-    shards = 1 << max(4, min(20, (size // SHARD_BYTES).bit_length()))
+    size, n_rows = rows.agg(*text_size(F.col("text"))).first()
+    shards = shards_for(size)
     counted = rows.mapInArrow(lean(_counter(depth, shards)), "kind int, shard int, keys binary, n binary")
     counted = save(counted.groupBy("kind", "shard").applyInArrow(_merge, "kind int, shard int, keys binary, n binary, size long, total long"))
     sizes = {r["kind"]: r for r in counted.groupBy("kind").agg(F.sum("size").alias("size"), F.sum("total").alias("total")).collect()}
@@ -432,16 +381,12 @@ def score(docs: DataFrame, depth: int = DEPTH, sent_rows: int = SENT_ROWS) -> Da
     words = counted.filter(F.col("kind") == WORD).select("kind", "shard", "keys", F.col("n").alias("value"))
     priced = save(context_tree(counted.filter(F.col("kind") == GRAM), depth))
     if sum(r["size"] for r in sizes.values()) <= sent_rows:
-        tables = send(spark, (_table(priced.select("keys", "value").toArrow(), "value", np.float32), _table(words.select("keys", "value").toArrow(), "value", np.int64)))
+        tables = send(spark, (table(priced.select("keys", "value").toArrow(), "value", np.float32), table(words.select("keys", "value").toArrow(), "value", np.int64)))
         out = rows.mapInArrow(lean(_scorer(depth, tables)), _TYPES)
     else:
-        block_rows = max(1, BLOCK_BYTES * n_rows // max(size, 1))
-        # the upper bits of a row's number tell its partition
-        blocks = numbered(rows).withColumn("block", F.expr(f"shiftleft(shiftright(rid, 33), 33) + (rid & {(1 << 33) - 1}) div {block_rows}"))
-        asked = blocks.select("block", "text").mapInArrow(lean(_asker(depth, shards)), "kind int, shard int, block long, keys binary")
-        known = priced.unionByName(words)
-        answers = asked.groupBy("kind", "shard").cogroup(known.groupBy("kind", "shard")).applyInArrow(_answer, "kind int, block long, keys binary, value binary")
-        out = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_block_scorer(depth), _TYPES)
+        shard_of = lambda kind, keys: _shard(kind, keys, shards)
+        known, types = priced.unionByName(words), {GRAM: np.float32, WORD: np.int64}
+        out = look_up(blocks(numbered(rows), size, n_rows), known, types, _wanted(depth), shard_of, _block_scorer(depth), _TYPES)
     rate = F.log10(F.lit(float(total + vocabulary + 1)))
     return out.select(
         "doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"),

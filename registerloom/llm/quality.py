@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._blocks import blocks, look_up, packed, shard_keys, shards_for, text_size
 from ._grams import Counts, Table, codes, pieces
 from ._rows import BROADCAST_ROWS, checked_broadcast, lean, numbered, save, send
 
@@ -94,16 +95,20 @@ def kneser_ney(grams: DataFrame, order: int = ORDER) -> DataFrame:
     return priced.select("key", F.log10("p").alias("value"))
 
 
+def _priced(texts: list[bytes], order: int, table: Table) -> tuple[np.ndarray, np.ndarray]:
+    """Words, the end among them, and log10 probability of each text."""
+    total = np.zeros(len(texts))
+    for buf, lengths, owners in pieces(texts, order):
+        value = table.look(codes(buf, lengths, order), 0.0)
+        total += np.bincount(owners, weights=np.add.reduceat(value, np.concatenate([[0], np.cumsum(lengths)[:-1]])), minlength=len(texts))
+    return np.array([len(t.split()) + 1 for t in texts], np.int64), total
+
+
 def _scorer(order: int, table):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = _raw(batch.column("text").to_pylist())
-            total = np.zeros(len(texts))
-            for buf, lengths, owners in pieces(texts, order):
-                value = table.value.look(codes(buf, lengths, order), 0.0)
-                total += np.bincount(owners, weights=np.add.reduceat(value, np.concatenate([[0], np.cumsum(lengths)[:-1]])), minlength=len(texts))
-            words = np.array([len(t.split()) + 1 for t in texts], np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEYS), pa.array(words), pa.array(total)], [*_KEYS, "n_words", "logprob"])
+            found = _priced(_raw(batch.column("text").to_pylist()), order, table.value)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in _KEYS), *map(pa.array, found)], [*_KEYS, "n_words", "logprob"])
 
     return score
 
@@ -112,17 +117,20 @@ _KEYS = ["doc_id", "lang", "trusted", "learned", "rid"]
 _TYPES = "doc_id long, lang string, trusted boolean, learned boolean, rid long, n_words long, logprob double"
 
 
-def _exploder(order: int):
-    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                text = _raw([row["text"]])[0]
-                for buf, lengths, _ in pieces([text], order):
-                    keys, n = np.unique(codes(buf, lengths, order), return_counts=True)
-                    head = [pa.array([row[c]] * len(keys), t) for c, t in zip(_KEYS, (pa.int64(), pa.string(), pa.bool_(), pa.bool_(), pa.int64()))]
-                    yield pa.RecordBatch.from_arrays([*head, pa.array([len(text.split()) + 1] * len(keys)), pa.array(keys), pa.array(n)], [*_KEYS, "n_words", "key", "n"])
+def _wanted(order: int):
+    def wanted(texts: list[str | None]) -> Iterator[tuple[int, np.ndarray]]:
+        for buf, lengths, _ in pieces(_raw(texts), order):
+            yield 0, codes(buf, lengths, order)
+
+    return wanted
 
-    return explode
+
+def _block_scorer(order: int):
+    def score(docs: pa.Table, known: dict[int, Table]) -> pa.Table:
+        found = _priced(_raw(docs["text"].to_pylist()), order, known[0])
+        return pa.table([*(docs[c] for c in _KEYS), *map(pa.array, found)], names=[*_KEYS, "n_words", "logprob"])
+
+    return score
 
 
 def classify(
@@ -138,7 +146,7 @@ def classify(
     language with fewer than least_held of them, perplexities have prior_words more words at those texts' mean, and the
     limit is their median plus spread times the way to their 95 % quantile. Text of few words repeated over and over is
     cheap to the model and may be kept. The n-grams' prices are sent to the executors if there are at most
-    sent_rows, else documents' n-grams meet them in a shuffled join.
+    sent_rows, else blocks of documents fetch those that they need.
 
     Nulls and empty texts: a null text is empty and priced by its end alone; a null lang is a language of its own; a null
     doc_id is never trusted. A language without trusted text is held to the threshold of all trusted ones; with none at all,
@@ -156,8 +164,9 @@ def classify(
         table = send(docs.sparkSession, Table(t["key"].to_numpy(), t["value"].to_numpy()))
         scored = rows.mapInArrow(lean(_scorer(order, table)), _TYPES)
     else:
-        keys = rows.mapInArrow(lean(_exploder(order)), f"{_TYPES.removesuffix(', logprob double')}, key long, n long")
-        scored = keys.join(priced, "key").groupBy(*_KEYS, "n_words").agg(F.sum(F.col("n") * F.col("value")).alias("logprob"))
+        size, n_rows = docs.agg(*text_size(F.col("text"))).first()
+        shards = shards_for(size)
+        scored = look_up(blocks(rows, size, n_rows), packed(priced, shards), {0: np.float64}, _wanted(order), lambda kind, keys: shard_keys(keys, shards), _block_scorer(order), _TYPES)
     scored = save(scored)
     trusted = scored.filter("trusted and not learned")
     rate = -F.sum("logprob") / F.sum("n_words")
