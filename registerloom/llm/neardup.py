@@ -218,10 +218,10 @@ def _blocks(similarity: int):
 
 
 def beside(df: DataFrame, key: str, **aggs: Column) -> DataFrame:
-    """df with aggregates over all rows of one key: combined before they are shuffled and joined, so that a key that many rows
-    share is no task of its own, as it would be in a window."""
-    per = df.groupBy(F.col(key).alias("__key")).agg(*[c.alias(n) for n, c in aggs.items()])
-    return df.join(per, F.col(key) == F.col("__key")).drop("__key")
+    """df with aggregates over all rows of one key: combined before they are shuffled, and sent to where the rows are if there
+    are few enough, so that a key that many rows share is no task of its own, as it would be in a window."""
+    per = save(df.groupBy(F.col(key).alias("__key")).agg(*[c.alias(n) for n, c in aggs.items()]))
+    return df.join(checked_broadcast(per), F.col(key) == F.col("__key")).drop("__key")
 
 
 def components(edges: DataFrame) -> DataFrame:
