@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, licenses, lmscore, mixing, neardup, quality, secrets, tokens, topk, toxicity
+from . import decontaminate, golden, licenses, lmscore, mixing, neardup, quality, secrets, tokens, topk, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count(_documents(spark, sf_dir))
 
 
+def op11_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golden.golden_records(spark.read.parquet(f"{sf_dir}/clients.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -67,9 +71,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_neardup": op8_neardup,
         "op9_mixing": op9_mixing,
         "op10_tokens": op10_tokens,
+        "op11_golden": op11_golden,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Where DuckDB SQL can say the same; the other queries are tested against brute force."""
-    return {"op4_topk": topk.SQL, "op8_neardup": neardup.SQL}
+    return {"op4_topk": topk.SQL, "op8_neardup": neardup.SQL, "op11_golden": golden.SQL}
