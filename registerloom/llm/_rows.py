@@ -11,7 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Words are maximal runs of characters other than these six ASCII white spaces.
@@ -95,6 +95,22 @@ def numbered(docs: DataFrame, name: str = "rid") -> DataFrame:
     return docs.withColumn(name, F.monotonically_increasing_id())
 
 
+def ranks(rows: DataFrame, name: str, *order: Column) -> DataFrame:
+    """rows with their places (from 1) in order in column name; rows that tie in all of order are placed as it happens.
+
+    Rows are dealt by range and sorted where they are; the only thing that passes the driver is how many each range has."""
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"__loom_part": F.spark_partition_id(), "__loom_place": place})
+    dealt = save(dealt)
+    offsets, before = [], 0
+    for part, n in sorted(dealt.groupBy("__loom_part").count().collect()):
+        offsets.append((part, before))
+        before += n
+    offset = F.broadcast(rows.sparkSession.createDataFrame(offsets or [(0, 0)], "__loom_part int, __loom_before long"))
+    placed = dealt.join(offset, "__loom_part").withColumn(name, F.col("__loom_before") + F.col("__loom_place") + 1)
+    return placed.drop("__loom_part", "__loom_place", "__loom_before")
+
+
 def _release() -> None:
     """Give free memory back to the system: Python workers are used again and would go on holding it."""
     pa.default_memory_pool().release_unused()

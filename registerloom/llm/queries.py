@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, golden, licenses, lmscore, mixing, neardup, quality, secrets, tokens, topk, toxicity
+from . import decontaminate, golden, importance, licenses, lmscore, mixing, neardup, quality, secrets, tokens, topk, toxicity
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +59,10 @@ def op11_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return golden.golden_records(spark.read.parquet(f"{sf_dir}/clients.parquet"))
 
 
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("n_words")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -72,9 +76,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": op9_mixing,
         "op10_tokens": op10_tokens,
         "op11_golden": op11_golden,
+        "op12_importance": op12_importance,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """Where DuckDB SQL can say the same; the other queries are tested against brute force."""
-    return {"op4_topk": topk.SQL, "op8_neardup": neardup.SQL, "op11_golden": golden.SQL}
+    return {"op4_topk": topk.SQL, "op8_neardup": neardup.SQL, "op11_golden": golden.SQL, "op12_importance": importance.SQL}
