@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, golden, importance, licenses, lmscore, mixing, neardup, quality, secrets, tokens, topk, toxicity
+from . import decontaminate, golden, importance, licenses, lmscore, mixing, neardup, quality, secrets, tokenfiles, tokens, topk, toxicity
+from ._rows import shared_dir
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +65,14 @@ def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("n_words")
 
 
+def op13_tokenfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    tokenizer, path = public_tokenizers.path("byte_bpe_50k.json"), f"{shared_dir(spark)}/loom-ids-{uuid.uuid4().hex}"
+    tokenfiles.write(_documents(spark, sf_dir), path, tokenizer)
+    return tokenfiles.digests(spark, path, tokenizer)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontaminate": op1_decontaminate,
@@ -77,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_tokens": op10_tokens,
         "op11_golden": op11_golden,
         "op12_importance": op12_importance,
+        "op13_tokenfiles": op13_tokenfiles,
     }
 
 
