@@ -11,6 +11,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,20 +20,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._rows import lean, numbered, send
+from ._rows import checked_broadcast, lean, numbered, send
 
 #: The id that ends each document.
 END = 0
 #: Bytes of text in a shard on average, and ids in a block (or one document).
 SHARD_BYTES, BLOCK_IDS = 8 << 20, 1 << 21
+#: Bytes of text that are encoded at once (or one text).
+BATCH_BYTES = 16 << 20
 #: A pair that occurs less often in a block is no rule. A pass replaces pairs in falling order of their counts, until they
 #: stand at one place of COVER; the last pass is one that shortens the sequence by less than one of ENOUGH.
 LEAST, COVER, ENOUGH = 4, 8, 256
-#: Pieces of text whose ids an encoder remembers, characters that are cut into pieces at once, pieces encoded as one text.
-REMEMBERED, CUT, JOINED = 1_000_000, 1 << 20, 256
+#: Pieces of text whose ids an encoder remembers, and characters that are cut into pieces at once.
+REMEMBERED, CUT = 1_000_000, 1 << 20
 #: Fixed value: the characters that Unicode calls white space.
 SPACE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-_PIECE, _EDGE, _WORD = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"), re.compile(f"[^{SPACE}](?=[{SPACE}])"), re.compile(f" [^{SPACE}]")
+_PIECE, _EDGE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"), re.compile(f"[^{SPACE}](?=[{SPACE}])")
+#: Letters of which alone words are made that the model gets without the tokenizer's own splitting.
+_LETTERS = "".join(c for c in map(chr, range(0x100)) if c.isascii() and c.isalpha() or c.isalpha() and ord(c) >= 0xC0)
+_STEM = re.compile(f" ?[{_LETTERS}]+(?=$|[\\x21-\\x40\\x5B-\\x60\\x7B-\\x7E])")
 #: The same for the other pattern language: a space before white space.
 _WIDE = " [\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: Pairs are first counted in a hash table of 2 ** _BINS numbers.
@@ -55,38 +61,47 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(file)
         made = json.loads(file)
         before = made.get("pre_tokenizer") or {}
-        # such a tokenizer's pattern never joins a character with white space after it, so it splits where pieces begin, and
-        # each character of a token in its vocabulary is one byte of text
+        # such a tokenizer's pattern never joins a character with white space after it, so it splits where pieces begin
         self.by_piece = not made.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
-        self.bytes = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), np.int64)
-        for token, i in self.tokenizer.get_vocab(with_added_tokens=True).items():
-            self.bytes[i] = len(token)
+        self.letters = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in _LETTERS + " "} if self.by_piece else {}
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
+        self.rests: dict[str, list[int]] = {}
         self.flat, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
-        """Encode pieces not yet known. Words after one space are encoded as one text; their tokens' bytes tell them apart."""
-        words, others = [p for p in pieces if _WORD.match(p)], [p for p in pieces if not _WORD.match(p)]
-        texts = ["".join(words[i : i + JOINED]) for i in range(0, len(words), JOINED)] + others
-        new = [np.array(e.ids, np.int32) for at in range(0, len(texts), 64) for e in self.tokenizer.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)]
-        flat = np.concatenate([np.empty(0, np.int32), *new])
-        pieces = words + others
-        ends = np.searchsorted(np.cumsum(self.bytes[flat]), np.cumsum([len(p.encode()) for p in pieces])) + 1
-        sizes = np.diff(ends, prepend=0)
+        """Encode pieces not yet known. A word that ends before an ASCII character that is no letter is one pre-token, for the
+        model itself; what follows it, and all other pieces, are for the whole tokenizer."""
+        stems = [m.end() if (m := _STEM.match(p)) else 0 for p in pieces]
+        rests = dict.fromkeys(p[n:] for p, n in zip(pieces, stems) if n < len(p))
+        new = [r for r in rests if r not in self.rests]
+        self.rests.update((r, e.ids) for r, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)))
+        tokenize, rests, spelled = self.tokenizer.model.tokenize, self.rests, {}
+        ids = []
+        for p, n in zip(pieces, stems):
+            stem = p[:n]
+            if n and stem not in spelled:
+                spelled[stem] = [t.id for t in tokenize(stem.translate(self.letters))]
+            ids.append((spelled[stem] if n else []) + (rests[p[n:]] if n < len(p) else []))
+        if len(rests) > REMEMBERED // 4:
+            self.rests = {}
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
-        self.starts, self.sizes = np.concatenate([self.starts, len(self.flat) + ends - sizes]), np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, flat])
+        self.starts, self.sizes = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes]), np.concatenate([self.sizes, sizes])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))])
 
     def _ids(self, pieces: list[str]) -> np.ndarray:
         """Numbers of pieces, learned if need be."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        if new := [p for p in pieces if p not in self.known]:
-            self._learn(list(dict.fromkeys(new)))
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        numbers = np.array(list(map(self.known.get, pieces, repeat(-1))), np.int64)
+        if len(new := np.flatnonzero(numbers < 0)):
+            unknown = [pieces[i] for i in new]
+            self._learn(list(dict.fromkeys(unknown)))
+            numbers[new] = list(map(self.known.__getitem__, unknown))
+        return numbers
 
     def _spelled(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of pieces one after the other, how many each has)."""
@@ -120,7 +135,7 @@ class Encoder:
             words = pc.split_pattern(texts.filter(pa.array(even)), " ")
             coded = words.values.dictionary_encode()
             begins = words.offsets.to_numpy()[:-1] - words.offsets[0].as_py()
-            spelled = coded.dictionary.to_pylist()
+            spelled = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
             place = coded.indices.to_numpy().astype(np.int64)
             first = np.unique(place[begins])  # words at the beginning of a text have no space before them
             numbers = self._ids([" " + w for w in spelled] + [spelled[i] for i in first])
@@ -139,18 +154,25 @@ def encoder(file: str) -> Encoder:
     return _ENCODER[file]
 
 
-def _frequent(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(pairs, the pair at each place, places) of the most frequent pairs (a, b), those that stand at one place of COVER, if
-    so many occur least times."""
-    bins = ((a.view(np.uint32) * np.uint32(0x9E3779B1) + b.view(np.uint32) * np.uint32(0x85EBCA6B)) * np.uint32(0xC2B2AE35) >> np.uint32(32 - _BINS)).view(np.int32)
-    counts = np.bincount(bins, minlength=1 << _BINS)
+def _frequent(seq: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(pairs, the pair at each place, places) of the most frequent pairs of seq, those that stand at one place of COVER, if
+    so many occur least times. No pair lies over one of ends."""
+    x = seq.view(np.uint32)
+    bins = x[:-1] * np.uint32(0x9E3779B1)
+    bins += x[1:] * np.uint32(0x85EBCA6B)
+    bins *= np.uint32(0xC2B2AE35)
+    bins >>= np.uint32(32 - _BINS)
+    bins = bins.view(np.int32)
+    bins[ends[:-1] - 1] = 1 << _BINS  # a bin of their own for places that are none
+    counts = np.bincount(bins, minlength=(1 << _BINS) + 1)
+    counts[-1] = 0
     full = np.sort(counts[counts >= least])[::-1]
     if not len(full):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
-    bound = full[min(np.searchsorted(np.cumsum(full), len(a) // COVER), len(full) - 1)]
+    bound = full[min(np.searchsorted(np.cumsum(full), len(seq) // COVER), len(full) - 1)]
     # a bin may hold several pairs: what is in full bins is counted exactly
     places = np.flatnonzero((counts >= bound)[bins])
-    keys = (a[places].astype(np.int64) << 32) | b[places]
+    keys = (seq[places].astype(np.int64) << 32) | seq[places + 1]
     distinct, number, count = np.unique(keys, return_inverse=True, return_counts=True)
     keep = count >= min(bound, max(least, count.max()))
     chosen = keep[number]
@@ -162,16 +184,12 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -
 
     Pass by pass the most frequent pairs become rules, from the left and without overlap, until hardly any pair occurs least
     times. No rule crosses the end of a document."""
-    seq, ends, made = ids.astype(np.int32), ends.copy(), base
-    left, right, lengths = [np.empty(0, np.int32)], [np.empty(0, np.int32)], np.ones(base, np.int64)
+    seq, ends, made = ids.astype(np.int32), ends.astype(np.int64), base
+    left, right, lengths = [np.empty(0, np.int64)], [np.empty(0, np.int64)], np.ones(base, np.int64)
     while len(seq) > 1:
-        inside = np.ones(len(seq), bool)
-        inside[ends - 1] = False
-        at = np.flatnonzero(inside)
-        pairs, number, places = _frequent(seq[at], seq[at + 1], least) if len(at) else ([], None, None)
+        pairs, number, places = _frequent(seq, ends, least)
         if not len(pairs):
             break
-        places = at[places]
         new = np.concatenate([[True], np.diff(places) > 1])  # runs of neighbouring places: every second one is taken
         first = np.maximum.accumulate(np.where(new, np.arange(len(places)), 0))
         taken = (np.arange(len(places)) - first) % 2 == 0
@@ -187,11 +205,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -
         seq[places] = made + number
         keep = np.ones(len(seq), bool)
         keep[places + 1] = False
-        seq, ends = seq[keep], np.cumsum(keep)[ends - 1]
+        seq, ends = seq[keep], ends - np.searchsorted(places, ends - 1)
         made += len(pairs)
         if len(places) * ENOUGH < len(seq):
             break
-    return *(np.concatenate(x).astype(np.int64) for x in (left, right)), lengths[base:], seq.astype(np.int64), ends
+    return np.concatenate(left), np.concatenate(right), lengths[base:], seq.astype(np.int64), ends
 
 
 def expand(sequence: np.ndarray, left: np.ndarray, right: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
@@ -276,7 +294,7 @@ def write(docs: DataFrame, path: str, tokenizer: str, least: int = LEAST, block_
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     order = F.col("doc_id").asc_nulls_first(), F.col("place")
     dealt = rows.repartitionByRange(1 + size // shard_bytes, *order).sortWithinPartitions(*order)
-    dealt.mapInArrow(lean(_writer(file, least, block_ids)), _SCHEMA).write.parquet(path)
+    dealt.mapInArrow(lean(_writer(file, least, block_ids), 1 << 16, BATCH_BYTES), _SCHEMA).write.parquet(path)
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -288,7 +306,8 @@ def blocks(spark: SparkSession, path: str) -> DataFrame:
     runs = sizes.groupBy("run").agg(F.sum("n_ids").alias("run_ids"))
     runs = runs.select("run", earlier("run_ids", Window.orderBy("run")).alias("before_run"))
     sizes = sizes.withColumn("within", earlier("n_ids", Window.partitionBy("run").orderBy("shard", "block"))).join(runs, "run")
-    return files.join(sizes.select("shard", "block", (F.col("before_run") + F.col("within")).alias("before")), ["shard", "block"])
+    sizes = sizes.select("shard", "block", (F.col("before_run") + F.col("within")).alias("before"))
+    return files.join(checked_broadcast(sizes), ["shard", "block"])
 
 
 def _decoder(base: int, digest: bool):
