@@ -30,7 +30,7 @@ SHARD_BYTES, BLOCK_IDS = 8 << 20, 1 << 21
 BATCH_BYTES = 16 << 20
 #: A pair that occurs less often in a block is no rule. A pass replaces pairs in falling order of their counts, until they
 #: stand at one place of COVER; the last pass is one that shortens the sequence by less than one of ENOUGH.
-LEAST, COVER, ENOUGH = 4, 8, 256
+LEAST, COVER, ENOUGH = 4, 8, 128
 #: Pieces of text whose ids an encoder remembers, and characters that are cut into pieces at once.
 REMEMBERED, CUT = 1_000_000, 1 << 20
 #: Fixed value: the characters that Unicode calls white space.
@@ -214,8 +214,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -
 
 def expand(sequence: np.ndarray, left: np.ndarray, right: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
     """The ids that symbols stand for."""
-    rules = np.unique(sequence[sequence >= base])
-    seq, of = rules, rules  # each rule in use is expanded once, level by level, then copied to where it stands
+    ruled, plain = np.flatnonzero(sequence >= base), np.flatnonzero(sequence < base)
+    used = np.zeros(len(left), bool)
+    used[sequence[ruled] - base] = True
+    of = np.flatnonzero(used)
+    seq = of + base  # each rule in use is expanded once, level by level, then copied to where it stands
     while len(deep := np.flatnonzero(seq >= base)):
         counts = np.ones(len(seq), np.int64)
         counts[deep] = 2
@@ -224,16 +227,14 @@ def expand(sequence: np.ndarray, left: np.ndarray, right: np.ndarray, lengths: n
         out[to] = seq
         out[to[deep]], out[to[deep] + 1] = left[seq[deep] - base], right[seq[deep] - base]
         seq = out
-    sizes = np.ones(len(sequence), np.int64)
-    ruled = np.flatnonzero(sequence >= base)
-    sizes[ruled] = lengths[sequence[ruled] - base]
-    starts = np.empty(len(sequence), np.int64)
-    begins = np.cumsum(lengths[of - base]) - lengths[of - base]
-    starts[ruled] = begins[np.searchsorted(of, sequence[ruled])]
-    plain = np.flatnonzero(sequence < base)
+    begins = np.zeros(len(left), np.int64)
+    begins[of] = np.cumsum(lengths[of]) - lengths[of]
+    sizes, starts = np.ones(len(sequence), np.int64), np.empty(len(sequence), np.int64)
+    sizes[ruled], starts[ruled] = lengths[sequence[ruled] - base], begins[sequence[ruled] - base]
     starts[plain] = len(seq) + np.arange(len(plain))
     ends = np.cumsum(sizes)
-    return np.concatenate([seq, sequence[plain]])[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].astype(np.int32)
+    ids = np.concatenate([seq, sequence[plain]]).astype(np.int32)
+    return ids[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 def _pack(x: np.ndarray) -> bytes:
