@@ -68,9 +68,9 @@ def packed(rows: DataFrame, shards: int) -> DataFrame:
 
 
 def blocks(rows: DataFrame, size: int, n_rows: int) -> DataFrame:
-    """Numbered rows (rid) with the number of their block: rows that follow each other in one partition, of about BLOCK_BYTES."""
+    """Numbered rows (rid) with the number of their block: rows that follow each other in one file, of about BLOCK_BYTES."""
     block_rows = max(1, BLOCK_BYTES * n_rows // max(size, 1))
-    # the upper bits of a row's number tell its partition
+    # the upper bits of a row's number tell its file
     return rows.withColumn("block", F.expr(f"shiftleft(shiftright(rid, 33), 33) + (rid & {(1 << 33) - 1}) div {block_rows}"))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import contextvars
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of (key, value) that one broadcast may hold: 24 bytes each, under 100 MB.
 BROADCAST_ROWS = 4_000_000
+#: Files whose paths numbered() broadcasts.
+NUMBERED_FILES = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,16 +86,29 @@ def send(spark: SparkSession, value):
 
 
 def numbered(docs: DataFrame, name: str = "rid") -> DataFrame:
-    """docs with the rows' numbers in column name, the same ones each time that the result is read.
+    """docs with the rows' numbers in column name, the same ones each time that the result is read, however its files are then
+    dealt to tasks: the place of a row's file among docs' files by path, in the upper bits, and of the row in its file.
 
-    Rows of files have a stable order; anything else (a shuffle may deal its rows otherwise the next time) is stored first.
-    """
+    Rows of Parquet files are numbered as they are; anything else (a shuffle may deal its rows otherwise the next time) is
+    stored first, and so is what lies in more than NUMBERED_FILES files, as their paths are broadcast. Rows that have been
+    numbered get the same numbers again."""
     plan = docs._jdf.queryExecution().analyzed()
-    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+    joined = lambda p: p.nodeName() == "Join" and any(p.output().apply(i).name() == "__loom_path" for i in range(p.output().size()))
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias") or joined(plan):
         plan = plan.children().head()
-    if plan.nodeName() != "LogicalRelation":
-        docs = save(docs, keep=True)
-    return docs.withColumn(name, F.monotonically_increasing_id())
+    kind = lambda x: x.getClass().getSimpleName()
+    stored = plan.nodeName() == "LogicalRelation" and kind(plan.relation()) == "HadoopFsRelation" and kind(plan.relation().fileFormat()) == "ParquetFileFormat"
+    if not stored or len(docs.inputFiles()) > NUMBERED_FILES:
+        docs = save(docs.coalesce(NUMBERED_FILES), keep=True)
+    paths = sorted(re.sub("^file:/+", "file:/", f) for f in docs.inputFiles())
+    about = docs.metadataColumn("_metadata")
+    rows = docs.withColumns({"__loom_file": F.regexp_replace(about["file_path"], "^file:/+", "file:/"), name: about["row_index"]})
+    if len(paths) > 1:
+        files = docs.sparkSession.createDataFrame(list(zip(paths, range(len(paths)))), "__loom_path string, __loom_at long")
+        rows = rows.join(F.broadcast(files), F.col("__loom_file") == F.col("__loom_path"), "left")
+        at = F.coalesce("__loom_at", F.raise_error(F.concat(F.lit("a file that was not listed: "), "__loom_file")).cast("long"))
+        rows = rows.withColumn(name, F.shiftleft(at, 33).bitwiseOR(F.col(name))).drop("__loom_path", "__loom_at")
+    return rows.drop("__loom_file")
 
 
 def ranks(rows: DataFrame, name: str, *order: Column) -> DataFrame:
