@@ -840,6 +840,9 @@ class Graph:
         if name in ("TEXT", "SCORE"):  # of a text: itself, and the number of its words
             if not (args and args[0][1] == "term"):
                 raise SparqlError(f"{name} is of a text")
+            score = f"_score_{e.args[0].name}" if isinstance(e.args[0], Var) else None
+            if name == "SCORE" and score in rel.kinds:  # from an index of words
+                return F.col(f"`{score}`"), "number"
             return (text[0], "string") if name == "TEXT" else (F.size(F.split(text[0], r"[^\p{L}\p{N}]+")), "number")
         if name == "BOUND":
             return args[0][0].isNotNull(), "bool"

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from . import schemas as S
 from .functions import text as X
 from .operators import extraction, graph, imprint, matching, registry
-from .plans import sparql, storage
+from .plans import dictionary, sparql, storage
 from .sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,29 @@ _COMPANY = "'http://example.org/company/' || regexp_replace(Company_name, '[^\\p
 _COURT = "'http://example.org/court/' || regexp_replace(replace(Court_name, ' ', '_'), '[^\\p{L}\\p{N}_]', '', 'g')"
 
 
+_IN = "'http://example.org/schema/"
+_TYPE = "'http://www.w3.org/1999/02/22-rdf-syntax-ns#type'"
+_OF = lambda c: f"'http://example.org/court/' || regexp_replace(replace('Amtsgericht ' || {c}, ' ', '_'), '[^\\p{{L}}\\p{{N}}_]', '', 'g')"
+#: All statements of the records, then with those of courts, in full.
+_STATEMENTS = _REC.strip() + f""", stated AS (
+SELECT {_COMPANY} AS s, {_TYPE} AS p, {_IN}Company' AS o, 'iri' AS o_kind, NULL AS o_dt FROM rec
+UNION SELECT {_COURT}, {_TYPE}, {_IN}Court', 'iri', NULL FROM rec
+UNION SELECT {_COMPANY}, {_IN}companyName', Company_name, 'literal', NULL FROM rec
+UNION SELECT {_COURT}, {_IN}courtName', Court_name, 'literal', NULL FROM rec
+UNION SELECT {_COMPANY}, {_IN}registeredAt', {_COURT}, 'iri', NULL FROM rec
+UNION SELECT {_COMPANY}, {_IN}registrationCode', Registration_Code, 'literal', NULL FROM rec WHERE Registration_Code IS NOT NULL
+UNION SELECT {_COMPANY}, {_IN}registrationYear', {_YEAR}, 'literal', 'http://www.w3.org/2001/XMLSchema#gYear' FROM rec WHERE {_YEAR} IS NOT NULL
+UNION SELECT {_COMPANY}, {_IN}articleDate', Date_of_article, 'literal', NULL FROM rec WHERE Date_of_article IS NOT NULL
+UNION SELECT {_COMPANY}, {_IN}fileName', fileName, 'literal', NULL FROM rec
+)"""
+_ALL_STATEMENTS = _STATEMENTS + f""", everything AS (
+SELECT * FROM stated
+UNION SELECT {_OF("n_name")}, {_IN}lostTerritory', 'true', 'literal', 'http://www.w3.org/2001/XMLSchema#boolean' FROM nation WHERE n_nationkey % 4 = 0
+UNION SELECT {_OF("a.n_name")}, {_IN}succeededBy', {_OF("b.n_name")}, 'iri', NULL FROM nation a JOIN nation b ON b.n_nationkey = a.n_nationkey + 5
+)"""
+_TERM = "CASE WHEN o_kind = 'iri' THEN '<' || o ELSE '\"' || o || coalesce(chr(1) || '^' || o_dt, '') END"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -68,6 +91,19 @@ def indexed(spark: SparkSession, sf_dir: str) -> sparql.Graph:
     return sparql.Graph(t, (wide, sparql.wide_columns(wide)))
 
 
+def term_index(spark: SparkSession, sf_dir: str) -> dictionary.IndexedGraph:
+    """The graph with its dictionary of terms and its index of words, built once."""
+    stamp = storage.stamp(spark, *(f"{sf_dir}/{t}.parquet" for t in ("customer", "nation", "region")))
+    t = triples(spark, sf_dir)
+    key = (spark.sparkContext.applicationId, sf_dir, stamp)
+    if key not in _INDEXES:
+        _INDEXES[key] = dictionary.indexed(t)
+    return _INDEXES[key]
+
+
+_INDEXES: dict[tuple, dictionary.IndexedGraph] = {}
+
+
 def _all_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = graph.triplify(records(spark, sf_dir))
     nation = table(spark, sf_dir, "nation")
@@ -89,12 +125,12 @@ def register(name: str, sql: str | None = None):
     return add
 
 
-def ask(name: str, text: str, sql: str, **casts: str) -> None:
-    """Register a SPARQL query; casts gives columns a type for comparison."""
+def ask(name: str, text: str, sql: str, graph_of: Callable[[SparkSession, str], sparql.Graph] = indexed, **casts: str) -> None:
+    """Register a SPARQL query; casts gives columns a type, or a value, for comparison."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        out = indexed(spark, sf_dir).query(text)
-        return out.withColumns({c: F.col(c).cast(t) for c, t in casts.items()})
+        out = graph_of(spark, sf_dir).query(text)
+        return out.withColumns({c: F.expr(t) if "(" in t else F.col(c).cast(t) for c, t in casts.items()})
 
     register(name, sql)(run)
 
@@ -177,7 +213,49 @@ ask(
     "subject_prefix_search",
     'SELECT ?company ?name WHERE { ?company ex:companyName ?name FILTER REGEX(STR(?name), "^Customer#0000000[1-4]") }',
     _REC + f"SELECT {_COMPANY} AS company, Company_name AS name FROM rec WHERE regexp_matches(Company_name, '^Customer#0000000[1-4]')",
+    graph_of=term_index,
+)
+ask(
+    "iri_prefix_star",
+    """SELECT ?company ?year ?courtName WHERE { ?company a ex:Company ; ex:registeredAt ?court ; ex:registrationYear ?year . ?court ex:courtName ?courtName
+      FILTER(STRSTARTS(STR(?company), "http://example.org/company/Customer0000001") && ?year >= 1910) }""",
+    _REC + f"""SELECT {_COMPANY} AS company, {_YEAR} AS year, Court_name AS courtName FROM rec
+    WHERE starts_with({_COMPANY}, 'http://example.org/company/Customer0000001') AND TRY_CAST({_YEAR} AS INTEGER) >= 1910""",
+    graph_of=term_index,
 )
+ask(
+    "text_score",
+    """SELECT ?text ?company (SCORE(?text) AS ?score) WHERE { ?text ql:contains-word "sept* 1*" . ?text ql:contains-entity ?company . ?company a ex:Company }""",
+    _ALL_STATEMENTS + f""", literals AS (SELECT DISTINCT o, o_dt FROM everything WHERE o_kind = 'literal'),
+    words AS (SELECT o, o_dt, unnest(regexp_split_to_array(lower(o), '[^\\p{{L}}\\p{{N}}]+')) AS w FROM literals),
+    hits AS (SELECT o, o_dt, CASE WHEN starts_with(w, 'sept') THEN 'sept*' ELSE '1*' END AS q, count(*) AS n FROM words WHERE starts_with(w, 'sept') OR starts_with(w, '1') GROUP BY ALL),
+    rare AS (SELECT q, ln(1 + (SELECT count(*) FROM literals) / count(*)::DOUBLE) AS r FROM hits GROUP BY q),
+    scored AS (SELECT o, o_dt, CAST(floor(1000 * sum(n * r)) AS BIGINT) AS score FROM hits JOIN rare USING (q) GROUP BY ALL HAVING count(*) = 2)
+    SELECT DISTINCT o AS text, s AS company, score FROM scored JOIN everything USING (o) WHERE o_kind = 'literal' AND s IN (SELECT s FROM everything WHERE o = {_IN}Company')""",
+    graph_of=term_index,
+    score="floor(1000 * score)",
+)
+
+
+@register("term_dictionary", _ALL_STATEMENTS + f""", terms AS (SELECT '<' || s AS term FROM everything UNION SELECT '<' || p FROM everything UNION SELECT {_TERM} FROM everything)
+    SELECT row_number() OVER (ORDER BY term) - 1 AS id, term FROM terms""")
+def _term_dictionary(spark, sf_dir):
+    return term_index(spark, sf_dir).index.terms
+
+
+@register("numbered_triples", _ALL_STATEMENTS + f""", terms AS (SELECT '<' || s AS term FROM everything UNION SELECT '<' || p FROM everything UNION SELECT {_TERM} FROM everything),
+    ids AS (SELECT row_number() OVER (ORDER BY term) - 1 AS id, term FROM terms)
+    SELECT a.id AS s, b.id AS p, c.id AS o FROM everything JOIN ids a ON a.term = '<' || s JOIN ids b ON b.term = '<' || p JOIN ids c ON c.term = {_TERM}""")
+def _numbered_triples(spark, sf_dir):
+    return term_index(spark, sf_dir).index.by_object
+
+
+@register("triplify_rows", _STATEMENTS + "SELECT s, p, o, o_kind, o_dt FROM stated")
+def _triplify_rows(spark, sf_dir):
+    """Every statement of the records in full."""
+    return graph.triplify(records(spark, sf_dir)).drop("o_lang")
+
+
 ask(
     "contains_filter",
     'SELECT DISTINCT ?date WHERE { ?c ex:articleDate ?date FILTER(CONTAINS(?date, "11. September")) }',

@@ -17,7 +17,7 @@ from . import schemas as S
 from .functions import text as X
 from .operators import extraction, graph, imprint, matching, registry
 from .plans import storage
-from .queries import _REC, QUERIES, SQL, _pages_of_records, _register_rows, indexed, raw, records, register, table
+from .queries import _REC, QUERIES, SQL, _pages_of_records, _register_rows, indexed, raw, records, register, table, term_index
 from .sources import files
 from .streaming import ingest
 
@@ -285,7 +285,7 @@ def _internal(spark, sf_dir):
 
 @register("text_words", _REC + "SELECT DISTINCT Date_of_article AS t FROM rec WHERE starts_with(Date_of_article, '11. ')")
 def _text_words(spark, sf_dir):
-    return indexed(spark, sf_dir).query('SELECT ?t WHERE { ?t ql:contains-word "11 sept*" . ?t ql:contains-entity ?c . ?c ex:articleDate ?t } GROUP BY ?t')
+    return term_index(spark, sf_dir).query('SELECT ?t WHERE { ?t ql:contains-word "11 sept*" . ?t ql:contains-entity ?c . ?c ex:articleDate ?t } GROUP BY ?t')
 
 
 @register("language_filter", "SELECT 'Köln (' || n_name || ')' AS label, 'de' AS lang FROM nation")
