@@ -4,20 +4,17 @@ from __future__ import annotations
 
 import io
 import re
-import uuid
 import zipfile
-import zlib
 from collections.abc import Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyarrow import fs
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schemas as S
 from ..functions import text as X
+from . import named
 
 
 def texts(spark: SparkSession, path: str, recursive: bool = True, pattern: str = "*.txt") -> DataFrame:
@@ -236,11 +233,14 @@ _TURTLE = re.compile(
 )
 
 
-class _Turtle:
-    """A reader of one Turtle document."""
+class Turtle:
+    """A reader of one Turtle document, or of some of its statements, which then has the prefixes and the base before them.
 
-    def __init__(self, text: str):
-        self.prefixes, self.base, self.at, self.out, self.fresh = {}, "", 0, [], 0
+    Blank nodes without a name are numbered after the text in unnamed; those with one get the text in named before it."""
+
+    def __init__(self, text: str, prefixes: dict[str, str] | None = None, base: str = "", unnamed: str = "loom", named: str = ""):
+        self.prefixes, self.base, self.at, self.out, self.fresh = dict(prefixes or {}), base, 0, [], 0
+        self.unnamed, self.named = unnamed, named
         self.tokens, at = [], 0
         while at < len(text):
             m = _TURTLE.match(text, at)
@@ -284,13 +284,13 @@ class _Turtle:
 
     def blank(self) -> str:
         self.fresh += 1
-        return f"_:loom{self.fresh}"
+        return f"_:{self.unnamed}{self.fresh}"
 
     def name(self, k: str, v: str) -> str:
         if k == "a":
             return S.A
         if k == "blank":
-            return v
+            return f"_:{self.named}{v[2:]}"
         if k == "iri":
             return v if ":" in v else self.base + v
         if k != "pname":
@@ -351,39 +351,21 @@ class _Turtle:
 
 def parse_turtle(text: str) -> list[tuple]:
     """Triples of a Turtle document. Blank nodes are IRIs that start with _:, those without a name are numbered."""
-    return _Turtle(text).document()
+    return Turtle(text).document()
 
 
 def turtle(spark: SparkSession, path: str) -> DataFrame:
-    """Triples of Turtle files. A file cannot be split, so land it once with write_index() before querying."""
-
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for value in pdf["value"]:
-                # blank nodes of different files are different
-                own = f"_:f{zlib.crc32(value.encode()):08x}"
-                rows = [tuple(own + x[2:] if i in (0, 2) and isinstance(x, str) and x.startswith("_:") and (i == 0 or t[3] == "iri") else x for i, x in enumerate(t)) for t in parse_turtle(value)]
-                yield pd.DataFrame(rows, columns=S.TRIPLE.names, dtype=object)
+    """Triples of Turtle files; a large file is split over many tasks."""
+    from . import turtle as parts
 
-    return spark.read.option("recursiveFileLookup", True).text(path, wholetext=True).mapInPandas(read, S.TRIPLE).distinct()
+    return parts.read(spark, path)
 
 
 def write_named(rows: DataFrame, folder: str) -> None:
     """Files of given names: rows (path, content), text or bytes, each become folder/path, written by the executors.
 
-    A file is first written under another name, so that a task that runs again leaves whole files only."""
-
-    def write(part: Iterator) -> None:
-        files, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
-        for row in part:
-            target = f"{root.rstrip('/')}/{row['path']}"
-            files.create_dir(target.rsplit("/", 1)[0], recursive=True)
-            rough = f"{target}.{uuid.uuid4().hex}.part"
-            with files.open_output_stream(rough) as out:
-                out.write(row["content"].encode() if isinstance(row["content"], str) else bytes(row["content"]))
-            files.move(rough, target)
-
-    rows.select("path", "content").filter("path is not null and content is not null").foreachPartition(write)
+    Files appear when the job is committed; of rows with one path, one is kept. Rows without a path or content write none."""
+    named.save(rows.select("path", "content").filter("path is not null and content is not null"), folder)
 
 
 def json_array(records) -> Column:
@@ -401,20 +383,7 @@ def write_json_arrays(done: DataFrame, folder: str) -> None:
 
 def write_merged(objects: DataFrame, folder: str) -> None:
     """JSON objects (value) as merged arrays: one file for each part of the table, written as it is read."""
-
-    def write(part: Iterator) -> None:
-        files, root = fs.FileSystem.from_uri(folder if "://" in folder else "file://" + folder)
-        files.create_dir(root, recursive=True)
-        target = f"{root.rstrip('/')}/merged-{TaskContext.get().partitionId():05d}.json"
-        rough, between = f"{target}.{uuid.uuid4().hex}.part", b"[\n"
-        with files.open_output_stream(rough) as out:
-            for row in part:
-                out.write(between + row["value"].encode())
-                between = b",\n"
-            out.write(b"\n]" if between == b",\n" else b"[]")
-        files.move(rough, target)
-
-    objects.select("value").filter("value is not null").foreachPartition(write)
+    named.save(objects.select("value").filter("value is not null"), folder, merged=True)
 
 
 def grid(df: DataFrame) -> DataFrame:
