@@ -316,7 +316,7 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, similarity: int = S
         clusters = components(state.select(F.col("first").alias("a"), F.col("cls").alias("b")))
         state = save(_clustered(state, clusters))
         weight = state.groupBy("cluster").agg(F.sum("size").alias("in_buckets"), F.count_distinct("cls").alias("members"))
-        dense = save(weight.filter("in_buckets > members * members").select(F.col("cluster").alias("dense"), F.ceil(F.col("members") / BLOCK).cast("int").alias("n_blocks")))
+        dense = save(weight.filter(f"in_buckets > members * members or members > {BLOCK} and in_buckets >= members * members").select(F.col("cluster").alias("dense"), F.ceil(F.col("members") / BLOCK).cast("int").alias("n_blocks")))
         of_dense = F.col("cluster") == F.col("dense")
         few = state.join(checked_broadcast(dense), of_dense, "left_anti")
         x, y = few.alias("x"), few.alias("y")

@@ -17,6 +17,8 @@ TOP = 10
 QUERY_EVERY = 100
 #: Components become whole numbers: floor(SCALE * x).
 SCALE = 1024
+#: Whole numbers below this are exact as doubles.
+EXACT = 2.0**53
 #: Dimensions that are accumulated before candidates are compacted; query vectors in one block, and pairs of a query and a
 #: candidate that are scored at a time.
 BLOCK_DIMS, QUERY_ROWS, BLOCK_PAIRS = 16, 8192, 1 << 22
@@ -42,6 +44,7 @@ class Queries:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         self.ids = ids
+        self.largest = np.abs(x).max(initial=0.0)
         self.order = np.argsort(-(x**2).sum(axis=0), kind="stable")
         self.columns = np.ascontiguousarray(x[:, self.order].T)
         self.rest = self._rest(self.columns)
@@ -111,6 +114,9 @@ def _searcher(sent, top: int):
                 good, x = _matrix(part, "embedding")
                 if not len(good):
                     continue
+                largest = np.abs(x).max(initial=0.0)
+                if largest * q.largest * len(q.order) >= EXACT:
+                    raise ValueError(f"components as large as {largest / SCALE:g} have inner products that no double holds exactly")
                 ids = part.column("vec_id").to_numpy(zero_copy_only=False)[good].astype(np.int64)
                 new = search_block(q, ids, x, floor, top)
                 best = _best(*(np.concatenate(pair) for pair in zip(best, new)), top)
@@ -129,7 +135,8 @@ def search(embeddings: DataFrame, top: int = TOP, query_every: int = QUERY_EVERY
     Queries are the vectors whose id is divisible by query_every, candidates all others' rows. Queries are sent in blocks of
     about query_rows vectors, one after the other and so of a bounded size, each against all candidates where these are
     read (a query set of a hundredth of the rows takes a scan for every 100 * query_rows rows, and no shuffle of vectors); a
-    task keeps top rows a query. Scores are sums of whole numbers far below 2**53, so floating point holds them exactly.
+    task keeps top rows a query. Scores are sums of whole numbers; where one could reach EXACT, up to which floating point
+    holds them exactly, the search is an error.
 
     Nulls: a vector that is null, holds a null or a non-finite component, or has a null id, takes no part. Vectors of
     different length are compared over their common dimensions. Rows with one id: as queries they are one, the first by its

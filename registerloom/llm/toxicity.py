@@ -263,12 +263,13 @@ def fit(data: list[tuple[list[str], list[int]]], names: list[str], rounds: int,
     return Tagger(weights, float(theta[k]), theta[k + 1 : k + 5].reshape(2, 2), theta[k + 5 :])
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> list[tuple[list[str], int]]:
-    """A seeded sample of at most rows labelled documents of each class, none of them held out."""
+def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, words: int = TRAIN_WORDS) -> list[tuple[list[str], int]]:
+    """A seeded sample of at most rows labelled documents of each class, none of them held out; those of it that have more than
+    words words are left out."""
     known = labels.filter("toxic in (0, 1) and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.filter(~held_out(F.col("doc_id"))).withColumn("h", F.xxhash64("doc_id", F.lit(3)))
     picked = known.filter("toxic = 1").orderBy("h", "doc_id").limit(rows).unionByName(known.filter("toxic = 0").orderBy("h", "doc_id").limit(rows))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").filter(F.regexp_count("text", F.lit(r"\S+")) <= TRAIN_WORDS)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(picked), "doc_id").filter(F.regexp_count("text", F.lit(r"\S+")) <= words)
     found = texts.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("toxic").alias("toxic")).toLocalIterator()
     return [(tokens(text), int(label)) for _, label, text in sorted((r["doc_id"], r["toxic"], r["text"]) for r in found)]
 
@@ -306,11 +307,11 @@ _COLUMNS = ["doc_id", "held_out", "score", "predicted", "n_words", "n_toxic", "s
 _TYPES = "doc_id long, held_out boolean, score double, predicted int, n_words long, n_toxic long, spans string"
 
 
-def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS, words: int = TRAIN_WORDS) -> DataFrame:
     """One row for each row of docs: doc_id, held_out, score, predicted, n_words, n_toxic, spans.
 
-    The chain is fitted on at most rows documents of each class of labels, of at most TRAIN_WORDS words (the documented bound
-    of the sample). Labels mark documents; the tags of their words are found in rounds of fitting and tagging, see train().
+    The chain is fitted on at most rows documents of each class of labels, of at most words words each, and on at most
+    SEQUENCES windows of a document (the documented bounds of the sample). Labels mark documents; the tags of their words are found in rounds of fitting and tagging, see train().
     Every whole text is tagged by forward-backward; spans are the code points of words whose toxic marginal is 0.5 or more,
     score is a logistic function of the largest marginal and the sum of all. Only the text is input of a score.
 
@@ -319,7 +320,7 @@ def score(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFra
     first by code point is learned from. Without labels nothing is toxic and
     all scores are one low constant or near it. An empty table gives no rows; other columns are ignored.
     """
-    tagger = train(training_rows(docs, labels, rows))
+    tagger = train(training_rows(docs, labels, rows, words))
     sent = send(docs.sparkSession, tagger)
     inputs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out(F.col("doc_id")))
     return inputs.mapInArrow(lean(_scorer(sent)), _TYPES)

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from registerloom.llm import golden, importance, tokenfiles
+from registerloom.llm import golden, importance, tokenfiles, topk
 
 SF = "/root/testdata/sf0.001"
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.json"
@@ -127,6 +127,13 @@ def test_resample_edges(spark):
     assert Counter(map(tuple, importance.resample(docs, target.limit(0), min_words=0).collect())) == brute_resample(rows, [], min_words=0)
 
 
+def test_scores_beyond_exact_numbers_are_errors(spark):
+    rows = lambda big: spark.createDataFrame([(100, [big, 1.0]), (1, [big, 0.5])], "vec_id long, embedding array<double>")
+    assert [r.score for r in topk.search(rows(1000.0)).collect()] == [1024000**2 + 512 * 1024]
+    with pytest.raises(Exception, match="no double holds exactly"):
+        topk.search(rows(1e6)).collect()
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
