@@ -23,6 +23,8 @@ from .storage import fresh, stored
 GROUP_BYTES = 16 << 20
 #: Rows of a side that is broadcast after its rows were counted.
 BROADCAST_ROWS = 1_000_000
+#: Sets of properties that are kept on the driver, and values that one part of a query hands on to the scans of the next.
+FEW_SETS, HANDED = 10_000, 1_000
 #: What words are made of, in lower case.
 NOT_WORD = r"[^\p{L}\p{N}]+"
 #: The greatest character: a text with a prefix is less than the prefix and this.
@@ -74,6 +76,7 @@ def build(triples: DataFrame, folder: str, group_bytes: int = GROUP_BYTES) -> Te
     _sorted(rows, f"{folder}/by_object", group_bytes, "p", "o", "s")
     per = rows.groupBy("p").agg(F.count("*").alias("n"), F.count_distinct("s").alias("subjects"), F.count_distinct("o").alias("objects"))
     _sorted(per, f"{folder}/properties", group_bytes, "p")
+    _sorted(characteristic_sets(rows), f"{folder}/sets", group_bytes, "subjects")
     literals = terms.filter(F.col("term").startswith('"'))
     words = literals.select("id", F.posexplode(F.split(F.lower(sparql.lexical(F.col("term"))), NOT_WORD)).alias("position", "word")).filter("word <> ''")
     _sorted(words.groupBy("word", "id").agg(F.array_sort(F.collect_list("position")).alias("positions")), f"{folder}/postings", group_bytes, "word", "id")
@@ -82,6 +85,16 @@ def build(triples: DataFrame, folder: str, group_bytes: int = GROUP_BYTES) -> Te
     return TermIndex(spark, folder)
 
 
+def characteristic_sets(rows: DataFrame) -> DataFrame:
+    """Which sets of properties subjects have: properties, subjects (how many have just these) and counts (triples by property).
+
+    A subject is a row of as many numbers as it has properties, however many triples it has of them."""
+    per = rows.groupBy("s", "p").agg(F.count("*").alias("n")).groupBy("s").agg(F.array_sort(F.collect_list(F.struct("p", "n"))).alias("has"))
+    sets = per.select(F.col("has.p").alias("properties"), F.posexplode(F.col("has.n")).alias("at", "n"))
+    sets = sets.groupBy("properties", "at").agg(F.count("*").alias("subjects"), F.sum("n").alias("n"))
+    return sets.groupBy("properties").agg(F.max("subjects").alias("subjects"), F.array_sort(F.collect_list(F.struct("at", "n"))).alias("counts")).withColumn("counts", F.col("counts.n"))
+
+
 class TermIndex:
     """An index that build() has written."""
 
@@ -92,6 +105,8 @@ class TermIndex:
         self.by_subject, self.by_object = (read(n, "s long, p long, o long") for n in ("by_subject", "by_object"))
         self.properties = read("properties", "p long, n long, subjects long, objects long")
         self.postings = read("postings", "word string, id long, positions array<int>")
+        self.sets = read("sets", "properties array<long>, subjects long, counts array<long>")
+        self._few: list | None = None
         self.about = json.loads(spark.read.text(f"{folder}/about").first()[0])
         self._known: dict[str, int | None] = {}
 
@@ -102,6 +117,26 @@ class TermIndex:
             self._known |= {t: found.get(t) for t in new}
         return {t: self._known[t] for t in terms}
 
+    def star(self, properties: list[int]) -> tuple[float, float]:
+        """(subjects that have all of some properties, rows that their values make), exact but for how values of one subject
+        combine: summed over the sets that hold the properties."""
+        if self._few is None:
+            few = self.sets.limit(FEW_SETS + 1).collect()  # a bounded number; beyond it, each question is a job
+            self._few = few if len(few) <= FEW_SETS else []
+            self._many = len(few) > FEW_SETS
+        if self._many:
+            holds = reduce(Column.__and__, [F.array_contains("properties", p) for p in properties])
+            made = reduce(Column.__mul__, [F.element_at("counts", F.array_position("properties", p).cast("int")) / F.col("subjects") for p in properties], F.col("subjects"))
+            n, rows = self.sets.filter(holds).agg(F.sum("subjects"), F.sum(made)).first()
+            return float(n or 0), float(rows or 0)
+        n = rows = 0.0
+        for r in self._few:
+            has = dict(zip(r["properties"], r["counts"]))
+            if all(p in has for p in properties):
+                n += r["subjects"]
+                rows += r["subjects"] * math.prod(has[p] / r["subjects"] for p in properties)
+        return n, rows
+
     def interval(self, prefix: str) -> tuple[int, int] | None:
         """The first and last number of the terms that begin with a text."""
         low, high = self.terms.filter((F.col("term") >= prefix) & (F.col("term") < prefix + LAST)).agg(F.min("id"), F.max("id")).first()
@@ -144,6 +179,13 @@ def _within(c: Column, intervals: list[tuple[int, int]]) -> Column:
     return reduce(Column.__or__, [c.between(a, z) for a, z in intervals], F.lit(False)) if len(intervals) != 1 else c.between(*intervals[0])
 
 
+def _runs(values: list[int], most: int = 64) -> list[tuple[int, int]]:
+    """Intervals that cover values, cut at the widest gaps: bounds that row groups' statistics can tell."""
+    values = sorted(set(values))
+    gaps = sorted(sorted(range(1, len(values)), key=lambda i: values[i - 1] - values[i])[: most - 1])
+    return [(values[a], values[z - 1]) for a, z in zip([0, *gaps], [*gaps, len(values)])] if values else []
+
+
 def _plain(e) -> Var | None:
     """The variable of ?x or STR(?x)."""
     return e if isinstance(e, Var) else e.args[0] if isinstance(e, Expr) and e.op == "call:STR" and isinstance(e.args[0], Var) else None
@@ -233,14 +275,7 @@ class IndexedGraph(Graph):
         ids = self.index.ids(constants)
         bounds = {n: self.index.beginning(text) for n, text in self.bounds[-1].items() if n in _names(patterns)}
         known = {r["p"]: r for r in self.index.properties.filter(F.col("p").isin([i for i in ids.values() if i is not None])).collect()}
-        parts = sorted((self.part(p, ids, bounds, known) for p in patterns), key=lambda x: x[1])
-        df, _, names = parts.pop(0)
-        while parts:  # the smallest that shares a variable, if any does
-            i = next((i for i, x in enumerate(parts) if x[2] & names), 0)
-            right, _, new = parts.pop(i)
-            on = sorted(names & new)
-            df = df.join(right, on) if on else df.crossJoin(right)
-            names |= new
+        df, names = self.joined([Part(p, self, ids, bounds, known) for p in patterns], ids)
         needed = self.needed[-1]
         order = dict.fromkeys(t.name for p in patterns for t in p if isinstance(t, Var))
         kept = [n for n in order if needed is None or n in needed or n in shared]
@@ -250,40 +285,127 @@ class IndexedGraph(Graph):
             df = self.index.named(df, n, bounds.get(n))
         return Rel(df, dict.fromkeys(kept, "term") | dict.fromkeys(scores, "number"))
 
-    def part(self, pattern: tuple, ids: dict, bounds: dict, known: dict) -> tuple[DataFrame, float, set[str]]:
-        """(rows of numbers, how many are expected, variables) of one pattern."""
-        s, p, o = pattern
-        if isinstance(p, Iri) and p.value == CONTAINS_WORD:
-            if not (isinstance(s, Var) and isinstance(o, Literal)):
-                raise SparqlError("a text is a variable, the words are a literal")
-            found = self.index.texts(o.value).select(F.col("id").alias(s.name), F.col("score").alias(f"_score_{s.name}"))
-            return found, 0.0, {s.name}
-        entity = isinstance(p, Iri) and p.value == CONTAINS_ENTITY
-        if entity:  # texts are the literals of an entity's own statements; literals have the first numbers
-            s, o = o, s
-            df = self.index.by_subject.filter(F.col("o") < self.index.about["literals"])
-        else:
-            backwards = isinstance(o, (Iri, Literal)) or isinstance(o, Var) and o.name in bounds and not isinstance(s, (Iri, Literal))
-            df = self.index.by_object if backwards else self.index.by_subject
-        size, about = float(self.index.about["terms"]), known.get(ids.get(constant(p)) if isinstance(p, Iri) and not entity else None)
-        if about:
-            size = float(about["n"])
-        columns, out = [(s, "s"), (o, "o")] if entity else [(s, "s"), (p, "p"), (o, "o")], {}
-        for term, c in columns:
-            count = float(about["subjects" if c == "s" else "objects"]) if about and c != "p" else size
+    def joined(self, parts: list[Part], ids: dict) -> tuple[DataFrame, set[str]]:
+        """Parts joined unit by unit, a unit being a star of one subject or a single part: first the one that has the fewest
+        rows, then always the connected one that leaves the fewest.
+
+        As long as what is joined has few values of a variable, these are handed to the next scans, which then read only what
+        can join."""
+        units = [Unit(star, self.index, ids) for star in _stars(parts)]
+        units.sort(key=lambda u: u.size)
+        df, size, distinct, handed, names = None, 1.0, {}, {}, set()
+        while units:
+            near = [u for u in units if u.names & names] or units
+            expect = lambda u: size * u.size / math.prod(max(distinct.get(n, 1.0), u.distinct[n], 1.0) for n in u.names & names)  # noqa: B023, E731
+            unit = min(near, key=expect)
+            units.remove(unit)
+            rest = sorted(unit.parts, key=lambda x: (not x.names & handed.keys(), x.size))
+            while rest:
+                part = rest.pop(0)
+                right, on = part.rows(handed), sorted(names & part.names)
+                df = right if df is None else df.join(right, on) if on else df.crossJoin(right)
+                values = {n: min(d, len(handed[n])) if n in handed else d for n, d in part.distinct.items()}
+                size *= part.size * math.prod(values[n] / max(part.distinct[n], 1.0) for n in values)
+                size /= math.prod(max(distinct.get(n, 1.0), values[n], 1.0) for n in on)
+                names |= part.names
+                for n in part.names:
+                    distinct[n] = min(distinct.get(n, math.inf), values[n], max(size, 1.0))
+                ahead = {n for x in [*rest, *(y for u in units for y in u.parts)] for n in x.names}
+                for n in sorted(part.names & ahead - handed.keys()) if size <= HANDED else ():
+                    found = [r[0] for r in df.select(f"`{n}`").distinct().limit(HANDED + 1).collect()]
+                    if len(found) <= HANDED:
+                        handed[n] = found
+        return df, names
+
+
+class Part:
+    """A pattern, with the number of rows that are expected of it and, for each variable, of values."""
+
+    def __init__(self, pattern: tuple, graph: IndexedGraph, ids: dict, bounds: dict, known: dict) -> None:
+        s, p, o = self.pattern = pattern
+        self.index, self.ids, self.bounds = graph.index, ids, bounds
+        self.names = {t.name for t in pattern if isinstance(t, Var)}
+        self.words = isinstance(p, Iri) and p.value == CONTAINS_WORD
+        if self.words and not (isinstance(s, Var) and isinstance(o, Literal)):
+            raise SparqlError("a text is a variable, the words are a literal")
+        # texts are the literals of an entity's own statements; literals have the first numbers
+        self.entity = isinstance(p, Iri) and p.value == CONTAINS_ENTITY
+        self.columns = [(o, "s"), (s, "o")] if self.entity else [(s, "s"), (p, "p"), (o, "o")]
+        about = known.get(ids.get(constant(p)) if isinstance(p, Iri) and not (self.entity or self.words) else None)
+        everything = float(self.index.about["terms"])
+        self.size, self.distinct, self.share = float(about["n"]) if about else 4 * everything, {}, 1.0
+        if self.words:
+            self.size, self.distinct = 1.0, {s.name: 1.0}
+            return
+        for term, c in self.columns:
+            count = float(about["subjects" if c == "s" else "objects"]) if about and c != "p" else everything
             if isinstance(term, Var):
+                self.distinct[term.name] = count
                 if term.name in bounds:
-                    df = df.filter(_within(F.col(c), bounds[term.name]))
-                    size *= min(1.0, sum(z - a + 1 for a, z in bounds[term.name]) / max(count, 1.0))
+                    self.share *= min(1.0, sum(z - a + 1 for a, z in bounds[term.name]) / max(count, 1.0))
+            elif c != "p":
+                self.share *= 0.0 if ids[constant(term)] is None else 1.0 / max(count, 1.0)
+            elif ids[constant(term)] is None:
+                self.share = 0.0
+        self.size *= self.share
+        self.distinct = {n: min(d, max(self.size, 1.0)) for n, d in self.distinct.items()}
+
+    def rows(self, handed: dict[str, list[int]]) -> DataFrame:
+        """The pattern's rows of numbers, read from the sorting that its constants, intervals or handed values select in."""
+        s, p, o = self.pattern
+        if self.words:
+            found = self.index.texts(o.value).select(F.col("id").alias(s.name), F.col("score").alias(f"_score_{s.name}"))
+            return found.filter(F.col(s.name).isin(handed[s.name])) if s.name in handed else found
+        bound = lambda t: not isinstance(t, Var) or t.name in self.bounds or t.name in handed
+        first, second = (o, s) if self.entity else (s, o)
+        df = self.index.by_object if bound(second) and not bound(first) else self.index.by_subject
+        if self.entity:
+            df = df.filter(F.col("o") < self.index.about["literals"])
+        out: dict[str, str] = {}
+        for term, c in self.columns:
+            if isinstance(term, Var):
+                if term.name in self.bounds:
+                    df = df.filter(_within(F.col(c), self.bounds[term.name]))
+                if term.name in handed:
+                    df = df.filter(_within(F.col(c), _runs(handed[term.name])) & F.col(c).isin(handed[term.name]))
                 if term.name in out:
                     df = df.filter(F.col(c) == F.col(out[term.name]))
                 out.setdefault(term.name, c)
             else:
-                i = ids[constant(term)]
+                i = self.ids[constant(term)]
                 df = df.filter(F.col(c) == i) if i is not None else df.filter(F.lit(False))
-                size = 0.0 if i is None else size if c == "p" else size / max(count, 1.0)
         df = df.select(*[F.col(c).alias(n) for n, c in out.items()])
-        return (df.distinct() if entity else df), size, set(out)
+        return df.distinct() if self.entity else df
+
+
+class Unit:
+    """Parts that are joined as one: of a star, rows and subjects are known from the sets that hold its properties."""
+
+    def __init__(self, parts: list[Part], index: TermIndex, ids: dict) -> None:
+        self.parts, self.names = parts, set().union(*(p.names for p in parts))
+        self.size, self.distinct = parts[0].size, dict(parts[0].distinct)
+        if len(parts) > 1:
+            subjects, rows = index.star([ids[constant(p.pattern[1])] for p in parts])
+            share = math.prod(p.share for p in parts)
+            self.size = rows * share
+            for p in parts:
+                self.distinct |= p.distinct
+            self.distinct[parts[0].pattern[0].name] = subjects * min(share, 1.0)
+        self.distinct = {n: min(d, max(self.size, 1.0)) for n, d in self.distinct.items()}
+
+
+def _stars(parts: list[Part]) -> list[list[Part]]:
+    """Parts by subject, if that is a variable and their properties are known and different; all others alone."""
+    stars: dict[str, list[Part]] = {}
+    out = []
+    for part in parts:
+        s, p, _ = part.pattern
+        plain = isinstance(s, Var) and isinstance(p, Iri) and not (part.words or part.entity) and part.ids[constant(p)] is not None
+        if plain and all(part.pattern[1] != x.pattern[1] for x in stars.get(s.name, [])):
+            stars.setdefault(s.name, []).append(part)
+        else:
+            out.append([part])
+    return out + list(stars.values())
 
 
 def indexed(triples: DataFrame, group_bytes: int = GROUP_BYTES) -> IndexedGraph:

@@ -127,6 +127,39 @@ def test_a_prefix_reads_its_row_groups_only(spark):
     assert graph.index.terms.count() == 2 * n + 1
 
 
+def test_order_of_joins(spark):
+    """A selective last pattern is joined first, and what it leaves is all that the other scans read."""
+    n, null = 40_000, F.lit(None).cast("string")
+    ids = spark.range(n)
+    iri = lambda name, i: F.concat(F.lit(f"http://n.example/{name}"), F.format_string("%06d", i))
+    triple = lambda s, p, o, kind: ids.select(s.alias("s"), F.lit(S.EX + p).alias("p"), o.alias("o"), F.lit(kind).alias("o_kind"), null.alias("o_dt"), null.alias("o_lang"))
+    i = F.col("id")
+    triples = triple(iri("c", i), "registeredAt", iri("court", i % 2000), "iri").unionByName(triple(iri("c", i), "companyName", F.concat(F.lit("Firm "), i), "literal"))
+    triples = triples.unionByName(triple(iri("court", i % 2000), "courtName", F.concat(F.lit("Court "), i % 2000), "literal").distinct())
+    triples = triples.unionByName(triple(iri("court", i % 2000), "lost", F.lit("true"), "literal").filter("s like '%court001234'").distinct())
+    graph = dictionary.indexed(triples, group_bytes=16 << 10)
+    query = PREFIX + "SELECT ?n ?k WHERE { ?c ex:companyName ?n ; ex:registeredAt ?court . ?court ex:courtName ?k . ?court ex:lost 'true' }"
+    found = graph.query(query)
+    assert sorted(tuple(r) for r in found.collect()) == sorted((f"Firm {x}", "Court 1234") for x in range(1234, n, 2000))
+    read = scanned(found)
+    whole = scanned(sparql.Graph(triples).query(query)) or {"": 2 * n}  # plain scans take every triple of each property
+    assert read["by_subject"] + read["by_object"] < 12_000 < 2 * n, (read, whole)
+    subjects, rows = graph.index.star([graph.index.ids([f"<{S.EX}{p}"])[f"<{S.EX}{p}"] for p in ("companyName", "registeredAt")])
+    assert (subjects, rows) == (n, n)
+
+
+def test_characteristic_sets(spark, monkeypatch):
+    data = [(1, 10, 1), (1, 10, 2), (1, 11, 1), (2, 10, 1), (2, 11, 5), (3, 10, 1), (4, 12, 4)]
+    sets = dictionary.characteristic_sets(spark.createDataFrame(data, "s long, p long, o long"))
+    assert {(tuple(r["properties"]), r["subjects"], tuple(r["counts"])) for r in sets.collect()} == {((10, 11), 2, (3, 2)), ((10,), 1, (1,)), ((12,), 1, (1,))}
+    graph = dictionary.indexed(spark.createDataFrame(rows(60), S.TRIPLE))
+    p = list(graph.index.ids([f"<{S.EX}name", f"<{S.EX}year"]).values())
+    few = graph.index.star(p)
+    monkeypatch.setattr(dictionary, "FEW_SETS", 0)
+    many = dictionary.TermIndex(spark, graph.index.folder).star(p)
+    assert few[0] == many[0] and abs(few[1] - many[1]) < 1e-6 and few[0] == graph.triples.filter(F.col("p") == S.EX + "name").select("s").distinct().count()
+
+
 def test_empty_graph(spark):
     graph = dictionary.indexed(spark.createDataFrame([], S.TRIPLE))
     assert graph.query("SELECT ?s ?t WHERE { ?s ?p ?o . ?t ql:contains-word 'a*' }").count() == 0
