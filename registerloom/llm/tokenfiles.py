@@ -7,11 +7,12 @@ found by adding lengths, and only the symbols that cover them are expanded.
 
 from __future__ import annotations
 
+import gc
 import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import islice, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -25,14 +26,14 @@ from ._rows import checked_broadcast, lean, numbered, send
 #: The id that ends each document.
 END = 0
 #: Bytes of text in a shard on average, and ids in a block (or one document).
-SHARD_BYTES, BLOCK_IDS = 8 << 20, 1 << 21
+SHARD_BYTES, BLOCK_IDS = 8 << 20, 1 << 20
 #: Bytes of text that are encoded at once (or one text).
 BATCH_BYTES = 16 << 20
 #: A pair that occurs less often in a block is no rule. A pass replaces pairs in falling order of their counts, until they
 #: stand at one place of COVER; the last pass is one that shortens the sequence by less than one of ENOUGH.
 LEAST, COVER, ENOUGH = 4, 8, 128
 #: Pieces of text whose ids an encoder remembers, and characters that are cut into pieces at once.
-REMEMBERED, CUT = 1_000_000, 1 << 20
+REMEMBERED, CUT = 500_000, 1 << 20
 #: Fixed value: the characters that Unicode calls white space.
 SPACE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECE, _EDGE = re.compile(f"[{SPACE}]*[^{SPACE}]+|[{SPACE}]+"), re.compile(f"[^{SPACE}](?=[{SPACE}])")
@@ -42,7 +43,7 @@ _STEM = re.compile(f" ?[{_LETTERS}]+(?=$|[\\x21-\\x40\\x5B-\\x60\\x7B-\\x7E])")
 #: The same for the other pattern language: a space before white space.
 _WIDE = " [\\t-\\r \\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]"
 #: Pairs are first counted in a hash table of 2 ** _BINS numbers.
-_BINS = 20
+_BINS = 19
 _SCHEMA = (
     "shard int, block int, first_doc long, last_doc long, n_ids long, doc_ids array<long>, sizes array<long>, "
     "ends array<long>, left binary, right binary, lengths binary, sequence binary"
@@ -64,43 +65,57 @@ class Encoder:
         # such a tokenizer's pattern never joins a character with white space after it, so it splits where pieces begin
         self.by_piece = not made.get("normalizer") and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
         self.letters = {ord(c): self.tokenizer.pre_tokenizer.pre_tokenize_str(c)[0][0] for c in _LETTERS + " "} if self.by_piece else {}
-        self._forget()
-
-    def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.rests: dict[str, list[int]] = {}
+        self.rests: dict[str, tuple[int, ...]] = {}
         self.flat, self.starts, self.sizes = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces not yet known. A word that ends before an ASCII character that is no letter is one pre-token, for the
         model itself; what follows it, and all other pieces, are for the whole tokenizer."""
-        stems = [m.end() if (m := _STEM.match(p)) else 0 for p in pieces]
-        rests = dict.fromkeys(p[n:] for p, n in zip(pieces, stems) if n < len(p))
-        new = [r for r in rests if r not in self.rests]
-        self.rests.update((r, e.ids) for r, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)))
-        tokenize, rests, spelled = self.tokenizer.model.tokenize, self.rests, {}
-        ids = []
+        stems = [m.end() if m else 0 for m in map(_STEM.match, pieces)]
+        new = [r for r in dict.fromkeys([p[n:] for p, n in zip(pieces, stems) if n < len(p)]) if r not in self.rests]
+        if len(self.rests) > REMEMBERED // 4:
+            self.rests = {}
+            new = list(dict.fromkeys([p[n:] for p, n in zip(pieces, stems) if n < len(p)]))
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            self.rests.update((r, tuple(e.ids)) for r, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
+        tokenize, letters, rests = self.tokenizer.model.tokenize, self.letters, self.rests
+        spelled: dict[str, tuple[int, ...]] = {"": ()}
+        rests[""] = ()
+        space, flat, sizes = letters.get(32, ""), [], []
         for p, n in zip(pieces, stems):
             stem = p[:n]
-            if n and stem not in spelled:
-                spelled[stem] = [t.id for t in tokenize(stem.translate(self.letters))]
-            ids.append((spelled[stem] if n else []) + (rests[p[n:]] if n < len(p) else []))
-        if len(rests) > REMEMBERED // 4:
-            self.rests = {}
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.known.update(zip(pieces, range(len(self.known), len(self.known) + len(pieces))))
+            ids = spelled.get(stem)
+            if ids is None:
+                plain = space + stem[1:] if stem[0] == " " and stem.isascii() else stem.translate(letters)
+                spelled[stem] = ids = tuple([t.id for t in tokenize(plain)])
+            rest = rests[p[n:]]
+            flat += ids
+            flat += rest
+            sizes.append(len(ids) + len(rest))
+        sizes = np.array(sizes, np.int64)
         self.starts, self.sizes = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes]), np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(ids), np.int32, int(sizes.sum()))])
+        self.flat = np.concatenate([self.flat, np.array(flat, np.int32)])
 
     def _ids(self, pieces: list[str]) -> np.ndarray:
-        """Numbers of pieces, learned if need be."""
-        if len(self.known) > REMEMBERED:
-            self._forget()
+        """Numbers of pieces, which hold until the next call. As long as there is room, new ones are remembered."""
+        kept = len(self.known)
+        self.starts, self.sizes = self.starts[:kept], self.sizes[:kept]
+        self.flat = self.flat[: int(self.starts[-1] + self.sizes[-1]) if kept else 0]
         numbers = np.array(list(map(self.known.get, pieces, repeat(-1))), np.int64)
-        if len(new := np.flatnonzero(numbers < 0)):
-            unknown = [pieces[i] for i in new]
-            self._learn(list(dict.fromkeys(unknown)))
-            numbers[new] = list(map(self.known.__getitem__, unknown))
+        if len(at := np.flatnonzero(numbers < 0)):
+            unknown = [pieces[i] for i in at]
+            new = dict(zip(fresh := list(dict.fromkeys(unknown)), range(kept, kept + len(fresh))))
+            collects = gc.isenabled()
+            gc.disable()  # no cycles are made here, and looking for them among so many texts takes long
+            try:
+                self._learn(fresh)
+            finally:
+                if collects:
+                    gc.enable()
+            numbers[at] = list(map(new.__getitem__, unknown))
+            self.known.update(islice(new.items(), max(0, REMEMBERED - kept)))
         return numbers
 
     def _spelled(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,13 +185,18 @@ def _frequent(seq: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray
     if not len(full):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
     bound = full[min(np.searchsorted(np.cumsum(full), len(seq) // COVER), len(full) - 1)]
-    # a bin may hold several pairs: what is in full bins is counted exactly
     places = np.flatnonzero((counts >= bound)[bins])
-    keys = (seq[places].astype(np.int64) << 32) | seq[places + 1]
-    distinct, number, count = np.unique(keys, return_inverse=True, return_counts=True)
-    keep = count >= min(bound, max(least, count.max()))
-    chosen = keep[number]
-    return distinct[keep], (np.cumsum(keep) - 1)[number[chosen]], places[chosen]
+    keys, bins = (seq[places].astype(np.int64) << 32) | seq[places + 1], bins[places]
+    own = np.empty(len(counts), np.int64)
+    own[bins] = keys  # of several pairs in a bin one has it in this pass
+    mine = own[bins] == keys
+    places, bins = places[mine], bins[mine]
+    counts = np.bincount(bins, minlength=len(counts))
+    kept = np.flatnonzero(counts >= min(bound, max(least, counts.max())))
+    number = np.full(len(counts), -1, np.int32)
+    number[kept] = np.arange(len(kept))
+    number = number[bins]
+    return own[kept], number[number >= 0], places[number >= 0]
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
