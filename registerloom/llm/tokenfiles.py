@@ -27,6 +27,8 @@ from ._rows import checked_broadcast, lean, numbered, send
 END = 0
 #: Bytes of text in a shard on average, and ids in a block (or one document).
 SHARD_BYTES, BLOCK_IDS = 8 << 20, 1 << 20
+#: Bytes of text to a byte of a table's files, about.
+UNPACKED = 2
 #: Bytes of text that are encoded at once (or one text).
 BATCH_BYTES = 16 << 20
 #: A pair that occurs less often in a block is no rule. A pass replaces pairs in falling order of their counts, until they
@@ -175,7 +177,6 @@ def _frequent(seq: np.ndarray, ends: np.ndarray, least: int) -> tuple[np.ndarray
     x = seq.view(np.uint32)
     bins = x[:-1] * np.uint32(0x9E3779B1)
     bins += x[1:] * np.uint32(0x85EBCA6B)
-    bins *= np.uint32(0xC2B2AE35)
     bins >>= np.uint32(32 - _BINS)
     bins = bins.view(np.int32)
     bins[ends[:-1] - 1] = 1 << _BINS  # a bin of their own for places that are none
@@ -312,9 +313,10 @@ def write(docs: DataFrame, path: str, tokenizer: str, least: int = LEAST, block_
     with open(tokenizer, encoding="utf-8") as f:
         file = send(docs.sparkSession, f.read())
     rows = numbered(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "place")
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    about = rows.metadataColumn("_metadata")  # sizes of files, for which no text is read
+    size = rows.select(about["file_path"], about["file_size"].alias("size")).distinct().agg(F.sum("size")).first()[0] or 0
     order = F.col("doc_id").asc_nulls_first(), F.col("place")
-    dealt = rows.repartitionByRange(1 + size // shard_bytes, *order).sortWithinPartitions(*order)
+    dealt = rows.repartitionByRange(1 + UNPACKED * size // shard_bytes, *order).sortWithinPartitions(*order)
     dealt.mapInArrow(lean(_writer(file, least, block_ids), 1 << 16, BATCH_BYTES), _SCHEMA).write.parquet(path)
 
 
