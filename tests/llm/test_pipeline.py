@@ -128,4 +128,4 @@ def test_empty_tables_and_clashing_columns(spark, tmp_path):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
