@@ -37,7 +37,7 @@ def tokens(text: str | None) -> Iterator[list[str]]:
 
 
 class Items:
-    """Test items as numbers: a vocabulary, rolling hashes of all windows of k words, and where each window stands."""
+    """Test items as numbers: a vocabulary, the different windows of k words by their rolling hashes, and where each stands."""
 
     def __init__(self, rows: list[tuple], k: int):
         self.k, self.vocabulary, self.ids, self.words = k, {}, [], []
@@ -47,15 +47,24 @@ class Items:
                 self.ids.append(item_id)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.int64))
         self.lengths = np.array([len(w) for w in self.words], np.int64)
-        hashes = [self.windows(w) for w in self.words]
-        flat = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        item = np.repeat(np.arange(len(hashes)), [len(h) for h in hashes])
-        place = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.empty(0, np.int64)
-        order = np.argsort(flat, kind="stable")
-        self.seeds, self.first, self.counts = np.unique(flat[order], return_index=True, return_counts=True)
-        self.item, self.place = item[order], place[order]
         self.flat = np.concatenate(self.words) if self.words else np.empty(0, np.int64)
         self.start = np.cumsum(self.lengths) - self.lengths
+        n = self.lengths - k + 1
+        self.first_window = np.cumsum(n) - n
+        item = np.repeat(np.arange(len(n)), n)
+        place = np.arange(len(item)) - self.first_window[item] if len(n) else np.empty(0, np.int64)
+        at = self.start[item] + place if len(n) else place
+        self.base = 0x9E3779B97F4A7C15
+        while True:  # until different windows have different hashes
+            flat = np.concatenate([self.windows(w) for w in self.words]) if self.words else np.empty(0, np.uint64)
+            self.seeds, first, self.of, self.counts = np.unique(flat, return_index=True, return_inverse=True, return_counts=True)
+            self.sample = at[first]
+            if all((self.flat[at + j] == self.flat[self.sample[self.of] + j]).all() for j in range(k)):
+                break
+            self.base += 2
+        order = np.argsort(self.of, kind="stable")
+        self.item, self.place = item[order], place[order]
+        self.first = np.cumsum(self.counts) - self.counts
 
     def windows(self, words: np.ndarray) -> np.ndarray:
         """Karp-Rabin hashes of all windows of k words."""
@@ -63,65 +72,117 @@ class Items:
         out = np.zeros(n, np.uint64)
         with np.errstate(over="ignore"):
             for j in range(self.k):
-                out = out * np.uint64(0x9E3779B97F4A7C15) + words[j : j + n].astype(np.uint64)
+                out = out * np.uint64(self.base) + words[j : j + n].astype(np.uint64)
         return mix(out)
 
-    def meet(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Seed matches of a document: item, place in the item, place in the document. Equal hashes are compared word by word."""
-        none = np.empty(0, np.int64)
-        if len(words) < self.k or not len(self.seeds):
-            return none, none, none
+    def meet(self, words: np.ndarray) -> np.ndarray:
+        """The number among the items' windows of each window of a text, -1 for those that no item has. Words are compared."""
+        n = max(0, len(words) - self.k + 1)
+        out = np.full(n, -1, np.int64)
         known = words > 0
-        all_known = known[: len(words) - self.k + 1].copy()
-        for j in range(1, self.k):
-            all_known &= known[j : len(words) - self.k + 1 + j]
+        all_known = np.ones(n, bool)
+        for j in range(self.k):
+            all_known &= known[j : n + j]
         at = np.flatnonzero(all_known)
-        if not len(at):
-            return none, none, none
+        if not len(at) or not len(self.seeds):
+            return out
         hashes = self.windows(words)[at]
         found = np.minimum(np.searchsorted(self.seeds, hashes), len(self.seeds) - 1)
-        hit = self.seeds[found] == hashes
-        at, found = at[hit], found[hit]
-        n = self.counts[found]
-        spread = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[found], n)
-        item, place, at = self.item[spread], self.place[spread], np.repeat(at, n)
+        same = self.seeds[found] == hashes
+        at, found = at[same], found[same]
         same = np.ones(len(at), bool)
         for j in range(self.k):
-            same &= self.flat[self.start[item] + place + j] == words[at + j]
-        return item[same], place[same], at[same]
+            same &= self.flat[self.sample[found] + j] == words[at + j]
+        out[at[same]] = found[same]
+        return out
+
+    def covered(self, doc: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, words of the item under windows that the document has) from the windows of documents.
+
+        A window counts once for a document, however often it stands there."""
+        pairs = np.unique(doc * len(self.seeds) + seed)
+        doc, seed = pairs // len(self.seeds), pairs % len(self.seeds)
+        n = self.counts[seed]
+        at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(self.first[seed], n)
+        doc, item, place = np.repeat(doc, n), self.item[at], self.place[at]
+        order = np.lexsort((place, item, doc))
+        doc, item, place = doc[order], item[order], place[order]
+        last = np.append((doc[1:] != doc[:-1]) | (item[1:] != item[:-1]), True)
+        words = np.where(last, self.k, np.minimum(self.k, np.append(place[1:] - place[:-1], 0)))
+        cuts = np.append(0, np.flatnonzero(last)[:-1] + 1)
+        return doc[cuts], item[cuts], np.add.reduceat(words, cuts)
+
+    def matches(self, i: int, words: np.ndarray, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Maximal matches of item i and a document of these words and windows: place in the item, place in it, words.
+
+        A match begins where equal windows follow different words and ends where different words follow them. Begins and
+        ends are found each for itself and meet in order along the diagonals, so that a match costs the same at any length."""
+        mine, own = self.words[i], self.of[self.first_window[i] : self.first_window[i] + self.lengths[i] - self.k + 1]
+        at = np.flatnonzero(seed >= 0)
+        edge = np.zeros(1, np.int64)  # no item has the word 0; of a document it is no item's word
+
+        def differing(before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """Pairs of equal windows beside different words."""
+            width = len(self.vocabulary) + 2
+            keys = own * width + before
+            order = np.argsort(keys, kind="stable")
+            keys, wanted = keys[order], seed[at] * width
+            low, high = np.searchsorted(keys, wanted), np.searchsorted(keys, wanted + width)
+            same_low, same_high = np.searchsorted(keys, wanted + after), np.searchsorted(keys, wanted + after, side="right")
+            n = (same_low - low) + (high - same_high)
+            owner = np.repeat(np.arange(len(at)), n)
+            j = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n) + low[owner]
+            j += np.where(j >= same_low[owner], (same_high - same_low)[owner], 0)
+            p, q = order[j], at[owner]
+            along = np.lexsort((p, q - p))
+            return p[along], q[along]
+
+        # beyond either end of the item stands a word that no document has
+        off = len(self.vocabulary) + 1
+        p, q = differing(np.concatenate([[off], mine[: len(own) - 1]]), np.concatenate([edge, words])[at])
+        end, _ = differing(np.concatenate([mine[self.k :], [off]]), np.concatenate([words, edge])[at + self.k])
+        return p, q, end - p + self.k
 
 
 def tile(place: np.ndarray, at: np.ndarray, k: int) -> list[tuple[int, int, int]]:
-    """Greedy string tiling from all seed matches of one item and one document: tiles (place, at, length).
+    """Tiles (place, at, length) from all seed matches of one item and one document, as for tile_matches().
 
-    Seeds that follow each other on a diagonal are one maximal match. The longest match is marked, ties by place in the
-    item and then in the document; what is left unmarked of the others goes on as shorter matches, down to k words.
-    """
+    Seeds that follow each other on a diagonal are one maximal match."""
     order = np.lexsort((place, at - place))
     place, diagonal = place[order], (at - place)[order]
     new = np.flatnonzero(np.concatenate([[True], (np.diff(place) != 1) | (np.diff(diagonal) != 0)]))
-    runs = np.diff(np.append(new, len(place))) + k - 1
+    return tile_matches(place[new], (place + diagonal)[new], np.diff(np.append(new, len(place))) + k - 1, k)
+
+
+def tile_matches(place: np.ndarray, at: np.ndarray, length: np.ndarray, k: int) -> list[tuple[int, int, int]]:
+    """Greedy string tiling from the maximal matches of one item and one document: tiles (place, at, length).
+
+    The longest match is marked, ties by place in the item and then in the document; what is left unmarked of the others
+    goes on as shorter matches, down to k words. It ends where the item has no k unmarked words in a row.
+    """
     by_length: dict[int, list[tuple[int, int]]] = defaultdict(list)
-    for p, d, n in zip(place[new].tolist(), diagonal[new].tolist(), runs.tolist()):
-        by_length[n].append((p, p + d))
-    item_marked, doc_marked, tiles = set(), set(), []
+    for p, q, n in zip(place.tolist(), at.tolist(), length.tolist()):
+        by_length[n].append((p, q))
+    base = int(at.min())
+    item_free, doc_free, tiles = np.ones(int((place + length).max()), bool), np.ones(int((at + length).max()) - base, bool), []
+
+    def stretches(free: np.ndarray) -> list[tuple[int, int]]:
+        """(from, to) of k free words or more."""
+        edges = np.flatnonzero(np.diff(np.concatenate([[0], free.view(np.int8), [0]])))
+        return [(a, z) for a, z in edges.reshape(-1, 2).tolist() if z - a >= k]
+
     while by_length:
         n = max(by_length)
         for p, q in sorted(by_length.pop(n)):
-            free = [p + i not in item_marked and q + i not in doc_marked for i in range(n)]
-            if all(free):
+            free = item_free[p : p + n] & doc_free[q - base : q - base + n]
+            if free.all():
                 tiles.append((p, q, n))
-                item_marked.update(range(p, p + n))
-                doc_marked.update(range(q, q + n))
+                item_free[p : p + n] = doc_free[q - base : q - base + n] = False
+                if not stretches(item_free):
+                    return tiles
                 continue
-            start = None
-            for i, ok in enumerate([*free, False]):
-                if ok and start is None:
-                    start = i
-                elif not ok and start is not None:
-                    if i - start >= k:
-                        by_length[i - start].append((p + start, q + start))
-                    start = None
+            for a, z in stretches(free):
+                by_length[z - a].append((p + a, q + a))
     return tiles
 
 
@@ -136,25 +197,23 @@ def _matcher(items, coverage: float):
                 at += len(part)
             parts.append(gap)
             at += known.k
-        item, place, at = known.meet(np.concatenate(parts))
-        if not len(item):
+        words = np.concatenate(parts)
+        seed = known.meet(words)
+        hits = np.flatnonzero(seed >= 0)
+        if not len(hits):
             return []
-        doc = np.searchsorted(starts, at, side="right") - 1
-        order = np.lexsort((item, doc))
-        doc, item, place, at = doc[order], item[order], place[order], at[order]
-        cuts = np.append(np.flatnonzero(np.concatenate([[True], (item[1:] != item[:-1]) | (doc[1:] != doc[:-1])])), len(item))
-        # no tiling covers more words than the seeds do; a pair of too few seeds is not looked at
-        need = coverage * known.lengths[item[cuts[:-1]]]
+        starts.append(at)
         out = []
-        for c in np.flatnonzero((cuts[1:] - cuts[:-1]) * known.k >= need):
-            a, z, least = cuts[c], cuts[c + 1], need[c]
-            if len(np.unique(np.unique(place[a:z])[:, None] + np.arange(known.k))) < least:
+        # no tiling covers more words than the windows do; a pair of too few is not looked at
+        for d, i, most in zip(*(x.tolist() for x in known.covered(np.searchsorted(starts, hits, side="right") - 1, seed[hits]))):
+            least = coverage * len(known.words[i])
+            if most < least:
                 continue
-            i, first = int(item[a]), starts[doc[a]]
-            tiles = tile(place[a:z], at[a:z] - first, known.k)
+            own = slice(starts[d], starts[d + 1])
+            tiles = tile_matches(*known.matches(i, words[own], seed[own]), known.k)
             covered = sum(n for _, _, n in tiles)
             if covered >= least:
-                rid, doc_id, _ = rows[doc[a]]
+                rid, doc_id, _ = rows[d]
                 out.append((rid, doc_id, known.ids[i], covered / len(known.words[i]), covered, len(tiles), max(n for _, _, n in tiles), min(q for _, q, _ in tiles), max(q + n for _, q, n in tiles)))
         return out
 
@@ -185,6 +244,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, k: int = TILE_WORDS, cov
     Words are runs of letters, digits and underscores, in lower case. Every window of k words of a document meets the
     windows of the test items by its hash. A pair's seeds are tiled greedily, longest first and without overlap in either
     text, in whatever order the parts stand; the pair is returned if tiles cover the share coverage of the item's words.
+    Seeds in a row are one match, kept as begin and length, so words repeated on both sides make no table of all seeds.
 
     Test items are sent to the executors in blocks of about block_words words, one after the other, so a large benchmark
     takes more passes, never more memory. Each document is tiled where it is read; nothing is shuffled.

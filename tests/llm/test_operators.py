@@ -104,6 +104,40 @@ def test_tiling_by_definition():
         assert got == greedy(a, b, 3)
 
 
+def test_matches_of_repeated_words_by_definition():
+    rng = random.Random(22)
+    for n in range(120):
+        letters = "ab" if n % 3 else "a"
+        items = [" ".join(rng.choice(letters + "c" * (n % 2)) for _ in range(rng.randrange(3, 14))) for _ in range(3)]
+        known = decontaminate.Items(list(enumerate(items)), 3)
+        text = [rng.choice(letters + "dd" * (n % 5 == 0)) for _ in range(rng.randrange(3, 25))]
+        numbers = np.array([known.vocabulary.get(w, 0) for w in text], np.int64)
+        seed = known.meet(numbers)
+        for i, item in enumerate(items):
+            a = item.split()
+            want = set()
+            for p in range(len(a)):
+                for q in range(len(text)):
+                    if p and q and a[p - 1] == text[q - 1]:
+                        continue
+                    length = 0
+                    while p + length < len(a) and q + length < len(text) and a[p + length] == text[q + length]:
+                        length += 1
+                    if length >= 3:
+                        want.add((p, q, length))
+            got = [x.tolist() for x in known.matches(i, numbers, seed)]
+            assert set(zip(*got)) == want and len(got[0]) == len(want)
+            if want:
+                assert sum(n for _, _, n in decontaminate.tile_matches(*map(np.array, got), 3)) == greedy(a, text, 3)
+
+
+def test_contaminated_by_one_word_over_and_over(spark):
+    docs = corpus(spark, [(1, "ab " * 200_000, "en", "a"), (2, "ab cd " * 50_000, "en", "a"), (3, "ab " * 100, "en", "a")])
+    items = spark.createDataFrame([(7, "ab " * 2_000), (8, "cd ab " * 500)], ITEMS)
+    rows = {(r["doc_id"], r["item_id"]): (r["covered_words"], r["n_tiles"]) for r in decontaminate.contaminated(docs, items).collect()}
+    assert rows == {(1, 7): (2_000, 1), (2, 8): (1_000, 1)}
+
+
 def test_toxicity_learns_words_and_beginnings(spark):
     rng = random.Random(3)
     rows, labels = [], []
