@@ -233,6 +233,8 @@ class IndexedGraph(Graph):
     joined on numbers, the smallest first, and only the variables that the query goes on to use get their terms back."""
 
     def __init__(self, triples: DataFrame, index: TermIndex, strict_types: bool = False):
+        if "g" in triples.columns:
+            raise SparqlError("the index holds the triples of one graph")
         super().__init__(triples, None, strict_types)
         self.index, self.bounds, self.needed = index, [{}], [None]
 

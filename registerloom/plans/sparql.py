@@ -1,7 +1,7 @@
 """A SPARQL subset, parsed here and compiled to DataFrame plans that Catalyst optimises.
 
 Graph patterns, OPTIONAL, UNION, MINUS, FILTER, BIND, VALUES, sub-selects, property paths (/ | ^ + * ?), GROUP BY with
-aggregates, HAVING, DISTINCT, ORDER BY, LIMIT and OFFSET.
+aggregates, HAVING, DISTINCT, ORDER BY, LIMIT and OFFSET; of named graphs, FROM, FROM NAMED and GRAPH.
 
 A term is one string while a query runs: '<' and the IRI, or '"' and the literal's text, then, after a control character,
 '^' and its datatype or '@' and its language. Results show texts only.
@@ -9,6 +9,7 @@ A term is one string while a query runs: '<' and the IRI, or '"' and the literal
 
 from __future__ import annotations
 
+import copy
 import re
 from dataclasses import dataclass, field, replace
 
@@ -19,6 +20,10 @@ from .. import schemas as S
 from ..operators.graph import closure
 
 _SEP = "\u0001"
+#: Stands between a node and its graph while a path is followed within each graph.
+_IN = "\u0002"
+#: The column of the graph that a pattern was found in, below GRAPH with a variable.
+_GRAPH = "_graph"
 _TOKENS = re.compile(
     r"""(?P<ws>\s+|\#[^\n]*)|(?P<iri><[^<>"{}|^`\\\s]*>)|(?P<var>[?$]\w+)
     |(?P<string>\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*')|(?P<lang>@[A-Za-z]+(?:-[A-Za-z0-9]+)*)
@@ -77,6 +82,7 @@ class Query:
     order: list = field(default_factory=list)
     limit: int | None = None
     offset: int = 0
+    sources: list = field(default_factory=list)  # (IRI, named) of FROM and FROM NAMED
 
 
 class Parser:
@@ -137,6 +143,12 @@ class Parser:
                     self.need(")")
                 else:
                     break
+        while self.take("FROM"):
+            named = self.take("NAMED")
+            source = self.term()
+            if not isinstance(source, Iri):
+                raise SparqlError("a graph is named by an IRI")
+            q.sources.append((source.value, named))
         self.take("WHERE")
         q.where = self.group()
         if self.take("GROUP"):
@@ -185,11 +197,14 @@ class Parser:
 
     def group(self) -> list:
         """Elements of a group: ('triples', list), ('filter', e), ('optional', g), ('union', [g]), ('minus', g), ('bind', e, v),
-        ('values', names, rows), ('select', q), ('group', g)."""
+        ('values', names, rows), ('select', q), ('group', g), ('graph', term, g)."""
         self.need("{")
         out: list = []
         if self.is_("SELECT"):
-            out.append(("select", self.select()))
+            inner = self.select()
+            if inner.sources:
+                raise SparqlError("FROM stands in the outermost query only")
+            out.append(("select", inner))
             self.need("}")
             return out
         while not self.take("}"):
@@ -204,6 +219,11 @@ class Parser:
                 out.append(("optional", self.group()))
             elif self.take("MINUS"):
                 out.append(("minus", self.group()))
+            elif self.take("GRAPH"):
+                name = self.term()
+                if isinstance(name, Literal):
+                    raise SparqlError("a graph is named by an IRI or a variable")
+                out.append(("graph", name, self.group()))
             elif self.take("FILTER"):
                 out.append(("filter", self.primary()))
             elif self.take("BIND"):
@@ -424,18 +444,75 @@ class Graph:
 
     wide, if given, is a table of subjects (s) with a column for each of some properties that have at most one value, and the
     columns' names by property; a star of such properties is then one scan instead of joins. With strict_types, numbers are
-    only what has a numeric datatype; by default, text that reads as a number is one."""
+    only what has a numeric datatype; by default, text that reads as a number is one.
+
+    Triples with a column g, the IRI of their graph, are quads: GRAPH reads its graph's statements only, which is a partition
+    filter where they are stored by g; all else reads the statements of all graphs, or of those in FROM, each once. FROM
+    without FROM NAMED leaves GRAPH no graph and the other way round, as the language says. wide must then hold for all."""
 
     def __init__(self, triples: DataFrame, wide: tuple[DataFrame, dict[str, str]] | None = None, strict_types: bool = False):
+        self.quads = triples if "g" in triples.columns else None
         self.triples, self.wide, self.strict = triples, wide, strict_types
-        self.spark = triples.sparkSession
+        if self.quads is not None:
+            self.triples = self.quads.drop("g").distinct()
+        self.spark, self.by_graph = triples.sparkSession, False
+
+    def over(self, sources: list) -> Graph:
+        """The same with FROM and FROM NAMED."""
+        if not sources:
+            return self
+        default, named = (list(dict.fromkeys(iri for iri, n in sources if n is kind)) for kind in (False, True))
+        out = self.part(self.quads_of(default).drop("g"))
+        if len(default) > 1:  # what two graphs state is one statement
+            out.triples = out.triples.distinct()
+        out.quads = self.quads_of(named)
+        return out
+
+    def quads_of(self, graphs: list[str]) -> DataFrame:
+        if self.quads is None:
+            raise SparqlError("these triples belong to no named graphs")
+        return self.quads.filter(F.col("g").isin(graphs) if graphs else F.lit(False))
+
+    def part(self, triples: DataFrame, by_graph: bool = False) -> Graph:
+        """This graph with other triples for patterns to be found in, each within its own g if by_graph."""
+        out = copy.copy(self)
+        out.triples, out.wide, out.by_graph = triples, None, by_graph
+        return out
+
+    def named(self, name, elements: list) -> Rel:
+        """GRAPH: a group found in one graph, or in each by itself, whose name is then the variable's value."""
+        if isinstance(name, Iri):
+            return self.part(self.quads_of([name.value]).drop("g")).group(elements)
+        if self.quads is None:
+            raise SparqlError("these triples belong to no named graphs")
+        rel = self.part(self.quads, True).group(elements)
+        kinds = {n: k for n, k in rel.kinds.items() if n != _GRAPH}
+        of = Rel(rel.df.withColumnRenamed(_GRAPH, name.name), {**kinds, name.name: "term"}, rel.maybe)
+        if name.name not in kinds:
+            return of
+        if kinds[name.name] != "term":
+            raise SparqlError(f"?{name.name} is a graph and computed")
+        own = F.col(f"`{name.name}`")  # the group has a variable of that name too
+        same = own == F.col(_GRAPH)
+        df = rel.df.filter(same | own.isNull() if name.name in rel.maybe else same).withColumn(name.name, F.col(_GRAPH)).drop(_GRAPH)
+        return Rel(df, kinds, rel.maybe - {name.name})
+
+    def placed(self, rel: Rel) -> Rel:
+        """rel with the graph that it holds in; what came from no pattern holds in each."""
+        if not self.by_graph or _GRAPH in rel.kinds:
+            return rel
+        graphs = Rel(self.graphs(), {_GRAPH: "term"})
+        return self.join(rel, graphs, "inner") if rel.kinds else graphs
+
+    def graphs(self) -> DataFrame:
+        return self.triples.select(F.concat(F.lit("<"), F.col("g")).alias(_GRAPH)).distinct()
 
     def query(self, text: str, cap: int | None = None) -> DataFrame:
         """The result of a query; with cap, at most so many rows where the query itself sets no limit."""
         q = parse(text)
         if cap is not None and q.limit is None:
             q.limit = cap
-        rel = self.run(q)
+        rel = self.over(q.sources).run(q)
         names = [n for n, _ in q.items] or list(rel.kinds)
         out = [(lexical(F.col(f"`{n}`")) if rel.kinds[n] == "term" else F.col(f"`{n}`")).alias(n) for n in names]
         return rel.df.select(*out)
@@ -444,6 +521,13 @@ class Graph:
         rel = self.group(q.where)
         items = q.items or [(n, Var(n)) for n in rel.kinds if not n.startswith("_")]
         aggregated = q.group is not None or any(_has_aggregate(e) for _, e in items)
+        if self.by_graph:
+            if q.limit is not None or q.offset:
+                raise SparqlError("LIMIT and OFFSET do not go below GRAPH with a variable")
+            if aggregated and not q.group:
+                raise SparqlError("below GRAPH with a variable, aggregates need GROUP BY")
+            items = [*items, (_GRAPH, Var(_GRAPH))]
+            q = replace(q, group=[*q.group, (_GRAPH, Var(_GRAPH))] if aggregated else None)
         if aggregated:
             rel, items, having, order = self.aggregate(rel, q, items)
         else:
@@ -525,17 +609,20 @@ class Graph:
                 filters.append(e[1])
             elif kind == "optional":
                 inner = [x for x in e[1] if x[0] != "filter"]
-                rel = self.join(self.unit() if rel is None else rel, self.group(inner), "left", [x[1] for x in e[1] if x[0] == "filter"])
+                rel = self.join(self.placed(self.unit() if rel is None else rel), self.group(inner), "left", [x[1] for x in e[1] if x[0] == "filter"])
             elif kind == "minus":
-                rel = self.minus(self.unit() if rel is None else rel, self.group(e[1]))
+                rel = self.minus(self.placed(self.unit() if rel is None else rel), self.group(e[1]))
             elif kind == "bind":
                 rel = self.unit() if rel is None else rel
                 c, k = self.value(e[1], rel)
                 rel = Rel(rel.df.withColumn(e[2], c), {**rel.kinds, e[2]: k}, rel.maybe | {e[2]})
+            elif kind == "graph":
+                new = self.named(e[1], e[2])
+                rel = new if rel is None else self.join(rel, new, "inner")
             else:
                 new = {"triples": self.basic, "union": self.union, "group": self.group, "select": self.run}[kind](e[1]) if kind != "values" else self.table(e[1], e[2])
                 rel = new if rel is None else self.join(rel, new, "inner")
-        rel = self.unit() if rel is None else rel
+        rel = self.placed(self.unit() if rel is None else rel)
         for f in filters:
             rel = replace(rel, df=rel.df.filter(self.truth(f, rel)))
         return rel
@@ -627,7 +714,7 @@ class Graph:
 
     def minus(self, left: Rel, right: Rel) -> Rel:
         shared = [n for n in right.kinds if n in left.kinds]
-        if not shared:
+        if not set(shared) - {_GRAPH}:
             return left
         r = right.df.select(*[F.col(f"`{n}`").alias(f"__r_{n}") for n in shared]).distinct()
         on, bound = None, None
@@ -638,7 +725,7 @@ class Graph:
                 test = test | a.isNull() | b.isNull()
                 some = a.isNotNull() & b.isNotNull()
                 bound = some if bound is None else bound | some
-            else:
+            elif n != _GRAPH:
                 bound = F.lit(True)
             on = test if on is None else on & test
         return replace(left, df=left.df.join(r, on & bound, "left_anti"))
@@ -684,6 +771,8 @@ class Graph:
         if isinstance(p, Path):
             df = self.ends(s, p, o)
             columns = [(s, F.col("a")), (o, F.col("b"))]
+            if self.by_graph:
+                columns = [(t, F.substring_index(c, _IN, 1)) for t, c in columns] + [(Var(_GRAPH), F.concat(F.lit("<"), F.substring_index("a", _IN, -1)))]
         else:
             df = self.triples
             if isinstance(p, Iri):
@@ -693,6 +782,8 @@ class Graph:
             if isinstance(o, (Iri, Literal)):
                 df = df.filter(F.col("o") == o.value)  # reaches the scan; the whole term is compared below
             columns = [(s, F.concat(F.lit("<"), F.col("s"))), (p, F.concat(F.lit("<"), F.col("p"))), (o, encode(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang")))]
+            if self.by_graph:
+                columns.append((Var(_GRAPH), F.concat(F.lit("<"), F.col("g"))))
         names: dict[str, Column] = {}
         for term, c in columns:
             if isinstance(term, Var):
@@ -709,17 +800,24 @@ class Graph:
         to an entity's own statements."""
         if not isinstance(s, Var):
             raise SparqlError("a text is a variable")
-        texts = self.triples.filter("o_kind = 'literal'").select(F.concat(F.lit("<"), F.col("s")).alias("entity"), encode(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang")).alias("text"), F.col("o"))
+        place = [F.concat(F.lit("<"), F.col("g")).alias(_GRAPH)] if self.by_graph else []
+        texts = self.triples.filter("o_kind = 'literal'").select(F.concat(F.lit("<"), F.col("s")).alias("entity"), encode(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang")).alias("text"), F.col("o"), *place)
+
+        def found(rows: DataFrame, *columns: Column, names: tuple) -> Rel:
+            names = (*names, _GRAPH) if place else names
+            return Rel(rows.select(*columns, *([F.col(_GRAPH)] if place else [])).distinct(), dict.fromkeys(names, "term"))
+
+        text = F.col("text").alias(s.name)
         if relation == CONTAINS_ENTITY:
             if isinstance(o, Var):
-                return Rel(texts.select(F.col("text").alias(s.name), F.col("entity").alias(o.name)).distinct(), dict.fromkeys((s.name, o.name), "term"))
-            return Rel(texts.filter(F.col("entity") == constant(o)).select(F.col("text").alias(s.name)).distinct(), {s.name: "term"})
+                return found(texts, text, F.col("entity").alias(o.name), names=(s.name, o.name))
+            return found(texts.filter(F.col("entity") == constant(o)), text, names=(s.name,))
         if not isinstance(o, Literal):
             raise SparqlError("the words are a literal")
         words = F.split(F.lower("o"), r"[^\p{L}\p{N}]+")
         for word in o.value.lower().split():
             texts = texts.filter(_begins(words, word[:-1]) if word.endswith("*") else F.array_contains(words, word))
-        return Rel(texts.select(F.col("text").alias(s.name)).distinct(), {s.name: "term"})
+        return found(texts, text, names=(s.name,))
 
     def ends(self, s, path: Path, o) -> DataFrame:
         """Ends (a, b) of a path between two terms; it is followed from a bound one, backwards if only the object is."""
@@ -728,13 +826,19 @@ class Graph:
         return self.pairs(path, self.one(s) if isinstance(s, (Iri, Literal)) else None)
 
     def one(self, term) -> DataFrame:
+        if self.by_graph:
+            return self.triples.select(F.concat(F.lit(constant(term)), F.lit(_IN), F.col("g")).alias("node")).distinct()
         return self.spark.createDataFrame([(constant(term),)], "node string")
 
+    def node(self, c: Column) -> Column:
+        """A term as an end of a path; with by_graph, together with its graph."""
+        return F.concat(c, F.lit(_IN), F.col("g")) if self.by_graph else c
+
     def pairs(self, path, starts: DataFrame | None = None) -> DataFrame:
         """Ends (a, b) of a property path; only those with a in starts (node), if given."""
         if isinstance(path, Iri):
             found = self.triples.filter(F.col("p") == path.value)
-            found = found.select(F.concat(F.lit("<"), F.col("s")).alias("a"), encode(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang")).alias("b"))
+            found = found.select(self.node(F.concat(F.lit("<"), F.col("s"))).alias("a"), self.node(encode(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang"))).alias("b"))
             return found if starts is None else found.join(starts, found["a"] == starts["node"], "left_semi")
         if path.kind == "inv":
             inner = path.parts[0]
@@ -757,7 +861,8 @@ class Graph:
         return reached if path.kind == "plus" else reached.unionByName(same).distinct()
 
     def nodes(self) -> DataFrame:
-        ends = self.triples.select(F.concat(F.lit("<"), F.col("s")).alias("a")).unionByName(self.triples.select(encode(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang")).alias("a"))).distinct()
+        ends = [F.concat(F.lit("<"), F.col("s")), encode(F.col("o_kind"), F.col("o"), F.col("o_dt"), F.col("o_lang"))]
+        ends = self.triples.select(self.node(ends[0]).alias("a")).unionByName(self.triples.select(self.node(ends[1]).alias("a"))).distinct()
         return ends.select("a", F.col("a").alias("b"))
 
     def number(self, c: Column, kind: str) -> Column:

@@ -8,6 +8,7 @@ SPARQL compiler, while the SQL takes the base tables.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -422,6 +423,48 @@ def _registry_triples(spark, sf_dir):
     return registry.triples(_register_rows(spark, sf_dir)).select("s", "p", "o")
 
 
+def quads(spark: SparkSession, sf_dir: str) -> sparql.Graph:
+    """The historical graph, the register's and the alignment of their courts in one store, each as a named graph."""
+
+    def build() -> DataFrame:
+        rows = _register_rows(spark, sf_dir).withColumn("RegisterCourt", F.concat(F.lit("Amtsgericht "), F.regexp_extract("RegisterCourt", r"\((.*)\)", 1)))
+        historical, register = raw(spark, sf_dir), registry.triples(rows)
+        same = graph.emit(graph.align(historical, register), [graph.iri(F.col("historical_court"), _SAME, F.col("register_court"))])
+        of = {"historical": historical, "register": register, "alignment": same}
+        return reduce(DataFrame.unionByName, [t.withColumn("g", F.lit(S.EX + name)) for name, t in of.items()])
+
+    return sparql.Graph(landed(spark, sf_dir, "quads", build, files.write_quads))
+
+
+_SAME = "http://www.w3.org/2002/07/owl#sameAs"
+ask(
+    "named_graphs_joined",
+    f"""PREFIX exh: <{S.EXH}> SELECT ?name ?courtName ?id ?later WHERE {{
+      GRAPH ex:historical {{ ?c a ex:Company ; ex:companyName ?name ; ex:registeredAt ?court . ?court ex:courtName ?courtName }}
+      GRAPH ex:alignment {{ ?court <{_SAME}> ?other }}
+      GRAPH ex:register {{ ?other exh:hasXJustizID ?id OPTIONAL {{ ?id exh:hasFutureCode ?later }} }} }}""",
+    _REC + """SELECT Company_name AS name, Court_name AS courtName, 'http://example.org/XJustizID/X' || n_nationkey AS id,
+    CASE WHEN n_nationkey < 20 THEN 'X' || (n_nationkey + 5) END AS later FROM rec""",
+    quads,
+)
+ask(
+    "named_graph_of_each_type",
+    "SELECT ?g ?s ?type WHERE { GRAPH ?g { ?s a ?type } }",
+    _REC + f"""SELECT 'http://example.org/schema/historical' AS g, {_COMPANY} AS s, 'http://example.org/schema/Company' AS "type" FROM rec
+    UNION ALL SELECT DISTINCT 'http://example.org/schema/historical', {_COURT}, 'http://example.org/schema/Court' FROM rec
+    UNION ALL SELECT 'http://example.org/schema/register', 'http://example.org/RegisterCourt/Amtsgericht_' || replace(n_name, ' ', '_'), 'http://example.org/schema#RegisterCourt' FROM nation
+    UNION ALL SELECT 'http://example.org/schema/register', 'http://example.org/XJustizID/X' || n_nationkey, 'http://example.org/schema#XJustizID' FROM nation""",
+    quads,
+)
+ask(
+    "named_graphs_merged",
+    "SELECT ?court ?label FROM ex:historical FROM ex:register WHERE { ?court ex:courtName|rdfs:label ?label }",
+    _REC + f"""SELECT DISTINCT {_COURT} AS court, Court_name AS label FROM rec
+    UNION ALL SELECT 'http://example.org/RegisterCourt/Amtsgericht_' || replace(n_name, ' ', '_'), 'Amtsgericht ' || n_name FROM nation""",
+    quads,
+)
+
+
 @register("closure_successors", "SELECT 'X' || a.n_nationkey AS src, 'X' || b.n_nationkey AS dst, CAST((b.n_nationkey - a.n_nationkey) // 5 AS INTEGER) AS depth FROM nation a JOIN nation b ON b.n_nationkey > a.n_nationkey AND (b.n_nationkey - a.n_nationkey) % 5 = 0")
 def _closure(spark, sf_dir):
     return graph.closure(registry.successors(_register_rows(spark, sf_dir)))

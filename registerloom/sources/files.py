@@ -210,6 +210,11 @@ def write_turtle(triples: DataFrame, path: str) -> None:
     rows.select(F.concat(_term(F.col("s")), F.lit("\n    "), F.col("body"), F.lit(" .\n")).alias("value"), "s").sortWithinPartitions("s").select("value").write.mode("overwrite").text(path)
 
 
+def write_quads(quads: DataFrame, path: str) -> None:
+    """Statements with their graph (g) as Parquet, a folder for each graph, sorted by property and subject within files."""
+    quads.sortWithinPartitions("g", "p", "s").write.mode("overwrite").partitionBy("g").parquet(path)
+
+
 def write_index(triples: DataFrame, path: str, batch: int = 100_000) -> None:
     """Triples by property, sorted by subject, in files of at most batch triples.
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from registerloom import schemas as S
 from registerloom.operators import graph, registry
 from registerloom.plans import sparql
+from registerloom.sources import files
 
 RECORDS = [
     ("Amtsgericht Essen", "2. September 1927", "Alpha AG", "HRB 1", "1927"),
@@ -152,3 +153,87 @@ def test_text_relations_and_cap(raw):
     assert len(sparql.Graph(raw).query("SELECT ?s WHERE { ?s ?p ?o }", cap=3).collect()) == 3
     with pytest.raises(sparql.SparqlError):
         ask(raw, "SELECT ?s WHERE { ?s ex:companyName ?o FILTER(REGEX(?o, ?s)) }")
+
+
+@pytest.fixture(scope="module")
+def quads(spark):
+    """Two graphs that share a statement, with a chain each and a cycle in one, and a third of few statements."""
+    e = lambda x: f"http://e/{x}"
+    next_of = {"one": ("ab", "bc", "cd"), "two": ("ab", "bx", "xa", "cy"), "three": ("yz",)}
+    rows = [(e(a), S.EX + "next", e(b), "iri", None, None, e(g)) for g, edges in next_of.items() for a, b in edges]
+    names = {"one": {"a": "old A", "b": "old B"}, "two": {"a": "new A", "x": "new X", "b": "old B"}}
+    rows += [(e(x), S.EX + "name", n, "literal", None, None, e(g)) for g, of in names.items() for x, n in of.items()]
+    return spark.createDataFrame(rows, "s string, p string, o string, o_kind string, o_dt string, o_lang string, g string")
+
+
+@pytest.mark.parametrize(
+    "group",
+    [
+        "?s ex:next ?o . ?o ex:next ?z",
+        "?s ex:next+ ?o",
+        "<http://e/a> ex:next* ?o",
+        "?s ex:next* <http://e/a>",
+        "?s (ex:next|^ex:next)? <http://e/b>",
+        "?s ex:next ?o OPTIONAL { ?o ex:name ?n }",
+        "OPTIONAL { ?s ex:name ?n }",
+        "VALUES ?s { <http://e/a> <http://e/q> }",
+        "VALUES ?s { <http://e/a> <http://e/q> } OPTIONAL { ?s ex:name ?n }",
+        "?s ex:next ?o MINUS { ?o ex:name ?n }",
+        "?s ex:next ?o MINUS { ?x ex:name ?n }",
+        "{ ?s ex:name ?n } UNION { VALUES ?s { <http://e/k> } }",
+        '?s ex:name ?n FILTER(STRSTARTS(?n, "old"))',
+        '?t ql:contains-word "old b" . ?s ex:name ?t',
+        "?t ql:contains-entity <http://e/b>",
+        "{ SELECT ?s (COUNT(?o) AS ?n) WHERE { ?s ?p ?o } GROUP BY ?s }",
+        "{ SELECT DISTINCT ?p WHERE { ?s ?p ?o } }",
+        "GRAPH <http://e/three> { ?y ex:next ?z } ?s ex:name ?n",
+        "",
+    ],
+)
+def test_each_graph_is_asked_by_itself(quads, group):
+    got = sparql.Graph(quads).query(f"SELECT * WHERE {{ GRAPH ?g {{ {group} }} }}")
+    names = [c for c in got.columns if c != "g"]
+    want = []
+    for g in ("one", "two", "three"):
+        of = quads.filter(F.col("g") == f"http://e/{g}")
+        alone = sparql.Graph(quads if "GRAPH" in group else of.drop("g"))
+        inner = f"GRAPH <http://e/{g}> {{ {group} }}" if "GRAPH" in group else group
+        want += [(f"http://e/{g}", *r) for r in (alone.query(f"SELECT {' '.join('?' + n for n in names)} WHERE {{ {inner} }}").collect() if names else [()])]
+    assert sorted(map(repr, (tuple(r) for r in got.select("g", *names).collect()))) == sorted(map(repr, want))
+    assert len(want) > 1
+
+
+def test_graphs_of_a_query(quads):
+    q = lambda text: sorted(tuple(r) for r in sparql.Graph(quads).query(text).collect())
+    e = "http://e/"
+    assert q("SELECT (COUNT(*) AS ?n) WHERE { ?s ?p ?o }") == [(11,)]  # 13 quads, two statements stand in two graphs
+    assert q("SELECT (COUNT(*) AS ?n) FROM <http://e/one> WHERE { ?s ?p ?o }") == [(5,)]
+    assert q("SELECT (COUNT(*) AS ?n) FROM <http://e/one> FROM <http://e/two> WHERE { ?s ?p ?o }") == [(10,)]
+    assert q("SELECT (COUNT(*) AS ?n) FROM NAMED <http://e/one> WHERE { ?s ?p ?o }") == [(0,)]
+    assert q("SELECT ?g FROM <http://e/two> WHERE { GRAPH ?g { ?s ?p ?o } }") == []
+    assert q("SELECT DISTINCT ?g FROM NAMED <http://e/one> FROM NAMED <http://e/no> WHERE { GRAPH ?g { ?s ?p ?o } }") == [(e + "one",)]
+    # a chain through two graphs exists in their union only
+    assert q("SELECT ?o FROM <http://e/one> FROM <http://e/three> FROM <http://e/two> WHERE { <http://e/c> ex:next+ ?o }") == [(e + "d",), (e + "y",), (e + "z",)]
+    # the graph is a variable of joins, also with itself
+    assert q("SELECT ?h WHERE { GRAPH ?g { ?s ex:name \"old A\" } GRAPH ?h { ?s ex:name ?n } FILTER(?g != ?h) }") == [(e + "two",)]
+    assert q("SELECT ?g WHERE { VALUES ?g { <http://e/two> <http://e/no> } GRAPH ?g { ?s ex:name \"old B\" } }") == [(e + "two",)]
+    assert q("SELECT ?g WHERE { GRAPH ?g { ?g ex:next ?o } }") == []
+    assert q("SELECT ?s WHERE { ?s ex:name \"old B\" MINUS { GRAPH <http://e/three> { ?s ?p ?o } } }") == [(e + "b",)]
+
+
+def test_graphs_are_files_of_their_own(spark, quads, tmp_path):
+    files.write_quads(quads, str(tmp_path / "q"))
+    stored = spark.read.schema(quads.schema).parquet(str(tmp_path / "q"))
+    assert sorted(map(tuple, stored.collect()), key=repr) == sorted(map(tuple, quads.collect()), key=repr)
+    df = sparql.Graph(stored).query("SELECT ?n WHERE { GRAPH <http://e/one> { ?s ex:next ?o ; ex:name ?n } }")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("PartitionFilters: [isnotnull(g") == plan.count("FileScan") == 2 and "Cartesian" not in plan
+    assert sorted(r[0] for r in df.collect()) == ["old A", "old B"]
+
+
+def test_what_graphs_cannot_be_asked(raw, quads):
+    with pytest.raises(sparql.SparqlError):
+        ask(raw, "SELECT ?s WHERE { GRAPH ?g { ?s ?p ?o } }")
+    for text in ("SELECT ?s WHERE { GRAPH \"g\" { ?s ?p ?o } }", "SELECT ?s WHERE { GRAPH ?g { { SELECT ?s WHERE { ?s ?p ?o } LIMIT 1 } } }", "SELECT ?s FROM ?g WHERE { ?s ?p ?o }"):
+        with pytest.raises(sparql.SparqlError):
+            sparql.Graph(quads).query(text)
