@@ -12,7 +12,8 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import islice, repeat
+from itertools import chain, count, islice, repeat
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,13 @@ _SCHEMA = (
 _ENCODER: dict[str, Encoder] = {}
 
 
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(stretches of flat one after the other, the length of each), by their numbers in starts and sizes."""
+    sizes = sizes.take(numbers)
+    ends = np.cumsum(sizes)
+    return flat.take(np.repeat(starts.take(numbers) - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)), sizes
+
+
 class Encoder:
     """Ids of texts. Where the tokenizer splits at white space before it merges bytes, texts are cut into pieces that begin
     with white space, and each distinct piece is encoded once and remembered; other tokenizers encode whole texts."""
@@ -74,31 +82,34 @@ class Encoder:
     def _learn(self, pieces: list[str]) -> None:
         """Encode pieces not yet known. A word that ends before an ASCII character that is no letter is one pre-token, for the
         model itself; what follows it, and all other pieces, are for the whole tokenizer."""
-        stems = [m.end() if m else 0 for m in map(_STEM.match, pieces)]
-        new = [r for r in dict.fromkeys([p[n:] for p, n in zip(pieces, stems) if n < len(p)]) if r not in self.rests]
+        cuts = [m.end() if m else 0 for m in map(_STEM.match, pieces)]
+        heads, tails = [p[:n] for p, n in zip(pieces, cuts)], [p[n:] for p, n in zip(pieces, cuts)]
+        del cuts
+        head_of, tail_of = (dict(zip(dict.fromkeys(x), count())) for x in (heads, tails))
         if len(self.rests) > REMEMBERED // 4:
             self.rests = {}
-            new = list(dict.fromkeys([p[n:] for p, n in zip(pieces, stems) if n < len(p)]))
+        new = [r for r in tail_of if r and r not in self.rests]
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             self.rests.update((r, tuple(e.ids)) for r, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)))
-        tokenize, letters, rests = self.tokenizer.model.tokenize, self.letters, self.rests
-        spelled: dict[str, tuple[int, ...]] = {"": ()}
-        rests[""] = ()
-        space, flat, sizes = letters.get(32, ""), [], []
-        for p, n in zip(pieces, stems):
-            stem = p[:n]
-            ids = spelled.get(stem)
-            if ids is None:
-                plain = space + stem[1:] if stem[0] == " " and stem.isascii() else stem.translate(letters)
-                spelled[stem] = ids = tuple([t.id for t in tokenize(plain)])
-            rest = rests[p[n:]]
-            flat += ids
-            flat += rest
-            sizes.append(len(ids) + len(rest))
-        sizes = np.array(sizes, np.int64)
+        self.rests[""] = ()
+        tokenize, letters, id_of = self.tokenizer.model.tokenize, self.letters, attrgetter("id")
+        space = letters.get(32, "")
+        plain = (space + h[1:] if h[0] == " " and h.isascii() else h.translate(letters) for h in head_of if h)
+        spelled = [tuple(map(id_of, tokenize(w))) for w in plain]
+        if "" in head_of:
+            spelled.insert(head_of[""], ())
+        spelled += map(self.rests.__getitem__, tail_of)
+        sizes = np.fromiter(map(len, spelled), np.int64, len(spelled))
+        flat = np.fromiter(chain.from_iterable(spelled), np.int32, int(sizes.sum()))
+        parts = np.empty(2 * len(pieces), np.int64)
+        parts[::2] = np.fromiter(map(head_of.__getitem__, heads), np.int64, len(pieces))
+        parts[1::2] = np.fromiter(map(tail_of.__getitem__, tails), np.int64, len(pieces)) + len(head_of)
+        del spelled, heads, tails
+        ids, sizes = _gather(flat, np.cumsum(sizes) - sizes, sizes, parts)
+        sizes = sizes[::2] + sizes[1::2]
         self.starts, self.sizes = np.concatenate([self.starts, len(self.flat) + np.cumsum(sizes) - sizes]), np.concatenate([self.sizes, sizes])
-        self.flat = np.concatenate([self.flat, np.array(flat, np.int32)])
+        self.flat = np.concatenate([self.flat, ids])
 
     def _ids(self, pieces: list[str]) -> np.ndarray:
         """Numbers of pieces, which hold until the next call. As long as there is room, new ones are remembered."""
@@ -122,9 +133,7 @@ class Encoder:
 
     def _spelled(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of pieces one after the other, how many each has)."""
-        sizes = self.sizes[numbers]
-        ends = np.cumsum(sizes)
-        return self.flat[np.repeat(self.starts[numbers] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)], sizes
+        return _gather(self.flat, self.starts, self.sizes, numbers)
 
     def _cut(self, text: str) -> Iterator[np.ndarray]:
         at = 0
