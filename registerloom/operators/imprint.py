@@ -37,9 +37,14 @@ def links(pages: DataFrame) -> DataFrame:
     return pages.select("url", absolute("url", hrefs).alias("links"))
 
 
+def distinct_links(pages: DataFrame) -> DataFrame:
+    """url, link: each link of an address once, however many of the pages have that address."""
+    return links(pages).select("url", F.explode("links").alias("link")).distinct()
+
+
 def imprint_links(pages: DataFrame) -> DataFrame:
     """url, link of links that look like an imprint's."""
-    return links(pages).select("url", F.explode("links").alias("link")).filter(X.is_imprint_url("link"))
+    return distinct_links(pages).filter(X.is_imprint_url("link"))
 
 
 def ranked(pages: DataFrame) -> DataFrame:

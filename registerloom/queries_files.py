@@ -375,7 +375,7 @@ QUERIES.pop("imprint_links")
 @register("imprint_links", r"""WITH l AS (SELECT url, unnest(regexp_extract_all(html, '(?i)<a\b[^>]*?\bhref\s*=\s*["'']([^"'']*)["'']', 1)) AS href FROM pages)
     SELECT DISTINCT url, regexp_extract(url, '^[a-z]+://[^/]+') || href AS link FROM l""")
 def _links(spark, sf_dir):
-    return imprint.links(table(spark, sf_dir, "pages")).select("url", F.explode("links").alias("link"))
+    return imprint.distinct_links(table(spark, sf_dir, "pages"))
 
 
 #: Pages of records whose similarities are known: runs of one letter are alike by twice the shorter over both lengths.

@@ -137,6 +137,12 @@ def test_imprint(spark):
     assert html.select(imprint.visible_text(F.col("h"))).first()[0] == "Amts gericht HRB&nbsp;"
 
 
+def test_links_of_an_address_are_distinct(spark):
+    pages = spark.createDataFrame([("http://e.de/", '<a href="/a">a</a><a href="/about">b</a>'), ("http://e.de/", '<a href="/about">b</a>'), ("http://o.de/", None)], "url string, html string")
+    assert sorted(tuple(r) for r in imprint.distinct_links(pages).collect()) == [("http://e.de/", "http://e.de/a"), ("http://e.de/", "http://e.de/about")]
+    assert [tuple(r) for r in imprint.imprint_links(pages).collect()] == [("http://e.de/", "http://e.de/about")]
+
+
 def test_files_are_taken_up_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.txt").write_text("one")
