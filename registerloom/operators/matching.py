@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import functools
 import re
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,8 @@ WEIGHTS = {"Court_name": 2, "Date_of_article": 1, "Company_name": 2, "Registrati
 EXACT = ("Registration_Code", "Registration_year")
 #: Fuzzy matches below this sum of two similarities don't count.
 FLOOR = 0.5
+#: Records that are compared first, those with the highest bounds.
+NEAREST = 16
 _KINDS = {
     "doc": pa.string(), "truth_row": pa.int64(), "parsed_row": pa.int64(), "score": pa.float64(), "code_mismatch": pa.bool_(), "year_mismatch": pa.bool_(),
 }
@@ -27,7 +30,7 @@ def squeezed(value) -> str:
     return re.sub(r"[\s\-.,⸗]", "", str(value).lower()) if isinstance(value, str) else ""
 
 
-@functools.lru_cache(maxsize=200_000)
+@functools.lru_cache(maxsize=20_000)
 def ratio(a: str, b: str) -> float:
     """Ratcliff-Obershelp ratio; 1 for two empty texts. The order of arguments matters."""
     return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
@@ -37,16 +40,41 @@ def similarity(a, b) -> float:
     return ratio(squeezed(a), squeezed(b))
 
 
-def most(a: str, b: str) -> float:
-    """What ratio(a, b) is at most: their common letters, in whatever order, over all letters."""
-    if not a or not b:
-        return float(a == b)
-    return 2.0 * sum((_letters(a) & _letters(b)).values()) / (len(a) + len(b))
-
-
-@functools.lru_cache(maxsize=100_000)
-def _letters(a: str) -> Counter:
-    return Counter(a)
+class Likeness:
+    """What ratio(a, b) is at most for one text a and all distinct texts b of a page at once: their common letters, in
+    whatever order, over all letters."""
+
+    def __init__(self, texts: list[str]) -> None:
+        self.texts = list(dict.fromkeys(texts))
+        place = {b: i for i, b in enumerate(self.texts)}
+        self.of = np.fromiter((place[b] for b in texts), np.int64, len(texts))
+        self.lengths = np.array([len(b) for b in self.texts], np.int64)
+        self.counts: dict[str, tuple] = {}  # by letter: which texts have it (all, where many do), how often
+        found: dict[str, list[tuple[int, int]]] = {}
+        for i, b in enumerate(self.texts):
+            for letter, n in Counter(b).items():
+                found.setdefault(letter, []).append((i, n))
+        for letter, pairs in found.items():
+            where, times = (np.array(c, np.int32) for c in zip(*pairs))
+            if 4 * len(pairs) > len(self.texts):
+                every = np.zeros(len(self.texts), np.int32)
+                every[where] = times
+                where, times = slice(None), every
+            self.counts[letter] = where, times
+        self.last: tuple[str, np.ndarray] | None = None
+
+    def most(self, a: str) -> np.ndarray:
+        """The bounds of a and the text of each record."""
+        if self.last is None or self.last[0] != a:
+            common = np.zeros(len(self.texts), np.int32)
+            for letter, n in Counter(a).items():
+                if letter in self.counts:
+                    where, times = self.counts[letter]
+                    common[where] += np.minimum(times, np.int32(n))
+            total = self.lengths + len(a)
+            bounds = np.divide(2.0 * common, total, out=np.ones(len(total)), where=total > 0)  # two empty texts are the same
+            self.last = a, bounds[self.of]
+        return self.last[1]
 
 
 def contained(a, b) -> int:
@@ -73,30 +101,60 @@ def _fields(t: dict, p: dict, fuzzy: bool) -> float:
     return total
 
 
-def _likest(t: dict, left: dict[int, dict]) -> tuple[int | None, float]:
-    """The first of the records left with the greatest sum of similarities of court and company, and the sum.
+class _Fuzzy:
+    """Records of a page that are left, asked for the one with the greatest sum of similarities of court and company.
+
+    A record with the same two texts is found by them. Else records are compared in falling order of what the sum is at
+    most, until none can be better; these bounds are made of arrays, so most records cost a few machine instructions."""
+
+    def __init__(self, parsed: list[dict]) -> None:
+        keys = [(p["squeezed"]["Court_name"], p["squeezed"]["Company_name"]) for p in parsed]
+        self.keys, self.left = keys, np.ones(len(parsed), bool)
+        self.court, self.company = Likeness([k[0] for k in keys]), Likeness([k[1] for k in keys])
+        self.same: dict[tuple[str, str], deque[int]] = {}
+        for i, k in enumerate(keys):
+            self.same.setdefault(k, deque()).append(i)
+
+    def best(self, t: dict) -> tuple[int | None, float]:
+        """The first of the records left with the greatest sum, and the sum."""
+        court, company = t["squeezed"]["Court_name"], t["squeezed"]["Company_name"]
+        same = self.same.get((court, company), ())
+        while same and not self.left[same[0]]:
+            same.popleft()
+        if same:
+            return same[0], 2.0
+        best, score = None, -1.0
+        bounds = np.where(self.left, self.court.most(court) + self.company.most(company), -1.0)
+        tried, step = 0, NEAREST
+        while tried < len(bounds):
+            # the highest bounds in parts of growing size, each part in order; a stable order has the first records first
+            step = min(step, len(bounds) - tried)
+            least = np.partition(bounds, len(bounds) - step)[len(bounds) - step]
+            part = np.flatnonzero((bounds >= least) & (bounds >= 0.0))
+            for i in part[np.argsort(-bounds[part], kind="stable")].tolist():
+                if bounds[i] < score or (bounds[i] == score and i > best):
+                    return best, score
+                s = ratio(court, self.keys[i][0]) + ratio(company, self.keys[i][1])
+                if s > score or (s == score and i < best):
+                    best, score = i, s
+            if not len(part):
+                break
+            tried += len(part)
+            bounds = np.where(bounds >= least, -1.0, bounds)
+            step *= 4
+        return best, score
 
-    Records are taken in falling order of what the sum is at most, so most of them are never compared."""
-    court, company = t["squeezed"]["Court_name"], t["squeezed"]["Company_name"]
-    bounds = sorted((-most(court, p["squeezed"]["Court_name"]) - most(company, p["squeezed"]["Company_name"]), i) for i, p in left.items())
-    best, score = None, -1.0
-    for bound, i in bounds:
-        if -bound < score:
-            break
-        p = left[i]["squeezed"]
-        s = ratio(court, p["Court_name"]) + ratio(company, p["Company_name"])
-        if s > score or (s == score and i < best):
-            best, score = i, s
-    return best, score
+    def take(self, i: int) -> None:
+        self.left[i] = False
 
 
 def _assign(truth: list[dict], parsed: list[dict], fuzzy: bool) -> list[tuple]:
     for r in [*truth, *parsed]:
         r["squeezed"] = {n: squeezed(r[n]) for n in WEIGHTS}
-    left, out = dict(enumerate(parsed)), []
+    left, out = _Fuzzy(parsed) if fuzzy else dict(enumerate(parsed)), []
     for t in truth:
         if fuzzy:
-            best, score = _likest(t, left)
+            best, score = left.best(t)
         else:
             best, score = None, 0.0
             for i, p in left.items():
@@ -107,7 +165,8 @@ def _assign(truth: list[dict], parsed: list[dict], fuzzy: bool) -> list[tuple]:
             # a code that nothing was matched with is a mismatch for one method only
             out.append((t["row"], None, 0.0, not fuzzy and bool(t["Registration_Code"]), False))
             continue
-        p = left.pop(best)
+        left.take(best) if fuzzy else left.pop(best)
+        p = parsed[best]
         if fuzzy:
             code, year = (t["squeezed"][n] != p["squeezed"][n] for n in EXACT)
         else:

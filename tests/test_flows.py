@@ -1,4 +1,5 @@
 import json
+import time
 import zipfile
 
 import pytest
@@ -184,6 +185,16 @@ def test_whole_texts_are_streamed(spark, tmp_path):
     assert [r["file"] for r in files.texts(spark, str(tmp_path / "in")).collect()] == ["a b.txt"]
 
 
+def test_best_matches_of_a_large_page_take_few_comparisons(monkeypatch):
+    tried = []
+    monkeypatch.setattr(matching, "ratio", lambda a, b, of=matching.ratio: tried.append(a) or of(a, b))
+    rows = [{**RECORD, "row": i, "Company_name": f"Customer#{i * 40:09d}"} for i in range(2000)]
+    other = [{**r, "Company_name": r["Company_name"].lower() if r["row"] % 3 == 0 else r["Company_name"] + " AG"} for r in rows]
+    began = time.process_time()
+    assert [r[1] for r in matching._assign(rows, other, True)] == list(range(2000))
+    assert len(tried) < 60 * len(rows) and time.process_time() - began < 15  # 18 million pairs of letters took a minute
+
+
 def test_best_match_is_that_of_all_pairs():
     import random
 
