@@ -20,6 +20,8 @@ EXACT = ("Registration_Code", "Registration_year")
 FLOOR = 0.5
 #: Records that are compared first, those with the highest bounds.
 NEAREST = 16
+#: Stands between texts that are searched as one.
+MARK = "\x00"
 _KINDS = {
     "doc": pa.string(), "truth_row": pa.int64(), "parsed_row": pa.int64(), "score": pa.float64(), "code_mismatch": pa.bool_(), "year_mismatch": pa.bool_(),
 }
@@ -148,24 +150,87 @@ class _Fuzzy:
         self.left[i] = False
 
 
+class _Inside:
+    """Distinct texts of a page in lower case, asked which of them contain a text or lie in it."""
+
+    def __init__(self, texts: list) -> None:
+        texts = [v.lower() if isinstance(v, str) else "" for v in texts]
+        self.texts = list(dict.fromkeys(texts))
+        place = {b: i for i, b in enumerate(self.texts)}
+        self.of = np.fromiter((place[b] for b in texts), np.int64, len(texts))
+        self.place = {b: i for b, i in place.items() if b}
+        self.lengths = sorted({len(b) for b in self.place})
+        # all texts in one, so that a search goes through them at a time; a text that has the mark itself is searched alone
+        self.marked = [i for b, i in self.place.items() if MARK in b]
+        plain = [(b, i) for b, i in self.place.items() if MARK not in b]
+        self.joined, self.ids = MARK.join(b for b, _ in plain), [i for _, i in plain]
+        self.starts = np.cumsum([0, *(len(b) + 1 for b, _ in plain)])
+        self.last: tuple[str, np.ndarray] | None = None
+
+    def related(self, a) -> np.ndarray:
+        """Whether the text of each record contains a or lies in it."""
+        a = a.lower() if isinstance(a, str) else ""
+        if self.last is None or self.last[0] != a:
+            hits = np.zeros(len(self.texts), bool)
+            if a:
+                few = len(a) * len(self.lengths) < len(self.place)  # pieces of a, against texts
+                pieces = (self.place.get(a[k : k + n]) for n in self.lengths for k in range(len(a) - n + 1)) if few else (i for b, i in self.place.items() if b in a)
+                hits[[i for i in pieces if i is not None]] = True
+                hits[[i for i in self.marked if a in self.texts[i]]] = True
+                at = self.joined.find(a) if MARK not in a else -1
+                while at >= 0:
+                    k = int(np.searchsorted(self.starts, at, "right")) - 1
+                    hits[self.ids[k]] = True
+                    at = self.joined.find(a, int(self.starts[k + 1]))
+            self.last = a, hits[self.of]
+        return self.last[1]
+
+
+class _Equal:
+    """Distinct texts of a page without case and outer white space, asked which of them are a text."""
+
+    def __init__(self, texts: list) -> None:
+        self.ids: dict[str, int] = {}
+        self.of = np.array([self.ids.setdefault(v.lower().strip(), len(self.ids)) if isinstance(v, str) and v else -1 for v in texts], np.int64)
+
+    def related(self, a) -> np.ndarray:
+        i = self.ids.get(a.lower().strip()) if isinstance(a, str) and a else None
+        return np.zeros(len(self.of), bool) if i is None else self.of == i
+
+
+class _Containing:
+    """Records of a page that are left, asked for the one that agrees in most of the fields, by their weights."""
+
+    def __init__(self, parsed: list[dict]) -> None:
+        self.left = np.ones(len(parsed), bool)
+        self.fields = [(n, w, (_Equal if n in EXACT else _Inside)([p[n] for p in parsed])) for n, w in WEIGHTS.items()]
+
+    def best(self, t: dict) -> tuple[int | None, float]:
+        """The first of the records left with the greatest score above 0, and the score."""
+        if not len(self.left):
+            return None, 0.0
+        scores = np.zeros(len(self.left), np.int64)
+        for name, weight, field in self.fields:
+            scores += weight * field.related(t[name])
+        scores[~self.left] = 0
+        best = int(scores.argmax())
+        return (best, float(scores[best])) if scores[best] > 0 else (None, 0.0)
+
+    def take(self, i: int) -> None:
+        self.left[i] = False
+
+
 def _assign(truth: list[dict], parsed: list[dict], fuzzy: bool) -> list[tuple]:
     for r in [*truth, *parsed]:
         r["squeezed"] = {n: squeezed(r[n]) for n in WEIGHTS}
-    left, out = _Fuzzy(parsed) if fuzzy else dict(enumerate(parsed)), []
+    left, out = (_Fuzzy if fuzzy else _Containing)(parsed), []
     for t in truth:
-        if fuzzy:
-            best, score = left.best(t)
-        else:
-            best, score = None, 0.0
-            for i, p in left.items():
-                s = _fields(t, p, False)
-                if s > score:
-                    best, score = i, s
+        best, score = left.best(t)
         if best is None or (fuzzy and score < FLOOR):
             # a code that nothing was matched with is a mismatch for one method only
             out.append((t["row"], None, 0.0, not fuzzy and bool(t["Registration_Code"]), False))
             continue
-        left.take(best) if fuzzy else left.pop(best)
+        left.take(best)
         p = parsed[best]
         if fuzzy:
             code, year = (t["squeezed"][n] != p["squeezed"][n] for n in EXACT)

@@ -195,6 +195,31 @@ def test_best_matches_of_a_large_page_take_few_comparisons(monkeypatch):
     assert len(tried) < 60 * len(rows) and time.process_time() - began < 15  # 18 million pairs of letters took a minute
 
 
+def test_best_containing_match_of_a_large_page():
+    rows = [{**RECORD, "row": i, "Company_name": f"Customer#{i * 40:09d}", "Registration_Code": f"HRB {i}"} for i in range(3000)]
+    other = [{**r, "Company_name": r["Company_name"].lower() if r["row"] % 3 == 0 else r["Company_name"] + " AG"} for r in rows]
+    began = time.process_time()
+    assert [r[1] for r in matching._assign(rows, other, False)] == list(range(3000))
+    assert time.process_time() - began < 8  # 4.5 million pairs took 20 s
+
+
+@pytest.mark.parametrize("letters", ["ab", "aAbB \0ßİ "])
+def test_best_containing_match_is_that_of_all_pairs(letters):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: rng.choice([None, "".join(rng.choice(letters) for _ in range(rng.randrange(0, 6)))])
+    for _ in range(60):
+        rows, other = ([{"row": i, **{n: word() for n in matching.WEIGHTS}} for i in range(rng.randrange(0, 12))] for _ in "tp")
+        used, want = set(), []
+        for t in rows:
+            scores = [(matching._fields(t, p, False), -i) for i, p in enumerate(other) if i not in used]
+            score, i = max(scores, default=(0.0, 0))
+            want.append(-i if score > 0 else None)
+            used |= {-i} if score > 0 else set()
+        assert [r[1] for r in matching._assign(rows, other, False)] == want
+
+
 def test_best_match_is_that_of_all_pairs():
     import random
 
