@@ -20,6 +20,8 @@ EXACT = ("Registration_Code", "Registration_year")
 FLOOR = 0.5
 #: Records that are compared first, those with the highest bounds.
 NEAREST = 16
+#: Rows of the result that are handed on together.
+ROWS_OUT = 4096
 #: Stands between texts that are searched as one.
 MARK = "\x00"
 _KINDS = {
@@ -241,6 +243,24 @@ def _assign(truth: list[dict], parsed: list[dict], fuzzy: bool) -> list[tuple]:
     return out
 
 
+def _matched(batches: Iterator[pa.RecordBatch], fuzzy: bool) -> Iterator[pa.RecordBatch]:
+    """Matches of pages (doc, truth, parsed). One page's records at a time are Python's, however many pages a batch has."""
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*out)) if out else [()] * len(_KINDS)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS.values())], list(_KINDS))
+
+    out: list[tuple] = []
+    for batch in batches:
+        for k in range(batch.num_rows):
+            doc, truth, parsed = (batch.column(c)[k].as_py() for c in ("doc", "truth", "parsed"))
+            out += [(doc, *r) for r in _assign(truth, parsed or [], fuzzy)]
+            if len(out) >= ROWS_OUT:
+                yield made(out)
+                out = []
+    yield made(out)
+
+
 def match_records(truth: DataFrame, parsed: DataFrame, method: str = "fuzzy") -> DataFrame:
     """A row for each record of truth: doc, truth_row, parsed_row (null if none fits), score, code and year mismatches.
 
@@ -253,12 +273,7 @@ def match_records(truth: DataFrame, parsed: DataFrame, method: str = "fuzzy") ->
     names = ["row", *WEIGHTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for doc, left, right in zip(*(batch.column(c).to_pylist() for c in ("doc", "truth", "parsed"))):
-                out += [(doc, *r) for r in _assign(left, right or [], method == "fuzzy")]
-            columns = list(zip(*out)) if out else [()] * len(_KINDS)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _KINDS.values())], list(_KINDS))
+        return _matched(batches, method == "fuzzy")
 
     def pages(df: DataFrame, name: str) -> DataFrame:
         """A row for each page with its records in order: many pages then go through Python at a time."""

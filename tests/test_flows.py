@@ -2,6 +2,7 @@ import json
 import time
 import zipfile
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -220,6 +221,15 @@ def test_best_containing_match_is_that_of_all_pairs(letters):
         assert [r[1] for r in matching._assign(rows, other, False)] == want
 
 
+def test_pages_of_a_batch_are_matched_one_by_one():
+    pages = pa.RecordBatch.from_pylist([{"doc": str(d), "truth": [{**RECORD, "row": i} for i in range(3)], "parsed": [{**RECORD, "row": 7}] if d % 2 else None} for d in range(4000)])
+    batches = list(matching._matched(iter([pages]), True))
+    assert max(b.num_rows for b in batches) <= matching.ROWS_OUT + 3  # one batch of 12,000 rows before
+    rows = [r for b in batches for r in b.to_pylist()]
+    assert [(r["doc"], r["truth_row"]) for r in rows] == [(str(d), i) for d in range(4000) for i in range(3)]
+    assert {r["parsed_row"] for r in rows if int(r["doc"]) % 2 == 0} == {None} and sum(r["parsed_row"] == 7 for r in rows) == 2000
+
+
 def test_best_match_is_that_of_all_pairs():
     import random
 
