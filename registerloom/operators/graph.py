@@ -42,14 +42,18 @@ def required(records: DataFrame) -> DataFrame:
 
 
 def triplify(records: DataFrame) -> DataFrame:
-    """Triples of extraction records (with optional fileName): five for each, and up to four for what is known."""
+    """Triples of extraction records (with optional fileName): five for each, and up to four for what is known.
+
+    A record becomes many triples in the task that has it, so records are dealt anew first: one file may hold all of them.
+    The shuffle is sized as it runs."""
     records = records if "fileName" in records.columns else records.withColumn("fileName", F.lit(None).cast("string"))
+    records = required(records).select(*S.RECORD.names, "fileName").hint("rebalance", F.col("Company_name"), F.col("Court_name"))
     company = F.concat(F.lit(S.COMPANY), X.clean_uri("Company_name"))
     court = F.concat(F.lit(S.COURT), X.clean_uri("Court_name"))
     said = lambda name: F.coalesce(F.col(name), F.lit("")) != ""
     year, is_year = X.year_value("Registration_year")
     return emit(
-        required(records),
+        records,
         [
             iri(company, S.A, F.lit(S.EX + "Company")),
             iri(court, S.A, F.lit(S.EX + "Court")),

@@ -237,3 +237,14 @@ def test_what_graphs_cannot_be_asked(raw, quads):
     for text in ("SELECT ?s WHERE { GRAPH \"g\" { ?s ?p ?o } }", "SELECT ?s WHERE { GRAPH ?g { { SELECT ?s WHERE { ?s ?p ?o } LIMIT 1 } } }", "SELECT ?s FROM ?g WHERE { ?s ?p ?o }"):
         with pytest.raises(sparql.SparqlError):
             sparql.Graph(quads).query(text)
+
+
+def test_records_are_dealt_before_they_become_triples(spark):
+    """One file may hold all records; a task that made all of their triples would keep them all."""
+    rows = [("AG Essen", None, f"Firma {i % 50}", f"HRB {i % 100}", "1927", i) for i in range(400)] + [("", None, "x", None, None, 0), (None, None, "y", None, None, 0)]
+    records = spark.createDataFrame(rows, "Court_name string, Date_of_article string, Company_name string, Registration_Code string, Registration_year string, other int").coalesce(1)
+    found = graph.triplify(records)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "REBALANCE_PARTITIONS_BY_COL" in plan[plan.index("Generate explode") :]
+    per = {r["p"].rsplit("/")[-1].rsplit("#")[-1]: r["n"] for r in found.groupBy("p").agg(F.count("*").alias("n")).collect()}
+    assert per == {"type": 51, "companyName": 50, "courtName": 1, "registeredAt": 50, "registrationCode": 100, "registrationYear": 50}
