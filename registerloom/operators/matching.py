@@ -18,7 +18,7 @@ WEIGHTS = {"Court_name": 2, "Date_of_article": 1, "Company_name": 2, "Registrati
 EXACT = ("Registration_Code", "Registration_year")
 #: Fuzzy matches below this sum of two similarities don't count.
 FLOOR = 0.5
-#: Records that are compared first, those with the highest bounds.
+#: Groups of records that are compared at a time at first, those with the highest bounds.
 NEAREST = 16
 #: Rows of the result that are handed on together.
 ROWS_OUT = 4096
@@ -53,31 +53,37 @@ class Likeness:
         place = {b: i for i, b in enumerate(self.texts)}
         self.of = np.fromiter((place[b] for b in texts), np.int64, len(texts))
         self.lengths = np.array([len(b) for b in self.texts], np.int64)
-        self.counts: dict[str, tuple] = {}  # by letter: which texts have it (all, where many do), how often
-        found: dict[str, list[tuple[int, int]]] = {}
+        self.kind = np.min_scalar_type(int(self.lengths.max(initial=0)))  # holds every count of letters, in one byte for short texts
+        self.counts: dict[str, tuple] = {}  # by letter: which texts have it (all, where many do), how often, least and most
+        found: dict[str, tuple[list[int], list[int]]] = {}
         for i, b in enumerate(self.texts):
-            for letter, n in Counter(b).items():
-                found.setdefault(letter, []).append((i, n))
-        for letter, pairs in found.items():
-            where, times = (np.array(c, np.int32) for c in zip(*pairs))
-            if 4 * len(pairs) > len(self.texts):
-                every = np.zeros(len(self.texts), np.int32)
+            for letter in set(b):
+                where, times = found.setdefault(letter, ([], []))
+                where.append(i)
+                times.append(b.count(letter))
+        for letter in list(found):
+            where, times = (np.array(c, k) for c, k in zip(found.pop(letter), (np.int64, self.kind)))
+            if 4 * len(where) > len(self.texts):
+                every = np.zeros(len(self.texts), self.kind)
                 every[where] = times
                 where, times = slice(None), every
-            self.counts[letter] = where, times
+            self.counts[letter] = where, times, int(times.min()), int(times.max())
         self.last: tuple[str, np.ndarray] | None = None
 
     def most(self, a: str) -> np.ndarray:
-        """The bounds of a and the text of each record."""
+        """The bounds of a and the text of each record; one bound if all have the same text."""
         if self.last is None or self.last[0] != a:
-            common = np.zeros(len(self.texts), np.int32)
-            for letter, n in Counter(a).items():
+            common, always = np.zeros(len(self.texts), self.kind), 0
+            for letter in set(a):
                 if letter in self.counts:
-                    where, times = self.counts[letter]
-                    common[where] += np.minimum(times, np.int32(n))
+                    n, (where, times, least, most) = a.count(letter), self.counts[letter]
+                    if isinstance(where, slice) and n <= least:
+                        always += n  # all texts have it as often
+                    else:
+                        common[where] += times if n >= most else np.minimum(times, self.kind.type(n))
             total = self.lengths + len(a)
-            bounds = np.divide(2.0 * common, total, out=np.ones(len(total)), where=total > 0)  # two empty texts are the same
-            self.last = a, bounds[self.of]
+            bounds = np.divide(2.0 * common + 2.0 * always, total, out=np.ones(len(total)), where=total > 0)  # two empty texts are the same
+            self.last = a, bounds if len(bounds) in (1, len(self.of)) else bounds[self.of]
         return self.last[1]
 
 
@@ -105,51 +111,76 @@ def _fields(t: dict, p: dict, fuzzy: bool) -> float:
     return total
 
 
+def _key(r: dict) -> tuple[str, str]:
+    return r["squeezed"]["Court_name"], r["squeezed"]["Company_name"]
+
+
 class _Fuzzy:
     """Records of a page that are left, asked for the one with the greatest sum of similarities of court and company.
 
-    A record with the same two texts is found by them. Else records are compared in falling order of what the sum is at
-    most, until none can be better; these bounds are made of arrays, so most records cost a few machine instructions."""
-
-    def __init__(self, parsed: list[dict]) -> None:
-        keys = [(p["squeezed"]["Court_name"], p["squeezed"]["Company_name"]) for p in parsed]
-        self.keys, self.left = keys, np.ones(len(parsed), bool)
-        self.court, self.company = Likeness([k[0] for k in keys]), Likeness([k[1] for k in keys])
-        self.same: dict[tuple[str, str], deque[int]] = {}
-        for i, k in enumerate(keys):
-            self.same.setdefault(k, deque()).append(i)
+    Records with the same two texts are one group, the first of them left stands for it. A group of the asked texts is found
+    by them. Else groups are compared in falling order of what the sum is at most, until none can be better; these bounds are
+    made of arrays, so most groups cost a few machine instructions. Texts that are asked for again keep their best groups."""
+
+    def __init__(self, truth: list[dict], parsed: list[dict]) -> None:
+        self.groups: dict[tuple[str, str], deque[int]] = {}
+        for i, p in enumerate(parsed):
+            self.groups.setdefault(_key(p), deque()).append(i)
+        self.keys, self.rows = list(self.groups), list(self.groups.values())
+        self.place = {k: g for g, k in enumerate(self.keys)}
+        self.left, self.first = np.ones(len(self.keys), bool), np.array([r[0] for r in self.rows], np.int64)
+        self.court, self.company = Likeness([k[0] for k in self.keys]), Likeness([k[1] for k in self.keys])
+        self.known: dict[tuple[str, str], tuple[list[int], float]] = {}
+        self.again = {k for k, n in Counter(map(_key, truth)).items() if n > 1}
 
     def best(self, t: dict) -> tuple[int | None, float]:
-        """The first of the records left with the greatest sum, and the sum."""
-        court, company = t["squeezed"]["Court_name"], t["squeezed"]["Company_name"]
-        same = self.same.get((court, company), ())
-        while same and not self.left[same[0]]:
-            same.popleft()
-        if same:
-            return same[0], 2.0
-        best, score = None, -1.0
+        """The first of the records left with the greatest sum of at least FLOOR, and the sum."""
+        k = _key(t)
+        g = self.place.get(k)
+        if g is not None and self.left[g]:
+            return self.rows[g][0], 2.0
+        groups, score = self.known.get(k, ((), 0.0))
+        groups = [g for g in groups if self.left[g]]
+        if not groups and self.left.any():
+            groups, score = self._search(*k, k in self.again)
+            if k in self.again and len(groups) <= NEAREST:
+                self.known[k] = groups, score
+        return (min(self.rows[g][0] for g in groups), score) if groups else (None, 0.0)
+
+    def _search(self, court: str, company: str, every: bool) -> tuple[list[int], float]:
+        """The groups with the greatest sum, every one of them or the one whose record comes first; and the sum."""
         bounds = np.where(self.left, self.court.most(court) + self.company.most(company), -1.0)
-        tried, step = 0, NEAREST
-        while tried < len(bounds):
-            # the highest bounds in parts of growing size, each part in order; a stable order has the first records first
-            step = min(step, len(bounds) - tried)
-            least = np.partition(bounds, len(bounds) - step)[len(bounds) - step]
-            part = np.flatnonzero((bounds >= least) & (bounds >= 0.0))
-            for i in part[np.argsort(-bounds[part], kind="stable")].tolist():
-                if bounds[i] < score or (bounds[i] == score and i > best):
-                    return best, score
-                s = ratio(court, self.keys[i][0]) + ratio(company, self.keys[i][1])
-                if s > score or (s == score and i < best):
-                    best, score = i, s
-            if not len(part):
-                break
-            tried += len(part)
-            bounds = np.where(bounds >= least, -1.0, bounds)
-            step *= 4
+        best, score, step = [], FLOOR, NEAREST
+        near = bounds.argmax()[None]
+        while len(near):
+            for g in near.tolist():
+                if bounds[g] < score:
+                    break
+                s = ratio(court, self.keys[g][0]) + ratio(company, self.keys[g][1])
+                if s > score or (s == score and not best):
+                    best, score = [g], s
+                elif s == score and every:
+                    best.append(g)
+                elif s == score and self.first[g] < self.first[best[0]]:
+                    best = [g]
+            bounds[near] = -1.0
+            may = bounds >= score
+            if best and not every:
+                may &= (bounds > score) | (self.first < self.first[best[0]])
+            near = np.flatnonzero(may)
+            if len(near) > step:  # the highest bounds in parts of growing size
+                near = near[np.argpartition(bounds[near], len(near) - step)[-step:]]
+                step *= 4
+            near = near[np.lexsort((self.first[near], -bounds[near]))]
         return best, score
 
-    def take(self, i: int) -> None:
-        self.left[i] = False
+    def take(self, i: int, p: dict) -> None:
+        g = self.place[_key(p)]
+        self.rows[g].popleft()  # a record is taken when it is the first of its group
+        if self.rows[g]:
+            self.first[g] = self.rows[g][0]
+        else:
+            self.left[g] = False
 
 
 class _Inside:
@@ -203,7 +234,7 @@ class _Equal:
 class _Containing:
     """Records of a page that are left, asked for the one that agrees in most of the fields, by their weights."""
 
-    def __init__(self, parsed: list[dict]) -> None:
+    def __init__(self, truth: list[dict], parsed: list[dict]) -> None:
         self.left = np.ones(len(parsed), bool)
         self.fields = [(n, w, (_Equal if n in EXACT else _Inside)([p[n] for p in parsed])) for n, w in WEIGHTS.items()]
 
@@ -218,22 +249,22 @@ class _Containing:
         best = int(scores.argmax())
         return (best, float(scores[best])) if scores[best] > 0 else (None, 0.0)
 
-    def take(self, i: int) -> None:
+    def take(self, i: int, p: dict) -> None:
         self.left[i] = False
 
 
 def _assign(truth: list[dict], parsed: list[dict], fuzzy: bool) -> list[tuple]:
     for r in [*truth, *parsed]:
         r["squeezed"] = {n: squeezed(r[n]) for n in WEIGHTS}
-    left, out = (_Fuzzy if fuzzy else _Containing)(parsed), []
+    left, out = (_Fuzzy if fuzzy else _Containing)(truth, parsed), []
     for t in truth:
         best, score = left.best(t)
         if best is None or (fuzzy and score < FLOOR):
             # a code that nothing was matched with is a mismatch for one method only
             out.append((t["row"], None, 0.0, not fuzzy and bool(t["Registration_Code"]), False))
             continue
-        left.take(best)
         p = parsed[best]
+        left.take(best, p)
         if fuzzy:
             code, year = (t["squeezed"][n] != p["squeezed"][n] for n in EXACT)
         else:

@@ -246,3 +246,29 @@ def test_best_match_is_that_of_all_pairs():
             want.append(-i if score >= 0.5 else None)
             used |= {-i} if score >= 0.5 else set()
         assert got == want
+
+
+def test_repeated_texts_of_a_page_are_compared_once(monkeypatch):
+    asked = []
+    monkeypatch.setattr(matching.Likeness, "most", lambda self, a, of=matching.Likeness.most: asked.append(a) or of(self, a))
+    rows = [{**RECORD, "row": i, "Company_name": f"Customer#{i % 20:09d}"} for i in range(12_000)]
+    other = [{**r, "Company_name": r["Company_name"] + " AG"} for r in rows]
+    assert [r[1] for r in matching._assign(rows, other, True)] == list(range(12_000))
+    assert len(asked) == 40  # 24,000, each of all records, before
+
+
+@pytest.mark.parametrize("letters", ["a", "ab", "abc-. "])
+def test_best_match_of_repeated_texts_is_that_of_all_pairs(letters):
+    import random
+
+    rng = random.Random(5)
+    for _ in range(40):
+        words = [None, *("".join(rng.choice(letters) for _ in range(rng.randrange(0, 6))) for _ in range(3))]
+        rows, other = ([{"row": i, **{n: rng.choice(words) for n in matching.WEIGHTS}} for i in range(rng.randrange(0, 25))] for _ in "tp")
+        used, want = set(), []
+        for t in rows:
+            scores = [(matching.similarity(t["Court_name"], p["Court_name"]) + matching.similarity(t["Company_name"], p["Company_name"]), -i) for i, p in enumerate(other) if i not in used]
+            score, i = max(scores, default=(0.0, 0))
+            want.append(-i if score >= 0.5 else None)
+            used |= {-i} if score >= 0.5 else set()
+        assert [r[1] for r in matching._assign(rows, other, True)] == want
