@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import functools
 import re
+from array import array
 from collections import Counter, deque
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -22,8 +23,6 @@ FLOOR = 0.5
 NEAREST = 16
 #: Rows of the result that are handed on together.
 ROWS_OUT = 4096
-#: Stands between texts that are searched as one.
-MARK = "\x00"
 _KINDS = {
     "doc": pa.string(), "truth_row": pa.int64(), "parsed_row": pa.int64(), "score": pa.float64(), "code_mismatch": pa.bool_(), "year_mismatch": pa.bool_(),
 }
@@ -183,79 +182,116 @@ class _Fuzzy:
             self.left[g] = False
 
 
+def _within(text: str, texts: dict, lengths: list[int]) -> list[str]:
+    """Which of texts, whose lengths are given, lie in a text: its pieces are looked up, or the texts are if they are fewer."""
+    if len(text) * len(lengths) < len(texts):
+        return list({b for n in lengths for k in range(len(text) - n + 1) if (b := text[k : k + n]) in texts})
+    return [b for b in texts if b in text]
+
+
 class _Inside:
     """Distinct texts of a page in lower case, asked which of them contain a text or lie in it."""
 
-    def __init__(self, texts: list) -> None:
-        texts = [v.lower() if isinstance(v, str) else "" for v in texts]
-        self.texts = list(dict.fromkeys(texts))
-        place = {b: i for i, b in enumerate(self.texts)}
-        self.of = np.fromiter((place[b] for b in texts), np.int64, len(texts))
-        self.place = {b: i for b, i in place.items() if b}
+    def __init__(self, asked: list, texts: list) -> None:
+        asked, texts = ([v.lower() if isinstance(v, str) else "" for v in c] for c in (asked, texts))
+        self.ids: dict[str, int] = {}
+        self.of = np.array([self.ids.setdefault(b, len(self.ids)) for b in texts], np.int64)
+        self.place = {b: i for b, i in self.ids.items() if b}
         self.lengths = sorted({len(b) for b in self.place})
-        # all texts in one, so that a search goes through them at a time; a text that has the mark itself is searched alone
-        self.marked = [i for b, i in self.place.items() if MARK in b]
-        plain = [(b, i) for b, i in self.place.items() if MARK not in b]
-        self.joined, self.ids = MARK.join(b for b, _ in plain), [i for _, i in plain]
-        self.starts = np.cumsum([0, *(len(b) + 1 for b, _ in plain)])
-        self.last: tuple[str, np.ndarray] | None = None
-
-    def related(self, a) -> np.ndarray:
-        """Whether the text of each record contains a or lies in it."""
+        # what contains the texts that will be asked for, from their side: no text is searched for in all others
+        self.around: dict[str, array] = {a: array("q") for a in asked if a}
+        lengths = sorted({len(a) for a in self.around})
+        for b, i in self.place.items():
+            for a in _within(b, self.around, lengths):
+                self.around[a].append(i)
+
+    def related(self, a) -> list[int]:
+        """Ids of texts that contain a or lie in it."""
         a = a.lower() if isinstance(a, str) else ""
-        if self.last is None or self.last[0] != a:
-            hits = np.zeros(len(self.texts), bool)
-            if a:
-                few = len(a) * len(self.lengths) < len(self.place)  # pieces of a, against texts
-                pieces = (self.place.get(a[k : k + n]) for n in self.lengths for k in range(len(a) - n + 1)) if few else (i for b, i in self.place.items() if b in a)
-                hits[[i for i in pieces if i is not None]] = True
-                hits[[i for i in self.marked if a in self.texts[i]]] = True
-                at = self.joined.find(a) if MARK not in a else -1
-                while at >= 0:
-                    k = int(np.searchsorted(self.starts, at, "right")) - 1
-                    hits[self.ids[k]] = True
-                    at = self.joined.find(a, int(self.starts[k + 1]))
-            self.last = a, hits[self.of]
-        return self.last[1]
+        if not a:
+            return []
+        return list({*self.around[a], *(self.place[b] for b in _within(a, self.place, self.lengths))})
 
 
 class _Equal:
     """Distinct texts of a page without case and outer white space, asked which of them are a text."""
 
-    def __init__(self, texts: list) -> None:
-        self.ids: dict[str, int] = {}
-        self.of = np.array([self.ids.setdefault(v.lower().strip(), len(self.ids)) if isinstance(v, str) and v else -1 for v in texts], np.int64)
+    def __init__(self, asked: list, texts: list) -> None:
+        self.ids: dict[str | None, int] = {}
+        self.of = np.array([self.ids.setdefault(v.lower().strip() if isinstance(v, str) and v else None, len(self.ids)) for v in texts], np.int64)
 
-    def related(self, a) -> np.ndarray:
+    def related(self, a) -> list[int]:
         i = self.ids.get(a.lower().strip()) if isinstance(a, str) and a else None
-        return np.zeros(len(self.of), bool) if i is None else self.of == i
+        return [] if i is None else [i]
 
 
 class _Containing:
-    """Records of a page that are left, asked for the one that agrees in most of the fields, by their weights."""
+    """Records of a page that are left, asked for the one that agrees in most of the fields, by their weights.
+
+    Records with the same texts in fields of few texts are one group, the first of them left stands for it. What agrees in
+    one of the other fields is found by that field. So no question goes through all records of a large page."""
 
     def __init__(self, truth: list[dict], parsed: list[dict]) -> None:
-        self.left = np.ones(len(parsed), bool)
-        self.fields = [(n, w, (_Equal if n in EXACT else _Inside)([p[n] for p in parsed])) for n, w in WEIGHTS.items()]
+        self.left, self.weights = np.ones(len(parsed), bool), np.array(list(WEIGHTS.values()))
+        self.fields = [(n, (_Equal if n in EXACT else _Inside)([t[n] for t in truth], [p[n] for p in parsed])) for n in WEIGHTS]
+        # texts of all fields are numbered together
+        sizes = [len(f.ids) for _, f in self.fields]
+        self.begin = [0, *np.cumsum(sizes).tolist()]
+        self.of = np.stack([f.of + k for (_, f), k in zip(self.fields, self.begin)], axis=1)
+        self.hit = np.zeros(self.begin[-1], bool)
+        group, few = np.zeros(len(parsed), np.int64), []
+        self.single: dict[int, tuple] = {}  # by field: records in order of their texts, where each text begins
+        for c in np.argsort(sizes, kind="stable").tolist():
+            of = self.fields[c][1].of
+            more = np.unique(group * sizes[c] + of, return_inverse=True)[1]
+            if not self.single and more.max(initial=0) < max(64, 4 * len(parsed) ** 0.5):
+                group = more
+                few.append(c)
+            else:
+                order = np.argsort(of, kind="stable")
+                self.single[c] = order, np.searchsorted(of[order], np.arange(sizes[c] + 1))
+        self.group, self.order = group, np.argsort(group, kind="stable")
+        at = np.searchsorted(group[self.order], np.arange(group.max(initial=-1) + 2))
+        self.first = self.order[at[:-1]]  # of each group; the length of parsed if none is left
+        self.texts, self.few = self.of[self.first][:, few], self.weights[few]
+        self.at, self.end = at[:-1].tolist(), at[1:].tolist()
 
     def best(self, t: dict) -> tuple[int | None, float]:
         """The first of the records left with the greatest score above 0, and the score."""
         if not len(self.left):
             return None, 0.0
-        scores = np.zeros(len(self.left), np.int64)
-        for name, weight, field in self.fields:
-            scores += weight * field.related(t[name])
-        scores[~self.left] = 0
-        best = int(scores.argmax())
-        return (best, float(scores[best])) if scores[best] > 0 else (None, 0.0)
+        related = [field.related(t[name]) for name, field in self.fields]
+        hits = [k + i for k, found in zip(self.begin, related) for i in found]
+        self.hit[hits] = True
+        scores = self.hit[self.texts] @ self.few
+        scores[self.first == len(self.left)] = 0
+        score = int(scores.max())
+        best = int(self.first[scores == score].min())
+        rows = [order[starts[i] : starts[i + 1]] for c, (order, starts) in self.single.items() for i in related[c]]
+        if rows:
+            rows = np.concatenate(rows)
+            rows = rows[self.left[rows]]
+        if len(rows):
+            scores = self.hit[self.of[rows]] @ self.weights
+            most = int(scores.max())
+            row = int(rows[scores == most].min())
+            if most > score or (most == score and row < best):
+                best, score = row, most
+        self.hit[hits] = False
+        return (best, float(score)) if score > 0 else (None, 0.0)
 
     def take(self, i: int, p: dict) -> None:
         self.left[i] = False
+        g = self.group[i]
+        while self.at[g] < self.end[g] and not self.left[self.order[self.at[g]]]:
+            self.at[g] += 1
+        self.first[g] = self.order[self.at[g]] if self.at[g] < self.end[g] else len(self.left)
 
 
 def _assign(truth: list[dict], parsed: list[dict], fuzzy: bool) -> list[tuple]:
-    for r in [*truth, *parsed]:
-        r["squeezed"] = {n: squeezed(r[n]) for n in WEIGHTS}
+    if fuzzy:
+        for r in [*truth, *parsed]:
+            r["squeezed"] = {n: squeezed(r[n]) for n in WEIGHTS}
     left, out = (_Fuzzy if fuzzy else _Containing)(truth, parsed), []
     for t in truth:
         best, score = left.best(t)

@@ -272,3 +272,11 @@ def test_best_match_of_repeated_texts_is_that_of_all_pairs(letters):
             want.append(-i if score >= 0.5 else None)
             used |= {-i} if score >= 0.5 else set()
         assert [r[1] for r in matching._assign(rows, other, True)] == want
+
+
+def test_containing_match_of_a_very_large_page_asks_few_records():
+    rows = [{**RECORD, "row": i, "Company_name": f"Customer#{i * 40:09d}", "Registration_Code": f"HRB {i}"} for i in range(30_000)]
+    other = [{**r, "Company_name": r["Company_name"].lower() if r["row"] % 3 == 0 else r["Company_name"] + " AG"} for r in rows]
+    began = time.process_time()
+    assert [r[1] for r in matching._assign(rows, other, False)] == list(range(30_000))
+    assert time.process_time() - began < 15  # each record searched all texts before
