@@ -5,6 +5,7 @@ from __future__ import annotations
 import functools
 import re
 from array import array
+from bisect import bisect_left, insort
 from collections import Counter, deque
 from collections.abc import Iterator
 from difflib import SequenceMatcher
@@ -19,7 +20,7 @@ WEIGHTS = {"Court_name": 2, "Date_of_article": 1, "Company_name": 2, "Registrati
 EXACT = ("Registration_Code", "Registration_year")
 #: Fuzzy matches below this sum of two similarities don't count.
 FLOOR = 0.5
-#: Groups of records that are compared at a time at first, those with the highest bounds.
+#: Kinds of records that are compared at a time at first, those with the highest bounds.
 NEAREST = 16
 #: Rows of the result that are handed on together.
 ROWS_OUT = 4096
@@ -29,6 +30,7 @@ _KINDS = {
 RESULT = "doc string, truth_row long, parsed_row long, score double, code_mismatch boolean, year_mismatch boolean"
 
 
+@functools.lru_cache(maxsize=20_000)
 def squeezed(value) -> str:
     return re.sub(r"[\s\-.,⸗]", "", str(value).lower()) if isinstance(value, str) else ""
 
@@ -36,7 +38,11 @@ def squeezed(value) -> str:
 @functools.lru_cache(maxsize=20_000)
 def ratio(a: str, b: str) -> float:
     """Ratcliff-Obershelp ratio; 1 for two empty texts. The order of arguments matters."""
-    return 1.0 if a == b else SequenceMatcher(None, a, b).ratio()
+    if a == b:
+        return 1.0
+    if len(b) < 200 and (a in b or b in a):  # the shorter text is the one block in common; in longer ones frequent letters don't count
+        return 2.0 * min(len(a), len(b)) / (len(a) + len(b))
+    return SequenceMatcher(None, a, b).ratio()
 
 
 def similarity(a, b) -> float:
@@ -118,8 +124,9 @@ class _Fuzzy:
     """Records of a page that are left, asked for the one with the greatest sum of similarities of court and company.
 
     Records with the same two texts are one group, the first of them left stands for it. A group of the asked texts is found
-    by them. Else groups are compared in falling order of what the sum is at most, until none can be better; these bounds are
-    made of arrays, so most groups cost a few machine instructions. Texts that are asked for again keep their best groups."""
+    by them. Else groups are compared in falling order of what the sum is at most, until none can be better. Groups whose texts
+    have the same letters are one kind, as these bounds are the same; there are far fewer kinds than distinct texts on a large
+    page, and bounds of all are made of arrays. Texts that are asked for again keep their best groups."""
 
     def __init__(self, truth: list[dict], parsed: list[dict]) -> None:
         self.groups: dict[tuple[str, str], deque[int]] = {}
@@ -127,8 +134,13 @@ class _Fuzzy:
             self.groups.setdefault(_key(p), deque()).append(i)
         self.keys, self.rows = list(self.groups), list(self.groups.values())
         self.place = {k: g for g, k in enumerate(self.keys)}
-        self.left, self.first = np.ones(len(self.keys), bool), np.array([r[0] for r in self.rows], np.int64)
-        self.court, self.company = Likeness([k[0] for k in self.keys]), Likeness([k[1] for k in self.keys])
+        letters, kinds = functools.cache(lambda text: "".join(sorted(text))), {}
+        self.kind = [kinds.setdefault((letters(court), letters(company)), len(kinds)) for court, company in self.keys]
+        self.members: list[list[tuple[int, int]]] = [[] for _ in kinds]  # of each kind: first record left and group, in order
+        for g, c in enumerate(self.kind):
+            self.members[c].append((self.rows[g][0], g))
+        self.left, self.first = np.ones(len(kinds), bool), np.array([m[0][0] for m in self.members], np.int64)
+        self.court, self.company = Likeness([k[0] for k in kinds]), Likeness([k[1] for k in kinds])
         self.known: dict[tuple[str, str], tuple[list[int], float]] = {}
         self.again = {k for k, n in Counter(map(_key, truth)).items() if n > 1}
 
@@ -136,10 +148,10 @@ class _Fuzzy:
         """The first of the records left with the greatest sum of at least FLOOR, and the sum."""
         k = _key(t)
         g = self.place.get(k)
-        if g is not None and self.left[g]:
+        if g is not None and self.rows[g]:
             return self.rows[g][0], 2.0
         groups, score = self.known.get(k, ((), 0.0))
-        groups = [g for g in groups if self.left[g]]
+        groups = [g for g in groups if self.rows[g]]
         if not groups and self.left.any():
             groups, score = self._search(*k, k in self.again)
             if k in self.again and len(groups) <= NEAREST:
@@ -152,20 +164,22 @@ class _Fuzzy:
         best, score, step = [], FLOOR, NEAREST
         near = bounds.argmax()[None]
         while len(near):
-            for g in near.tolist():
-                if bounds[g] < score:
+            for c in near.tolist():
+                if bounds[c] < score:
                     break
-                s = ratio(court, self.keys[g][0]) + ratio(company, self.keys[g][1])
-                if s > score or (s == score and not best):
-                    best, score = [g], s
-                elif s == score and every:
-                    best.append(g)
-                elif s == score and self.first[g] < self.first[best[0]]:
-                    best = [g]
+                for row, g in self.members[c]:
+                    later = not every and bool(best) and row > self.rows[best[0]][0]
+                    if later and bounds[c] <= score:
+                        break
+                    s = ratio(court, self.keys[g][0]) + ratio(company, self.keys[g][1])
+                    if s > score or (s == score and not (best and (every or later))):
+                        best, score = [g], s
+                    elif s == score and every:
+                        best.append(g)
             bounds[near] = -1.0
             may = bounds >= score
             if best and not every:
-                may &= (bounds > score) | (self.first < self.first[best[0]])
+                may &= (bounds > score) | (self.first < self.rows[best[0]][0])
             near = np.flatnonzero(may)
             if len(near) > step:  # the highest bounds in parts of growing size
                 near = near[np.argpartition(bounds[near], len(near) - step)[-step:]]
@@ -175,11 +189,16 @@ class _Fuzzy:
 
     def take(self, i: int, p: dict) -> None:
         g = self.place[_key(p)]
-        self.rows[g].popleft()  # a record is taken when it is the first of its group
+        c = self.kind[g]
+        members = self.members[c]
+        del members[bisect_left(members, (i, g))]  # a record is taken when it is the first of its group
+        self.rows[g].popleft()
         if self.rows[g]:
-            self.first[g] = self.rows[g][0]
+            insort(members, (self.rows[g][0], g))
+        if members:
+            self.first[c] = members[0][0]
         else:
-            self.left[g] = False
+            self.left[c] = False
 
 
 def _within(text: str, texts: dict, lengths: list[int]) -> list[str]:

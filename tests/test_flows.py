@@ -280,3 +280,33 @@ def test_containing_match_of_a_very_large_page_asks_few_records():
     began = time.process_time()
     assert [r[1] for r in matching._assign(rows, other, False)] == list(range(30_000))
     assert time.process_time() - began < 15  # each record searched all texts before
+
+
+def test_names_of_the_same_letters_have_one_bound(monkeypatch):
+    made = []
+    monkeypatch.setattr(matching.Likeness, "most", lambda self, a, of=matching.Likeness.most: made.append(of(self, a)) or made[-1])
+    rows = [{**RECORD, "row": i, "Company_name": f"Customer#{i * 40:09d}"} for i in range(6000)]
+    other = [{**r, "Company_name": r["Company_name"] + " AG"} for r in rows]
+    assert [r[1] for r in matching._assign(rows, other, True)] == list(range(6000))
+    assert max(map(len, made)) < 1500  # 6,000, a bound of each name, before
+
+
+def test_best_match_of_texts_of_the_same_letters_is_that_of_all_pairs():
+    import random
+    from difflib import SequenceMatcher
+
+    rng = random.Random(6)
+    alike = lambda a, b: SequenceMatcher(None, matching.squeezed(a), matching.squeezed(b)).ratio()
+    for _ in range(40):
+        words = ["".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))) for _ in range(3)]
+        words += ["".join(rng.sample(w, len(w))) for w in words for _ in range(4)]
+        rows, other = ([{"row": i, **{n: rng.choice(words) for n in matching.WEIGHTS}} for i in range(rng.randrange(0, 25))] for _ in "tp")
+        used, want = set(), []
+        for t in rows:
+            scores = [(alike(t["Court_name"], p["Court_name"]) + alike(t["Company_name"], p["Company_name"]), -i) for i, p in enumerate(other) if i not in used]
+            score, i = max(scores, default=(0.0, 0))
+            want.append(-i if score >= 0.5 else None)
+            used |= {-i} if score >= 0.5 else set()
+        assert [r[1] for r in matching._assign(rows, other, True)] == want
+    for a, b in (("ab", "xaby"), ("xaby", "ab"), ("", "a"), ("ab" * 50, "ab" * 99), ("ab" * 50, "ab" * 100), ("ab" * 100, "ab" * 50)):
+        assert matching.ratio(a, b) == SequenceMatcher(None, a, b).ratio()
