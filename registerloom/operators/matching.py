@@ -22,6 +22,9 @@ EXACT = ("Registration_Code", "Registration_year")
 FLOOR = 0.5
 #: Kinds of records that are compared at a time at first, those with the highest bounds.
 NEAREST = 16
+#: Records related to a text that are not gone through one by one, if they are more; such records held at a time on a page.
+MANY = 256
+HELD = 2_000_000
 #: Rows of the result that are handed on together.
 ROWS_OUT = 4096
 _KINDS = {
@@ -244,14 +247,34 @@ class _Equal:
         return [] if i is None else [i]
 
 
+class _Many:
+    """Many records whose texts of a field are related to an asked one: the first left of each group."""
+
+    def __init__(self, rows: np.ndarray, group: np.ndarray) -> None:
+        self.rows = rows[np.argsort(group[rows], kind="stable")]
+        self.groups, at = np.unique(group[self.rows], return_index=True)
+        self.first, self.at, self.end = self.rows[at], at.tolist(), [*at[1:].tolist(), len(rows)]
+        self.texts: np.ndarray | None = None  # which they are, if that is not one text
+
+    def firsts(self, left: np.ndarray) -> np.ndarray:
+        """Of each group; the place behind all records if none is left."""
+        for g in np.flatnonzero(~left[self.first]).tolist():
+            while self.at[g] < self.end[g] and not left[self.rows[self.at[g]]]:
+                self.at[g] += 1
+            self.first[g] = self.rows[self.at[g]] if self.at[g] < self.end[g] else len(left) - 1
+        return self.first
+
+
 class _Containing:
     """Records of a page that are left, asked for the one that agrees in most of the fields, by their weights.
 
     Records with the same texts in fields of few texts are one group, the first of them left stands for it. What agrees in
-    one of the other fields is found by that field. So no question goes through all records of a large page."""
+    one of the other fields is found by that field; where that are many records, by the first left of each group among them.
+    So no question goes through all records of a large page."""
 
     def __init__(self, truth: list[dict], parsed: list[dict]) -> None:
-        self.left, self.weights = np.ones(len(parsed), bool), np.array(list(WEIGHTS.values()))
+        self.n, self.weights = len(parsed), np.array(list(WEIGHTS.values()))
+        self.left = np.ones(self.n + 1, bool)  # the last one stands behind all records
         self.fields = [(n, (_Equal if n in EXACT else _Inside)([t[n] for t in truth], [p[n] for p in parsed])) for n in WEIGHTS]
         # texts of all fields are numbered together
         sizes = [len(f.ids) for _, f in self.fields]
@@ -268,30 +291,75 @@ class _Containing:
                 few.append(c)
             else:
                 order = np.argsort(of, kind="stable")
-                self.single[c] = order, np.searchsorted(of[order], np.arange(sizes[c] + 1))
+                self.single[c] = order, np.searchsorted(of[order], np.arange(sizes[c] + 1)).tolist()
         self.group, self.order = group, np.argsort(group, kind="stable")
         at = np.searchsorted(group[self.order], np.arange(group.max(initial=-1) + 2))
-        self.first = self.order[at[:-1]]  # of each group; the length of parsed if none is left
+        self.first = self.order[at[:-1]]  # of each group; the number of records if none is left
         self.texts, self.few = self.of[self.first][:, few], self.weights[few]
         self.at, self.end = at[:-1].tolist(), at[1:].tolist()
+        self.frequent: dict[tuple[int, int], _Many] = {}  # by field and text
+        self.many: dict[tuple, _Many] = {}  # by field and asked text, the last ones
+        self.held, self.limit = 0, max(MANY, len(self.first))
+
+    def _related(self, c: int, a) -> tuple[list[int], list[np.ndarray], list[_Many]]:
+        """Texts of a field that are related to an asked one; records that have them, where they are few and where many."""
+        if (c, a) in self.many:
+            return [], [], [self.many[c, a]]
+        texts = self.fields[c][1].related(a)
+        if c not in self.single:
+            return texts, [], []
+        order, starts = self.single[c]
+        rows, frequent = [], []
+        for i in texts:
+            if starts[i + 1] - starts[i] > self.limit:
+                if (c, i) not in self.frequent:
+                    self.frequent[c, i] = _Many(order[starts[i] : starts[i + 1]], self.group)
+                frequent.append(self.frequent[c, i])
+            else:
+                rows.append(order[starts[i] : starts[i + 1]])
+        if sum(map(len, rows)) <= self.limit:
+            return texts, rows, frequent
+        mask = np.zeros(len(starts) - 1, bool)
+        mask[texts] = True
+        found = _Many(np.flatnonzero(mask[self.fields[c][1].of]), self.group)
+        found.texts = mask
+        while self.many and self.held + len(found.rows) > HELD:
+            self.held -= len(self.many.pop(next(iter(self.many))).rows)
+        self.held += len(found.rows)
+        self.many[c, a] = found
+        return [], [], [found]
 
     def best(self, t: dict) -> tuple[int | None, float]:
         """The first of the records left with the greatest score above 0, and the score."""
-        if not len(self.left):
+        if not self.n:
             return None, 0.0
-        related = [field.related(t[name]) for name, field in self.fields]
-        hits = [k + i for k, found in zip(self.begin, related) for i in found]
+        found = [self._related(c, t[name]) for c, (name, _) in enumerate(self.fields)]
+        hits = [k + i for k, (texts, _, _) in zip(self.begin, found) for i in texts]
         self.hit[hits] = True
         scores = self.hit[self.texts] @ self.few
-        scores[self.first == len(self.left)] = 0
+        scores[self.first == self.n] = 0
         score = int(scores.max())
         best = int(self.first[scores == score].min())
-        rows = [order[starts[i] : starts[i + 1]] for c, (order, starts) in self.single.items() for i in related[c]]
+        rows, many = [r for _, few, _ in found for r in few], {c: m for c, (_, _, m) in enumerate(found) if m}
+        if many:
+            # what agrees in no other field than that of most records is as good as its group; the rest is looked at
+            most = max(many, key=lambda c: sum(len(m.rows) for m in many[c]))
+            for m in many[most]:
+                firsts = m.firsts(self.left)
+                more = np.where(firsts < self.n, scores[m.groups] + self.weights[most], 0)
+                row, top = int(firsts[more == more.max()].min()), int(more.max())
+                if top > score or (top == score and row < best):
+                    best, score = row, top
+            rows += [m.rows for c in many if c != most for m in many[c]]
         if rows:
             rows = np.concatenate(rows)
             rows = rows[self.left[rows]]
         if len(rows):
             scores = self.hit[self.of[rows]] @ self.weights
+            for c in many:
+                for m in many[c]:
+                    if m.texts is not None:
+                        scores += self.weights[c] * m.texts[self.fields[c][1].of[rows]]
             most = int(scores.max())
             row = int(rows[scores == most].min())
             if most > score or (most == score and row < best):
@@ -304,7 +372,7 @@ class _Containing:
         g = self.group[i]
         while self.at[g] < self.end[g] and not self.left[self.order[self.at[g]]]:
             self.at[g] += 1
-        self.first[g] = self.order[self.at[g]] if self.at[g] < self.end[g] else len(self.left)
+        self.first[g] = self.order[self.at[g]] if self.at[g] < self.end[g] else self.n
 
 
 def _assign(truth: list[dict], parsed: list[dict], fuzzy: bool) -> list[tuple]:

@@ -310,3 +310,30 @@ def test_best_match_of_texts_of_the_same_letters_is_that_of_all_pairs():
         assert [r[1] for r in matching._assign(rows, other, True)] == want
     for a, b in (("ab", "xaby"), ("xaby", "ab"), ("", "a"), ("ab" * 50, "ab" * 99), ("ab" * 50, "ab" * 100), ("ab" * 100, "ab" * 50)):
         assert matching.ratio(a, b) == SequenceMatcher(None, a, b).ratio()
+
+
+def test_containing_match_of_a_large_page_whose_names_lie_in_each_other():
+    rows = [{**RECORD, "row": i, "Company_name": "GmbH" if i % 2 else f"Firma {i:09d} GmbH", "Registration_Code": None} for i in range(12_000)]
+    began = time.process_time()
+    assert [r[1] for r in matching._assign(rows, rows, False)] == list(range(12_000))
+    assert time.process_time() - began < 10  # each "GmbH" went through all records before
+
+
+@pytest.mark.parametrize("held", [1, 10**6])
+def test_containing_match_of_frequent_texts_is_that_of_all_pairs(monkeypatch, held):
+    import random
+
+    monkeypatch.setattr(matching, "MANY", 8, raising=False)
+    monkeypatch.setattr(matching, "HELD", held, raising=False)
+    rng = random.Random(7)
+    word = lambda k: "".join(rng.choice("ab") for _ in range(rng.randrange(1, k)))
+    for often in ((2, 4), (0, 2), (2, 3)):
+        few = [*(word(4) for _ in range(3)), None]
+        fields = [(lambda: rng.choice(few) if rng.random() < 0.5 else word(12)) if i in often else (lambda: rng.choice(few)) for i in range(5)]
+        rows, other = ([{"row": i, **{n: f() for n, f in zip(matching.WEIGHTS, fields)}} for i in range(n)] for n in (60, 350))
+        used, want = set(), []
+        for t in rows:
+            score, i = max((matching._fields(t, p, False), -i) for i, p in enumerate(other) if i not in used)
+            want.append(-i if score > 0 else None)
+            used |= {-i} if score > 0 else set()
+        assert [r[1] for r in matching._assign(rows, other, False)] == want
