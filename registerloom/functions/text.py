@@ -50,6 +50,11 @@ def strip(c: Column | str) -> Column:
     return F.regexp_replace(_column(c), rf"\A{WS}+|{WS}+\z", "")
 
 
+def is_blank(c: Column | str) -> Column:
+    """Null, empty or white space alone, as Unicode has it."""
+    return ~F.regexp_like(F.coalesce(_column(c), F.lit("")), F.lit(WS.replace("[", "[^", 1)))
+
+
 def normalize_text(c: Column | str) -> Column:
     """Repair and transliterate German text; null and '' stay as they are.
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import threading
 import time
 from collections.abc import Callable, Iterator
-from concurrent.futures import ThreadPoolExecutor
+from concurrent.futures import Future, ThreadPoolExecutor
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -20,7 +21,7 @@ RECORDS = "array<struct<" + ",".join(f"{f.name}:string" for f in S.RECORD.fields
 
 
 class Extractor(Protocol):
-    """Anything that answers a chunk of text; an empty answer or an exception is a failed attempt."""
+    """Anything that answers a chunk of text; an empty answer or an exception (but MemoryError) is a failed attempt."""
 
     def __call__(self, chunk: str) -> str: ...
 
@@ -57,32 +58,40 @@ def answers(chunk_rows: DataFrame, make: Callable[[], Extractor], options: Optio
     """chunk rows with answer (null after the last failed attempt), attempts and seconds; make() is called in each task.
 
     A task has options.concurrent calls under way at a time, answers keep the order of chunks, and a call that takes longer
-    than options.timeout is a failed attempt. There are as many tasks as the table has partitions; the mode 'sequential'
-    makes one call after the other in a single task."""
+    than options.timeout is a failed attempt, which leaves its thread to it. Where a worker lacks threads or memory for a call,
+    the task fails, not the attempt. There are as many tasks as the table has partitions; the mode 'sequential' makes one call
+    after the other in a single task."""
     sequential = options.mode == "sequential"
 
-    def one(ask: Extractor, pool: ThreadPoolExecutor | None, chunk: str) -> tuple[str | None, int, float]:
+    def one(ask: Extractor, own: threading.local, chunk: str) -> tuple[str | None, int, float]:
         began, answer, tries = time.time(), None, 0
         while not answer and tries < options.attempts:
             if tries:
                 time.sleep(options.backoff * tries)
             tries += 1
+            call = begun(ask, own, chunk) if options.timeout else None
             try:
-                answer = (ask(chunk) if pool is None else pool.submit(ask, chunk).result(options.timeout)) or None
+                answer = (ask(chunk) if call is None else call.result(options.timeout)) or None
+            except MemoryError:
+                raise
             except Exception:  # noqa: BLE001  the outcome of the chunk says it
                 answer = None
         if options.delay:
             time.sleep(options.delay)
         return answer, tries, time.time() - began
 
+    def begun(ask: Extractor, own: threading.local, chunk: str) -> Future:
+        if not hasattr(own, "call") or not own.call.done():  # the first call, or the one before hangs
+            own.calls = ThreadPoolExecutor(1)
+        own.call = own.calls.submit(ask, chunk)
+        return own.call
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ask, width = make(), 1 if sequential else options.concurrent
-        calls = ThreadPoolExecutor(2 * width)  # a call that hangs holds a thread, not its place among those under way
+        ask, width, own = make(), 1 if sequential else options.concurrent, threading.local()
         with ThreadPoolExecutor(width) as chunks_:
             for pdf in batches:
-                rows = list(chunks_.map(lambda chunk: one(ask, calls if options.timeout else None, chunk), pdf["chunk"]))
+                rows = list(chunks_.map(lambda chunk: one(ask, own, chunk), pdf["chunk"]))
                 yield pd.DataFrame({"file": pdf["file"], "chunk_id": pdf["chunk_id"], "answer": [r[0] for r in rows], "attempts": [r[1] for r in rows], "seconds": [r[2] for r in rows]})
-        calls.shutdown(wait=False, cancel_futures=True)
 
     dealt = chunk_rows.coalesce(1) if sequential else chunk_rows
     return dealt.mapInPandas(run, "file string, chunk_id int, answer string, attempts int, seconds double")
@@ -99,7 +108,8 @@ def outcome(exists: Column, empty: Column, failed: Column, n_matches: Column, pa
 
 
 def files(texts: DataFrame, answer_rows: DataFrame, options: Options = Options()) -> DataFrame:
-    """file, n_chunks, failed, seconds, records (null unless saved), status of each file.
+    """file, further columns of texts, n_chunks, failed, seconds, records (null unless saved), status of each file, which has one
+    row of texts.
 
     Objects of all answers are parsed together or not at all, in order of the chunks."""
     matches = X.json_objects("answer")
@@ -108,14 +118,15 @@ def files(texts: DataFrame, answer_rows: DataFrame, options: Options = Options()
         F.sum("seconds").alias("seconds"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("chunk_id", "found"))), lambda x: F.coalesce(x["found"], F.expr("cast(array() as array<string>)")))).alias("found"),
     )
     none = F.expr("cast(array() as array<int>)")
-    rows = texts.select("file", "text").join(per, "file", "left").withColumns({"failed": F.coalesce("failed", none), "found": F.coalesce("found", F.expr("cast(array() as array<string>)"))})
+    about = texts.withColumns({"exists": F.col("text").isNotNull(), "empty": X.is_blank("text")}).drop("text")  # no text is shuffled
+    rows = about.join(per, "file", "left").withColumns({"failed": F.coalesce("failed", none), "found": F.coalesce("found", F.expr("cast(array() as array<string>)"))})
     parsed = F.from_json(F.concat(F.lit("["), F.array_join("found", ",\n"), F.lit("]")), RECORDS)
     rows = rows.withColumn("records", F.when(F.size("found") > 0, parsed))
-    empty = F.coalesce(X.strip("text"), F.lit("")) == ""
-    status = outcome(F.col("text").isNotNull(), empty, F.col("failed"), F.size("found"), F.col("records").isNotNull(), options.strict)
+    status = outcome(F.col("exists"), F.col("empty"), F.col("failed"), F.size("found"), F.col("records").isNotNull(), options.strict)
     rows = rows.withColumn("status", status)
     saved = F.col("status").startswith("success") | F.col("status").startswith("partial")
-    return rows.select("file", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "failed", F.coalesce("seconds", F.lit(0.0)).alias("seconds"), F.when(saved, F.col("records")).alias("records"), "status")
+    further = [c for c in texts.columns if c not in ("file", "text")]
+    return rows.select("file", *further, F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), "failed", F.coalesce("seconds", F.lit(0.0)).alias("seconds"), F.when(saved, F.col("records")).alias("records"), "status")
 
 
 def run_log(done: DataFrame, mode: str = "parallel") -> DataFrame:

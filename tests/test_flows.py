@@ -1,4 +1,5 @@
 import json
+import threading
 import time
 import zipfile
 
@@ -8,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from registerloom import queries
 from registerloom import schemas as S
 from registerloom.operators import extraction, imprint, matching
 from registerloom.sources import files
@@ -113,6 +115,57 @@ def test_extraction(spark):
     assert {r["file"]: r["status"] for r in strict.collect()}["a"] == "failed chunks [3]"
 
 
+def test_a_call_without_a_thread_is_no_failed_attempt(spark):
+    texts = spark.createDataFrame([("a", "one")], "file string, text string").coalesce(1)
+
+    def make():
+        start = threading.Thread.start
+
+        def short(thread):  # in this worker, which the failing task ends
+            if threading.current_thread() is not threading.main_thread():
+                raise RuntimeError("no thread to be had")
+            start(thread)
+
+        threading.Thread.start = short
+        return lambda chunk: chunk
+
+    with pytest.raises(Exception, match="no thread to be had"):
+        extraction.answers(extraction.chunks(texts), make, extraction.Options(backoff=0.0)).collect()
+
+    def exhausted():
+        def ask(chunk):
+            raise MemoryError("no memory to be had")
+
+        return ask
+
+    for timeout in (0.0, 9.0):
+        with pytest.raises(Exception, match="no memory to be had"):
+            extraction.answers(extraction.chunks(texts), exhausted, extraction.Options(backoff=0.0, timeout=timeout)).collect()
+
+
+def test_calls_that_hang_hold_up_no_others(spark):
+    texts = spark.createDataFrame([(str(i), "hangs" if i < 6 else "well") for i in range(9)], "file string, text string").coalesce(1)
+
+    def make():
+        def ask(chunk):
+            time.sleep(5.0 if chunk == "hangs" else 0.0)
+            return chunk
+
+        return ask
+
+    options = extraction.Options(concurrent=2, attempts=1, timeout=0.5)
+    assert [r["answer"] for r in extraction.answers(extraction.chunks(texts), make, options).collect()] == [None] * 6 + ["well"] * 3
+
+
+def test_each_row_of_documents_is_a_file(spark, tmp_path):
+    rows = [(1, "one two"), (2, ""), (3, " \u2028\n"), (4, None), (5, "a b"), (5, "w " * 501), (6, "same"), (6, "same"), (None, "x"), (None, "y"), (7, "w " * 1000), (7, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    got = [tuple(r) for r in queries.QUERIES["extract_chunks_to_records"](spark, str(tmp_path)).collect()]
+    counts = [1, 0, 0, None, 1, 2, 1, 1, 1, 1, 2, 0]
+    key = lambda r: tuple(map(str, r))
+    assert sorted(got, key=key) == sorted(((None if i is None else str(i), "success", n) for (i, _), n in zip(rows, counts)), key=key)
+
+
 def records(spark, rows):
     return spark.createDataFrame([("p", i, *r) for i, r in enumerate(rows)], "doc string, row long, Court_name string, Date_of_article string, Company_name string, Registration_Code string, Registration_year string")
 
